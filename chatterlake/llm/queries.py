@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, html, language, licenses, lines, mixing, quality, simhash, tokens
+from chatterlake.llm import decontaminate, html, language, licenses, lines, lm, mixing, quality, simhash, tokens
 from chatterlake.llm.shared import held_out, scratch_path
 
 #: Rows of a batch that goes to Python: with very long texts too, a batch stays small.
@@ -62,6 +62,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.*").drop("spans")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # a batch runs through the network together
+    return lm.text_scores(docs, held_out("doc_id", 5))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -69,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op10_simhash)
+    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
