@@ -32,7 +32,7 @@ def clean_trades(raw: DataFrame) -> DataFrame:
     rows = raw.where(~dropped).select(
         "filing_id", F.trim("full_name").alias("full_name"), F.upper(F.trim("ticker")).alias("ticker"), F.expr("try_cast(transaction_date as date)").alias("transaction_date"),
         F.coalesce(F.expr("try_cast(disclosure_date as date)"), F.expr("try_cast(transaction_date as date)")).alias("disclosure_date"), transaction_type(F.col("type")).alias("transaction_type"),
-        party_letter(F.col("party")).alias("party"), low.alias("amount_low"), high.alias("amount_high"), ~kind.isin(*STOCK_TYPES).alias("unknown_type"), "amount",
+        party_letter(F.col("party")).alias("party"), low.alias("amount_low"), high.alias("amount_high"), (~kind.isin(*STOCK_TYPES)).alias("unknown_type"), "amount",
     )
     rows = rows.where("transaction_date is not null and ticker != ''")
     return rows.withColumn("trade_id", hashed_id(24, F.col("full_name"), F.col("transaction_date").cast("string"), F.col("ticker"), F.col("amount"))).drop("amount")

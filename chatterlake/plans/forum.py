@@ -214,11 +214,10 @@ def catalog(t: Tables):
     return comm.select("name", "title", tx.market_class(F.col("name"), F.col("title"), F.lit(False)).alias("market"))
 
 
-@query("F11_T09_E08_match_rank", """WITH c AS (SELECT ticker, 'c' || ticker || '_' || subreddit AS name, mention_count * 7 AS subs, mention_count % 60 AS posts, CASE ticker % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS rel FROM mentions WHERE date = DATE '2024-01-10'),
+@query("F11_T09_E08_match_rank", """WITH c AS (SELECT ticker, 'c' || date || '_' || subreddit AS name, mention_count * 7 AS subs, mention_count % 60 AS posts, CASE ticker % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS rel FROM mentions),
  s AS (SELECT *, round(rel * (log10(subs + 1) * 10 + least(posts, 50)), 2) AS score, rel >= 0.6 AND (subs >= 50 OR (posts >= 5 AND subs >= 5)) AS selected FROM c) SELECT ticker, name, score, selected, row_number() OVER (PARTITION BY ticker ORDER BY selected DESC, score DESC, name) AS rank FROM s""")
 def match_rank(t: Tables):
-    c = t.mentions.where("date = '2024-01-10'")
-    c = c.select("ticker", F.concat(F.lit("c"), F.col("ticker").cast("string"), F.lit("_"), "subreddit").alias("name"), (F.col("mention_count") * 7).alias("subs"), (F.col("mention_count") % 60).alias("posts"), F.when(F.col("ticker") % 3 == 0, 0.6).when(F.col("ticker") % 3 == 1, 1.0).otherwise(0.4).alias("rel"))
+    c = t.mentions.select("ticker", F.concat(F.lit("c"), F.col("date").cast("string"), F.lit("_"), "subreddit").alias("name"), (F.col("mention_count") * 7).alias("subs"), (F.col("mention_count") % 60).alias("posts"), F.when(F.col("ticker") % 3 == 0, 0.6).when(F.col("ticker") % 3 == 1, 1.0).otherwise(0.4).alias("rel"))
     selected = (F.col("rel") >= 0.6) & ((F.col("subs") >= 50) | ((F.col("posts") >= 5) & (F.col("subs") >= 5)))
     scored = c.select("ticker", "name", forum.community_score(F.col("subs"), F.col("posts"), F.col("rel")).alias("score"), selected.alias("selected"))
     return forum.match_rank(scored)
