@@ -28,6 +28,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
+    # what a finished write has shuffled is of no more use: its files go at once, not when the driver happens to clean up
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
