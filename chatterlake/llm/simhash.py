@@ -7,6 +7,7 @@ result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -125,11 +126,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 # --- near duplicates by similarity of shingles: SimHash finds the candidates, the shingles decide ---
 
-#: Bits of the word signature, in blocks of a byte; a key is a choice of three blocks.
-SIGNATURE_WORDS = 8
-KEYS, BLOCKS_A_KEY = 48, 3
-#: Signatures further apart than this are not compared: word sets of texts at 0.8 differ in about 40 of 512 bits.
-SIGNATURE_BITS_APART = 96
+#: Words of 64 bits of the word signature, whose blocks are bytes; keys, and the blocks that each takes.
+SIGNATURE_WORDS, SHINGLE_WORDS = 8, 16
+KEYS, BLOCKS_A_KEY = 64, 4
+#: Signatures further apart than the first, plus the second over the number of distinct words, are not compared: of
+#: pairs at 0.8 or more, 99 in 100 measured 48 bits or fewer at about 100 words; short texts differ by more.
+BITS_APART, BITS_FOR_FEW_WORDS = 48, 600
 
 
 def key_blocks(keys: int = KEYS, each: int = BLOCKS_A_KEY) -> np.ndarray:
@@ -140,21 +142,26 @@ def key_blocks(keys: int = KEYS, each: int = BLOCKS_A_KEY) -> np.ndarray:
     return np.concatenate(rounds)[:keys]
 
 
-def word_signature(words: list[bytes]) -> np.ndarray:
-    """512 bits: the majority over the distinct words' hashes, each spread over eight 64-bit words."""
-    from xxhash import xxh64_intdigest
-
-    if not words:
-        return np.zeros(SIGNATURE_WORDS, dtype="<u8")
-    h = np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")[:, None]
-    x = h + np.arange(1, SIGNATURE_WORDS + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+def spread_majority(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The majority bits over 64-bit hashes, each spread over ``size`` 64-bit words."""
+    if not len(hashes):
+        return np.zeros(size, dtype="<u8")
+    x = hashes[:, None] + np.arange(1, size + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return majority_bits(x ^ (x >> np.uint64(31)))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node struct<id, text_key>, d1, d2: digest of the words, signature array of 8 longs, keys array of longs)."""
+def word_signature(words: list[bytes]) -> np.ndarray:
+    """512 bits: the majority over the distinct words."""
+    from xxhash import xxh64_intdigest
+
+    return spread_majority(np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8"), SIGNATURE_WORDS)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node struct<id, text_key>, d1, d2: digest of the words, signature, keys). The signature holds
+    the words' 8 longs, the shingles' 16, and the number of distinct words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +178,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 signature = word_signature(words)
                 keys = (signature.view(np.uint8)[blocks].astype(np.int64) << shifts).sum(axis=1) + place
                 digests = (np.array([xxh64_intdigest(joined, SEED), xxh64_intdigest(joined, SEED + 1)], dtype="<u8")).view("<i8")
-                out.append((digests[0], digests[1], signature.view("<i8"), keys))
+                grams = spread_majority(np.unique(shingle_hashes(words, shingle)), SHINGLE_WORDS)
+                out.append((digests[0], digests[1], np.concatenate([signature.view("<i8"), grams.view("<i8"), [len(set(words))]]), keys))
             yield pd.concat([pdf[["id", "text_key"]], pd.DataFrame(out, columns=["d1", "d2", "signature", "keys"], index=pdf.index)], axis=1)
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -203,13 +211,13 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, first) for every distinct (id, text): first is the smallest node of its group of near copies.
 
-    Texts of equal words are one from the start. Word signatures share a key where three blocks agree; 48 keys find a
+    Texts of equal words are one from the start. Word signatures share a key where its four blocks agree; the 64 keys find a
     pair at the similarity asked for with a chance of about 99 in 100 and more above. In a first round each member of
     a key's bucket is compared with the member that most buckets agree on, which in a large group is the text that the
     others were made from; so large groups close without pairs among their members. The second round compares what
     still is in different groups. Every link is verified on the shingles themselves.
     """
-    each = saved(signatures(docs, id_col, text_col), "signatures")
+    each = saved(signatures(docs, id_col, text_col, shingle), "signatures")
     firsts = each.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     firsts = saved(firsts, "firsts")
     keyed = firsts.select("node", F.explode("keys").alias("key"))
@@ -220,7 +228,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pivots = rows.groupBy("key").agg(F.max(F.struct("degree", "node", "signature")).alias("pivot"))
 
     def close(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, bits_between), F.lit(0), lambda total, x: total + x) <= SIGNATURE_BITS_APART
+        apart = lambda first, n: sum((bits_between(F.col(a)[i], F.col(b)[i]) for i in range(first, first + n)), F.lit(0))
+        last = SIGNATURE_WORDS + SHINGLE_WORDS
+        few = BITS_FOR_FEW_WORDS / F.greatest(F.least(F.col(a)[last], F.col(b)[last]), F.lit(1))
+        return (apart(0, SIGNATURE_WORDS) <= BITS_APART + few) & (apart(SIGNATURE_WORDS, SHINGLE_WORDS) <= most_grams_apart + few)
+
+    # a similarity of s is a cosine of 2s / (1 + s); three standard deviations of the bits are let through
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most_grams_apart = 64 * SHINGLE_WORDS * share + 3 * math.sqrt(64 * SHINGLE_WORDS * share * (1 - share))
 
     to_pivot = rows.join(pivots, "key").where((F.col("node") != F.col("pivot.node")) & close("signature", "pivot.signature"))
     links = similar_pairs(to_pivot.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), docs, id_col, text_col, shingle, similarity)
