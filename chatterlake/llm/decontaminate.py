@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterlake.llm.simhash import shingle_hashes
+from chatterlake.llm.simhash import SEED
 
 WORDS = re.compile(r"[^\W_]+")
 #: Shingles of the items that go to every task at once (8 bytes each, twice); more items are searched in blocks.
@@ -32,8 +32,11 @@ BLOCK_SHINGLES = 4_000_000
 
 
 def distinct_shingles(text: str | None, size: int) -> np.ndarray:
-    words = [w.encode() for w in WORDS.findall(text.lower())] if text else []
-    return np.unique(shingle_hashes(words, size)) if len(words) >= size else np.zeros(0, dtype="<u8")
+    from xxhash import xxh64_intdigest
+
+    words = WORDS.findall(text.lower()) if text else []
+    grams = map(" ".join, zip(*(words[i:] for i in range(size)), strict=False))  # none for fewer words
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), dtype="<u8"))
 
 
 @dataclass
@@ -74,6 +77,8 @@ class ItemIndex:
             if len(doc) < p.least:
                 continue
             sketch = doc[: np.searchsorted(doc, p.values[-1], side="right")]
+            if not (p.values[np.searchsorted(p.values, sketch)] == sketch).any():  # most documents share nothing
+                continue
             hit = np.isin(p.values, sketch)
             for i in np.unique(p.items[hit]):
                 shared = int(np.isin(self.shingles[i], doc, assume_unique=True).sum())
