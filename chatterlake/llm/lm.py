@@ -6,9 +6,10 @@ word's last bytes), so it has a say on rare words too. Its output is factored: a
 A rare word's probability is its shape's, given the state, times its share among the training words of that shape.
 
 Training is truncated backpropagation, state carried from window to window. In each round every task trains a copy of
-the model on its part of the training texts, and the copies are averaged by tokens. Each training text gives each
-round a stretch of ``stretch`` of its tokens, from a place picked by a hash of the text, so what is learned from grows
-with the corpus. Scoring runs whole texts, with the state carried to the end.
+the model on its part of the training texts, and the copies are averaged by tokens. Each training text is learned
+whole, from its start to its end token, in the round that a hash of it picks; so the rounds together take every token
+of every training text once. Given ``stretch``, each round takes that share of each text instead, from a place picked
+by a hash. Scoring runs whole texts, with the state carried to the end.
 
 The word table sent to tasks is bounded by ``HEAD`` words; counts of other words reach the texts by a shuffled join.
 
@@ -212,6 +213,7 @@ class Trainer:
         self.net, self.v = net, v
         self.squares = [np.full_like(a, 1e-2) for a in net.arrays()]
         self.tokens = 0
+        self.waiting: list[tuple[np.ndarray, int, np.ndarray]] = []  # text, place in it, state there
 
     def window(self, symbols: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
         """Learn from symbols [steps, lanes], preceded by ``before``; gives the state to go on from."""
@@ -248,11 +250,12 @@ class Trainer:
         self.tokens += symbols.size
         return h
 
-    def learn(self, texts: list[np.ndarray]) -> None:
+    def learn(self, texts: list[np.ndarray], last: bool = True) -> None:
         """Learn from texts of symbols, LANES side by side; texts in a batch are cut to whole windows of the shortest
-        and the rest of each goes on in later batches with the state it has reached."""
-        todo = [(t, 0, np.zeros(STATE, np.float32)) for t in texts if len(t)]
-        while todo:
+        and the rest of each goes on in later batches with the state it has reached. Unless these are the ``last``
+        texts, what doesn't fill the lanes waits for more."""
+        todo = self.waiting + [(t, 0, np.zeros(STATE, np.float32)) for t in texts if len(t)]
+        while todo if last else len(todo) >= LANES:
             todo.sort(key=lambda x: len(x[0]) - x[1], reverse=True)
             lanes, todo = todo[:LANES], todo[LANES:]
             steps = min(WINDOW, min(len(t) - at for t, at, _ in lanes))
@@ -260,6 +263,7 @@ class Trainer:
             before = np.array([t[at - 1] if at else self.v.end for t, at, _ in lanes])
             state = self.window(symbols, before, np.stack([h for _, _, h in lanes]))
             todo += [(t, at + steps, h) for (t, at, _), h in zip(lanes, state, strict=True) if at + steps < len(t)]
+        self.waiting = todo
 
 
 def score_texts(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
@@ -306,13 +310,15 @@ def symbols_of(v: Vocabulary, words: list[bytes], places: np.ndarray) -> np.ndar
     return out
 
 
-def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float) -> Network:
-    """The averaged network after ``rounds`` over all texts."""
+def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float | None) -> tuple[Network, int]:
+    """The averaged network after ``rounds`` that take each text whole once, or a stretch of each every time; and the
+    number of tokens it was shown."""
     spark = docs.sparkSession
     net = Network.start(v)
     rows = docs.select(F.col(text_col).alias("text"))
     rows = rows.coalesce(TASKS)
     vocabulary = spark.sparkContext.broadcast(v)
+    shown = 0
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(net)
 
@@ -322,12 +328,17 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
             for pdf in batches:
                 texts = []
                 for text in pdf["text"]:
+                    if stretch is None:
+                        if crc32(f"{text}".encode("utf-8", "replace")) % rounds == k:
+                            texts.append(symbols_of(words, *places_of(words, text)))
+                        continue
                     tokens = [*(text.encode("utf-8", "replace").lower().split() if text else []), END.encode()]
                     size = min(len(tokens), max(WINDOW, math.ceil(len(tokens) * stretch)))
                     at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(tokens) - size + 1)
                     part = tokens[at : at + size]
                     texts.append(symbols_of(words, part, np.fromiter(map(words.index.get, part, repeat(-1)), np.int64, size)))
-                trainer.learn(texts)
+                trainer.learn(texts, last=False)
+            trainer.learn([])
             if trainer.tokens:
                 yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat().astype("<f4").tobytes()]})
 
@@ -335,20 +346,20 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
         for r in rows.mapInPandas(run, "tokens long, weights binary").collect():  # TASKS rows at most
             total += np.frombuffer(r["weights"], "<f4").astype(float) * r["tokens"]
             tokens += r["tokens"]
-        if not tokens:
-            break
-        net = net.like(total / tokens)
-    return net
+        if tokens:
+            net = net.like(total / tokens)
+            shown += tokens
+    return net, shown
 
 
-def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stretch: float = 1 / 16) -> DataFrame:
+def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stretch: float | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns where ``held`` is false."""
     spark = docs.sparkSession
     training = docs.where(~held)
     counts = saved(word_counts(training, text_col), "word-counts")
     v = make_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(v)
-    network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch))
+    network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch)[0])
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """The ten operators against brute force and on edge cases: nulls, empty and long texts, ties, repeated rows, empty
 tables, extra columns with clashing names."""
 
+import inspect
 import itertools
 import math
 import random
@@ -345,6 +346,28 @@ def test_lm_edges(spark):
     assert {r.n_known for r in lm.text_scores(odd, F.lit(True)).collect()} == {0}
 
 
+def test_lm_production_setting_shows_every_token_once(spark):
+    rng = random.Random(13)
+    texts = [" ".join(sample_words(rng, n)) for n in (1, 31, 32, 33, 600, 5000)] + ["again"] * 3 + [None, ""]
+    df = docs_of(spark, texts)
+    v = lm.make_vocabulary(lm.word_counts(df, "text"))
+    assert v.tokens == sum(len((t or "").split()) + 1 for t in texts)
+    usual = inspect.signature(lm.text_scores).parameters
+    for rounds in (usual["rounds"].default, 5):
+        assert lm.train(df, v, "text", rounds, usual["stretch"].default)[1] == v.tokens
+
+
+def test_lm_texts_wait_for_full_lanes_and_are_learned_to_their_ends(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("\n", 3)], "word string, n long")
+    v = lm.make_vocabulary(counts)
+    trainer, symbols = lm.Trainer(lm.Network.start(v), v), np.zeros(100, np.int32)
+    trainer.learn([symbols] * (lm.LANES - 1), last=False)
+    assert trainer.tokens == 0
+    trainer.learn([symbols, symbols[:7]], last=False)
+    trainer.learn([])
+    assert trainer.tokens == 100 * lm.LANES + 7 and not trainer.waiting
+
+
 # --- simhash ---
 
 
