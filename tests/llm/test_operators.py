@@ -459,3 +459,18 @@ def test_near_copies(spark):
     out = simhash.without_near_copies(odd)
     assert out.columns == odd.columns and Counter(r.doc_id for r in out.collect()) == {None: 1, 1: 1, 4: 1, 5: 1}
     assert simhash.without_near_copies(odd.limit(0)).count() == 0
+
+
+def test_near_copies_cut_or_extended(spark):
+    """A passage cut off or put in changes many words at once; similarity of shingles is all that counts."""
+    rng = random.Random(14)
+    texts = []
+    for n in (60, 90, 130, 250, 600) * 6:
+        words = sample_words(rng, n, 3000)
+        at = rng.randrange(n)
+        texts += [" ".join(w) for w in (words, words[: math.ceil(0.84 * n)], words[:at] + [f"x{rng.random()}" for _ in range(n // 8)] + words[at:])]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    similar = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    linked = [(a, b) for g in range(0, len(texts), 3) for a, b in itertools.combinations(range(g, g + 3), 2) if similar(a, b)]
+    want = {i for i, root in enumerate(groups_by_hand(len(texts), linked)) if i == root}
+    assert {r.doc_id for r in simhash.without_near_copies(docs_of(spark, texts)).collect()} == want and len(want) < 50
