@@ -4,7 +4,7 @@ The standard library's parser streams events. Block elements cut the page into l
 number of tags around it, and the containers that it stands in. Lines inside elements that are never main text (menus,
 footers, forms, scripts, adverts, notices, reader comments) have no weight. The ratios of text to tags are smoothed
 over neighbouring lines, a threshold between two clusters parts content from the rest, and the content region is the
-innermost container that holds nearly all content. Its lines are the result, in page order.
+innermost container that holds all content, or the article or main around it. Its lines are the result, in page order.
 
 Defined results: null or empty html gives empty text; broken markup is read as far as it goes, with elements closed by
 their parents; character references are decoded; white space in a block becomes one space, a line break too. Equal rows
@@ -35,8 +35,8 @@ DROPPED_NAMES = frozenset(
 )
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 2.0
-#: Share of the content's weight that the content region must hold.
-REGION_SHARE = 0.9
+#: Elements whose content belongs together: the content region is not a part of one.
+WHOLES = frozenset(("article", "main"))
 
 
 class Lines(HTMLParser):
@@ -49,6 +49,7 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.numbers = 0
+        self.wholes: set[int] = set()  # containers that are an article or main
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -90,6 +91,8 @@ class Lines(HTMLParser):
         if tag in CONTAINERS:
             self.numbers += 1
             number = self.numbers
+            if tag in WHOLES:
+                self.wholes.add(number)
         self.open.append((tag, dropped, number))
 
     def close_open(self, names: set[str]) -> None:
@@ -155,13 +158,10 @@ def main_text(html: str | None) -> str:
     lengths = np.array([len(t) for t, _, _ in lines], dtype=float)
     ratios = smooth(lengths / np.maximum(1.0, [n for _, n, _ in lines]))
     content = ratios >= min(content_threshold(ratios), float(ratios.max()))
-    weight: dict[int, float] = {}
-    for (_, _, path), x, inside in zip(lines, lengths, content, strict=True):
-        if inside:
-            for n in path:
-                weight[n] = weight.get(n, 0.0) + x
-    total = lengths[content].sum()
-    region = max((n for n, x in weight.items() if x >= REGION_SHARE * total), default=0)  # the innermost opens last
+    paths = [path for (_, _, path), inside in zip(lines, content, strict=True) if inside]
+    shared = [n for n in paths[0] if all(n in path for path in paths)]  # the containers of all content lines
+    whole = [n for n in shared if n in parser.wholes]
+    region = whole[0] if whole else max(shared, default=0)  # the innermost opens last
     return "\n".join(t for t, _, path in lines if not region or region in path)
 
 

@@ -272,6 +272,19 @@ def test_main_text(spark):
     assert next(r.text for r in got if r.page_id == 3) == "\n".join(["a"] * 3000)
 
 
+def test_main_text_of_parts():
+    """A lead, a short section or a list in a container of its own belongs to the article as its largest part does."""
+    long = "".join(f"<p>{'words that fill a paragraph of some length ' * 6}{i}</p>" for i in range(12))
+    for kind in ("article", "main"):
+        page = f'<body><nav>menu</nav><{kind}><div class="lead"><h1>Head</h1><p>The lead.</p></div><section>{long}</section><section><ul><li>one<li>two</ul></section></{kind}><div>far away</div></body>'
+        got = html.main_text(page).split("\n")
+        assert got[:2] == ["Head", "The lead."] and got[-2:] == ["one", "two"] and len(got) == 16
+    # without such an element: all content lines, not most of them
+    page = f"<body>{'<p>x</p>' * 9}<div><div>{long * 2}</div><div><p>{'the last part has its own words ' * 12}</p></div></div></body>"
+    got = html.main_text(page).split("\n")
+    assert got[0].startswith("words") and got[-1].startswith("the last part") and len(got) == 25
+
+
 # --- licenses ---
 
 
