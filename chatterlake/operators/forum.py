@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions import text as tx
 from chatterlake.operators.signals import last_rows
+from chatterlake.sources import landed
 
 #: Authors who aren't people; limits of a discovery verdict.
 NOT_PEOPLE = ("", "[deleted]", "[unknown]", "automoderator")
@@ -77,15 +78,33 @@ def prompt_pack(picked: DataFrame, cap: int = 200) -> DataFrame:
     return block.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "\n").alias("prompt"))
 
 
-def thread_depths(comments: DataFrame, deepest: int = 12) -> DataFrame:
-    """(comment_id, depth) by joining replies to their parents level by level; deeper replies keep depth null."""
-    level = comments.where("parent_id is null").select("comment_id", F.lit(0).alias("depth"))
-    out = level
-    replies = comments.where("parent_id is not null").select("comment_id", "parent_id")
-    for _ in range(deepest):
-        level = replies.join(level.select(F.col("comment_id").alias("parent_id"), (F.col("depth") + 1).alias("depth")), "parent_id").select("comment_id", "depth")
-        out = out.unionByName(level)
-    return comments.select("comment_id").join(out, "comment_id", "left")
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    path = landed.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def thread_depths(comments: DataFrame) -> DataFrame:
+    """(comment_id, depth): 0 without a parent, else one more than the parent's, however deep; null where the way up
+    ends at an unknown comment or in a circle.
+
+    Pointers double: each round a comment's ancestor is replaced by that one's ancestor, so depth d takes log2(d)
+    rounds. Each round is written to the shared folder, so lineage stays short."""
+    rows = comments.select("comment_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("steps"))
+    done = _saved(rows.where("up is null"), "depths")
+    open_ = _saved(rows.where("up is not null").join(comments.select(F.col("comment_id").alias("up")).distinct(), "up", "left_semi").select("comment_id", "up", "steps"), "ways-up")
+    left = open_.count()
+    for _ in range(max(left, 1).bit_length() + 1):  # a way up has no more steps than there are replies
+        if not left:
+            break
+        ends = done.select(F.col("comment_id").alias("up"), F.col("steps").alias("more"), F.lit(None).cast(open_.schema["up"].dataType).alias("next"))
+        further = open_.select(F.col("comment_id").alias("up"), F.col("steps").alias("more"), F.col("up").alias("next"))
+        above = ends.unionByName(further).groupBy("up").agg(F.min(F.struct("next", "more")).alias("above"))
+        step = open_.join(above, "up").select("comment_id", F.col("above.next").alias("up"), (F.col("steps") + F.col("above.more")).alias("steps"))
+        step = _saved(step, "ways-up")
+        done, open_ = _saved(done.unionByName(step.where("up is null")), "depths"), step.where("up is not null")
+        left = open_.count()
+    return comments.select("comment_id").join(done.select("comment_id", F.col("steps").cast("int").alias("depth")), "comment_id", "left")
 
 
 def people(df: DataFrame) -> DataFrame:

@@ -156,3 +156,10 @@ def test_labels_and_deleted(spark):
     c = spark.createDataFrame([("[deleted]", "x"), ("fine", "AutoModerator"), ("ok", "me")], "body string, author string")
     assert landed.without_deleted(c).count() == 2 and forum.people(c).count() == 2
     assert spark.range(1).select(disclosures.party_letter(F.lit("democrat")), disclosures.party_letter(F.lit("green"))).first()[:] == ("D", "I")
+
+
+def test_thread_depths_of_long_threads(spark):
+    rows = [(i, i - 1 if i else None) for i in range(100)] + [(200, 13), (300, 999), (301, 300), (400, 401), (401, 400), (500, 500)]
+    got = {r.comment_id: r.depth for r in forum.thread_depths(spark.createDataFrame(rows, "comment_id long, parent_id long")).collect()}
+    assert got == {i: i for i in range(100)} | {200: 14, 300: None, 301: None, 400: None, 401: None, 500: None}
+    assert forum.thread_depths(spark.createDataFrame([], "comment_id long, parent_id long")).count() == 0
