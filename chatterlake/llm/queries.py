@@ -44,7 +44,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier in the corpus go; a document goes when none of its lines is left."""
-    out = lines.dedup_lines(_documents(docs)).where((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    out = lines.dedup_lines(_documents(docs), least_words=1).where((F.col("n_dropped") == 0) | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

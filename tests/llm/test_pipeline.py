@@ -48,5 +48,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert got.where("n_chars != length(text)").count() == 0
 
 
+def test_short_lines_count_too(spark, tmp_path):
+    rows = [(0, "Read more\nfirst own line\n\n-"), (1, "read  more\nsecond\n\n-"), (2, "second")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in got.items()} == {0: rows[0][1], 1: "second\n", 2: ""}  # blank lines have no words
+    assert [got[i].n_dropped for i in range(3)] == [0, 2, 1]
+    kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {0: rows[0][1], 1: "second\n"}
+
+
 def test_all_queries_are_named():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
