@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixture(table(spark, sf_dir, "documents"), mixing.Target(most_repeats=2.0))
-    return plan.select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "copies")
+    return plan.select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "copies", F.explode(mixing.copy_positions(F.col("copies"), F.col("cell"), F.col("rate"), 0)).alias("each")).select("doc_id", "source", "n_tokens", "weight", "copies", "each.copy", "each.position")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

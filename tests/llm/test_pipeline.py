@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from chatterlake.llm import mixing
 from chatterlake.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,5 +60,13 @@ def test_short_lines_count_too(spark, tmp_path):
     assert kept == {0: rows[0][1], 1: "second\n"}
 
 
+def test_mixing_query_gives_each_copy_its_place(spark, tmp_path):
+    planted(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r.doc_id, r.copy, r.position) for r in mixing.mixed(docs, mixing.Target(most_repeats=2.0)).collect())
+    got = QUERIES["op2_mixing"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.copy, r.position) for r in got) == want and len(want) > docs.count()
+
+
 def test_all_queries_are_named():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
