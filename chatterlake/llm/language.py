@@ -24,6 +24,8 @@ from chatterlake.llm.shared import fraction
 UNKNOWN = "und"
 BLOCK_BYTES = 2048
 LEVEL = 3
+#: Characters of the pieces of which dictionaries are sampled: most texts are one piece.
+SAMPLE_CHARS = 4096
 #: Texts of up to this many bytes are packed at a level that finds shorter matches.
 SHORT_BYTES = 400
 SHORT_LEVEL = 19
@@ -49,15 +51,19 @@ def plain(text: str) -> bytes:
 
 
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", budget_bytes: int = 160_000) -> LanguageModel:
-    """Dictionaries from labelled rows: for each language whole texts, picked by a hash of the text up to ``budget_bytes``.
+    """Dictionaries from labelled rows: for each language pieces of texts, picked by a hash of the piece up to ``budget_bytes``.
 
-    The sample is bounded: it takes about twice the budget a language to the driver. Copies count once, so that a
-    large group of them can't fill a dictionary.
+    The sample is bounded: it takes about twice the budget a language to the driver. Equal pieces count once, in the
+    rate and in the sample, so neither a large group of copies nor a long text can fill a dictionary or leave it empty.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")
     )
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).select("lang", (2.0 * budget_bytes / F.col("bytes")).alias("rate"))
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_CHARS).cast("int"))
+    pieces = F.transform(places, lambda i: F.substring(F.col("text"), i * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)))
+    rows = rows.select("lang", F.explode(pieces).alias("text"))
+    each = rows.select("lang", F.xxhash64("text").alias("key"), F.octet_length("text").alias("bytes")).distinct()
+    sizes = each.groupBy("lang").agg(F.sum("bytes").alias("bytes")).select("lang", (2.0 * budget_bytes / F.col("bytes")).alias("rate"))
     rates = {r["lang"]: min(1.0, r["rate"]) for r in sizes.collect()}
     if not rates:
         return LanguageModel((), ())

@@ -54,6 +54,18 @@ def test_language_learns_and_rejects(spark):
     assert language.keep_identified(df, model).count() == 60
 
 
+def test_language_fills_its_dictionary_beside_long_texts_and_copies(spark):
+    rng = random.Random(15)
+    make = lambda k, n: " ".join("".join(rng.choices(k, k=6)) for _ in range(n))
+    short = [make("abcdef", 140) for _ in range(200)]
+    texts = [make("abcdef", 300_000), *short, *[make("uvwxyz", 140)] * 3000, *(make("uvwxyz", 140) for _ in range(200))]
+    df = docs_of(spark, texts, {i: "aa" if i <= 200 else "bb" for i in range(len(texts))})
+    model = language.learn_languages(df, budget_bytes=50_000)
+    assert model.languages == ("aa", "bb")
+    assert all(len(c) == 50_000 for c in model.contents)
+    assert sum(t.encode()[:900] in model.contents[0] for t in short) <= 40  # the long text has its share
+
+
 def test_language_edges(spark):
     odd = odd_docs(spark)
     empty = language.learn_languages(odd.limit(0))
