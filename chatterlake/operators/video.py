@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterlake.functions.text import company_words
-
 #: Fixed values of the verdict and the score.
 LEAST_SECONDS, LEAST_SUBSCRIBERS, SHORT_TICKER = 120, 500, 3
 HYPE = "🚀🔥💎🌙💰"
 CAPS_SHARE, MOST_HYPE = 0.7, 1
+COMPANY_STOPWORDS = ("inc", "inc.", "corp", "corp.", "corporation", "co", "co.", "company", "ltd", "ltd.", "limited", "plc", "pbc", "llc", "lp", "sa", "nv", "ag", "holdings", "holding", "group", "technologies", "technology", "tech", "systems", "solutions", "industries", "international", "class")
 WEIGHTS = {"subscribers": 0.30, "views": 0.25, "engagement": 0.15, "depth": 0.15, "recency": 0.15}
 SUBSCRIBERS_FULL, VIEWS_FULL, ENGAGEMENT_FULL, DEPTH_FULL = 500_000, 100_000, 0.5, 1_200
 
@@ -23,10 +22,16 @@ def is_bait(title: Column, ticker: Column) -> Column:
     return ((F.size(words) >= 3) & (shouted >= CAPS_SHARE * F.size(words))) | (hype > MOST_HYPE)
 
 
+def distinctive_words(company: Column) -> Column:
+    """Words of four characters at least that tell a company."""
+    words = F.transform(F.split(company, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[.,]+|[.,]+$", "")))
+    return F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*COMPANY_STOPWORDS))
+
+
 def mentions_subject(title: Column, channel: Column, ticker: Column, company: Column) -> Column:
     """Short tickers must stand as a word, or a telling word of the company; without such words all pass."""
     text = F.concat_ws(" ", title, channel)
-    words = company_words(company, 4)
+    words = distinctive_words(company)
     has = F.array_contains(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.upper(ticker))
     told = F.arrays_overlap(words, F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)))
     return (F.length(ticker) > SHORT_TICKER) | has | (F.size(words) == 0) | told

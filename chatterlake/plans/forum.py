@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlake.functions import text as tx
-from chatterlake.operators import forum, merges
+from chatterlake.operators import communities, forum, merges
 from chatterlake.plans.registry import Tables, query, r6
 
 _WORDS = [("THE", "THE"), ("OF", "OF"), ("CI", "CI"), ("DE", "DE"), ("rights reserved", "RR"), ("mit license", "MIT"), ("is the", "IST")]
 _PAT = [(k, t, tx.keyword_pattern(k)) for k, t in _WORDS]
 _KW = "kw(keyword, ticker, pattern) AS (VALUES " + ", ".join(f"('{k}', '{t}', '{p}')" for k, t, p in _PAT) + ")"
 _HITS = f"{_KW}, hits AS (SELECT post_id, keyword, ticker FROM posts JOIN kw ON regexp_matches(concat_ws(' ', title, body), pattern))"
-_NOISY = "length(ticker) <= 2 OR lower(ticker) IN (" + ", ".join(f"'{w}'" for w in tx.EVERYDAY_TICKERS) + ")"
-_GATED = f"{_HITS}, gated AS (SELECT h.* FROM hits h JOIN posts p USING (post_id) WHERE NOT ({_NOISY}) OR regexp_matches(concat_ws(' ', title, body), '\\$' || ticker || '([^A-Za-z0-9]|$)'))"
+#: The twin's own list of tickers that are everyday words.
+_EVERYDAY = "path poet coin hut net app cake eat open run lite car all key gold cash play love fire real air well fun live nice best free step form site arm on it up so by we me go big new"
+_NOISY = "length(h.ticker) <= 2 OR list_contains(string_split('" + _EVERYDAY + "', ' '), lower(h.ticker))"
+_SHORT = "short(ticker, short) AS (VALUES ('RR', 'rights reserved'), ('MIT', 'mit license'), ('IST', 'is'))"
+_GATED = f"""{_HITS}, {_SHORT}, judged AS (SELECT h.*, NOT ({_NOISY}) OR regexp_matches(concat_ws(chr(10), title, body), '\\$' || h.ticker || '([^A-Za-z0-9]|$)') OR coalesce(keyword = short, false) AS ok FROM hits h JOIN posts p USING (post_id) LEFT JOIN short s ON h.ticker = s.ticker),
+ gated AS (SELECT post_id, keyword, ticker FROM judged JOIN (SELECT DISTINCT post_id, ticker FROM judged WHERE ok) USING (post_id, ticker))"""
+_COMPANIES = [("RR", "The rights reserved Holding Co."), ("MIT", "mit license, Inc."), ("IST", "is the"), ("CI", "CI"), ("THE", None)]
 
 
 def _keywords(t: Tables):
@@ -29,9 +34,13 @@ def keyword_matches(t: Tables):
     return _hits(t)
 
 
+def _gated(t: Tables):
+    return communities.noisy_gate(_hits(t), t.posts, t.spark.createDataFrame(_COMPANIES, "ticker string, company string"))
+
+
 @query("P11_noisy_gate", f"WITH {_GATED} SELECT * FROM gated")
 def noisy(t: Tables):
-    return forum.noisy_gate(_hits(t), t.posts)
+    return _gated(t)
 
 
 _LINKED = f"{_HITS}, linked AS (SELECT DISTINCT h.ticker, p.* FROM hits h JOIN posts p USING (post_id))"
@@ -106,7 +115,7 @@ def prompt_pack(t: Tables):
     return forum.prompt_pack(_picked(t)).select("ticker", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.length("prompt").cast("long").alias("n"))
 
 
-@query("J20_threads", "SELECT comment_id, CASE WHEN turn <= 12 THEN turn END AS depth FROM comments")
+@query("J20_threads", "SELECT comment_id, turn AS depth FROM comments")
 def threads(t: Tables):
     return forum.thread_depths(t.comments).withColumn("depth", F.col("depth").cast("long"))
 
@@ -153,78 +162,7 @@ def activity(t: Tables):
 @query("E05_forum_ingest", f"""WITH {_GATED}, l AS (SELECT post_id, ticker, 'search' AS via, min(keyword) AS matched FROM gated GROUP BY post_id, ticker UNION ALL SELECT post_id, 'S' || (post_id % 7), 'subreddit', subreddit FROM posts WHERE subreddit IN ('src1', 'src2')),
  k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY post_id, ticker ORDER BY via <> 'subreddit', via, matched) = 1) SELECT ticker, via, count(*) AS posts, CAST(sum(score) AS BIGINT) AS score FROM k JOIN posts USING (post_id) GROUP BY ALL""")
 def ingest(t: Tables):
-    search = forum.noisy_gate(_hits(t), t.posts).groupBy("post_id", "ticker").agg(F.min("keyword").alias("matched")).select("post_id", "ticker", F.lit("search").alias("via"), "matched")
+    search = _gated(t).groupBy("post_id", "ticker").agg(F.min("keyword").alias("matched")).select("post_id", "ticker", F.lit("search").alias("via"), "matched")
     feed = t.posts.where(F.col("subreddit").isin("src1", "src2")).select("post_id", F.concat(F.lit("S"), (F.col("post_id") % 7).cast("string")).alias("ticker"), F.lit("subreddit").alias("via"), F.col("subreddit").alias("matched"))
     kept = merges.link_precedence(search.unionByName(feed))
     return kept.join(t.posts, "post_id").groupBy("ticker", "via").agg(F.count("*").alias("posts"), F.sum("score").alias("score"))
-
-
-# --- communities: names and titles built from parts, so that some are about a stock ---
-
-_COMM = """comm AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN w1 || 'stock' WHEN 1 THEN w1 || w2 WHEN 2 THEN 'my_' || w1 WHEN 3 THEN w1 WHEN 4 THEN 'Stock' || upper(substr(w1, 1, 1)) || substr(w1, 2) ELSE w2 || 'investors' END AS name,
- CASE p_partkey % 4 WHEN 0 THEN p_name || ' stock talk' WHEN 1 THEN w1 || ' ' || p_brand ELSE 'all about ' || p_type END AS title FROM (SELECT *, split_part(p_name, ' ', 1) AS w1, coalesce(nullif(split_part(p_name, ' ', 2), ''), 'x') AS w2 FROM part)),
- stocks AS (SELECT upper(split_part(p_name, ' ', 1)) AS ticker, min(p_name) AS company FROM part GROUP BY 1)"""
-
-
-def _communities(t: Tables):
-    w1, w2 = F.split_part("p_name", F.lit(" "), F.lit(1)), F.coalesce(F.nullif(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("")), F.lit("x"))
-    p = t.read("part").select("*", w1.alias("w1"), w2.alias("w2"))
-    k = F.col("p_partkey") % 6
-    name = F.when(k == 0, F.concat("w1", F.lit("stock"))).when(k == 1, F.concat("w1", "w2")).when(k == 2, F.concat(F.lit("my_"), "w1")).when(k == 3, F.col("w1"))
-    name = name.when(k == 4, F.concat(F.lit("Stock"), F.upper(F.substring("w1", 1, 1)), F.expr("substr(w1, 2)"))).otherwise(F.concat("w2", F.lit("investors")))
-    m = F.col("p_partkey") % 4
-    title = F.when(m == 0, F.concat("p_name", F.lit(" stock talk"))).when(m == 1, F.concat_ws(" ", "w1", "p_brand")).otherwise(F.concat(F.lit("all about "), "p_type"))
-    return p.select(name.alias("name"), title.alias("title")).distinct(), p.groupBy(F.upper("w1").alias("ticker")).agg(F.min("p_name").alias("company"))
-
-
-def _list(words: tuple[str, ...]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-def _toks(x: str) -> str:
-    return f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
-
-
-def _about(base: str, suffix: str) -> str:
-    return f"(length({base}) > 0 AND (nm = {base} OR ({suffix} AND starts_with(nm, {base}) AND list_contains({_list(tx.NAME_SUFFIXES)}, substr(nm, length({base}) + 1)))))"
-
-
-_ATTR = f"""{_COMM}, pr AS (SELECT name, title, ticker, company, lower(ticker) AS tk, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS nm, {_toks("name || ' ' || title")} AS hay, lower(name || ' ' || title) AS raw,
-  list_filter(list_transform(string_split(replace(company, ',', ' '), ' '), lambda w: lower(trim(w, '.,'))), lambda w: length(w) >= 3 AND NOT list_contains({_list(tx.LEGAL_WORDS)}, w)) AS ws FROM comm, stocks),
- pf AS (SELECT *, (list_has_any(hay, {_list(tx.FINANCE_WORDS)}) OR contains(raw, '$' || tk)) AS fin, array_to_string(ws, '') AS joined FROM pr),
- sc AS (SELECT name, title, ticker, least(1.0, CASE WHEN CASE WHEN list_contains({_list(tx.EVERYDAY_TICKERS)}, tk) THEN ({_about('tk', 'length(tk) >= 3')} OR list_contains(hay, tk)) AND fin ELSE {_about('tk', 'length(tk) >= 3')} OR (list_contains(hay, tk) AND fin) END THEN 0.6 ELSE 0 END
-  + CASE WHEN {_about('joined', 'true')} OR (length(joined) > 0 AND list_has_all(hay, ws) AND fin) THEN 0.6 ELSE 0 END)::DOUBLE AS relevance FROM pf),
- best AS (SELECT * FROM (SELECT *, max(relevance) OVER (PARTITION BY name, title) AS m FROM sc WHERE relevance >= 0.6) WHERE relevance = m), attr AS (SELECT name, title, min(ticker) AS ticker, relevance FROM best GROUP BY name, title, relevance HAVING count(*) = 1)"""
-
-
-def _attributed(t: Tables):
-    return forum.attribute(*_communities(t))
-
-
-@query("J12_F09_attribution", f"WITH {_ATTR.replace('PARTITION BY name, title', 'PARTITION BY name')}, one AS (SELECT name, relevance, min(ticker) AS ticker FROM (SELECT DISTINCT name, ticker, relevance, title FROM best) GROUP BY name, relevance HAVING count(*) = 1) SELECT name, ticker, relevance FROM one")
-def attribution(t: Tables):
-    return _attributed(t)
-
-
-@query("F12_E07_T10_catalog", f"""WITH {_COMM}, st AS (SELECT *, list_distinct(regexp_extract_all(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')) AS n, {_toks('title')} AS x FROM comm)
- SELECT name, title, CASE WHEN list_has_any(n, {_list(tx.STRONG_FINANCE)}) THEN 'name-strong' WHEN list_has_any(n, {_list(tx.WEAK_FINANCE)}) AND (list_has_any(x, {_list(tx.STRONG_FINANCE)}) OR list_has_any(x, {_list(tx.FINANCE_WORDS)})) THEN 'name-weak+context'
- WHEN len(list_intersect(x, {_list(tx.FINANCE_WORDS)})) >= 2 AND list_has_any(x, {_list(tx.STRONG_FINANCE)}) THEN 'text' ELSE 'no' END AS market FROM st""")
-def catalog(t: Tables):
-    comm, _ = _communities(t)
-    return comm.select("name", "title", tx.market_class(F.col("name"), F.col("title"), F.lit(False)).alias("market"))
-
-
-@query("F11_T09_E08_match_rank", """WITH c AS (SELECT ticker, 'c' || date || '_' || subreddit AS name, mention_count * 7 AS subs, mention_count % 60 AS posts, CASE ticker % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS rel FROM mentions),
- s AS (SELECT *, round(rel * (log10(subs + 1) * 10 + least(posts, 50)), 2) AS score, rel >= 0.6 AND (subs >= 50 OR (posts >= 5 AND subs >= 5)) AS selected FROM c) SELECT ticker, name, score, selected, row_number() OVER (PARTITION BY ticker ORDER BY selected DESC, score DESC, name) AS rank FROM s""")
-def match_rank(t: Tables):
-    c = t.mentions.select("ticker", F.concat(F.lit("c"), F.col("date").cast("string"), F.lit("_"), "subreddit").alias("name"), (F.col("mention_count") * 7).alias("subs"), (F.col("mention_count") % 60).alias("posts"), F.when(F.col("ticker") % 3 == 0, 0.6).when(F.col("ticker") % 3 == 1, 1.0).otherwise(0.4).alias("rel"))
-    selected = (F.col("rel") >= 0.6) & ((F.col("subs") >= 50) | ((F.col("posts") >= 5) & (F.col("subs") >= 5)))
-    scored = c.select("ticker", "name", forum.community_score(F.col("subs"), F.col("posts"), F.col("rel")).alias("score"), selected.alias("selected"))
-    return forum.match_rank(scored)
-
-
-@query("F05_F06_F08_names", f"""SELECT p_partkey, array_to_string(ws, ' ') AS words, array_to_string(list_sort(list_filter(list_distinct([lower(p_brand), ws[1], array_to_string(ws, '')]), lambda s: length(s) BETWEEN 1 AND 21)), '|') AS stems FROM (SELECT p_partkey, replace(p_brand, '#', '') AS p_brand,
- list_filter(list_transform(string_split(p_name, ' '), lambda w: lower(w)), lambda w: length(w) >= 3 AND NOT list_contains({_list(tx.LEGAL_WORDS)}, w)) AS ws FROM part)""")
-def names(t: Tables):
-    stems = F.array_join(F.array_sort(tx.prefix_stems(F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_name"))), "|")
-    return t.read("part").select("p_partkey", F.array_join(tx.company_words(F.col("p_name")), " ").alias("words"), stems.alias("stems"))

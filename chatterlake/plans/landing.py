@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlake.functions import labels
+from chatterlake.functions import names
 from chatterlake.functions import text as tx
 from chatterlake.operators import disclosures
 from chatterlake.plans.registry import Tables, query, r6
@@ -130,7 +131,7 @@ def scalars(t: Tables):
     iso = F.format_string("PT%dH%dM%dS", F.floor(e / 3600) % 24, F.floor(e / 60) % 60, e % 60)
     sub = F.when(e % 4 == 0, F.concat(F.lit("https://forum.example/r/sub_"), u, F.lit("/new"))).when(e % 4 == 1, F.lit("r/x")).otherwise("has space")
     camel = F.concat(F.col("event_type"), F.lit("Talk "), u)
-    return t.read("events").select("event_id", tx.iso_duration(iso).cast("long").alias("seconds"), tx.clean_handle(F.concat(F.lit(" @@U"), u, F.lit(" "))).alias("handle"), tx.clean_subreddit(sub).alias("subreddit"), tx.is_ticker_shape(F.col("event_type")).alias("ticker_shape"), F.array_join(F.array_sort(tx.split_tokens(camel)), " ").alias("parts"))
+    return t.read("events").select("event_id", tx.iso_duration(iso).cast("long").alias("seconds"), tx.clean_handle(F.concat(F.lit(" @@U"), u, F.lit(" "))).alias("handle"), tx.clean_subreddit(sub).alias("subreddit"), tx.is_ticker_shape(F.col("event_type")).alias("ticker_shape"), F.array_join(F.array_sort(F.array_distinct(names.humps(camel))), " ").alias("parts"))
 
 
 @query("F22_earnings_time", "SELECT class, count(*) AS n FROM (SELECT CASE WHEN m < 570 THEN 'BMO' WHEN m >= 960 THEN 'AMC' END AS class FROM (SELECT hour(l) * 60 + minute(l) AS m FROM (SELECT ts - INTERVAL 5 HOUR AS l FROM events))) GROUP BY class")

@@ -5,9 +5,9 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chatterlake.functions import labels, money
+from chatterlake.functions import labels, money, names
 from chatterlake.functions import text as tx
-from chatterlake.operators import claims, disclosures, forum, ledger, macro, merges, rollups, signals, video
+from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, signals, video
 from chatterlake.sources import landed
 
 
@@ -123,14 +123,14 @@ def test_amount_ranges(spark):
 def test_names_are_never_matched_in_part(spark):
     rows = [("playstation", "games", "PL", "Planet Labs"), ("RKLB", "Rocket Lab stock", "RKLB", "Rocket Lab Inc"), ("cake", "baking", "CAKE", None), ("pl", "", "PL", None)]
     df = spark.createDataFrame(rows, "name string, title string, ticker string, company string")
-    got = [r[0] for r in df.select(tx.mention_relevance(F.col("name"), F.col("title"), F.col("ticker"), F.col("company"))).collect()]
+    got = [r[0] for r in df.select(names.attribution_relevance(F.col("name"), F.col("title"), F.col("ticker"), F.col("company"))).collect()]
     assert got == [0.0, 1.0, 0.0, 0.6]
 
 
 def test_a_tie_is_not_attributed(spark):
-    comm = spark.createDataFrame([("rocketstock", "x"), ("abc", "y")], "name string, title string")
+    comm = spark.createDataFrame([("rocketstock", "x", 9), ("abc", "y", 9)], "name string, text string, subscribers long")
     stocks = spark.createDataFrame([("ABC", "Other Name"), ("RKA", "Rocket"), ("RKB", "Rocket")], "ticker string, company string")
-    assert [(r.name, r.ticker) for r in forum.attribute(comm, stocks).collect()] == [("abc", "ABC")]
+    assert [(r.name, r.ticker) for r in communities.attributed(comm, stocks).collect()] == [("abc", "ABC")]
 
 
 def test_claims_ends_of_similarity(spark):
