@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.operators.signals import latest
+from chatterlake.sources import landed
 
 
 def newest(df: DataFrame, col: str = "date") -> DataFrame:
@@ -17,10 +18,10 @@ def with_as_of(df: DataFrame, as_of: DataFrame) -> DataFrame:
     return df.join(F.broadcast(as_of), F.lit(True))  # one row
 
 
-def wide_matrix(long: DataFrame, names: list[str]) -> DataFrame:
-    """Each ticker's signals at its latest date over all signals; a signal missing that day is null."""
-    last = long.groupBy("ticker").agg(F.max("date").alias("date"))
-    return long.join(last, ["ticker", "date"]).groupBy("ticker", "date").pivot("signal_name", names).agg(F.first("value"))
+def wide_matrix(signals: DataFrame, names: list[str]) -> DataFrame:
+    """Each ticker's signals at its latest date with any signal; a signal missing that day is null."""
+    some = F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in names), F.lit(False))
+    return latest(signals.where(some).select("ticker", "date", *names), ["ticker"])
 
 
 def ticker_board(universe: DataFrame, wide: DataFrame, bars: DataFrame) -> DataFrame:
@@ -34,14 +35,18 @@ def ticker_screen(universe: DataFrame, wide: DataFrame, sectors: list[str], spec
     """Tickers in any of the sectors, speculative in any of theirs or not, by volume ratio, missing last."""
     marks = universe.groupBy("ticker").agg(F.bool_or(F.col("sector").isin(sectors)).alias("chosen"), F.bool_or("speculative").alias("spec"))
     rows = wide.join(marks.where(F.col("chosen") & (F.col("spec") == speculative)), "ticker", "left_semi").select("ticker", F.round("volume_ratio", 6).alias("volume_ratio"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("volume_ratio"), "ticker")))
+    return places(rows, [F.desc_nulls_last("volume_ratio"), F.col("ticker")])
 
 
-def sector_signal_means(long: DataFrame, universe: DataFrame, names: list[str]) -> DataFrame:
+def own_latest(name: str) -> Column:
+    """A signal's value at the latest date that has one."""
+    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("date")))
+
+
+def sector_signal_means(signals: DataFrame, universe: DataFrame, names: list[str]) -> DataFrame:
     """Means over members of each signal's own latest row; members without it are skipped."""
-    last = latest(long.where(F.col("signal_name").isin(names)), ["ticker", "signal_name"])
-    joined = universe.join(last, "ticker", "left")
-    return joined.groupBy("sector").agg(*(F.avg(F.when(F.col("signal_name") == n, F.col("value"))).alias(n) for n in names))
+    last = signals.groupBy("ticker").agg(*(own_latest(n).alias(n) for n in names))
+    return universe.join(last, "ticker", "left").groupBy("sector").agg(*(F.avg(n).alias(n) for n in names))
 
 
 def news_heat(news: DataFrame, universe: DataFrame) -> DataFrame:
@@ -85,19 +90,20 @@ def as_of(rows: DataFrame, keys: list[str], as_of_row: DataFrame, days_back: int
     return before.groupBy(keys).agg(F.max_by(F.struct("value"), "date")["value"].alias("value"))
 
 
-def volatility_change(long: DataFrame, universe: DataFrame, as_of_row: DataFrame) -> DataFrame:
-    """Mean range now less mean range 30 days ago, over tickers that have both."""
-    atr = with_as_of(long.where("signal_name = 'atr_pct'"), as_of_row).where("date <= as_of")
-    old = F.col("date") <= F.date_sub("as_of", 30)
-    both = atr.groupBy("ticker").agg(F.max_by("value", "date").alias("now"), F.max_by(F.when(old, F.col("value")), F.when(old, F.col("date"))).alias("old"))
-    both = both.where("now is not null and old is not null")
-    return universe.join(both, "ticker").groupBy("sector").agg((F.avg("now") - F.avg("old")).alias("volatility_change"))
+def sector_signals(signals: DataFrame, universe: DataFrame, names: list[str], as_of_row: DataFrame) -> DataFrame:
+    """Means of the members' latest signals, and mean range now less mean range 30 days ago over tickers that have both:
+    one pass over the signals for all of it."""
+    s = with_as_of(signals, as_of_row)
+    value, date = F.col("atr_pct"), F.when(F.col("atr_pct").isNotNull() & (F.col("date") <= F.col("as_of")), F.col("date"))
+    per = s.groupBy("ticker").agg(*(own_latest(n).alias(n) for n in names), F.max_by(value, date).alias("now"), F.max_by(value, F.when(date <= F.date_sub("as_of", 30), date)).alias("old"))
+    both = F.col("now").isNotNull() & F.col("old").isNotNull()
+    change = F.avg(F.when(both, F.col("now"))) - F.avg(F.when(both, F.col("old")))
+    return universe.join(per, "ticker", "left").groupBy("sector").agg(F.count_distinct("ticker").alias("constituents"), *(F.avg(n).alias(n) for n in names), change.alias("volatility_change"))
 
 
-def sector_heat(long: DataFrame, universe: DataFrame, news: DataFrame, deals: DataFrame, flows: DataFrame, etf_map: DataFrame, as_of_row: DataFrame) -> DataFrame:
-    out = universe.groupBy("sector").agg(F.count_distinct("ticker").alias("constituents"))
-    parts = (sector_signal_means(long, universe, ["return_1m", "above_sma50"]), news_heat(news, universe), sector_deals(deals), sector_flow_ratio(flows, etf_map), volatility_change(long, universe, as_of_row))
-    for part in parts:
+def sector_heat(signals: DataFrame, universe: DataFrame, news: DataFrame, deals: DataFrame, flows: DataFrame, etf_map: DataFrame, as_of_row: DataFrame) -> DataFrame:
+    out = sector_signals(signals, universe, ["return_1m", "above_sma50"], as_of_row)
+    for part in (news_heat(news, universe), sector_deals(deals), sector_flow_ratio(flows, etf_map)):
         out = out.join(part, "sector", "left")
     return out.fillna(0, ["deal_count"])
 
@@ -115,6 +121,26 @@ def terciles(df: DataFrame, key: str, columns: dict[str, bool]) -> DataFrame:
     return j.select(key, *(classed(c, low) for c, low in columns.items()))
 
 
+def places(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place in an order over all rows. The sort deals rows out by ranges; a place is the number of rows
+    in the ranges before and the place within the range, so no task has all rows."""
+    spark = rows.sparkSession
+    path = landed.scratch(spark, "ranges")
+    rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("size"), F.min("__n").alias("first"))  # a row a partition
+    starts = sizes.select("__part", "first", (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("before"))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("before") + F.col("__n") - F.col("first") + 1).cast("int")).select(*rows.columns, name)
+
+
+def ranked_within(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place within its key. Keys and order are sorted together by ranges, so a hot key is spread; the
+    key's first place is taken off."""
+    all_places = places(rows, [*map(F.col, keys), *order], "__place")
+    firsts = all_places.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return all_places.join(firsts, keys).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+
+
 def sector_card(universe: DataFrame, wide: DataFrame) -> DataFrame:
     j = universe.join(wide, "ticker", "left")
     return j.groupBy("sector").agg(F.count("*").alias("members"), F.avg("return_5d").alias("return_5d"), F.avg(F.when(F.col("near_breakout") > 0, 1.0).otherwise(0.0)).alias("near_breakout"))
@@ -123,7 +149,7 @@ def sector_card(universe: DataFrame, wide: DataFrame) -> DataFrame:
 def constituents(universe: DataFrame, wide: DataFrame, news: DataFrame) -> DataFrame:
     recent = with_as_of(news, newest(news)).where(F.col("date") >= F.date_sub("as_of", 7)).groupBy("ticker").agg(F.count("*").alias("news_7d"))
     j = universe.join(wide, "ticker", "left").join(recent, "ticker", "left").withColumn("return_1m", F.round("return_1m", 6)).fillna(0, ["news_7d"])
-    return j.withColumn("rank", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc_nulls_last("return_1m"), "ticker")))
+    return ranked_within(j, ["sector"], [F.desc_nulls_last("return_1m"), F.col("ticker")])
 
 
 def priority_list(universe: DataFrame, mentions: DataFrame, most: int) -> DataFrame:

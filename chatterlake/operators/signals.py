@@ -50,7 +50,7 @@ def simple_rsi(change: str, n: int = 14) -> Column:
 
 
 def price_signals(bars: DataFrame) -> DataFrame:
-    """(ticker, date, signals) for all bars (ticker, date, high, low, close, volume)."""
+    """(ticker, date, close, signals, return_ytd) for all bars (ticker, date, high, low, close, volume)."""
     change = F.col("close") - F.lag("close").over(by_ticker())
     volume_change = (F.col("volume") - F.lag("volume").over(by_ticker())).cast("double")
     last = F.lag("close").over(by_ticker())
@@ -66,7 +66,7 @@ def price_signals(bars: DataFrame) -> DataFrame:
         "above_sma50": F.when(sma50.isNotNull(), (F.col("close") > sma50).cast("double")),
     })
     b = b.withColumns({"near_breakout": (F.col("dist_high") > -0.02).cast("double"), "near_breakdown": (F.col("dist_low") < 0.02).cast("double")})
-    return b.select("ticker", "date", "close", *SIGNALS)
+    return b.select("ticker", "date", "close", *SIGNALS, _return_ytd().alias("return_ytd"))
 
 
 SIGNALS = (
@@ -74,12 +74,18 @@ SIGNALS = (
 )
 
 
+def _return_ytd() -> Column:
+    """Against the first bar of the year, in the same order of rows as all other signals; null for a ticker without a bar
+    in an earlier year."""
+    so_far = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.year(F.lag("date").over(by_ticker())) < F.year("date"), F.lit(True))
+    first = F.last(F.when(opens, F.col("close")), ignorenulls=True).over(so_far)
+    started = F.first("date").over(so_far) < F.trunc("date", "year")
+    return F.when(started, (F.col("close") - first) / F.nullif(first, F.lit(0.0)))
+
+
 def ytd_return(bars: DataFrame) -> DataFrame:
-    """Against the first bar of the year; null for a ticker without a bar in an earlier year."""
-    year = Window.partitionBy("ticker", F.year("date")).orderBy("date")
-    first = F.first("close").over(year)
-    started = F.min("date").over(Window.partitionBy("ticker")) < F.trunc("date", "year")
-    return bars.select("ticker", "date", F.when(started, (F.col("close") - first) / F.nullif(first, F.lit(0.0))).alias("return_ytd"))
+    return bars.select("ticker", "date", _return_ytd().alias("return_ytd"))
 
 
 def mention_velocity(mentions: DataFrame) -> DataFrame:
@@ -121,8 +127,7 @@ def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def long_signals(bars: DataFrame) -> DataFrame:
     """(ticker, date, signal_name, value): every signal that has a value."""
-    both = price_signals(bars).join(ytd_return(bars), ["ticker", "date"])
-    return both.unpivot(["ticker", "date"], [*SIGNALS, "return_ytd"], "signal_name", "value").where("value is not null")
+    return price_signals(bars).drop("close").unpivot(["ticker", "date"], [*SIGNALS, "return_ytd"], "signal_name", "value").where("value is not null")
 
 
 def latest(df: DataFrame, keys: list[str], order: str = "date") -> DataFrame:

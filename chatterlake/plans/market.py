@@ -102,7 +102,7 @@ _WIDE = f"""{LONG_SQL}, wide AS (SELECT l.ticker, l.date, {", ".join(f"max(CASE
 
 @query("A08_wide_matrix", f"WITH {_WIDE} SELECT ticker, date, {_r6([*_S, 'return_ytd'])} FROM wide")
 def wide(t: Tables):
-    return rollups.wide_matrix(signals.long_signals(t.bars), [*_S, "return_ytd"]).select("ticker", "date", *(r6(c) for c in [*_S, "return_ytd"]))
+    return rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"]).select("ticker", "date", *(r6(c) for c in [*_S, "return_ytd"]))
 
 
 @query("J01_ticker_board", f"""WITH {_WIDE}, sec AS (SELECT ticker, string_agg(sector, ', ' ORDER BY sector) AS sectors, bool_or(speculative) AS speculative FROM universe GROUP BY ticker),
@@ -110,21 +110,21 @@ def wide(t: Tables):
  SELECT s.ticker, s.sectors, s.speculative, round(px.close, 6) AS close, round(w.return_1m, 6) AS return_1m, round(w.rsi, 6) AS rsi, round(w.volume_ratio, 6) AS volume_ratio,
  CASE WHEN w.near_breakout = 1 THEN 'breakout' WHEN w.near_breakdown = 1 THEN 'breakdown' ELSE '' END AS flags FROM sec s LEFT JOIN wide w USING (ticker) LEFT JOIN px USING (ticker)""")
 def board(t: Tables):
-    b = rollups.ticker_board(t.universe, rollups.wide_matrix(signals.long_signals(t.bars), _S), t.bars)
+    b = rollups.ticker_board(t.universe, rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"]), t.bars)
     return b.select("ticker", "sectors", "speculative", r6("close"), r6("return_1m"), r6("rsi"), r6("volume_ratio"), "flags")
 
 
 @query("P09_ticker_screen", f"""WITH {_WIDE} SELECT w.ticker, round(w.volume_ratio, 6) AS volume_ratio, row_number() OVER (ORDER BY round(volume_ratio, 6) DESC NULLS LAST, w.ticker) AS rank FROM wide w
  WHERE EXISTS (SELECT 1 FROM universe u WHERE u.ticker = w.ticker AND u.sector IN ('ASIA', 'EUROPE')) AND NOT EXISTS (SELECT 1 FROM universe u WHERE u.ticker = w.ticker AND u.speculative)""")
 def screen(t: Tables):
-    return rollups.ticker_screen(t.universe, rollups.wide_matrix(signals.long_signals(t.bars), _S), ["ASIA", "EUROPE"], speculative=False)
+    return rollups.ticker_screen(t.universe, rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"]), ["ASIA", "EUROPE"], speculative=False)
 
 
 @query("A01_sector_means", f"""WITH {LONG_SQL}, lat AS (SELECT ticker, signal_name, arg_max(value, date) AS value FROM longsig GROUP BY ALL)
  SELECT sector, round(avg(CASE WHEN signal_name = 'return_1m' THEN value END), 6) AS return_1m, round(avg(CASE WHEN signal_name = 'rsi' THEN value END), 6) AS rsi, round(avg(CASE WHEN signal_name = 'above_sma50' THEN value END), 6) AS above_sma50
  FROM universe LEFT JOIN lat USING (ticker) GROUP BY sector""")
 def sector_means(t: Tables):
-    m = rollups.sector_signal_means(signals.long_signals(t.bars), t.universe, ["return_1m", "rsi", "above_sma50"])
+    m = rollups.sector_signal_means(signals.price_signals(t.bars), t.universe, ["return_1m", "rsi", "above_sma50"])
     return m.select("sector", r6("return_1m"), r6("rsi"), r6("above_sma50"))
 
 
@@ -174,7 +174,7 @@ def as_of_signal(t: Tables):
 
 @query("A05_volatility_change", f"WITH {_ASOF} SELECT sector, round(avg(now_value) - avg(old_value), 6) AS volatility_change FROM universe JOIN a USING (ticker) JOIN b USING (ticker) GROUP BY sector")
 def volatility_change(t: Tables):
-    return rollups.volatility_change(signals.long_signals(t.bars), t.universe, rollups.newest(t.bars)).select("sector", r6("volatility_change"))
+    return rollups.sector_signals(signals.price_signals(t.bars), t.universe, [], rollups.newest(t.bars)).select("sector", r6("volatility_change"))
 
 
 _HEAT = f"""{_ASOF}, {RATIO_SQL}, lat AS (SELECT ticker, signal_name, arg_max(value, date) AS value FROM longsig GROUP BY ALL),
@@ -187,7 +187,7 @@ _HEAT = f"""{_ASOF}, {RATIO_SQL}, lat AS (SELECT ticker, signal_name, arg_max(va
 
 
 def _heat(t: Tables):
-    return rollups.sector_heat(signals.long_signals(t.bars), t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, rollups.newest(t.bars))
+    return rollups.sector_heat(signals.price_signals(t.bars), t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, rollups.newest(t.bars))
 
 
 @query("A06_sector_heat", f"""WITH {_HEAT} SELECT sector, constituents, round(return_1m, 6) AS return_1m, round(above_sma50, 6) AS above_sma50, round(news_heat, 6) AS news_heat, round(deal_sum, 2) AS deal_sum, deal_count, days_since, round(flow_ratio, 6) AS flow_ratio, round(volatility_change, 6) AS volatility_change FROM heat""")
@@ -212,14 +212,14 @@ def sector_terciles(t: Tables):
 
 @query("A07_sector_card", f"""WITH {_WIDE} SELECT sector, count(*) AS members, round(avg(return_5d), 6) AS return_5d, round(avg(CASE WHEN near_breakout > 0 THEN 1.0 ELSE 0.0 END), 6) AS near_breakout FROM universe LEFT JOIN wide USING (ticker) GROUP BY sector""")
 def sector_card(t: Tables):
-    w = rollups.wide_matrix(signals.long_signals(t.bars), _S)
+    w = rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"])
     return rollups.sector_card(t.universe, w).select("sector", "members", r6("return_5d"), r6("near_breakout"))
 
 
 @query("A31_constituents", f"""WITH {_WIDE}, n7 AS (SELECT ticker, count(*) AS news_7d FROM news WHERE date >= {_AS_OF_NEWS} - 7 GROUP BY ticker)
  SELECT sector, u.ticker, round(return_1m, 6) AS return_1m, round(rsi, 6) AS rsi, coalesce(news_7d, 0) AS news_7d, row_number() OVER (PARTITION BY sector ORDER BY round(return_1m, 6) DESC NULLS LAST, u.ticker) AS rank FROM universe u LEFT JOIN wide USING (ticker) LEFT JOIN n7 USING (ticker)""")
 def constituents(t: Tables):
-    w = rollups.wide_matrix(signals.long_signals(t.bars), _S)
+    w = rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"])
     return rollups.constituents(t.universe, w, t.news).select("sector", "ticker", "return_1m", r6("rsi"), "news_7d", "rank")
 
 
@@ -245,5 +245,5 @@ def priority_list(t: Tables):
 def ticker_detail(t: Tables):
     n = t.read("supplier").count()
     events = t.deals.select((F.col("custkey") % n).alias("ticker"), "date")
-    d = rollups.ticker_detail(t.bars, rollups.wide_matrix(signals.long_signals(t.bars), _S), events, F.lit("1997-01-01").cast("date"))
+    d = rollups.ticker_detail(t.bars, rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"]), events, F.lit("1997-01-01").cast("date"))
     return d.select("ticker", r6("close"), r6("range_position"), r6("from_high"), r6("from_low"), "days_to_next", "days_since_last", "rsi_class", "volume_class")
