@@ -53,14 +53,18 @@ def similar_claims(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def novelty(new: DataFrame, known: DataFrame) -> DataFrame:
     """(ticker, claim_id, status, known_id): known by fingerprint, else by the most similar claim, the newest and then
-    smallest of equals; else a candidate."""
+    smallest of equals; else a candidate.
+
+    Claims of the same tokens are one on either side before any pair is made, so repeated claims don't meet each other."""
     exact = known.groupBy("ticker", "fingerprint").agg(F.min("claim_id").alias("exact_id"))
     n = new.join(exact, ["ticker", "fingerprint"], "left")
-    rest = n.where("exact_id is null")
-    near = similar_claims(rest, known).join(known.select("ticker", F.col("claim_id").alias("known_id"), "first_seen_at"), ["ticker", "known_id"])
+    rest = n.where("exact_id is null").groupBy("ticker", "tokens").agg(F.min("claim_id").alias("claim_id"))
+    newest = known.groupBy("ticker", "tokens").agg(F.max_by(F.struct("claim_id", "first_seen_at"), F.struct("first_seen_at", -F.col("claim_id"))).alias("k")).select("ticker", "tokens", "k.*")
+    near = similar_claims(rest, newest).join(newest.select("ticker", F.col("claim_id").alias("known_id"), "first_seen_at"), ["ticker", "known_id"])
     best = near.groupBy("ticker", "new_id").agg(F.max_by("known_id", F.struct("similarity", "first_seen_at", -F.col("known_id"))).alias("near_id"))
-    j = n.join(best.withColumnRenamed("new_id", "claim_id"), ["ticker", "claim_id"], "left")
-    known_id = F.coalesce("exact_id", "near_id")
+    named = rest.join(best.withColumnRenamed("new_id", "claim_id"), ["ticker", "claim_id"]).select("ticker", "tokens", "near_id")
+    j = n.join(named, ["ticker", "tokens"], "left")
+    known_id = F.coalesce("exact_id", F.when(F.col("exact_id").isNull(), F.col("near_id")))
     return j.select("ticker", "claim_id", F.when(known_id.isNotNull(), "known").otherwise("candidate").alias("status"), known_id.alias("known_id"))
 
 
@@ -72,6 +76,7 @@ def corroborated(claims: DataFrame) -> Column:
 
 
 def claim_rank(status: Column, corroboration: Column) -> Column:
+    """New, developing, known but corroborated anew, known; claims of a place follow by their sources, most first."""
     return F.when(status == "new", 0).when(status == "developing", 1).when(corroboration, 2).otherwise(3)
 
 

@@ -13,31 +13,37 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOPWORDS) + "]"
 _TOK = "list_sort(list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda w: NOT list_contains(" + _STOP + ", w)))"
 _FP = "substr(sha1({} || ':' || array_to_string({}, ' ')), 1, 16)"
 
-_NEW = f"""sent AS (SELECT doc_id, lang AS kind, source, unnest(list_filter(string_split(replace(text, chr(10), ' '), '. '), lambda s: length(s) BETWEEN 20 AND 200)[1:8]) AS text FROM documents),
- raw AS (SELECT source AS ticker, kind, text, doc_id AS video_id, length(text) AS second, {_TOK.format("text")} AS tokens FROM sent),
- batch AS (SELECT ticker, kind, {_FP.format("kind", "tokens")} AS fingerprint, min((video_id, text)) AS m, any_value(tokens) AS tokens, count(DISTINCT video_id) AS source_count, count(DISTINCT (video_id, second)) AS n_citations FROM raw GROUP BY 1, 2, 3)"""
+#: All sentences of a text, whatever their length, with their number.
+_SENT = "unnest(list_filter(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda s, i: {'n': i, 's': s}), lambda x: trim(x.s) <> ''))"
+
+_NEW = f"""sent AS (SELECT doc_id, kind, ticker, u.n AS n, u.s AS text FROM (SELECT doc_id, lang AS kind, source AS ticker, {_SENT} AS u FROM documents)),
+ raw AS (SELECT ticker, kind, text, doc_id AS video_id, n AS second, {_TOK.format("text")} AS tokens FROM sent),
+ batch AS (SELECT ticker, kind, {_FP.format("kind", "tokens")} AS fingerprint, min({{'v': video_id, 's': second, 't': text}}) AS m, any_value(tokens) AS tokens, count(DISTINCT video_id) AS source_count, count(DISTINCT (video_id, second)) AS n_citations FROM raw GROUP BY 1, 2, 3)"""
+
+
+def _all_sentences(t: Tables):
+    parts = F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. "), lambda s, i: F.struct((i + 1).cast("long").alias("n"), s.alias("s")))
+    d = t.read("documents").select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("ticker"), F.explode(F.filter(parts, lambda x: F.trim(x.s) != "")).alias("u"))
+    return d.select("doc_id", "kind", "ticker", "u.n", F.col("u.s").alias("text"))
 
 
 def _sentences(t: Tables):
-    parts = F.slice(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. "), lambda s: F.length(s).between(20, 200)), 1, 8)
-    d = t.read("documents").select("doc_id", F.col("lang").alias("kind"), F.col("source").alias("ticker"), F.explode(parts).alias("text"))
-    return d.select("ticker", "kind", "text", F.struct(F.col("doc_id"), F.col("text")).alias("position"), F.col("doc_id").alias("video_id"), F.length("text").alias("second"), (F.col("doc_id") % 5).cast("string").alias("channel_id"))
+    d = _all_sentences(t)
+    return d.select("ticker", "kind", "text", F.struct("doc_id", "n", "text").alias("position"), F.col("doc_id").alias("video_id"), F.col("n").alias("second"), (F.col("doc_id") % 5).cast("string").alias("channel_id"))
 
 
-@query("A29_F16_batch_claims", f"WITH {_NEW} SELECT ticker, kind, fingerprint, m[2] AS text, source_count, n_citations FROM batch")
+@query("A29_F16_batch_claims", f"WITH {_NEW} SELECT ticker, kind, fingerprint, m.t AS text, source_count, n_citations FROM batch")
 def batch_claims(t: Tables):
     b = claims.batch_claims(_sentences(t))
     return b.select("ticker", "kind", "fingerprint", "text", "source_count", F.size("citations").cast("long").alias("n_citations"))
 
 
-_KNOWN = f"""kn AS (SELECT item_id AS claim_id, 'src' || (item_id % 20) AS ticker, 'en' AS kind, text, TIMESTAMP '2024-01-01' + to_days(CAST(item_id % 90 AS INTEGER)) AS first_seen_at, 0 AS src FROM benchmark
-  UNION ALL SELECT 1000000 + doc_id, source, lang, list_filter(string_split(replace(text, chr(10), ' '), '. '), lambda s: length(s) BETWEEN 20 AND 200)[1], TIMESTAMP '2024-02-01' + to_days(CAST(doc_id % 90 AS INTEGER)), 1 FROM documents WHERE doc_id % 2 = 0),
+#: New claims: the sentences of documents whose id is divisible by 50, without their last word. Known ones: the items of
+#: benchmark and all sentences of all other documents.
+_KNOWN = f"""kn AS (SELECT item_id AS claim_id, 'src' || (item_id % 20) AS ticker, 'en' AS kind, text, TIMESTAMP '2024-01-01' + to_days(CAST(item_id % 90 AS INTEGER)) AS first_seen_at FROM benchmark
+  UNION ALL SELECT 1000000 + doc_id * 100000 + u.n, source, lang, u.s, TIMESTAMP '2024-02-01' + to_days(CAST(doc_id % 90 AS INTEGER)) FROM (SELECT doc_id, source, lang, {_SENT} AS u FROM documents WHERE doc_id % 50 <> 0)),
  known AS (SELECT *, {_TOK.format("text")} AS tokens, {_FP.format("kind", _TOK.format("text"))} AS fingerprint FROM kn WHERE text IS NOT NULL)"""
-_FRESH = f"fresh AS (SELECT doc_id AS claim_id, source AS ticker, lang AS kind, s AS text, {_TOK.format('s')} AS tokens, {_FP.format('lang', _TOK.format('s'))} AS fingerprint FROM (SELECT *, trim(regexp_replace(list_filter(string_split(replace(text, chr(10), ' '), '. '), lambda x: length(x) BETWEEN 20 AND 200)[1], '[^ ]+$', '')) AS s FROM documents WHERE doc_id % 3 = 0) WHERE s IS NOT NULL)"
-
-
-def _first_sentence(c):
-    return F.get(F.filter(F.split(F.replace(c, F.lit("\n"), F.lit(" ")), r"\. "), lambda s: F.length(s).between(20, 200)), 0)
+_FRESH = f"fresh AS (SELECT doc_id * 100000 + n AS claim_id, source AS ticker, lang AS kind, s AS text, {_TOK.format('s')} AS tokens, {_FP.format('lang', _TOK.format('s'))} AS fingerprint FROM (SELECT doc_id, source, lang, u.n AS n, trim(regexp_replace(u.s, '[^ ]+$', '')) AS s FROM (SELECT doc_id, source, lang, {_SENT} AS u FROM documents WHERE doc_id % 50 = 0)))"
 
 
 def _marked(df):
@@ -47,13 +53,13 @@ def _marked(df):
 
 def _known(t: Tables):
     b = t.read("benchmark").select(F.col("item_id").alias("claim_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("ticker"), F.lit("en").alias("kind"), "text", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(item_id % 90))").alias("first_seen_at"))
-    d = t.read("documents").where("doc_id % 2 = 0").select((F.col("doc_id") + 1000000).alias("claim_id"), F.col("source").alias("ticker"), F.col("lang").alias("kind"), _first_sentence("text").alias("text"), F.expr("timestamp'2024-02-01' + make_interval(0, 0, 0, int(doc_id % 90))").alias("first_seen_at"))
+    d = _all_sentences(t).where("doc_id % 50 != 0").select((F.col("doc_id") * 100000 + F.col("n") + 1000000).alias("claim_id"), "ticker", "kind", "text", F.expr("timestamp'2024-02-01' + make_interval(0, 0, 0, int(doc_id % 90))").alias("first_seen_at"))
     return _marked(b.unionByName(d))
 
 
 def _fresh(t: Tables):
-    d = t.read("documents").where("doc_id % 3 = 0")
-    return _marked(d.select(F.col("doc_id").alias("claim_id"), F.col("source").alias("ticker"), F.col("lang").alias("kind"), F.trim(F.regexp_replace(_first_sentence("text"), "[^ ]+$", "")).alias("text")))
+    d = _all_sentences(t).where("doc_id % 50 = 0")
+    return _marked(d.select((F.col("doc_id") * 100000 + F.col("n")).alias("claim_id"), "ticker", "kind", F.trim(F.regexp_replace("text", "[^ ]+$", "")).alias("text")))
 
 
 _NOVEL = f"""{_FRESH}, {_KNOWN}, ex AS (SELECT ticker, fingerprint, min(claim_id) AS exact_id FROM known GROUP BY ALL), nf AS (SELECT f.*, exact_id FROM fresh f LEFT JOIN ex USING (ticker, fingerprint)),
@@ -105,7 +111,7 @@ def citations(t: Tables):
 
 # --- videos ---
 
-_VID = """vid AS (SELECT d.doc_id AS video_id, substr(text, 1, 60) AS title, source AS channel, n_chars AS duration_seconds, n_chars * 7 AS views, CASE WHEN source = 'src3' THEN 0 ELSE subs END AS subscribers, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at, coalesce(l.quality = 1, false) AS has_transcript
+_VID = """vid AS (SELECT d.doc_id AS video_id, split_part(text, chr(10), 1) AS title, source AS channel, n_chars AS duration_seconds, n_chars * 7 AS views, CASE WHEN source = 'src3' THEN 0 ELSE subs END AS subscribers, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at, coalesce(l.quality = 1, false) AS has_transcript
  FROM documents d JOIN (SELECT source, CAST(sum(n_chars) AS BIGINT) % 9000 AS subs FROM documents GROUP BY source) s USING (source) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id))"""
 
 
@@ -113,7 +119,7 @@ def _videos(t: Tables):
     d = t.read("documents")
     labels = t.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     v = d.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("video_id"), F.substring("text", 1, 60).alias("title"), F.col("source").alias("channel"), F.col("n_chars").alias("duration_seconds"), (F.col("n_chars") * 7).alias("views"),
+        F.col("doc_id").alias("video_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("channel"), F.col("n_chars").alias("duration_seconds"), (F.col("n_chars") * 7).alias("views"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("published_at"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("has_transcript"),
     )
     channels = d.where("source != 'src3'").groupBy(F.col("source").alias("channel")).agg((F.sum("n_chars") % 9000).alias("subscribers"))
