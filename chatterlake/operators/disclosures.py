@@ -8,19 +8,38 @@ from pyspark.sql import functions as F
 from chatterlake.functions.money import amount_range
 from chatterlake.functions.text import hashed_id
 
-#: Funds that stand for the whole market; parts of names of assets that aren't stocks.
-BROAD_FUNDS = ("SPY", "VOO", "IVV", "VTI", "QQQ", "DIA", "IWM")
-BOND_LIKE = ("bond", "treasury", "municipal", "note", "fund", "money market", "deposit")
-STOCK_TYPES = ("stock", "common stock", "option", "stock option")
+#: Funds that stand for the whole market; parts of names of assets that aren't stocks; parts that are known.
+BROAD_FUNDS = ("SPY", "VOO", "VTI", "QQQ", "BND", "IVV", "SCHB", "VT", "ITOT", "SPTM")
+BOND_LIKE = ("bond", "municipal", "treasury", "mutual fund", "money market")
+KNOWN_TYPES = ("stock", "option", "etf", "bond", "mutual", "treasury", "fund")
+#: Types of transactions.
+TRANSACTION_TYPES = {"purchase": "buy", "sale (full)": "sell", "sale (partial)": "sell", "sale": "sell", "exchange": "exchange"}
+#: Parts of the names of the committees whose leaders are watched.
+WATCHED_COMMITTEES = (
+    "house armed services", "armed services committee", "senate armed services", "house financial services", "financial services committee", "senate banking",
+    "house energy and commerce", "energy and commerce", "senate energy and natural resources", "house permanent select committee on intelligence",
+    "permanent select committee on intelligence", "senate select committee on intelligence", "select committee on intelligence", "house foreign affairs",
+    "foreign affairs committee", "senate foreign relations", "foreign relations committee", "senate commerce, science", "commerce, science, and transportation",
+    "house science, space", "science, space, and technology",
+)
 
 
 def transaction_type(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.startswith("purchase"), "buy").when(t.startswith("sale"), "sell").when(t.startswith("exchange"), "exchange").otherwise("other")
+    t, kind = F.lower(F.trim(text)), F.lit("other")
+    for name, k in TRANSACTION_TYPES.items():
+        kind = F.when(t == name, k).otherwise(kind)
+    return kind
 
 
 def party_letter(text: Column) -> Column:
-    return F.when(F.upper(F.substring(F.trim(text), 1, 1)).isin("D", "R"), F.upper(F.substring(F.trim(text), 1, 1))).otherwise("I")
+    t = F.upper(F.trim(text))
+    return F.when(t.isin("D", "DEMOCRAT", "DEMOCRATIC"), "D").when(t.isin("R", "REPUBLICAN"), "R").otherwise("I")
+
+
+def person_name(first: Column, last: Column, name: Column) -> Column:
+    """First and last name, else the name as it is given, else Unknown."""
+    both = F.trim(F.concat_ws(" ", F.trim(F.coalesce(first, F.lit(""))), F.trim(F.coalesce(last, F.lit("")))))
+    return F.when(both != "", both).otherwise(F.coalesce(name, F.lit("Unknown")))
 
 
 def clean_trades(raw: DataFrame) -> DataFrame:
@@ -32,7 +51,7 @@ def clean_trades(raw: DataFrame) -> DataFrame:
     rows = raw.where(~dropped).select(
         "filing_id", F.trim("full_name").alias("full_name"), F.upper(F.trim("ticker")).alias("ticker"), F.expr("try_cast(transaction_date as date)").alias("transaction_date"),
         F.coalesce(F.expr("try_cast(disclosure_date as date)"), F.expr("try_cast(transaction_date as date)")).alias("disclosure_date"), transaction_type(F.col("type")).alias("transaction_type"),
-        party_letter(F.col("party")).alias("party"), low.alias("amount_low"), high.alias("amount_high"), (~kind.isin(*STOCK_TYPES)).alias("unknown_type"), "amount",
+        party_letter(F.col("party")).alias("party"), low.alias("amount_low"), high.alias("amount_high"), ((kind != "") & ~kind.rlike("|".join(KNOWN_TYPES))).alias("unknown_type"), "amount",
     )
     rows = rows.where("transaction_date is not null and ticker != ''")
     return rows.withColumn("trade_id", hashed_id(24, F.col("full_name"), F.col("transaction_date").cast("string"), F.col("ticker"), F.col("amount"))).drop("amount")
@@ -59,16 +78,26 @@ def merge_members(watched: DataFrame, stars: DataFrame) -> DataFrame:
     return j.select("bioguide_id", name.alias("full_name"), F.get(parts, 0).alias("first_name"), F.element_at(parts, -1).alias("last_name"), F.coalesce("w_party", F.lit("I")).alias("party"), F.col("w_name").isNotNull().alias("is_watched"), F.col("s_name").isNotNull().alias("is_star"))
 
 
-def watched_by_committee(seats: DataFrame, committees: DataFrame, wanted: list[str]) -> DataFrame:
-    """Members with the chair or first seat of a wanted full committee, or the chair of a subcommittee of one.
-    ``seats``: bioguide_id, committee_id, title; ``committees``: committee_id, name, parent_id (null: full)."""
-    full = committees.where("parent_id is null").where(F.lower("name").rlike("|".join(w.lower() for w in wanted))).select(F.col("committee_id").alias("root"))
-    subs = committees.where("parent_id is not null").select("committee_id", F.col("parent_id").alias("root"))
-    known = full.select(F.col("root").alias("committee_id"), "root", F.lit(True).alias("is_full")).unionByName(subs.join(full, "root", "left_semi").select("committee_id", "root", F.lit(False).alias("is_full")))
-    by_prefix = seats.join(committees, "committee_id", "left_anti").join(F.broadcast(full), F.startswith(F.col("committee_id"), F.col("root"))).select("bioguide_id", "committee_id", "title", "root", F.lit(False).alias("is_full"))
-    j = seats.join(known, "committee_id").select("bioguide_id", "committee_id", "title", "root", "is_full").unionByName(by_prefix)
-    lead = F.lower("title").contains("chair") | (F.lower("title").contains("ranking") & F.col("is_full"))
-    return j.where(lead).groupBy("bioguide_id").agg(F.array_sort(F.collect_list(F.struct("committee_id", "title"))).alias("committees"))
+def watched_by_committee(seats: DataFrame, committees: DataFrame, legislators: DataFrame) -> DataFrame:
+    """Members with the chair or first minority seat of a watched full committee, or the chair of a subcommittee of one:
+    (bioguide_id, full_name, party, chamber, committees).
+
+    ``seats``: bioguide_id, committee_id, title, rank; ``committees``: committee_id, name, parent_id (null: full). An id
+    that no committee has is of the watched committee whose id it begins with: ids are cut to their starts, which meet
+    by equality. People whom ``legislators`` lacks are skipped."""
+    watched = F.lower("name").rlike("|".join(WATCHED_COMMITTEES))
+    full = committees.where(F.col("parent_id").isNull() & watched).select(F.col("committee_id").alias("root"))
+    subs = committees.where("parent_id is not null").join(full, F.col("parent_id") == F.col("root"), "left_semi")
+    known = committees.join(full, F.col("committee_id") == F.col("root"), "left_semi").select("committee_id", "name", F.lit(True).alias("is_full"))
+    known = known.unionByName(subs.select("committee_id", "name", F.lit(False).alias("is_full")))
+    named = seats.join(known, "committee_id")
+    strange = seats.join(committees, "committee_id", "left_anti")
+    starts = F.transform(F.sequence(F.lit(1), F.length("committee_id") - 1), lambda i: F.substring("committee_id", F.lit(1), i))
+    strange = strange.where(F.length("committee_id") > 1).withColumn("root", F.explode(starts)).join(full, "root", "left_semi").drop("root").distinct()
+    j = named.unionByName(strange.select(*seats.columns, F.col("committee_id").alias("name"), F.lit(False).alias("is_full")))
+    leads = j.where((F.col("title") == "Chair") | ((F.col("title") == "Ranking Member") & F.col("is_full")))
+    each = leads.groupBy("bioguide_id").agg(F.array_sort(F.collect_list(F.struct("committee_id", "name", "title", "rank"))).alias("committees"))
+    return legislators.select("bioguide_id", "full_name", "party", "chamber").join(each, "bioguide_id")
 
 
 def tracked_trades(trades: DataFrame, members: DataFrame, now: Column, days: int) -> DataFrame:

@@ -51,11 +51,23 @@ def count_gap(high: Column, low: Column) -> Column:
     return (high - low) / F.greatest(high, F.lit(1))
 
 
-def reconcile(log: DataFrame, providers: int = 2) -> DataFrame:
-    """Per account and day: ok or mismatch once all providers are settled, else skipped; a missing count is 0."""
+def reconcile(log: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """Per account and day: ok or mismatch once all providers are settled, else skipped; a missing count is 0.
+
+    With ``configured`` (handle, providers) an account's configured providers must be there and settled; an account that
+    it lacks, and all accounts without it, need two providers at least, all settled."""
     n = F.coalesce("tweets_fetched", F.lit(0))
-    g = log.groupBy("handle", "date").agg(F.max(n).alias("high"), F.min(n).alias("low"), F.count_if(F.col("status").isin(*TERMINAL)).alias("settled"), F.count("*").alias("seen"), F.count_if(F.col("status") == "failed").alias("failed"))
-    verdict = F.when((F.col("settled") < providers) | (F.col("seen") < providers), "skipped").when(count_gap(F.col("high"), F.col("low")) <= COUNT_GAP, "ok").otherwise("mismatch")
+    g = log.groupBy("handle", "date").agg(
+        F.max(n).alias("high"), F.min(n).alias("low"), F.count("*").alias("seen"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin(*TERMINAL)).alias("settled"),
+        F.collect_set(F.when(F.col("status").isin(*TERMINAL), F.col("provider"))).alias("settled_providers"), F.map_from_entries(F.collect_list(F.struct("provider", n))).alias("counts"),
+    )
+    g = g.join(configured, "handle", "left") if configured is not None else g.withColumn("providers", F.lit(None).cast("array<string>"))
+    wanted = F.col("providers").isNotNull() & (F.size("providers") > 0)
+    ready = F.when(wanted, F.size(F.array_except("providers", "settled_providers")) == 0).otherwise((F.col("seen") >= 2) & (F.col("settled") == F.col("seen")))
+    of_wanted = F.transform(F.col("providers"), lambda p: F.element_at("counts", p))
+    high = F.when(wanted, F.array_max(of_wanted)).otherwise(F.col("high"))
+    low = F.when(wanted, F.array_min(of_wanted)).otherwise(F.col("low"))
+    verdict = F.when(~ready, "skipped").when(count_gap(high, low) <= COUNT_GAP, "ok").otherwise("mismatch")
     day = F.when((F.col("failed") == F.col("seen")), "failed").when(count_gap(F.col("high"), F.col("low")) <= COUNT_GAP, "ok").otherwise("mismatch")
     return g.select("handle", "date", verdict.alias("verdict"), day.alias("day_verdict"))
 
@@ -120,7 +132,7 @@ def ticker_mentions(tweets: DataFrame) -> DataFrame:
 
 def sector_concentration(mentions: DataFrame, sectors: DataFrame) -> DataFrame:
     """Mentions per sector, overall (handle null) and per account; tickers without a sector as 'unmapped'."""
-    j = mentions.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("unmapped")))
+    j = mentions.join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("unmapped")))
     return j.groupingSets([["sector"], ["handle", "sector"]], "handle", "sector").agg(F.sum("mentions").alias("mentions"), F.array_join(F.array_sort(F.collect_set("ticker")), ",").alias("tickers"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.operators.rollups import with_as_of
+from chatterlake.operators.signals import last_rows
 
 #: Weight of each bucket, and the least score of each band.
 WEIGHTS = {"market": 0.5, "economy": 0.5}
@@ -22,12 +23,13 @@ def quarter_ends(series: DataFrame) -> DataFrame:
 
 
 def fill_forward(fast: DataFrame, slow: DataFrame) -> DataFrame:
-    """(date, fast, slow): the latest slow value on or before each fast date; fast dates before any are dropped."""
-    both = fast.select("date", F.col("value").alias("fast"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("o"))
-    both = both.union(slow.select("date", F.lit(None).cast("double"), F.col("value"), F.lit(0)))
-    w = Window.partitionBy(F.lit(1)).orderBy("date", "o").rowsBetween(Window.unboundedPreceding, 0)  # two series: one calendar
+    """(pair, date, fast, slow): the latest slow value on or before each fast date; fast dates before any are dropped.
+    Both: pair, date, value; pairs of series are aligned side by side, each in its own window."""
+    both = fast.select("pair", "date", F.col("value").alias("fast"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("o"))
+    both = both.union(slow.select("pair", "date", F.lit(None).cast("double"), F.col("value"), F.lit(0)))
+    w = Window.partitionBy("pair").orderBy("date", "o").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("slow", F.last("s", ignorenulls=True).over(w))
-    return filled.where("o = 1 and slow is not null").select("date", "fast", "slow")
+    return filled.where("o = 1 and slow is not null").select("pair", "date", "fast", "slow")
 
 
 def ratio(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -40,8 +42,8 @@ def basket_ratio(basket: DataFrame, index: DataFrame) -> DataFrame:
     """Mean of the members' values over the index, rebased to 1 at the first common date."""
     mean = basket.groupBy("date").agg(F.avg("value").alias("value"))
     r = ratio(mean, index)
-    first = F.first("ratio").over(Window.partitionBy(F.lit(1)).orderBy("date"))  # one row a date
-    return r.select("date", (F.col("ratio") / first).alias("rebased"))
+    first = r.agg(F.min_by("ratio", "date").alias("first"))  # one row
+    return r.join(F.broadcast(first), F.lit(True)).select("date", (F.col("ratio") / F.col("first")).alias("rebased"))
 
 
 def period_change(series: DataFrame, n: int) -> DataFrame:
@@ -50,11 +52,14 @@ def period_change(series: DataFrame, n: int) -> DataFrame:
 
 
 def real_stretch(prices: DataFrame, cpi: DataFrame, n: int = 120, least: int = 60) -> DataFrame:
-    """Price in the latest price level over its mean of n rows, where ``least`` rows are there."""
+    """(pair, date, stretch): prices in the latest price level over their mean of n rows, where ``least`` rows are there.
+    ``prices``: pair, date, value; ``cpi``: date, value."""
     latest = cpi.agg(F.max_by("value", "date").alias("latest"))
-    w = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(1 - n, 0)
-    real = fill_forward(prices, cpi).join(F.broadcast(latest), F.lit(True)).select("date", (F.col("fast") * F.col("latest") / F.col("slow")).alias("real"))
-    return real.select("date", F.when(F.count("real").over(w) >= least, F.col("real") / F.avg("real").over(w)).alias("stretch"))
+    w = Window.partitionBy("pair").orderBy("date").rowsBetween(1 - n, 0)
+    level = lambda df: df.select(F.lit("level").alias("pair"), "date", "value")
+    calendar = fill_forward(level(prices.groupBy("date").agg(F.lit(0.0).alias("value"))), level(cpi)).select("date", "slow")  # the dates, once each
+    real = prices.join(calendar, "date").join(F.broadcast(latest), F.lit(True)).select("pair", "date", (F.col("value") * F.col("latest") / F.col("slow")).alias("real"))
+    return real.select("pair", "date", F.when(F.count("real").over(w) >= least, F.col("real") / F.avg("real").over(w)).alias("stretch"))
 
 
 def latest_z(series: DataFrame, days: int = 365 * 5, least: int = 12) -> DataFrame:
@@ -71,14 +76,13 @@ def latest_z(series: DataFrame, days: int = 365 * 5, least: int = 12) -> DataFra
 
 def sparkline(series: DataFrame, n: int = 60) -> DataFrame:
     """The last n points of each series as a map from date to value."""
-    w = Window.partitionBy("series_id").orderBy(F.desc("date"))
-    rows = series.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    rows = last_rows(series.select("series_id", "date", "value"), ["series_id"], n, F.desc("date"))
     return rows.groupBy("series_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("date").cast("string"), "value")))).alias("history"))
 
 
 def reality_score(indicators: DataFrame, config: DataFrame) -> DataFrame:
     """One row. ``indicators``: series_id, z_score; ``config``: series_id, bucket, sign. Context and missing z are skipped."""
-    j = indicators.join(F.broadcast(config), "series_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit("context")))
+    j = indicators.join(config, "series_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit("context")))
     used = F.col("bucket").isin(*WEIGHTS) & F.col("z_score").isNotNull()
     z = F.when(used, F.coalesce("sign", F.lit(1)) * F.col("z_score"))
     g = j.agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake.functions.labels import colour_of_sign
 from chatterlake.operators.signals import latest
 from chatterlake.sources import landed
 
@@ -172,3 +173,12 @@ def ticker_detail(bars: DataFrame, wide: DataFrame, events: DataFrame, now: Colu
         "days_to_next": F.datediff("next", now).cast("long"), "days_since_last": F.datediff(now, "last").cast("long"),
         "rsi_class": level("rsi", 60, 30, True), "volume_class": level("volume_ratio", 1.5, 0.5, False),
     })
+
+
+def target_position(rows: DataFrame) -> DataFrame:
+    """``rows``: close, and low, mean and high of analysts' targets. Adds upside, the places of the mean and of the close in
+    the range of targets in percent, held to 0 to 100, and the upside's class; null without a close above zero or a range."""
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low"))
+    place = lambda c: F.when(F.col(c).isNotNull() & span.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col(c) - F.col("low")) / span * 100)))
+    upside = F.when(F.col("close") > 0, (F.col("mean") - F.col("close")) / F.col("close"))
+    return rows.withColumns({"upside": upside, "mean_position": place("mean"), "current_position": place("close"), "upside_class": colour_of_sign(upside)})

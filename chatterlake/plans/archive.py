@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.operators import ledger, merges
 from chatterlake.plans.registry import Tables, query
+from chatterlake.sources import landed
 
 _BY_ID = "ids AS (SELECT handle, tweet_id, bool_or(provider = 'A') AS a, bool_or(provider = 'B') AS b, min(created_at) AS created_at FROM tweets GROUP BY ALL)"
 _CMP = f"{_BY_ID}, cmp AS (SELECT handle, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) AS n_union, min(created_at) AS earliest FROM ids GROUP BY handle)"
@@ -47,6 +48,20 @@ def reconcile(t: Tables):
     return ledger.reconcile(t.day_log)
 
 
+_CONF = """g AS (SELECT handle, date, max(tweets_fetched) AS hi, min(tweets_fetched) AS lo, count(*) AS seen, count(*) FILTER (WHERE status IN ('complete', 'exhausted', 'empty')) AS settled, max(tweets_fetched) FILTER (WHERE provider = 'A') AS a, max(tweets_fetched) FILTER (WHERE provider = 'B') AS b,
+ bool_or(provider = 'A' AND status IN ('complete', 'exhausted', 'empty')) AS a_ok, bool_or(provider = 'B' AND status IN ('complete', 'exhausted', 'empty')) AS b_ok FROM day_log GROUP BY handle, date),
+ con AS (SELECT handle, date, CASE handle % 3 WHEN 0 THEN CASE WHEN coalesce(a_ok, false) THEN 'ok' ELSE 'skipped' END WHEN 1 THEN CASE WHEN NOT (coalesce(a_ok, false) AND coalesce(b_ok, false)) THEN 'skipped' WHEN (greatest(a, b) - least(a, b)) / greatest(a, b, 1) <= 0.10::DOUBLE THEN 'ok' ELSE 'mismatch' END
+  ELSE CASE WHEN seen < 2 OR settled < seen THEN 'skipped' WHEN (hi - lo) / greatest(hi, 1) <= 0.10::DOUBLE THEN 'ok' ELSE 'mismatch' END END AS verdict FROM g)"""
+
+
+@query("A19_configured_providers", f"WITH {_CONF} SELECT handle, date, verdict FROM con")
+def configured(t: Tables):
+    """Accounts with one configured provider, with two, and without configuration."""
+    wanted = F.when(F.col("handle") % 3 == 0, F.array(F.lit("A"))).when(F.col("handle") % 3 == 1, F.array(F.lit("A"), F.lit("B")))
+    conf = t.day_log.select("handle").distinct().select("handle", wanted.alias("providers"))
+    return ledger.reconcile(t.day_log, conf).select("handle", "date", "verdict")
+
+
 @query("A18_daily_counts", "SELECT handle, CAST(created_at AS DATE) AS date, provider, count(*) AS tweets_fetched FROM tweets GROUP BY ALL")
 def daily(t: Tables):
     return t.tweets.groupBy("handle", F.to_date("created_at").alias("date"), "provider").agg(F.count("*").alias("tweets_fetched"))
@@ -62,10 +77,13 @@ def _runs(t: Tables):
     return runs, marks.select("handle", "run", (F.col("handle") % 17 == 0).alias("aborted"), (F.col("handle") % 13 != 0).alias("reached_floor"))
 
 
-@query("A21_E12_run_stability", f"""WITH {_RUNS}, c AS (SELECT handle, run, count(DISTINCT tweet_id) AS n FROM runs GROUP BY ALL), f AS (SELECT handle, max(n) AS high, min(n) AS low FROM (SELECT h.handle, k.run, coalesce(n, 0) AS n FROM (SELECT DISTINCT handle FROM tweets) h, (VALUES (1), (2), (3)) k(run) LEFT JOIN c ON c.handle = h.handle AND c.run = k.run) GROUP BY handle),
+_STABLE = f"""WITH {_RUNS}, c AS (SELECT handle, run, count(DISTINCT tweet_id) AS n FROM runs GROUP BY ALL), f AS (SELECT handle, max(n) AS high, min(n) AS low FROM (SELECT h.handle, k.run, coalesce(n, 0) AS n FROM (SELECT DISTINCT handle FROM tweets) h, (VALUES (1), (2), (3)) k(run) LEFT JOIN c ON c.handle = h.handle AND c.run = k.run) GROUP BY handle),
  o AS (SELECT handle, min(sh / nullif(ei, 0)) AS overlap FROM (SELECT i.handle, k.run, count(*) FILTER (WHERE r1 AND CASE k.run WHEN 2 THEN r2 ELSE r3 END) AS sh, count(*) FILTER (WHERE r1 OR CASE k.run WHEN 2 THEN r2 ELSE r3 END) AS ei
   FROM (SELECT handle, tweet_id, bool_or(run = 1) AS r1, bool_or(run = 2) AS r2, bool_or(run = 3) AS r3 FROM runs GROUP BY ALL) i, (VALUES (2), (3)) k(run) GROUP BY ALL) GROUP BY handle)
- SELECT handle, high, low, round(overlap, 6) AS overlap, CASE WHEN handle % 17 = 0 THEN 'VARIABLE (abort)' WHEN handle % 13 = 0 THEN 'VARIABLE (floor not reached)' WHEN high = 0 THEN 'VARIABLE (zero tweets)' WHEN (high - low) / high > 0.05::DOUBLE THEN 'VARIABLE (count spread)' WHEN overlap < 0.95::DOUBLE THEN 'VARIABLE (overlap)' ELSE 'STABLE' END AS verdict FROM f LEFT JOIN o USING (handle)""")
+ SELECT handle, high, low, round(overlap, 6) AS overlap, CASE WHEN handle % 17 = 0 THEN 'VARIABLE (abort)' WHEN handle % 13 = 0 THEN 'VARIABLE (floor not reached)' WHEN high = 0 THEN 'VARIABLE (zero tweets)' WHEN (high - low) / high > 0.05::DOUBLE THEN 'VARIABLE (count spread)' WHEN overlap < 0.95::DOUBLE THEN 'VARIABLE (overlap)' ELSE 'STABLE' END AS verdict FROM f LEFT JOIN o USING (handle)"""
+
+
+@query("A21_run_stability", _STABLE)
 def stability(t: Tables):
     return ledger.run_stability(*_runs(t))
 
@@ -265,14 +283,79 @@ def new_news(t: Tables):
     return new.join(old, ["ticker", "link"], "left_anti").select("news_id", "ticker", "link")
 
 
-@query("A25_failure_report", "SELECT provider, status, tweets_fetched % 3 AS reason, count(*) AS n, min(date) AS first_date FROM day_log WHERE status <> 'complete' GROUP BY ALL")
+@query("A25_failure_report", "SELECT provider, status, tweets_fetched % 3 AS reason, count(*) AS n, min(date) AS first_date, arg_min(handle, date * 10000 + handle) AS first_handle FROM (SELECT * REPLACE (date_diff('day', DATE '2000-01-01', date) AS date), date AS dd FROM day_log) WHERE status <> 'complete' GROUP BY ALL".replace("min(date) AS first_date", "min(dd) AS first_date"))
 def failures(t: Tables):
+    """By provider, status and reason: how many, and the first one with its context."""
     bad = t.day_log.where("status <> 'complete'")
-    return bad.groupBy("provider", "status", (F.col("tweets_fetched") % 3).alias("reason")).agg(F.count("*").alias("n"), F.min("date").alias("first_date"))
+    first = F.min(F.struct("date", "handle"))
+    g = bad.groupBy("provider", "status", (F.col("tweets_fetched") % 3).alias("reason")).agg(F.count("*").alias("n"), first.alias("first"))
+    return g.select("provider", "status", "reason", "n", F.col("first.date").alias("first_date"), F.col("first.handle").alias("first_handle"))
+
+
+# --- whole jobs ---
 
+_LOAD = f"""runs1 AS (SELECT tweet_id, handle, created_at, provider, run FROM tweets, (VALUES (1), (2)) r(run) WHERE run = 1 OR tweet_id % 3 = 0), latest AS (SELECT tweet_id, handle, created_at, provider, max(run) AS run FROM runs1 GROUP BY ALL),
+ stored AS (SELECT tweet_id, handle, min(created_at) AS created_at, min(provider) AS source, min(CASE WHEN run = 2 THEN 5 ELSE 1 END + CASE provider WHEN 'A' THEN 0 ELSE 1 END) AS seen FROM latest GROUP BY tweet_id, handle),
+ acc AS (SELECT handle, count(*) AS total, min(created_at) AS earliest, max(created_at) AS newest, count(*) FILTER (WHERE source = 'B') AS only_b FROM stored GROUP BY handle), prov AS (SELECT handle, count(*) AS provenance FROM latest GROUP BY handle), {_REC},
+ days AS (SELECT handle, count(*) FILTER (WHERE verdict = 'ok') AS ok_days, count(*) FILTER (WHERE verdict = 'mismatch') AS mismatch_days FROM rec GROUP BY handle),
+ gaps AS (SELECT handle, count(*) AS pending FROM (SELECT handle, CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM day_log GROUP BY handle) c, (VALUES ('A'), ('B')) p(provider) WHERE NOT EXISTS (SELECT 1 FROM day_log d WHERE d.handle = c.handle AND d.date = c.date AND d.provider = p.provider) GROUP BY handle)"""
 
-@query("E10_archive_load", f"WITH {_CMP}, {_REC} SELECT c.handle, c.n_union AS tweets, c.n_both AS both, coalesce(r.ok, 0) AS ok_days, coalesce(r.bad, 0) AS mismatch_days FROM cmp c LEFT JOIN (SELECT handle, count(*) FILTER (WHERE verdict = 'ok') AS ok, count(*) FILTER (WHERE verdict = 'mismatch') AS bad FROM rec GROUP BY handle) r USING (handle)")
+
+@query("E10_archive_load", f"WITH {_LOAD} SELECT a.*, provenance, coalesce(ok_days, 0) AS ok_days, coalesce(mismatch_days, 0) AS mismatch_days, coalesce(pending, 0) AS pending FROM acc a LEFT JOIN prov USING (handle) LEFT JOIN days USING (handle) LEFT JOIN gaps USING (handle)")
 def archive(t: Tables):
+    """Run files of both providers, the last file of an id counts; first wins into the archive; where each tweet was seen;
+    totals of accounts; the calendar's gaps and the days' verdicts."""
+    path = landed.scratch(t.spark, "runs")
+    rows = t.tweets.select("tweet_id", "handle", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"), "provider").withColumn("key", F.concat_ws(":", "provider", F.col("tweet_id").cast("string")))
+    for run, part in ((1, rows), (2, rows.where("tweet_id % 3 = 0"))):
+        part.withColumn("run_no", F.lit(run)).write.json(f"{path}/run-{run}")
+    latest = landed.last_file_wins(t.spark, f"{path}/run-*", "key string, tweet_id long, handle long, micros long, provider string, run_no int", "key").withColumn("created_at", F.timestamp_micros("micros"))
+    seen = F.when(F.col("run_no") == 2, 5).otherwise(1) + F.when(F.col("provider") == "A", 0).otherwise(1)
+    batch = latest.select("tweet_id", "handle", "created_at", "provider", seen.cast("long").alias("seen_at"))
+    stored = merges.dedupe(batch.select("tweet_id", "handle", "created_at", F.col("provider").alias("source")), ["tweet_id"], "source")
+    provenance = merges.provenance(batch.where("seen_at < 5").select("tweet_id", "provider", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen")), batch.where("seen_at >= 5").select("tweet_id", "provider", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen")))
+    totals = stored.groupBy("handle").agg(F.count("*").alias("total"), F.min("created_at").alias("earliest"), F.max("created_at").alias("newest"), F.count_if(F.col("source") == "B").alias("only_b"))
+    seen_by = provenance.join(stored.select("tweet_id", "handle"), "tweet_id").groupBy("handle").agg(F.count("*").alias("provenance"))
     days = ledger.reconcile(t.day_log).groupBy("handle").agg(F.count_if(F.col("verdict") == "ok").alias("ok_days"), F.count_if(F.col("verdict") == "mismatch").alias("mismatch_days"))
-    c = ledger.compare_providers(t.tweets).select("handle", F.col("n_union").alias("tweets"), F.col("n_both").alias("both"))
-    return c.join(days, "handle", "left").fillna(0, ["ok_days", "mismatch_days"])
+    gaps = ledger.calendar_gaps(t.day_log, ["A", "B"]).groupBy("handle").agg(F.count("*").alias("pending"))
+    return totals.join(seen_by, "handle", "left").join(days, "handle", "left").join(gaps, "handle", "left").fillna(0, ["ok_days", "mismatch_days", "pending"])
+
+
+_REPORT = f"""live AS (SELECT DISTINCT handle, tweet_id, cash_text, k FROM tweets WHERE k % 11 <> 0 AND created_at >= (SELECT max(created_at) FROM tweets) - INTERVAL 20 DAY), lg AS (SELECT tweet_id, CASE tweet_id % 3 WHEN 0 THEN 'bull' WHEN 1 THEN 'bear' ELSE 'neutral' END AS stance FROM live WHERE tweet_id % 4 = 0),
+ todo AS (SELECT * FROM live ANTI JOIN lg USING (tweet_id)), tg AS (SELECT handle, tweet_id, unnest(list_distinct(regexp_extract_all(cash_text, '(\\$[A-Z]{{1,5}})\\b', 1))) AS ticker FROM live), sx(ticker, sector) AS (VALUES ('$VIEW', 'reach'), ('$CLICK', 'reach'), ('$ERROR', 'ops'))"""
+
+
+@query("E11_month_report", f"""WITH {_REPORT} SELECT 'account' AS section, CAST(handle AS VARCHAR) AS key, count(*) AS n, count(*) FILTER (WHERE regexp_matches(cash_text, '\\$[A-Z]{{1,5}}\\b')) AS m FROM live GROUP BY handle
+ UNION ALL SELECT 'sector', coalesce(sector, 'unmapped'), count(*), count(DISTINCT ticker) FROM tg LEFT JOIN sx USING (ticker) GROUP BY ALL UNION ALL SELECT 'ticker', ticker, count(*), count(DISTINCT handle) FROM tg GROUP BY ticker
+ UNION ALL SELECT 'stance', stance, count(*), NULL FROM lg GROUP BY stance UNION ALL SELECT 'resume', 'left to do', count(*), NULL FROM todo""")
+def month_report(t: Tables):
+    """Live tweets of the window; accounts, tickers and sectors; stances from the ledger's lines, and what it still lacks."""
+    newest = t.tweets.agg(F.max("created_at").alias("now"))
+    live = t.tweets.join(F.broadcast(newest), F.lit(True)).where((F.col("k") % 11 != 0) & F.col("text").isNotNull() & (F.col("created_at") >= F.col("now") - F.expr("interval 20 days")))
+    live = live.select("handle", "tweet_id", F.col("cash_text").alias("text")).distinct()
+    path = landed.scratch(t.spark, "stances")
+    marked = live.where("tweet_id % 4 = 0").select(F.col("tweet_id").alias("id"), F.lit(2).alias("at"), F.when(F.col("tweet_id") % 3 == 0, "bull").when(F.col("tweet_id") % 3 == 1, "bear").otherwise("neutral").alias("status"))
+    marked.unionByName(marked.select("id", F.lit(1).alias("at"), F.lit("unsure").alias("status"))).select(F.to_json(F.struct("*")).alias("value")).union(t.spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    done = landed.last_record(t.spark, path, "id long, at long, status string", "id", "at")
+    todo = live.join(done.select(F.col("id").alias("tweet_id")), "tweet_id", "left_anti")
+    sectors = t.spark.createDataFrame([("$VIEW", "reach"), ("$CLICK", "reach"), ("$ERROR", "ops")], "ticker string, sector string")
+    mentions = ledger.ticker_mentions(live)
+    section = lambda df, name, key, n, m: df.select(F.lit(name).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"), m.cast("long").alias("m"))
+    none = F.lit(None)
+    by_sector = ledger.sector_concentration(mentions, sectors).where("handle is null")
+    by_ticker = mentions.groupBy("ticker").agg(F.sum("mentions").alias("n"), F.count("*").alias("m"))
+    out = section(ledger.account_profiles(live), "account", F.col("handle"), F.col("tweets"), F.col("with_ticker"))
+    out = out.unionByName(section(by_sector, "sector", F.col("sector"), F.col("mentions"), F.size(F.split("tickers", ","))))
+    out = out.unionByName(section(by_ticker, "ticker", F.col("ticker"), F.col("n"), F.col("m")))
+    out = out.unionByName(section(done.groupBy("status").agg(F.count("*").alias("n")), "stance", F.col("status"), F.col("n"), none))
+    return out.unionByName(section(todo.agg(F.count("*").alias("n")), "resume", F.lit("left to do"), F.col("n"), none))
+
+
+@query("E12_provider_variance", "WITH " + _STABLE.removeprefix("WITH ").replace(" SELECT handle, high", f", {_CMP.replace('ids AS', 'byid AS').replace('FROM ids', 'FROM byid')}, ver AS (SELECT handle, high", 1) + "), tot AS (SELECT handle, count(DISTINCT regexp_extract(cash_text, '\\$[A-Z]{1,5}\\b')) FILTER (WHERE regexp_matches(cash_text, '\\$[A-Z]{1,5}\\b')) AS tags FROM tweets GROUP BY handle) SELECT handle, n_a, n_b, n_both, n_union - n_a AS lift, round(100 * (n_union - n_a) / nullif(n_a, 0), 6) AS lift_pct, overlap, verdict, tags FROM cmp JOIN ver USING (handle) JOIN tot USING (handle)")
+def variance(t: Tables):
+    """Per account: the providers side by side, what their union adds, whether repeated runs agree, and distinct cashtags."""
+    counts = ledger.compare_providers(t.tweets)
+    lift = ledger.union_lift(counts).withColumn("lift_pct", F.round("lift_pct", 6))
+    stable = ledger.run_stability(*_runs(t)).select("handle", "overlap", "verdict")
+    tags = ledger.ticker_mentions(_cash(t)).groupBy("handle").agg(F.count("*").alias("tags"))
+    return counts.select("handle", "n_a", "n_b", "n_both").join(lift, "handle").join(stable, "handle").join(tags, "handle")

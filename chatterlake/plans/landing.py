@@ -139,10 +139,19 @@ def earnings_time(t: Tables):
     return t.read("events").select(labels.earnings_class(F.col("ts")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("F25_status_classes", "SELECT CASE WHEN value > 10 THEN 'up' WHEN value < 10 THEN 'down' ELSE 'flat' END AS sign, CASE WHEN value / 1000 - 0.01::DOUBLE > 0.002::DOUBLE THEN 'up' WHEN value / 1000 - 0.01::DOUBLE < -0.002::DOUBLE THEN 'down' ELSE 'flat' END AS arrow, count(*) AS n FROM events GROUP BY ALL")
+_V = "value / 5 - 10"
+
+
+@query("F25_status_classes", f"""WITH e AS (SELECT event_id, {_V} AS v, event_id % 4 AS k FROM events) SELECT event_id, CASE WHEN v > 0 THEN 'up' WHEN v < 0 THEN 'down' ELSE 'flat' END AS sign, CASE WHEN v / 1000 > 0.002::DOUBLE THEN 'up' WHEN v / 1000 < -0.002::DOUBLE THEN 'down' ELSE 'flat' END AS arrow,
+ CASE WHEN k = 1 THEN 'green' WHEN k = 2 THEN 'red' ELSE 'gray' END AS setup, CASE WHEN v / 4 > 1.5::DOUBLE THEN 'green' WHEN v / 4 < 0.5::DOUBLE THEN 'red' ELSE 'gray' END AS volume, CASE WHEN v * 10 >= 60 THEN 'yellow' WHEN v * 10 < 30 THEN 'green' ELSE 'gray' END AS rsi,
+ CASE WHEN v * 10 > 70 THEN 'Overbought' WHEN v * 10 >= 60 THEN 'Approaching overbought' WHEN v * 10 < 30 THEN 'Oversold' ELSE 'Neutral' END AS rsi_label, CASE WHEN v / 20 > 0.15::DOUBLE THEN 'yellow' ELSE 'gray' END AS short, CASE WHEN event_id % 11 - 2 BETWEEN 0 AND 6 THEN 'yellow' ELSE 'gray' END AS earnings FROM e""")
 def status_classes(t: Tables):
-    v = F.col("value")
-    return t.read("events").select(labels.sign_class(v - 10).alias("sign"), labels.volatility_arrow(v / 1000 - 0.01).alias("arrow")).groupBy("sign", "arrow").agg(F.count("*").alias("n"))
+    v, k, e = F.col("v"), F.col("event_id") % 4, F.col("event_id")
+    rows = t.read("events").select("event_id", F.expr(_V).alias("v"))
+    return rows.select(
+        "event_id", labels.sign_class(v).alias("sign"), labels.volatility_arrow(v / 1000).alias("arrow"), labels.setup_class(k == 1, k == 2).alias("setup"), labels.volume_class(v / 4).alias("volume"),
+        labels.rsi_class(v * 10).alias("rsi"), labels.rsi_label(v * 10).alias("rsi_label"), labels.short_class(v / 20).alias("short"), labels.earnings_near(e % 11 - 2).alias("earnings"),
+    )
 
 
 @query("F29_window_start", "SELECT user_id, CASE WHEN user_id % 3 = 0 THEN TIMESTAMP '2024-02-01' - INTERVAL 7 DAY ELSE greatest(max(ts) - INTERVAL 3 DAY, TIMESTAMP '2024-02-01' - INTERVAL 14 DAY) END AS start FROM events GROUP BY user_id")
@@ -151,16 +160,25 @@ def window_start(t: Tables):
     return last.select("user_id", labels.window_start(F.when(F.col("user_id") % 3 != 0, F.col("last")), F.lit("2024-02-01").cast("timestamp")).alias("start"))
 
 
-@query("P05_asset_types", "SELECT filing_id, filing_id % 4 = 2 AS unknown_type FROM raw_trades WHERE filing_id % 4 IN (1, 2)")
+_TYPES = "['Corporate Bond', 'Stock', 'Crypto', 'Municipal Security', 'US Treasury Note', 'Mutual Fund', 'Money Market Account', 'Bank Deposit', 'Promissory Note', '', 'Stock Option', 'ETF', 'Hedge Fund']"
+_FUNDS = "['SPY', 'VOO', 'VTI', 'QQQ', 'BND', 'IVV', 'SCHB', 'VT', 'ITOT', 'SPTM', 'DIA', 'IWM', 'XLK']"
+
+
+@query("P05_asset_types", f"""SELECT filing_id, NOT (kind = '' OR regexp_matches(lower(kind), 'stock|option|etf|bond|mutual|treasury|fund')) AS unknown_type FROM (SELECT filing_id, {_TYPES}[filing_id % 13 + 1] AS kind, CASE WHEN filing_id % 5 = 0 THEN {_FUNDS}[filing_id // 13 % 13 + 1] ELSE ticker END AS tk FROM raw_trades)
+ WHERE kind NOT IN ('Corporate Bond', 'Municipal Security', 'US Treasury Note', 'Mutual Fund', 'Money Market Account') AND (tk IN ('DIA', 'IWM', 'XLK') OR tk LIKE 'T%')""")
 def asset_types(t: Tables):
-    k = F.col("filing_id") % 4
-    raw = t.raw_trades.withColumn("asset_type", F.when(k == 0, "Corporate Bond").when(k == 1, "Stock").otherwise("Crypto")).withColumn("ticker", F.when(k == 3, "SPY").otherwise(F.col("ticker")))
+    pick = lambda words, i: F.element_at(F.from_json(F.lit(words.replace("'", '"')), "array<string>"), i + 1)
+    k = F.col("filing_id")
+    raw = t.raw_trades.withColumn("asset_type", pick(_TYPES, (k % 13).cast("int"))).withColumn("ticker", F.when(k % 5 == 0, pick(_FUNDS, (F.floor(k / 13) % 13).cast("int"))).otherwise(F.col("ticker")))
     return disclosures.clean_trades(raw).select("filing_id", "unknown_type")
 
 
-@query("P08_mentions_in_universe", "SELECT ticker, date, mention_count FROM mentions WHERE subreddit = '' AND ticker IN (SELECT ticker FROM universe)")
+@query("P08_mentions_in_universe", "SELECT 'tk' || ticker AS ticker, date, mention_count FROM mentions WHERE subreddit = '' AND ticker IN (SELECT ticker FROM universe)")
 def in_universe(t: Tables):
-    return t.mentions.where("subreddit = ''").join(t.universe, "ticker", "left_semi").select("ticker", "date", "mention_count")
+    """Whatever the case of a ticker's letters."""
+    m = t.mentions.where("subreddit = ''").select(F.concat(F.lit("tk"), F.col("ticker").cast("string")).alias("ticker"), "date", "mention_count")
+    u = t.universe.select(F.concat(F.lit("Tk"), F.col("ticker").cast("string")).alias("member"))
+    return m.join(u, F.upper("ticker") == F.upper("member"), "left_semi")
 
 
 @query("J21_bars_with_news", "SELECT b.ticker, b.date, count(n.news_id) AS n_news, coalesce(string_agg(CAST(n.news_id AS VARCHAR), ',' ORDER BY n.news_id DESC), '') AS news_ids FROM bars b LEFT JOIN news n ON n.ticker = b.ticker AND n.date = b.date GROUP BY b.ticker, b.date")
@@ -169,15 +187,3 @@ def bars_with_news(t: Tables):
     j = t.bars.select("ticker", "date").join(n, ["ticker", "date"], "left")
     ids = F.coalesce("ids", F.array().cast("array<bigint>"))
     return j.select("ticker", "date", F.size(ids).cast("long").alias("n_news"), F.array_join(ids, ",").alias("news_ids"))
-
-
-@query("S09_A16_dimensions", "SELECT sector, count(*) AS members, count(*) FILTER (WHERE speculative) AS speculative FROM universe GROUP BY sector")
-def dimensions(t: Tables):
-    return t.universe.groupBy("sector").agg(F.count("*").alias("members"), F.count_if("speculative").alias("speculative"))
-
-
-@query("E11_ticker_report", "WITH x AS (SELECT ticker, date, mention_count FROM mentions WHERE subreddit = '') SELECT sector, CAST(sum(mention_count) AS BIGINT) AS mentions, count(DISTINCT ticker) AS tickers FROM universe JOIN x USING (ticker) GROUP BY sector")
-def ticker_report(t: Tables):
-    m = t.mentions.where("subreddit = ''").groupBy("ticker").agg(F.sum("mention_count").alias("mentions"))
-    return t.universe.join(m, "ticker").groupBy("sector").agg(F.sum("mentions").alias("mentions"), F.count_distinct("ticker").alias("tickers"))
-

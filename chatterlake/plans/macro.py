@@ -20,10 +20,11 @@ def quarter_ends(t: Tables):
 _Q = "q AS (SELECT CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS date, arg_max(value, date) AS value FROM econ WHERE series_id = '1-URGENT' GROUP BY ALL)"
 
 
-@query("J03_forward_fill", f"WITH {_Q} SELECT e.date, round(e.value, 2) AS fast, round(q.value, 2) AS slow FROM (SELECT * FROM econ WHERE series_id = '2-HIGH') e ASOF JOIN q ON e.date >= q.date")
+@query("J03_forward_fill", """WITH q AS (SELECT series_id AS pair, CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS date, arg_max(value, date) AS value FROM econ GROUP BY ALL) SELECT e.series_id AS pair, e.date, round(e.value, 2) AS fast, round(q.value, 2) AS slow FROM econ e ASOF JOIN q ON e.series_id = q.pair AND e.date >= q.date""")
 def forward_fill(t: Tables):
-    q = macro.quarter_ends(t.econ.where("series_id = '1-URGENT'")).select(F.col("quarter_end").alias("date"), "value")
-    return macro.fill_forward(_s(t, "2-HIGH"), q).select("date", F.round("fast", 2).alias("fast"), F.round("slow", 2).alias("slow"))
+    """Every series' own quarters laid under its months."""
+    q = macro.quarter_ends(t.econ).select(F.col("series_id").alias("pair"), F.col("quarter_end").alias("date"), "value")
+    return macro.fill_forward(t.econ.withColumnRenamed("series_id", "pair"), q).select("pair", "date", F.round("fast", 2).alias("fast"), F.round("slow", 2).alias("slow"))
 
 
 @query("J04_series_ratio", "SELECT a.date, round(a.value / nullif(b.value, 0), 6) AS ratio FROM econ a JOIN econ b USING (date) WHERE a.series_id = '1-URGENT' AND b.series_id = '2-HIGH' AND b.value <> 0")
@@ -44,10 +45,13 @@ def period_change(t: Tables):
     return a.select("series_id", "date", r6("change_pct", "yoy_pct")).join(b.select("series_id", "date", r6("change_pct", "four_row_pct")), ["series_id", "date"])
 
 
-@query("W19_real_stretch", """WITH j AS (SELECT p.date, p.value * (SELECT arg_max(value, date) FROM econ WHERE series_id = '5-LOW') / c.value AS r FROM (SELECT * FROM econ WHERE series_id = '1-URGENT') p ASOF JOIN (SELECT * FROM econ WHERE series_id = '5-LOW') c ON p.date >= c.date)
- SELECT date, round(CASE WHEN count(r) OVER w >= 60 THEN r / avg(r) OVER w END, 6) AS stretch FROM j WINDOW w AS (ORDER BY date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)""")
+_STRETCH = """j AS (SELECT p.series_id AS pair, p.date, p.value * (SELECT arg_max(value, date) FROM econ WHERE series_id = '5-LOW') / c.value AS r FROM econ p ASOF JOIN (SELECT * FROM econ WHERE series_id = '5-LOW') c ON p.date >= c.date),
+ st AS (SELECT pair, date, CASE WHEN count(r) OVER w >= 60 THEN r / avg(r) OVER w END AS stretch FROM j WINDOW w AS (PARTITION BY pair ORDER BY date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))"""
+
+
+@query("W19_real_stretch", f"WITH {_STRETCH} SELECT pair, date, round(stretch, 6) AS stretch FROM st")
 def stretch(t: Tables):
-    return macro.real_stretch(_s(t, "1-URGENT"), _s(t, "5-LOW")).select("date", r6("stretch"))
+    return macro.real_stretch(t.econ.withColumnRenamed("series_id", "pair"), _s(t, "5-LOW")).select("pair", "date", r6("stretch"))
 
 
 _Z = """z AS (SELECT series_id, v AS value, (v - CASE WHEN n >= 12 THEN m1 ELSE m2 END) / nullif(CASE WHEN n >= 12 THEN s1 ELSE s2 END, 0) AS z_score FROM (
@@ -79,6 +83,41 @@ def reality(t: Tables):
     return r.select("score", "band", "market_z", "economy_z", F.array_join("used_indicators", ",").alias("used"), F.array_join("skipped_indicators", ",").alias("skipped"))
 
 
+_ALL = f"""{_STRETCH}, q AS (SELECT CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS date, arg_max(value, date) AS value FROM econ WHERE series_id = '1-URGENT' GROUP BY ALL),
+ bk AS (SELECT b.date, b.v / e.value AS ratio FROM (SELECT date, avg(value) AS v FROM econ WHERE series_id IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') GROUP BY date) b JOIN econ e ON e.date = b.date AND e.series_id = '1-URGENT'),
+ made AS (SELECT 'level_to_quarter' AS series_id, e.date, e.value / q.value AS value FROM (SELECT * FROM econ WHERE series_id = '2-HIGH') e ASOF JOIN q ON e.date >= q.date
+  UNION ALL SELECT 'stretch', date, stretch FROM st WHERE pair = '1-URGENT' AND stretch IS NOT NULL UNION ALL SELECT 'yoy', date, v FROM (SELECT date, (value / lag(value, 12) OVER (ORDER BY date) - 1) * 100 AS v FROM econ WHERE series_id = '3-MEDIUM') WHERE v IS NOT NULL
+  UNION ALL SELECT 'breadth', a.date, a.value / b.value FROM econ a JOIN econ b USING (date) WHERE a.series_id = '4-NOT SPECIFIED' AND b.series_id = '5-LOW' UNION ALL SELECT 'basket', date, ratio / first_value(ratio) OVER (ORDER BY date) FROM bk),
+ zz AS (SELECT series_id, (v - CASE WHEN n >= 12 THEN m1 ELSE m2 END) / nullif(CASE WHEN n >= 12 THEN s1 ELSE s2 END, 0) AS z_score FROM (SELECT series_id, any_value(v) AS v, count(value) FILTER (WHERE date >= d - 1825) AS n, avg(value) FILTER (WHERE date >= d - 1825) AS m1,
+  stddev_samp(value) FILTER (WHERE date >= d - 1825) AS s1, avg(value) AS m2, stddev_samp(value) AS s2 FROM made JOIN (SELECT series_id, max(date) AS d, arg_max(value, date) AS v FROM made GROUP BY series_id) USING (series_id) GROUP BY series_id)),
+ sp AS (SELECT series_id, count(*) AS points FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS k FROM made) WHERE k <= 60 GROUP BY series_id), cf(series_id, bucket, sign) AS (VALUES ('level_to_quarter', 'market', 1), ('stretch', 'market', 1), ('yoy', 'economy', -1), ('breadth', 'economy', 1), ('basket', 'context', 1)),
+ gg AS (SELECT avg(sign * z_score) FILTER (WHERE bucket = 'market') AS m, avg(sign * z_score) FILTER (WHERE bucket = 'economy') AS e FROM zz JOIN cf USING (series_id))"""
+
+
+@query("E03_indicators", f"""WITH {_ALL} SELECT series_id, round(z_score, 5) AS z_score, points, NULL AS band FROM zz JOIN sp USING (series_id)
+ UNION ALL SELECT 'score', round(coalesce(0.5 * m + 0.5 * e, m, e, 0.0), 3), NULL, CASE WHEN coalesce(0.5 * m + 0.5 * e, m, e, 0.0) >= 1.5 THEN 'severe_decoupling' WHEN coalesce(0.5 * m + 0.5 * e, m, e, 0.0) >= 0.5 THEN 'stretched' WHEN coalesce(0.5 * m + 0.5 * e, m, e, 0.0) > -0.5 THEN 'aligned' ELSE 'market_discounting_weakness' END FROM gg""")
+def indicators(t: Tables):
+    """The whole job: indicators made from series, their z-scores and sparklines, and the score over their buckets."""
+    q = macro.quarter_ends(t.econ.where("series_id = '1-URGENT'")).select(F.lit("q").alias("pair"), F.col("quarter_end").alias("date"), "value")
+    named = lambda df, name, value: df.select(F.lit(name).alias("series_id"), "date", value.alias("value")).where("value is not null")
+    high = _s(t, "2-HIGH").select(F.lit("q").alias("pair"), "date", "value")
+    parts = [
+        named(macro.fill_forward(high, q), "level_to_quarter", F.col("fast") / F.col("slow")),
+        named(macro.real_stretch(_s(t, "1-URGENT").select(F.lit("p").alias("pair"), "date", "value"), _s(t, "5-LOW")), "stretch", F.col("stretch")),
+        named(macro.period_change(t.econ.where("series_id = '3-MEDIUM'"), 12), "yoy", F.col("change_pct")),
+        named(macro.ratio(_s(t, "4-NOT SPECIFIED"), _s(t, "5-LOW")), "breadth", F.col("ratio")),
+        named(macro.basket_ratio(t.econ.where(F.col("series_id").isin("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")), _s(t, "1-URGENT")), "basket", F.col("rebased")),
+    ]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    z = macro.latest_z(made)
+    config = t.spark.createDataFrame([("level_to_quarter", "market", 1), ("stretch", "market", 1), ("yoy", "economy", -1), ("breadth", "economy", 1), ("basket", "context", 1)], "series_id string, bucket string, sign int")
+    lines = macro.sparkline(made).select("series_id", F.size("history").cast("long").alias("points"))
+    each = z.join(lines, "series_id").select("series_id", F.round("z_score", 5).alias("z_score"), "points", F.lit(None).cast("string").alias("band"))
+    return each.unionByName(macro.reality_score(z, config).select(F.lit("score").alias("series_id"), F.col("score").alias("z_score"), F.lit(None).cast("long").alias("points"), "band"))
+
+
 @query("P06_trailing_window", "SELECT series_id, date, round(value, 2) AS value FROM econ, (SELECT max(date) AS d FROM econ) WHERE date BETWEEN d - 400 AND d")
 def trailing(t: Tables):
     from chatterlake.operators.rollups import newest

@@ -178,7 +178,7 @@ def transcripts(t: Tables):
 
 # --- disclosures ---
 
-_TR = """tr AS (SELECT *, substr(sha256(full_name || '|' || CAST(transaction_date AS VARCHAR) || '|' || ticker || '|' || amount), 1, 24) AS trade_id, CAST(replace(regexp_extract_all(amount, '[0-9,]+')[1], ',', '') AS DOUBLE) AS amount_low,
+_TR = """tr AS (SELECT *, substr(sha256(full_name || '|' || CAST(transaction_date AS VARCHAR) || '|' || ticker || '|' || amount), 1, 24) AS trade_id, CASE WHEN amount LIKE 'Over%' THEN 50000001 ELSE CAST(replace(regexp_extract_all(amount, '[0-9,]+')[1], ',', '') AS DOUBLE) END AS amount_low,
  CASE WHEN amount NOT LIKE 'Over%' THEN CAST(replace(regexp_extract_all(amount, '[0-9,]+')[2], ',', '') AS DOUBLE) END AS amount_high, CASE type WHEN 'Purchase' THEN 'buy' WHEN 'Sale (Full)' THEN 'sell' ELSE 'exchange' END AS transaction_type FROM raw_trades)"""
 
 
@@ -197,28 +197,3 @@ def match_people(t: Tables):
 def merge_members(t: Tables):
     w = t.members.where("is_watched").select("bioguide_id", "full_name", F.lit("D").alias("party"))
     return disclosures.merge_members(w, t.members.where("is_star")).select("bioguide_id", "full_name", "is_watched", "is_star", "party")
-
-
-@query("J08_S07_committees", """WITH com AS (SELECT 'C' || r_regionkey AS committee_id, r_name AS name, NULL AS parent FROM region UNION ALL SELECT 'C' || n_regionkey || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), n_name, 'C' || n_regionkey FROM nation),
- seats AS (SELECT c_custkey AS bioguide_id, CASE WHEN c_custkey % 2 = 0 THEN 'C' || n_regionkey ELSE 'C' || n_regionkey || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END AS committee_id, CASE c_custkey % 3 WHEN 0 THEN 'Chairman' WHEN 1 THEN 'Ranking Member' ELSE 'Member' END AS title FROM customer JOIN nation ON c_nationkey = n_nationkey),
- w AS (SELECT committee_id FROM com WHERE parent IS NULL AND regexp_matches(lower(name), 'asia|europe')) SELECT bioguide_id, string_agg(committee_id || ':' || title, ',' ORDER BY committee_id, title) AS committees FROM seats s JOIN com c USING (committee_id)
- WHERE coalesce(parent, committee_id) IN (SELECT committee_id FROM w) AND (lower(title) LIKE '%chair%' OR (lower(title) LIKE '%ranking%' AND parent IS NULL)) GROUP BY bioguide_id""")
-def committees(t: Tables):
-    n, key = t.read("nation"), F.concat(F.lit("C"), F.col("n_regionkey").cast("string"))
-    sub = F.concat(key, F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
-    com = t.read("region").select(F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("committee_id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"))
-    com = com.unionByName(n.select(sub.alias("committee_id"), F.col("n_name").alias("name"), key.alias("parent_id")))
-    k = F.col("c_custkey")
-    seats = t.read("customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("bioguide_id"), F.when(k % 2 == 0, key).otherwise(sub).alias("committee_id"), F.when(k % 3 == 0, "Chairman").when(k % 3 == 1, "Ranking Member").otherwise("Member").alias("title"))
-    got = disclosures.watched_by_committee(seats, com, ["ASIA", "EUROPE"])
-    return got.select("bioguide_id", F.array_join(F.transform("committees", lambda c: F.concat(c.committee_id, F.lit(":"), c.title)), ",").alias("committees"))
-
-
-
-@query("J09_F20_E04_tracked_trades", f"""WITH {_TR} SELECT filing_id, bioguide_id, CASE WHEN amount_high IS NOT NULL THEN (amount_low + amount_high) / 2 ELSE amount_low END AS estimate, CAST(disclosure_date - transaction_date AS BIGINT) AS lag_days
- FROM tr JOIN (SELECT lower(full_name) AS k, max(bioguide_id) AS bioguide_id, bool_or(is_star) AS star FROM members GROUP BY 1) m ON lower(full_name) = m.k WHERE star AND disclosure_date >= (SELECT max(disclosure_date) FROM raw_trades) - 365""")
-def tracked(t: Tables):
-    trades = disclosures.match_people(disclosures.clean_trades(t.raw_trades), t.members)
-    now = t.raw_trades.agg(F.max("disclosure_date").alias("now"))
-    got = disclosures.tracked_trades(trades.join(F.broadcast(now), F.lit(True)), t.members.where("is_star"), F.col("now"), 365)
-    return disclosures.trade_table(got).select("filing_id", "bioguide_id", "estimate", "lag_days")
