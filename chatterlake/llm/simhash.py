@@ -50,18 +50,18 @@ def majority_bits(hashes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fingerprint long): bit i is 1 where it is in over half of the shingles' XXH64, repeats included."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros(len(pdf), dtype="<u8")
-            for i, text in enumerate(pdf["text"]):
+    # ids stay with Spark: in pandas a null among them would turn all to floats
+    @F.pandas_udf("long")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.zeros(len(texts), dtype="<u8")
+            for i, text in enumerate(texts):
                 h = shingle_hashes(words_of(text), shingle)
                 if len(h):
                     out[i] = majority_bits(h[:, None])[0]
-            yield pd.DataFrame({"id": pdf["id"], "fingerprint": out.view("<i8")})
+            yield pd.Series(out.view("<i8"))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias(id_col), fingerprint(F.col(text_col)).alias("fingerprint"))
 
 
 def block_masks(blocks: int, bits_apart: int) -> list[int]:
