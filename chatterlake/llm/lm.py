@@ -5,8 +5,8 @@ The network reads and predicts symbols: the frequent words, and for all other wo
 word's last bytes), so it has a say on rare words too. Its output is factored: a class, then the symbol in its class.
 A rare word's probability is its shape's, given the state, times its share among the training words of that shape.
 
-Training is truncated backpropagation, state carried from window to window. In each round every task trains a copy of
-the model on its part of the training texts, and the copies are averaged by tokens. Each training text is learned
+Training is truncated backpropagation, state carried from window to window. In each round every partition trains a copy
+of the model on its training texts, and the copies are averaged by tokens. Each training text is learned
 whole, from its start to its end token, in the round that a hash of it picks; so the rounds together take every token
 of every training text once. Given ``stretch``, each round takes that share of each text instead, from a place picked
 by a hash. Scoring runs whole texts, with the state carried to the end.
@@ -19,11 +19,12 @@ equal ids each keep their row; an empty table gives an empty result; without tra
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
-from itertools import repeat
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -37,14 +38,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
 END = "\n"  # no word holds it
-#: Words whose counts every task gets; words and shapes that the network tells apart; its classes; its state.
-HEAD, FREQUENT, SHAPES, CLASSES, STATE = 150_000, 1000, 64, 32, 16
+#: Words whose counts every task gets; words and shapes that the network tells apart; its classes, embedding and state.
+HEAD, FREQUENT, SHAPES, CLASSES, EMBED, STATE = 150_000, 1000, 64, 32, 16, 24
 SUFFIX_BYTES = 3
-#: Steps of a window in training and in scoring, texts trained side by side, copies trained a round.
-WINDOW, SCORE_WINDOW, LANES, TASKS = 32, 64, 64, 64
+#: Steps of a window of training, texts trained side by side; characters of the texts scored side by side.
+WINDOW, LANES, BATCH_CHARS = 32, 128, 8_000_000
 RATE, CLIP = 0.08, 5.0
 #: Predictions worked out together: so many fit a processor's cache.
-ROWS_AT_ONCE = 16_384
+ROWS_AT_ONCE = 8192
+#: Logits are held within this, so that their exponentials stay finite.
+LOGIT_LIMIT = 60.0
 
 
 def word_shape(word: bytes) -> int:
@@ -126,10 +129,14 @@ def make_vocabulary(counts: DataFrame, head: int = HEAD, frequent: int = FREQUEN
 
 @dataclass
 class Network:
-    """Weights; the input table holds what a symbol adds to the update gate, the reset gate and the new state."""
+    """Weights. A symbol's embedding is projected to what it adds to the update gate, the reset gate and the new state.
 
-    inputs: np.ndarray  # symbols x 3 STATE
-    back: np.ndarray  # STATE x 3 STATE
+    Inside, states stand in columns, a lane each, so the gates of all lanes lie together. A gate is (1 + tanh) / 2.
+    """
+
+    embed: np.ndarray  # EMBED x symbols
+    project: np.ndarray  # 3 STATE x EMBED
+    back: np.ndarray  # 3 STATE x STATE
     to_class: np.ndarray  # STATE x CLASSES
     class_bias: np.ndarray
     to_symbol: np.ndarray  # symbols x STATE
@@ -144,7 +151,7 @@ class Network:
         classes = np.bincount(v.class_of, weights=n, minlength=CLASSES) + 1e-6
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         return Network(
-            draw(symbols, 3 * STATE), draw(STATE, 3 * STATE) * 2, draw(STATE, CLASSES), np.log(classes / classes.sum()).astype(np.float32),
+            draw(EMBED, symbols) * 3, draw(3 * STATE, EMBED) * 2, draw(3 * STATE, STATE) * 2, draw(STATE, CLASSES), np.log(classes / classes.sum()).astype(np.float32),
             draw(symbols, STATE), np.log(n / classes[v.class_of]).astype(np.float32),
         )
 
@@ -161,51 +168,74 @@ class Network:
             at += a.size
         return Network(*parts)
 
+    @property
+    def inputs(self) -> np.ndarray:
+        """What each symbol adds, in rows."""
+        return (self.project @ self.embed).T
+
+    def advance(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For columns of inputs and states: the new states, and the gates, candidates and recurrent parts they came from."""
+        g = self.back @ h
+        gates = x[: 2 * STATE] + g[: 2 * STATE]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = gates[STATE:] * g[2 * STATE :]
+        new += x[2 * STATE :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:STATE]
+        out += new
+        return out, gates, new, g[2 * STATE :]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The new state, and the gates, candidate and recurrent part that it came from."""
-        g = h @ self.back
-        gates = np.exp(-(x[:, : 2 * STATE] + g[:, : 2 * STATE]))
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        new = np.tanh(x[:, 2 * STATE :] + gates[:, STATE:] * g[:, 2 * STATE :])
-        return new + gates[:, :STATE] * (h - new), gates, new, g
+        """``advance`` for states in rows."""
+        return tuple(a.T for a in self.advance(x.T, h.T))
 
     def log_probs(self, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln p of each target; with ``grads``, adds the output weights' gradients there and gives that of the states."""
-        rows, wanted = np.arange(len(targets)), v.class_of[targets]
-        logits = states @ self.to_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        out = logits[rows, wanted] - np.log(total)
-        d_states = None
+        """ln p of each target, for states in rows; with ``grads``, adds the output weights' gradients there and gives
+        that of the states."""
+        order = np.argsort(targets.astype(np.int16), kind="stable")  # targets of a class stand together
+        s, y = states[order], targets[order]
+        rows = np.arange(len(y))
+        p, total, logs = _softmax(s @ self.to_class, self.class_bias, rows, v.class_of[y])
+        d = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, wanted] -= 1
-            grads.to_class += states.T @ p
+            p /= total
+            p[rows, v.class_of[y]] -= 1
+            grads.to_class += s.T @ p
             grads.class_bias += p.sum(axis=0)
-            d_states = p @ self.to_class.T
-        order = np.argsort(wanted, kind="stable")
-        ends = np.cumsum(np.bincount(wanted, minlength=CLASSES))
-        for c in np.flatnonzero(np.diff(ends, prepend=0)):
-            at = order[ends[c - 1] if c else 0 : ends[c]]
-            lo, hi = v.class_start[c], v.class_start[c + 1]
-            s = states[at]
-            logits = s @ self.to_symbol[lo:hi].T + self.symbol_bias[lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1)
-            k, y = np.arange(len(at)), targets[at] - lo
-            out[at] += logits[k, y] - np.log(total)
+            d = p @ self.to_class.T
+        ends = np.searchsorted(y, v.class_start)
+        for c in np.flatnonzero(np.diff(ends)):
+            at, symbols = slice(ends[c], ends[c + 1]), slice(v.class_start[c], v.class_start[c + 1])
+            k, wanted = rows[: ends[c + 1] - ends[c]], y[at] - v.class_start[c]
+            p, total, each = _softmax(s[at] @ self.to_symbol[symbols].T, self.symbol_bias[symbols], k, wanted)
+            logs[at] += each
             if grads is not None:
-                p /= total[:, None]
-                p[k, y] -= 1
-                grads.to_symbol[lo:hi] += p.T @ s
-                grads.symbol_bias[lo:hi] += p.sum(axis=0)
-                d_states[at] += p @ self.to_symbol[lo:hi]
+                p /= total
+                p[k, wanted] -= 1
+                grads.to_symbol[symbols] += p.T @ s[at]
+                grads.symbol_bias[symbols] += p.sum(axis=0)
+                d[at] += p @ self.to_symbol[symbols]
+        out, d_states = np.empty_like(logs), None
+        out[order] = logs
+        if d is not None:
+            d_states = np.empty_like(d)
+            d_states[order] = d
         return out, d_states
 
 
+def _softmax(logits: np.ndarray, bias: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shares before they are divided by their totals, the totals, and ln p of the wanted ones."""
+    logits += bias
+    np.clip(logits, -LOGIT_LIMIT, LOGIT_LIMIT, out=logits)
+    chosen = logits[rows, wanted]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    return logits, total, chosen - np.log(total[:, 0])
+
+
 class Trainer:
     """Adagrad on windows of truncated backpropagation."""
 
@@ -216,39 +246,55 @@ class Trainer:
         self.waiting: list[tuple[np.ndarray, int, np.ndarray]] = []  # text, place in it, state there
 
     def window(self, symbols: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Learn from symbols [steps, lanes], preceded by ``before``; gives the state to go on from."""
-        net, steps = self.net, []
-        h, prev = state, before
-        for now in symbols:
-            x = net.inputs[prev]
-            nxt, gates, new, g = net.step(x, h)
-            steps.append((prev, h, gates, new, g, nxt))
-            h, prev = nxt, now
+        """Learn from symbols [steps, lanes], preceded by ``before``; takes and gives the states, in columns."""
+        net, (steps, lanes) = self.net, symbols.shape
+        prev = np.concatenate([before[None], symbols[:-1]])
+        # time stands first, so what a step touches lies together
+        h = np.empty((steps + 1, STATE, lanes), np.float32)
+        gates = np.empty((steps, 2 * STATE, lanes), np.float32)
+        new, rec = np.empty((steps, STATE, lanes), np.float32), np.empty((steps, STATE, lanes), np.float32)
+        h[0] = state
+        embedded = [net.embed.take(p, axis=1) for p in prev]
+        for t in range(steps):
+            h[t + 1], gates[t], new[t], rec[t] = net.advance(net.project @ embedded[t], h[t])
         grads = Network(*(np.zeros_like(a) for a in net.arrays()))
-        _, d = net.log_probs(self.v, np.concatenate([s[5] for s in steps]), symbols.ravel(), grads)
-        d = d.reshape(len(steps), -1, STATE)
-        dh = np.zeros_like(h)
-        dxs = []
-        for (prev, h0, gates, new, g, _), d_out in zip(reversed(steps), d[::-1], strict=True):
-            dh = dh + d_out
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (h0 - new) * z * (1 - z)
-            d_r = d_new * g[:, 2 * STATE :] * r * (1 - r)
-            dg = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            grads.back += h0.T @ dg
-            dh = dh * z + dg @ net.back.T
-            dxs.append((prev, np.concatenate([d_z, d_r, d_new], axis=1)))
-        np.add.at(grads.inputs, np.concatenate([p for p, _ in dxs]), np.concatenate([x for _, x in dxs]))
-        scale = 1 / symbols.shape[1]
+        _, d = net.log_probs(self.v, h[1:].transpose(0, 2, 1).reshape(-1, STATE), symbols.ravel(), grads)
+        d = np.ascontiguousarray(d.reshape(steps, lanes, STATE).transpose(0, 2, 1))
+        to_embed = np.empty((EMBED, steps, lanes), np.float32)
+        dh = np.zeros((STATE, lanes), np.float32)
+        dg = np.empty((3 * STATE, lanes), np.float32)
+        d_update, d_reset, d_new = dg[:STATE], dg[STATE : 2 * STATE], dg[2 * STATE :]
+        back, out_of = np.ascontiguousarray(net.back.T), np.ascontiguousarray(net.project.T)
+        for t in range(steps - 1, -1, -1):
+            z, r = gates[t, :STATE], gates[t, STATE:]
+            dh += d[t]
+            np.multiply(dh, 1 - z, out=d_new)
+            d_new *= 1 - new[t] * new[t]
+            np.multiply(d_new, rec[t], out=d_reset)
+            d_reset *= 2 * r * (1 - r)
+            np.multiply(dh, h[t] - new[t], out=d_update)
+            d_update *= 2 * z * (1 - z)
+            to_embed[:, t] = out_of @ dg
+            grads.project += dg @ embedded[t].T
+            d_new *= r  # what the recurrent part had in it
+            grads.back += dg @ h[t].T
+            dh *= z
+            dh += back @ dg
+        order = np.argsort(prev.ravel().astype(np.int16), kind="stable")
+        in_order = prev.ravel()[order]
+        firsts = np.flatnonzero(np.diff(in_order, prepend=-1))
+        grads.embed[:, in_order[firsts]] = np.add.reduceat(to_embed.reshape(EMBED, -1).take(order, axis=1), firsts, axis=1)
+        scale = 1 / lanes
         norm = math.sqrt(sum(float(np.vdot(a, a)) for a in grads.arrays())) * scale
         scale *= min(1.0, CLIP / (norm + 1e-9))
         for a, g, q in zip(net.arrays(), grads.arrays(), self.squares, strict=True):
             g *= scale
             q += g * g
-            a -= RATE * g / np.sqrt(q)
+            g /= np.sqrt(q)
+            g *= RATE
+            a -= g
         self.tokens += symbols.size
-        return h
+        return h[-1]
 
     def learn(self, texts: list[np.ndarray], last: bool = True) -> None:
         """Learn from texts of symbols, LANES side by side; texts in a batch are cut to whole windows of the shortest
@@ -261,8 +307,8 @@ class Trainer:
             steps = min(WINDOW, min(len(t) - at for t, at, _ in lanes))
             symbols = np.stack([t[at : at + steps] for t, at, _ in lanes], axis=1)
             before = np.array([t[at - 1] if at else self.v.end for t, at, _ in lanes])
-            state = self.window(symbols, before, np.stack([h for _, _, h in lanes]))
-            todo += [(t, at + steps, h) for (t, at, _), h in zip(lanes, state, strict=True) if at + steps < len(t)]
+            states = self.window(symbols, before, np.stack([h for _, _, h in lanes], axis=1))
+            todo += [(t, at + steps, h) for (t, at, _), h in zip(lanes, states.T.copy(), strict=True) if at + steps < len(t)]
         self.waiting = todo
 
 
@@ -273,25 +319,26 @@ def score_texts(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndar
     flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int32)
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     total = np.zeros(len(texts))
-    h = np.zeros((len(texts), STATE), np.float32)
+    table = np.ascontiguousarray(net.project @ net.embed)
+    h = np.zeros((STATE, len(texts)), np.float32)
     prev = np.full(len(texts), v.end, np.int32)
     longest = int(lengths.max(initial=0))
     lives = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts that are longer than t
     rows = np.arange(len(texts))
-    for first in range(0, longest, SCORE_WINDOW):
-        states, targets, owners = [], [], []
-        for t in range(first, min(first + SCORE_WINDOW, longest)):
-            live = int(lives[t])
-            if live < len(h):
-                h, prev, offsets = h[:live], prev[:live], offsets[:live]
-            h = net.step(net.inputs[prev], h)[0]
-            prev = flat[offsets + t]
-            states.append(h)
-            targets.append(prev)
-            owners.append(rows[:live])
-        states, targets = np.concatenate(states), np.concatenate(targets)
-        logs = [net.log_probs(v, states[i : i + ROWS_AT_ONCE], targets[i : i + ROWS_AT_ONCE])[0] for i in range(0, len(targets), ROWS_AT_ONCE)]
-        total += np.bincount(np.concatenate(owners), weights=np.concatenate(logs), minlength=len(texts))
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+    for t in range(longest):
+        live = int(lives[t])
+        if live < h.shape[1]:
+            h, prev, offsets = h[:, :live], prev[:live], offsets[:live]
+        h = net.advance(table.take(prev, axis=1), h)[0]
+        prev = flat[offsets + t]
+        waiting.append((h.T, prev, rows[:live]))
+        held += live
+        if held >= ROWS_AT_ONCE or t + 1 == longest:
+            states, targets, owners = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            total += np.bincount(owners, weights=net.log_probs(v, states, targets)[0], minlength=len(texts))
+            waiting, held = [], 0
     out = np.zeros(len(texts))
     out[order] = total
     return out
@@ -310,29 +357,53 @@ def symbols_of(v: Vocabulary, words: list[bytes], places: np.ndarray) -> np.ndar
     return out
 
 
+def by_size(texts: Iterable[str | None], chars: int) -> Iterator[list[str | None]]:
+    """Texts in groups of about so many characters: a group is scored together."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "") + 1
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def keep_large_arrays() -> None:
+    """Where the C library lets us, freed arrays stay with the process: to map and unmap them for every window costs as
+    much as the arithmetic."""
+    try:
+        tune = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    tune(-3, 1 << 30)  # M_MMAP_THRESHOLD
+    tune(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float | None) -> tuple[Network, int]:
     """The averaged network after ``rounds`` that take each text whole once, or a stretch of each every time; and the
-    number of tokens it was shown."""
+    number of tokens it was shown. Every partition trains a copy, so there are as many as the input has partitions, and
+    the copies are added up on the executors: what reaches the driver is one sum for each weight."""
     spark = docs.sparkSession
     net = Network.start(v)
-    rows = docs.select(F.col(text_col).alias("text"))
-    rows = rows.coalesce(TASKS)
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     vocabulary = spark.sparkContext.broadcast(v)
     shown = 0
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pd.DataFrame], k=k, weights=weights) -> Iterator[pd.DataFrame]:
+            keep_large_arrays()
             words = vocabulary.value
             trainer = Trainer(weights.value.like(weights.value.flat()), words)
             for pdf in batches:
                 texts = []
                 for text in pdf["text"]:
                     if stretch is None:
-                        if crc32(f"{text}".encode("utf-8", "replace")) % rounds == k:
-                            texts.append(symbols_of(words, *places_of(words, text)))
+                        texts.append(symbols_of(words, *places_of(words, text)))
                         continue
-                    tokens = [*(text.encode("utf-8", "replace").lower().split() if text else []), END.encode()]
+                    tokens = [*text.encode("utf-8", "replace").lower().split(), END.encode()]
                     size = min(len(tokens), max(WINDOW, math.ceil(len(tokens) * stretch)))
                     at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(tokens) - size + 1)
                     part = tokens[at : at + size]
@@ -340,14 +411,17 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
                 trainer.learn(texts, last=False)
             trainer.learn([])
             if trainer.tokens:
-                yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat().astype("<f4").tobytes()]})
+                yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat()]})
 
-        total, tokens = np.zeros(net.flat().size), 0
-        for r in rows.mapInPandas(run, "tokens long, weights binary").collect():  # TASKS rows at most
-            total += np.frombuffer(r["weights"], "<f4").astype(float) * r["tokens"]
-            tokens += r["tokens"]
+        mine = rows if stretch is not None else rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        copies = saved(mine.mapInPandas(run, "tokens long, weights array<float>"), "network-copies")
+        tokens = copies.agg(F.sum("tokens")).first()[0]
         if tokens:
-            net = net.like(total / tokens)
+            # decimals, so the sum is the same in whatever order it is made
+            each = copies.select("tokens", F.posexplode("weights").alias("place", "weight"))
+            part = (F.col("weight").cast("double") * F.col("tokens")).cast("decimal(28,6)")
+            total = each.groupBy("place").agg(F.sum(part).cast("double").alias("total")).toPandas().sort_values("place")
+            net = net.like(total["total"].to_numpy() / tokens)
             shown += tokens
     return net, shown
 
@@ -360,15 +434,16 @@ def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     v = make_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(v)
     network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch)[0])
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, n_known long, base double, words array<string>, times array<long>, score double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        keep_large_arrays()
         v, net = vocabulary.value, network.value
         logs = np.log10(v.counts + 0.5)
         shares = v.shape_share()
-        for pdf in batches:
+        for group in by_size(chain.from_iterable(batches), BATCH_CHARS):
             texts, out = [], []
-            for text in pdf["text"]:
+            for text in group:
                 words, places = places_of(v, text)
                 symbols = symbols_of(v, words, places)
                 texts.append(symbols)
@@ -378,13 +453,13 @@ def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
                 base = logs[places[known]].sum() - len(places) * v.base_share()
                 inside = logs[places[known & (symbols >= v.first_shape)]].sum() - shares[rare].sum()
                 head_known = int((v.counts[places[known]] > 0).sum())
-                out.append((len(places), head_known, base, inside, [w.decode("utf-8", "replace") for w in tail], list(tail.values())))
-            got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "inside", "words", "times"], index=pdf.index)
-            got["score"] = score_texts(net, v, texts) / math.log(10) + got.pop("inside")
-            yield pd.concat([pdf[["id", "held_out"]], got], axis=1)
+                out.append((len(places), head_known, base, [w.decode("utf-8", "replace") for w in tail], list(tail.values()), inside))
+            got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "words", "times", "score"])
+            got["score"] += score_texts(net, v, texts) / math.log(10)
+            yield got
 
-    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    rows = rows.mapInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, words array<string>, times array<long>, score double")
+    # ids stay with Spark: in pandas a null among them would turn all to floats
+    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), scored(F.col(text_col)).alias("scored")).select("id", "held_out", "scored.*")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "head-scores")
     tail = rows.select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
     tail = tail.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
