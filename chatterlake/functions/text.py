@@ -71,6 +71,15 @@ def collapse(text: Column, most: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
 
 
+def capped(payload: Column, most: int) -> Column:
+    return F.substring(payload, 1, most)
+
+
+def joined_media(urls: Column) -> Column:
+    """Addresses with commas between; null for none."""
+    return F.when(F.size(urls) > 0, F.array_join(urls, ","))
+
+
 def finite(x: Column) -> Column:
     """Null for what isn't a number."""
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
+from chatterlake.operators.rollups import ranked_within
 
 #: A claim at or above this Jaccard similarity to a known one is known.
 SIMILAR = 0.72
@@ -68,10 +69,9 @@ def novelty(new: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("ticker", "claim_id", F.when(known_id.isNotNull(), "known").otherwise("candidate").alias("status"), known_id.alias("known_id"))
 
 
-def corroborated(claims: DataFrame) -> Column:
-    """A claim known before, repeated by a channel that its history lacks; unknown channels in the history say nothing.
-    ``claims`` has channels and known_channels."""
-    del claims
+def corroborated() -> Column:
+    """A claim known before, repeated by a channel that its history lacks; a history with an unknown channel says nothing.
+    Of rows with channels and known_channels."""
     return F.col("known_channels").isNotNull() & (F.size("known_channels") > 0) & ~F.array_contains("known_channels", "") & (F.size(F.array_except("channels", "known_channels")) > 0)
 
 
@@ -89,3 +89,23 @@ def merge_claims(old: DataFrame, new: DataFrame) -> DataFrame:
 def valid_citations(rows: DataFrame, videos: DataFrame) -> DataFrame:
     """Citations of videos of the run; what has none left is gone."""
     return rows.join(videos.select("video_id"), "video_id", "left_semi")
+
+
+def novelty_pass(batch: DataFrame, known: DataFrame, citations: DataFrame, now: Column) -> DataFrame:
+    """A batch's claims judged and ranked: (ticker, claim_id, fingerprint, text, source_count, status, place, rank).
+
+    ``batch``: as of ``batch_claims``, with claim_id; ``known`` and ``citations``: as of ``known_claims``. A claim known by
+    its fingerprint or a similar one is new again, to a degree, where a channel repeats it that its history lacks. Places:
+    new, corroborated, known; within a place the claims with most sources come first."""
+    recent = known_claims(known, citations, now)
+    judged = novelty(batch.select("ticker", "claim_id", "fingerprint", "tokens"), recent.select("ticker", "claim_id", "fingerprint", "tokens", "first_seen_at"))
+    history = recent.select(F.col("claim_id").alias("known_id"), F.col("channels").alias("known_channels"))
+    j = batch.join(judged, ["ticker", "claim_id"]).join(history, "known_id", "left")
+    status = F.when(F.col("status") == "candidate", "new").otherwise(F.col("status"))
+    rows = j.select("ticker", "claim_id", "fingerprint", "text", "source_count", status.alias("status"), claim_rank(status, F.coalesce(corroborated(), F.lit(False))).alias("place"))
+    return ranked_within(rows, ["ticker"], [F.col("place"), F.desc("source_count"), F.col("claim_id")])
+
+
+def with_channels(citations: DataFrame, channels: DataFrame) -> DataFrame:
+    """Adds the channel of each citation's video, '' where it isn't known."""
+    return citations.join(channels, "video_id", "left").withColumn("channel", F.coalesce("channel", F.lit("")))

@@ -19,9 +19,13 @@ def keyword_matches(posts: DataFrame, keywords: DataFrame) -> DataFrame:
 
     A post's distinct tokens meet the keywords' first tokens by equality, and only such pairs run the exact pattern, so
     posts never meet all keywords."""
-    words = posts.select("post_id", F.concat_ws(" ", "title", "body").alias("text"))
     first = F.get(F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1)), 0)
-    pairs = words.select("post_id", "text", F.explode(tx.tokens(F.col("text"))).alias("token")).join(keywords.withColumn("token", first), "token")
+    wanted = keywords.withColumn("token", first)
+    text = F.concat_ws(" ", "title", "body")
+    # only the tokens that begin a keyword leave a post, and only posts that have one carry their text on
+    begins = F.array(*(F.lit(r["token"]) for r in wanted.select("token").distinct().collect()))  # keywords are a fixed list
+    found = posts.select("post_id", text.alias("text"), F.explode(F.array_intersect(tx.tokens(text), begins)).alias("token"))
+    pairs = found.join(F.broadcast(wanted), "token")
     return pairs.where(F.expr("text rlike pattern")).select("post_id", "keyword", "ticker").distinct()
 
 
@@ -70,12 +74,6 @@ def prompt_pack(picked: DataFrame, cap: int = 200) -> DataFrame:
     return block.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x.block), "\n").alias("prompt"))
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    path = landed.scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def thread_depths(comments: DataFrame) -> DataFrame:
     """(comment_id, depth): 0 without a parent, else one more than the parent's, however deep; null where the way up
     ends at an unknown comment or in a circle.
@@ -83,8 +81,8 @@ def thread_depths(comments: DataFrame) -> DataFrame:
     Pointers double: each round a comment's ancestor is replaced by that one's ancestor, so depth d takes log2(d)
     rounds. Each round is written to the shared folder, so lineage stays short."""
     rows = comments.select("comment_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    done = _saved(rows.where("up is null"), "depths")
-    open_ = _saved(rows.where("up is not null").join(comments.select(F.col("comment_id").alias("up")).distinct(), "up", "left_semi").select("comment_id", "up", "steps"), "ways-up")
+    done = landed.saved(rows.where("up is null"), "depths")
+    open_ = landed.saved(rows.where("up is not null").join(comments.select(F.col("comment_id").alias("up")).distinct(), "up", "left_semi").select("comment_id", "up", "steps"), "ways-up")
     left = open_.count()
     for _ in range(max(left, 1).bit_length() + 1):  # a way up has no more steps than there are replies
         if not left:
@@ -93,8 +91,8 @@ def thread_depths(comments: DataFrame) -> DataFrame:
         further = open_.select(F.col("comment_id").alias("up"), F.col("steps").alias("more"), F.col("up").alias("next"))
         above = ends.unionByName(further).groupBy("up").agg(F.min(F.struct("next", "more")).alias("above"))
         step = open_.join(above, "up").select("comment_id", F.col("above.next").alias("up"), (F.col("steps") + F.col("above.more")).alias("steps"))
-        step = _saved(step, "ways-up")
-        done, open_ = _saved(done.unionByName(step.where("up is null")), "depths"), step.where("up is not null")
+        step = landed.saved(step, "ways-up")
+        done, open_ = landed.saved(done.unionByName(step.where("up is null")), "depths"), step.where("up is not null")
         left = open_.count()
     return comments.select("comment_id").join(done.select("comment_id", F.col("steps").cast("int").alias("depth")), "comment_id", "left")
 
@@ -120,6 +118,13 @@ def mention_shares(posts: DataFrame, matches: DataFrame) -> DataFrame:
     return hits.join(total, "subreddit").withColumn("share", F.col("mentions") / F.col("posts"))
 
 
+def days_covered(posts: DataFrame, now: Column, window: int, cap: int) -> DataFrame:
+    """(subreddit, days_covered): the window, or less where the listing is as long as its cap."""
+    return posts.withColumn("__now", now).groupBy("subreddit").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("__now").alias("last")).select(
+        "subreddit", F.when(F.col("n") >= cap, F.round((F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 86_400e6, 1)).otherwise(float(window)).alias("days_covered")
+    )
+
+
 def discovery_verdict(named: Column) -> Column:
     weak = (F.col("mentions") < MIN_MENTIONS) | (F.col("authors") < MIN_AUTHORS)
     return F.when(F.startswith(F.lower("subreddit"), F.lit("u_")), "excluded").when(weak, "weak").when(F.col("share") >= F.when(named, NAMED_SHARE).otherwise(STOCK_SHARE), "stock").otherwise("general")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake.operators.signals import last_rows
+
 #: Fixed values of the verdict and the score.
 LEAST_SECONDS, LEAST_SUBSCRIBERS, SHORT_TICKER = 120, 500, 3
 HYPE = "🚀🔥💎🌙💰"
@@ -70,9 +72,9 @@ def with_channels(videos: DataFrame, channels: DataFrame) -> DataFrame:
 def budgeted_walk(ranked: DataFrame, most: int, tries: int = 3) -> DataFrame:
     """Down each ticker's ranking: stop at ``most`` transcripts or ``tries`` times as many attempts.
     ``ranked``: ticker, score, video_id, has_transcript."""
-    w = Window.partitionBy("ticker").orderBy(F.desc("score"), "video_id")
-    r = ranked.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= tries * most)
-    r = r.withColumn("got", F.sum(F.col("has_transcript").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = last_rows(ranked, ["ticker"], tries * most, F.desc("score"), F.col("video_id")).withColumnRenamed("rank", "attempt")
+    so_far = Window.partitionBy("ticker").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)  # 3 x most rows at most
+    r = r.withColumn("got", F.sum(F.col("has_transcript").cast("int")).over(so_far))
     return r.where(F.col("has_transcript") & (F.col("got") <= most)).drop("got")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions import text as tx
 from chatterlake.operators import communities, forum, merges
-from chatterlake.plans.registry import Tables, query, r6
+from chatterlake.operators.signals import last_rows
+from chatterlake.plans.registry import Tables, query
+from chatterlake.sources import landed
 
 _WORDS = [("THE", "THE"), ("OF", "OF"), ("CI", "CI"), ("DE", "DE"), ("rights reserved", "RR"), ("mit license", "MIT"), ("is the", "IST")]
 _PAT = [(k, t, tx.keyword_pattern(k)) for k, t in _WORDS]
@@ -26,7 +28,10 @@ def _keywords(t: Tables):
 
 
 def _hits(t: Tables):
-    return forum.keyword_matches(t.posts, _keywords(t))
+    """The matches of a query's posts, saved once: most jobs read them more than once."""
+    if not hasattr(t, "saved_hits"):
+        t.saved_hits = landed.saved(forum.keyword_matches(t.posts, _keywords(t)), "hits")
+    return t.saved_hits
 
 
 @query("J11_F04_keyword_matches", f"WITH {_HITS} SELECT * FROM hits")
@@ -55,9 +60,11 @@ def rollup(t: Tables):
     return forum.subreddit_rollup(_linked(t))
 
 
-@query("A11_post_stats", "SELECT author AS ticker, count(*) AS posts, round(coalesce(avg(score), 0), 6) AS avg_score FROM posts GROUP BY author")
+@query("A11_post_stats", """SELECT author AS ticker, count(*) AS posts, round(coalesce(avg(score), 0), 6) AS avg_score, (SELECT string_agg(CAST(p.post_id AS VARCHAR), ',' ORDER BY p.score DESC, p.post_id) FROM (SELECT q.post_id, q.score FROM posts q WHERE q.author = posts.author ORDER BY q.score DESC, q.post_id LIMIT 10) p) AS top FROM posts GROUP BY author""")
 def post_stats(t: Tables):
-    return t.posts.groupBy(F.col("author").alias("ticker")).agg(F.count("*").alias("posts"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("avg_score"))
+    p = t.posts.select(F.col("author").alias("ticker"), "post_id", "score")
+    top = last_rows(p, ["ticker"], 10, F.desc("score"), F.col("post_id")).groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "post_id"))), lambda x: x.post_id.cast("string")), ",").alias("top"))
+    return p.groupBy("ticker").agg(F.count("*").alias("posts"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("avg_score")).join(top, "ticker")
 
 
 @query("T01_rank_posts", "SELECT 'top' AS by, post_id FROM (SELECT post_id FROM posts ORDER BY score DESC, num_comments DESC, post_id LIMIT 50) UNION ALL SELECT 'comments', post_id FROM (SELECT post_id FROM posts ORDER BY num_comments DESC, score DESC, post_id LIMIT 50) UNION ALL SELECT 'new', post_id FROM (SELECT post_id FROM posts ORDER BY created_at DESC, post_id LIMIT 50)")
@@ -144,6 +151,24 @@ def shares(t: Tables):
     return s.withColumn("verdict", forum.discovery_verdict(F.col("subreddit") == "src1")).withColumn("share", F.round("share", 6))
 
 
+@query("A23_days_covered", f"""WITH {_LINKED}, nw AS (SELECT max(created_at) AS now FROM posts), c AS (SELECT subreddit, count(*) AS n, min(created_at) AS first FROM posts GROUP BY subreddit)
+ SELECT DISTINCT subreddit, CASE WHEN n >= 30 THEN round(epoch(now - first) / 86400, 1) ELSE 7.0::DOUBLE END AS days_covered FROM linked JOIN c USING (subreddit), nw""")
+def days_covered(t: Tables):
+    """A listing that is full covers the days back to its oldest post, else the whole window."""
+    now = t.posts.agg(F.max("created_at").alias("now"))
+    covered = forum.days_covered(t.posts.join(F.broadcast(now), F.lit(True)), F.col("now"), window=7, cap=30)
+    return covered.join(_linked(t).select("subreddit").distinct(), "subreddit", "left_semi")
+
+
+@query("F26_payloads", "SELECT event_id, substr('{\"id\":' || event_id || ',\"text\":\"' || repeat(event_type, CAST(event_id % 13000 AS INTEGER)) || '\"}', 1, 50000) AS payload, CASE WHEN event_id % 3 > 0 THEN array_to_string(list_transform(range(event_id % 3), lambda i: 'm' || i || '-' || event_id), ',') END AS media FROM events WHERE event_id % 200 = 7 OR event_id < 50")
+def payloads(t: Tables):
+    """A tweet's payload as JSON, cut at 50 KB, and its media in one string, null without any."""
+    e = t.read("events").where("event_id % 200 = 7 or event_id < 50")
+    raw = F.to_json(F.struct(F.col("event_id").alias("id"), F.expr("repeat(event_type, int(event_id % 13000))").alias("text")))
+    media = F.when(F.col("event_id") % 3 > 0, F.transform(F.sequence(F.lit(0), (F.col("event_id") % 3 - 1).cast("int")), lambda i: F.concat(F.lit("m"), i.cast("string"), F.lit("-"), F.col("event_id").cast("string"))))
+    return e.select("event_id", tx.capped(raw, 50_000).alias("payload"), tx.joined_media(media).alias("media"))
+
+
 @query("E06_discovery", f"WITH {_SHARES}, {_FOLLOW.removeprefix(_LINKED + ',')}, v AS (SELECT *, {_VERDICT} AS verdict FROM shares) SELECT f.ticker, f.subreddit, f.authors AS seed_authors, coalesce(verdict, 'weak') AS verdict FROM followed f LEFT JOIN v s ON s.ticker = f.ticker AND s.subreddit = f.subreddit")
 def discovery(t: Tables):
     hits = _hits(t)

@@ -80,7 +80,35 @@ def ranked_claims(t: Tables):
     history = _known(t).select(F.col("claim_id").alias("known_id"), F.array((F.col("claim_id") % 4).cast("string")).alias("known_channels"))
     j = n.join(history, "known_id", "left")
     status = F.when(F.col("status") == "candidate", "new").otherwise(F.col("status"))
-    return j.select("ticker", "claim_id", claims.claim_rank(status, claims.corroborated(j)).alias("place"))
+    return j.select("ticker", "claim_id", claims.claim_rank(status, claims.corroborated()).alias("place"))
+
+
+_PASS = f"""{_FRESH}, bt AS (SELECT ticker, fingerprint, min(claim_id) AS claim_id, arg_min(text, claim_id) AS text, any_value(tokens) AS tokens, count(DISTINCT claim_id // 100000) AS source_count, list(DISTINCT CAST(claim_id // 100000 % 5 AS VARCHAR)) AS channels FROM fresh GROUP BY ticker, fingerprint),
+ {_KNOWN}, kr AS (SELECT * FROM known WHERE CAST(first_seen_at AS DATE) >= DATE '2024-04-15' - 90), ch AS (SELECT ticker, fingerprint, list(DISTINCT CASE WHEN claim_id % 11 = 0 THEN '' ELSE CAST(claim_id % 4 AS VARCHAR) END) AS chans FROM known GROUP BY ALL),
+ ex AS (SELECT ticker, fingerprint, min(claim_id) AS exact_id FROM kr GROUP BY ALL), nf AS (SELECT f.*, exact_id FROM bt f LEFT JOIN ex USING (ticker, fingerprint)),
+ near AS (SELECT n.claim_id, k.claim_id AS known_id, len(list_intersect(n.tokens, k.tokens)) / (len(n.tokens) + len(k.tokens) - len(list_intersect(n.tokens, k.tokens))) AS sim, k.first_seen_at FROM nf n JOIN kr k ON n.ticker = k.ticker WHERE exact_id IS NULL AND len(n.tokens) > 0 AND len(k.tokens) > 0),
+ pick AS (SELECT claim_id, known_id FROM near WHERE sim >= 0.72::DOUBLE QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, first_seen_at DESC, known_id) = 1), hist AS (SELECT claim_id AS known_id, chans FROM kr JOIN ch USING (ticker, fingerprint)),
+ jd AS (SELECT n.*, coalesce(exact_id, p.known_id) AS kid FROM nf n LEFT JOIN pick p USING (claim_id)),
+ pl AS (SELECT jd.*, CASE WHEN kid IS NULL THEN 'new' ELSE 'known' END AS status, CASE WHEN kid IS NULL THEN 0 WHEN chans IS NOT NULL AND len(chans) > 0 AND NOT list_contains(chans, '') AND len(list_filter(channels, lambda c: NOT list_contains(chans, c))) > 0 THEN 2 ELSE 3 END AS place FROM jd LEFT JOIN hist ON kid = hist.known_id),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY place, source_count DESC, claim_id) AS rank FROM pl)"""
+
+
+@query("E09_novelty_pass", f"""WITH {_PASS}, both_sides AS (SELECT ticker, fingerprint, text, CAST(NULL AS VARCHAR) AS novelty, first_seen_at AS s FROM known UNION ALL SELECT ticker, fingerprint, text, status, TIMESTAMP '2024-04-15' FROM rk),
+ mg AS (SELECT ticker, fingerprint, min(s) AS first_seen, max(s) AS last_seen FROM both_sides GROUP BY ALL) SELECT rk.ticker, claim_id, md5(text) AS text_md5, source_count, status, place, rank, first_seen, last_seen FROM rk JOIN mg USING (ticker, fingerprint)""")
+def novelty_pass(t: Tables):
+    """The whole job: a batch's claims, known claims of the look-back with their channels, novelty, ranking, the merge."""
+    now = F.lit("2024-04-15").cast("timestamp")
+    rows = _all_sentences(t).where("doc_id % 50 = 0")
+    rows = rows.select("ticker", "kind", F.trim(F.regexp_replace("text", "[^ ]+$", "")).alias("text"), (F.col("doc_id") * 100000 + F.col("n")).alias("position"), F.col("doc_id").alias("video_id"), F.col("n").alias("second"), (F.col("doc_id") % 5).cast("string").alias("channel_id"))
+    batch = claims.batch_claims(rows).withColumn("claim_id", F.col("position"))
+    k = _known(t).withColumn("last_seen_at", F.col("first_seen_at"))
+    channel = F.when(F.col("claim_id") % 11 == 0, "").otherwise((F.col("claim_id") % 4).cast("string"))
+    cites = k.select("ticker", "fingerprint", F.col("claim_id").alias("video_id"), F.lit(0).alias("second"), channel.alias("channel_id"))
+    judged = claims.novelty_pass(batch, k, cites, now)
+    side = lambda df, mark, at: df.select("ticker", "fingerprint", "text", mark.alias("novelty"), at.alias("seen_at"))
+    merged = claims.merge_claims(side(k, F.lit(None).cast("string"), F.col("first_seen_at")), side(judged, F.col("status"), now))
+    j = judged.join(merged.select("ticker", "fingerprint", "first_seen_at", "last_seen_at"), ["ticker", "fingerprint"])
+    return j.select("ticker", "claim_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source_count", "status", "place", "rank", F.col("first_seen_at").alias("first_seen"), F.col("last_seen_at").alias("last_seen"))
 
 
 @query("M07_claim_merge", f"""WITH {_FRESH}, b AS (SELECT ticker, fingerprint, text, 'new' AS novelty, TIMESTAMP '2024-03-01' + to_seconds(claim_id) AS s FROM fresh UNION ALL SELECT ticker, fingerprint, upper(text), 'known', TIMESTAMP '2024-04-01' + to_seconds(claim_id) FROM fresh WHERE claim_id % 2 = 0)
@@ -109,6 +137,14 @@ def citations(t: Tables):
     return kept.join(l.select("video_id", "quality"), "video_id", "left").select("video_id", F.coalesce("quality", F.lit(-1)).alias("channel"))
 
 
+@query("J17_citation_channels", "SELECT conv_id AS video_id, CAST(turn AS BIGINT) AS second, CASE WHEN source = 'src1' OR source IS NULL THEN '' ELSE source END AS channel FROM conversations LEFT JOIN documents ON doc_id = conv_id")
+def citation_channels(t: Tables):
+    """Each citation's channel, '' where its video's isn't known."""
+    cites = t.read("conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").cast("long").alias("second"))
+    channels = t.read("documents").where("source != 'src1'").select(F.col("doc_id").alias("video_id"), F.col("source").alias("channel"))
+    return claims.with_channels(cites, channels)
+
+
 # --- videos ---
 
 _VID = """vid AS (SELECT d.doc_id AS video_id, split_part(text, chr(10), 1) AS title, source AS channel, n_chars AS duration_seconds, n_chars * 7 AS views, CASE WHEN source = 'src3' THEN 0 ELSE subs END AS subscribers, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at, coalesce(l.quality = 1, false) AS has_transcript
@@ -161,6 +197,16 @@ def reliability(t: Tables):
     return top.select("video_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "video_id")).alias("rank"))
 
 
+@query("E14_video_selection", f"""WITH {_CAT}, {_REL.removeprefix(_VID + ', ')}, okd AS (SELECT r.*, row_number() OVER (PARTITION BY r.channel ORDER BY r.score DESC, r.video_id) AS attempt FROM rel r JOIN verdict USING (video_id) WHERE category IS NULL QUALIFY attempt <= 15)
+ SELECT ticker, what, n FROM (SELECT channel AS ticker, 'read ' || video_id AS what, attempt AS n FROM (SELECT *, sum(CAST(has_transcript AS INTEGER)) OVER (PARTITION BY channel ORDER BY attempt) AS got FROM okd) WHERE has_transcript AND got <= 5) UNION ALL SELECT channel, category, count(*) FROM verdict WHERE category IS NOT NULL GROUP BY ALL""")
+def video_selection(t: Tables):
+    """The whole job: videos with their channels, verdicts and their tally, ranking by reliability, the budgeted walk."""
+    v = _scored(t).withColumn("category", video.quality_category(F.lit("CI"), F.lit("Ciudad Casa That Inc")))
+    read = video.budgeted_walk(v.where("category is null").select(F.col("channel").alias("ticker"), "video_id", "score", "has_transcript"), 5)
+    out = read.select("ticker", F.concat(F.lit("read "), F.col("video_id").cast("string")).alias("what"), F.col("attempt").cast("long").alias("n"))
+    return out.unionByName(v.where("category is not null").groupBy(F.col("channel").alias("ticker"), F.col("category").alias("what")).agg(F.count("*").alias("n")))
+
+
 @query("T07_E14_budgeted_walk", f"""WITH {_REL}, r AS (SELECT channel AS ticker, video_id, has_transcript, row_number() OVER (PARTITION BY channel ORDER BY score DESC, video_id) AS attempt FROM rel QUALIFY attempt <= 15)
  SELECT ticker, video_id, attempt FROM (SELECT *, sum(CAST(has_transcript AS INTEGER)) OVER (PARTITION BY ticker ORDER BY attempt) AS got FROM r) WHERE has_transcript AND got <= 5""")
 def walk(t: Tables):
@@ -168,7 +214,7 @@ def walk(t: Tables):
     return video.budgeted_walk(ranked, 5).select("ticker", "video_id", "attempt")
 
 
-@query("F30_transcripts", "SELECT conv_id, md5(string_agg('[' || turn || 's] ' || text, chr(10) ORDER BY turn)) AS timed_md5, length(string_agg(text, ' ' ORDER BY turn)) AS n FROM conversations GROUP BY conv_id")
+@query("F30_transcripts", "SELECT conv_id, md5(substr(string_agg('[' || turn || 's] ' || text, chr(10) ORDER BY turn), 1, 120000)) AS timed_md5, length(string_agg(text, ' ' ORDER BY turn)) AS n FROM conversations GROUP BY conv_id")
 def transcripts(t: Tables):
     s = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("second"), "text")))
     c = t.read("conversations").groupBy("conv_id").agg(s.alias("s"))
