@@ -12,6 +12,8 @@ from chatterlake.llm.shared import held_out, scratch_path
 
 #: Rows of a batch that goes to Python: with very long texts too, a batch stays small.
 BATCH_ROWS = "500"
+#: Names the table of token counts that runs share; unset, a run starts with an empty one of its own.
+TOKEN_CACHE = "spark.chatterlake.token-cache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-cache"))
+    cache = spark.conf.get(TOKEN_CACHE, None) or scratch_path(spark, "token-cache")
+    return tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +66,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # a batch runs through the network together
-    return lm.text_scores(docs, held_out("doc_id", 5))
+    return lm.text_scores(table(spark, sf_dir, "documents"), held_out("doc_id", 5))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from importlib import metadata
 from pathlib import Path
 
 import pandas as pd
@@ -24,8 +25,9 @@ TEXTS_AT_ONCE = 64
 
 
 def tokenizer_version(path: str) -> bytes:
-    """The digest of a tokenizer's file: another file is another version."""
-    return hashlib.sha256(Path(path).read_bytes()).digest()
+    """The digest of a tokenizer's file and its library's version: with another of either, counts may differ."""
+    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    return hashlib.sha256(f"{library} {metadata.version(library)}\n".encode() + Path(path).read_bytes()).digest()
 
 
 def load_counter(path: str):
@@ -78,9 +80,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     keys = saved(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    firsts = keys.groupBy("digest").agg(F.min("id").alias("first_id")).join(stored, "digest", "left_anti")
-    misses = rows.join(firsts.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first_id")))
-    fresh = encode_misses(misses.select("digest", "text"), tokenizer_path)
+    wanted = saved(keys.select("digest").distinct().join(stored, "digest", "left_anti"), "uncounted")
+    # one text a digest, whatever rows share it; copies meet before the shuffle
+    misses = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("text").alias("text"))
+    fresh = encode_misses(misses, tokenizer_path)
     fresh.select(version.alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
     counts = saved(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
