@@ -1,42 +1,65 @@
-"""The streaming jobs over the event tables; a closing row far ahead lets the last days be written."""
+"""The streaming jobs over the event tables, as files arrive: three days of rows a file, one file a micro-batch, some rows a
+file late, and after a closing row far ahead some that are later than the allowance."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.plans.registry import Tables, query
-from chatterlake.sources.landed import scratch
+from chatterlake.sources import landed
 from chatterlake.streaming import streams
 
+DAYS_A_FILE, CLOSING, TOO_LATE = 3, 1000, 1001
+CLOSED = "2025-01-01"
 
-def _landed(t: Tables, name: str, df) -> str:
-    """The rows in files by time, and one row 60 days on in a file that is read last."""
-    path = scratch(t.spark, name)
-    df.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    last = df.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 60 days"))
-    last.withColumn("user_id", F.lit(-1).cast("long")).withColumn("event_id", F.lit(-1).cast("long")).write.mode("append").parquet(path)
+
+def _file_of(ts: str) -> Column:
+    """Files by time; events are of one month."""
+    return F.floor(F.datediff(ts, F.lit("2024-01-01")) / DAYS_A_FILE).cast("int")
+
+
+def _arrive(t: Tables, name: str, rows: DataFrame, file: Column) -> str:
+    """Write the rows file by file, in order, so that each becomes a micro-batch."""
+    path = landed.scratch(t.spark, name)
+    tagged = landed.saved(rows.withColumn("__file", file), name)
+    for r in tagged.select("__file").distinct().orderBy("__file").collect():
+        tagged.where(F.col("__file") == r["__file"]).drop("__file").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-@query("R01_stream_daily_counts", "SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL")
+def _closing(df: DataFrame, **values) -> DataFrame:
+    """A row far ahead, which moves the watermark past all others."""
+    last = df.limit(1).withColumn("ts", F.lit(CLOSED).cast(df.schema["ts"].dataType))
+    return last.withColumns({c: F.lit(v).cast(df.schema[c].dataType) for c, v in values.items()})
+
+
+@query("R01_stream_daily_counts", "SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_id % 97 <> 0 GROUP BY ALL")
 def daily(t: Tables):
-    path = _landed(t, "events", t.read("events"))
-    rows = streams.run_available(streams.daily_counts(streams.stream_table(t.spark, path, 100), "user_id", "ts"), "daily")
-    return rows.where("user_id >= 0")
+    """Rows that come a file late count; rows (event_id divisible by 97) that come after their days have closed don't."""
+    e = t.read("events")
+    rows = e.unionByName(_closing(e, user_id=-1, event_id=-1))
+    k = F.col("event_id")
+    file = F.when(k == -1, CLOSING).when(k % 97 == 0, TOO_LATE).otherwise(_file_of("ts") + F.when(k % 17 == 0, 1).otherwise(0))
+    stream = streams.stream_table(t.spark, _arrive(t, "events", rows, file))
+    return streams.run_available(streams.daily_counts(stream, "user_id", "ts"), "daily").where("user_id >= 0")
 
 
 @query("R02_stream_first_wins", "SELECT DISTINCT event_id AS tweet_id, user_id AS handle FROM events WHERE event_id % 10 <> 0 OR event_id % 7 <> 0")
 def first_wins(t: Tables):
+    """Each tweet once: the second provider's copy comes a file later, and some come again after all has closed."""
     e = t.read("events")
-    both = e.where("event_id % 10 <> 0").unionByName(e.where("event_id % 7 <> 0"))
-    path = scratch(t.spark, "tweets")
-    both.write.parquet(path)
-    once = streams.first_of_each(streams.stream_table(t.spark, path, 100), "event_id", "ts")
-    return streams.run_available(once.select(F.col("event_id").alias("tweet_id"), F.col("user_id").alias("handle")), "first")
+    copies = e.where("event_id % 10 <> 0").withColumn("copy", F.lit(0)).unionByName(e.where("event_id % 7 <> 0").withColumn("copy", F.lit(1)))
+    again = e.where("event_id % 97 = 1 and event_id % 10 <> 0").withColumn("copy", F.lit(2))
+    rows = copies.unionByName(again)
+    rows = rows.unionByName(_closing(rows, user_id=-1, event_id=-1, copy=3))
+    file = F.when(F.col("copy") == 3, CLOSING).when(F.col("copy") == 2, TOO_LATE).otherwise(_file_of("ts") + F.col("copy"))
+    once = streams.first_of_each(streams.stream_table(t.spark, _arrive(t, "tweets", rows, file)), "event_id", "ts")
+    return streams.run_available(once.select(F.col("event_id").alias("tweet_id"), F.col("user_id").alias("handle")), "first").where("tweet_id >= 0")
 
 
 @query("R03_stream_change_log", "SELECT post_id, event_id, seen_at, score, num_comments FROM (SELECT *, lag(score) OVER w AS s, lag(num_comments) OVER w AS c, row_number() OVER w AS k FROM sightings WINDOW w AS (PARTITION BY post_id ORDER BY seen_at, event_id)) WHERE k = 1 OR s IS DISTINCT FROM score OR c IS DISTINCT FROM num_comments")
 def change_log(t: Tables):
-    path = scratch(t.spark, "sightings")
-    t.sightings.write.parquet(path)
-    return streams.run_available(streams.change_log(streams.stream_table(t.spark, path, 1000)), "changes")
+    """The last sighting of a post is kept from one micro-batch to the next."""
+    path = _arrive(t, "sightings", t.sightings, _file_of("seen_at"))
+    return streams.run_available(streams.change_log(streams.stream_table(t.spark, path)), "changes")
