@@ -10,7 +10,7 @@ from chatterlake.plans.registry import Tables, query
 from chatterlake.sources import landed
 from chatterlake.streaming import streams
 
-DAYS_A_FILE, CLOSING, TOO_LATE = 3, 1000, 1001
+DAYS_A_FILE, CLOSING, TOO_LATE = 3, 1000, 1002
 CLOSED = "2025-01-01"
 
 
@@ -38,9 +38,10 @@ def _closing(df: DataFrame, **values) -> DataFrame:
 def daily(t: Tables):
     """Rows that come a file late count; rows (event_id divisible by 97) that come after their days have closed don't."""
     e = t.read("events")
-    rows = e.unionByName(_closing(e, user_id=-1, event_id=-1))
+    # two closing rows in two files: what is late is told by the watermark of the batch before
+    rows = e.unionByName(_closing(e, user_id=-1, event_id=-1)).unionByName(_closing(e, user_id=-1, event_id=-2))
     k = F.col("event_id")
-    file = F.when(k == -1, CLOSING).when(k % 97 == 0, TOO_LATE).otherwise(_file_of("ts") + F.when(k % 17 == 0, 1).otherwise(0))
+    file = F.when(k < 0, (F.lit(CLOSING - 1) - k).cast("int")).when(k % 97 == 0, TOO_LATE).otherwise(_file_of("ts") + F.when(k % 17 == 0, 1).otherwise(0))
     stream = streams.stream_table(t.spark, _arrive(t, "events", rows, file))
     return streams.run_available(streams.daily_counts(stream, "user_id", "ts"), "daily").where("user_id >= 0")
 
