@@ -5,32 +5,29 @@ compressed with each dictionary on its own, and the language with the smallest t
 tells whether to trust it.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected; equal totals go to the
-language that sorts first, with score 0; without labelled rows every text is ``und``; rows are never joined, so
+language that sorts first, with score 0; without labelled rows every text is ``und``; a language whose labelled texts hold less than
+eight bytes of letters, too few for a dictionary, is not learned; rows are never joined, so
 repeated ids and extra columns are harmless; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.llm.shared import fraction
 
 UNKNOWN = "und"
+NO_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 BLOCK_BYTES = 2048
 LEVEL = 3
 #: Characters of the pieces of which dictionaries are sampled: most texts are one piece.
 SAMPLE_CHARS = 4096
-#: Texts of up to this many bytes are packed at a level that finds shorter matches.
-SHORT_BYTES = 400
-SHORT_LEVEL = 19
-#: and with so many parts of each dictionary, whose sizes are added up, as the bytes of one size often tie.
-SHORT_PARTS = 8
 #: Bytes of the dictionary's start put before a block: few bytes alone would be stored as they are, whatever they match.
 CARRIER_BYTES = 96
 #: Below this margin, as a share of the second size, the two best languages can't be told apart.
@@ -46,8 +43,9 @@ class LanguageModel:
 
 
 def plain(text: str) -> bytes:
-    """What is compressed: lower case, runs of anything but letters as one space."""
-    return re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode("utf-8", "replace")
+    """What is compressed: lower case, runs of anything but letters and their marks as one space; nothing without a letter."""
+    spaced = NO_LETTERS.sub(" ", text.lower()).strip()
+    return spaced.encode("utf-8", "replace") if LETTER.search(spaced) else b""
 
 
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", budget_bytes: int = 160_000) -> LanguageModel:
@@ -88,30 +86,24 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", narr
 
         m = context.value
 
-        def sizer(content: bytes, level: int) -> Callable[[bytes], int]:
+        def sizer(content: bytes) -> Callable[[bytes], int]:
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
+            held.precompute_compress(level=LEVEL)
             pack = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
             carrier = content[:CARRIER_BYTES] + b" "
             alone = len(pack(carrier))
             return lambda block: len(pack(carrier + block)) - alone
 
-        def several(content: bytes) -> Callable[[bytes], int]:
-            step = -(-len(content) // SHORT_PARTS)
-            each = [sizer(content[i : i + step], SHORT_LEVEL) for i in range(0, len(content), step) if len(content) - i >= 8]
-            return lambda block: sum(size(block) for size in each)
-
-        usual = [sizer(c, LEVEL) for c in m.contents]
-        short = [several(c) for c in m.contents]
+        sizers = [sizer(c) for c in m.contents]
         for texts in batches:
             out = []
             for text in texts:
                 data = plain(text) if text else b""
-                if not data or not usual:
+                if not data or not sizers:
                     out.append((UNKNOWN, 0.0, True))
                     continue
                 blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-                totals = [max(1, sum(map(size, blocks))) for size in (short if len(data) <= SHORT_BYTES else usual)]
+                totals = [max(1, sum(map(size, blocks))) for size in sizers]
                 best = min(range(len(totals)), key=totals.__getitem__)
                 second = min((t for k, t in enumerate(totals) if k != best), default=2 * totals[best])
                 score = 1 - totals[best] / second
