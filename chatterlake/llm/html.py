@@ -7,7 +7,7 @@ over neighbouring lines, a threshold between two clusters parts content from the
 innermost container that holds all content, or the article or main around it. Its lines are the result, in page order.
 
 Defined results: null or empty html gives empty text; broken markup is read as far as it goes, with elements closed by
-their parents; character references are decoded; white space in a block becomes one space, a line break too. Equal rows
+their parents, and marked sections (<![...) skipped; character references are decoded; white space in a block becomes one space, a line break too. Equal rows
 give equal results; rows are never joined; an empty table gives an empty result.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,44 +29,77 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea iframe object svg canvas audio video dialog menu".split())
 CONTAINERS = frozenset("article main section div body html".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Names that tell a page part, alone or as the first or last part of a longer name ("site-footer", "ad-slot").
 DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
-    "footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "related recommended comment comments commentlist discussion disqus replies respond widget toolbar pagination pager skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "footer masthead cookie cookies consent gdpr popup modal newsletter subscribe signup login comment comments commentlist disqus pagination pager".split()
 )
-SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Names that tell a page part alone, or beside one of the companions; "related-work" is a section of an article.
+WEAK_NAMES = frozenset("aside notice notices alert overlay promotion subscription share sharing social related recommended discussion replies respond widget toolbar skip".split())
+COMPANIONS = frozenset("area bar block box button buttons content contents form icons item items link links list more page pages post posts section site stories story strip text this top wrapper".split())
+SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that what stands inside them can't close.
+BARRIERS = frozenset("article main section div body html ul ol table dl blockquote nav aside header footer form".split())
 SIGMA = 2.0
 #: Elements whose content belongs together: the content region is not a part of one.
 WHOLES = frozenset(("article", "main"))
 
 
+def names_a_page_part(names: str) -> bool:
+    """Whether one of the names in a class or id attribute is that of a menu, advert, notice, comment list and so on."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if name in DROPPED_NAMES or name in WEAK_NAMES or parts and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES):
+            return True
+        if len(parts) > 1 and WEAK_NAMES.intersection(parts) and all(p in WEAK_NAMES or p in COMPANIONS for p in parts):
+            return True
+    return False
+
+
+@dataclass
+class Container:
+    """An element that may be the content region; containers are numbered as they open, so one holds all numbers from
+    its own to its last."""
+
+    parent: int
+    whole: bool
+    last: int = 0
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, containers) for each line of weight."""
+    """Collects (text, tags, container number) for each line of weight. Every event takes constant time on average:
+    open elements are found by name, containers know their parents."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, dropped, container number or 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int]] = []  # name, dropped, number of the innermost container
+        self.places: dict[str, list[int]] = {}  # name -> where in open
+        self.barriers: list[int] = []
+        self.containers = [Container(0, False)]  # number 0 is the page
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
-        self.numbers = 0
-        self.wholes: set[int] = set()  # containers that are an article or main
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A section in brackets, of whatever name, ends at the next >; it isn't text."""
+        at = self.rawdata.find(">", i + 3)
+        return at + 1 if at >= 0 else -1
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, _, n in self.open if n)))
+            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
         if text or self.tags > 50:
             self.tags = 0
         self.text = []
 
     def is_dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        if tag in DROPPED or tag == "header" and not any(self.places.get(name) for name in WHOLES):
             return True
         if tag in ("html", "body", "main", "article"):
             return False
         for k, v in attrs:
-            if k in ("class", "id") and v and any(part in DROPPED_NAMES for name in v.lower().split() for part in (name, *re.split(r"[-_]", name)[:1], *re.split(r"[-_]", name)[-1:])):
+            if k in ("class", "id") and v and names_a_page_part(v):
                 return True
             if k == "role" and v and v.lower() in DROPPED_ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
@@ -82,28 +116,35 @@ class Lines(HTMLParser):
             self.cut()
         if tag in SELF_CLOSING:
             self.close_open(SELF_CLOSING[tag])
-        elif tag not in INLINE and tag not in VOID and any(t == "p" for t, _, _ in self.open):
-            self.close_open({"p"})  # a block ends a paragraph
+        elif tag not in INLINE and tag not in VOID:
+            self.close_open(("p",))  # a block ends a paragraph
         if tag in VOID:
             return
         dropped = bool(self.open and self.open[-1][1]) or self.is_dropped(tag, attrs)
-        number = 0
+        number = self.open[-1][2] if self.open else 0
         if tag in CONTAINERS:
-            self.numbers += 1
-            number = self.numbers
-            if tag in WHOLES:
-                self.wholes.add(number)
+            self.containers.append(Container(number, tag in WHOLES))
+            number = len(self.containers) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BARRIERS:
+            self.barriers.append(len(self.open))
         self.open.append((tag, dropped, number))
 
-    def close_open(self, names: set[str]) -> None:
-        """Close the innermost open element of these names and what is in it, unless a container stands between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in names:
-                del self.open[i:]
-                return
-            if name in CONTAINERS or name in ("ul", "ol", "table", "dl", "blockquote", "nav", "aside", "header", "footer", "form"):
-                return
+    def close_from(self, place: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.open) > place:
+            name, _, number = self.open.pop()
+            self.places[name].pop()
+            if name in BARRIERS:
+                self.barriers.pop()
+            if name in CONTAINERS:
+                self.containers[number].last = len(self.containers) - 1
+
+    def close_open(self, names: tuple[str, ...]) -> None:
+        """Close the innermost open element of these names and what is in it, unless a barrier stands between."""
+        place = max((self.places[name][-1] for name in names if self.places.get(name)), default=-1)
+        if place > (self.barriers[-1] if self.barriers else -1):
+            self.close_from(place)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,15 +155,19 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag not in INLINE:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.cut()
+        self.close_from(0)
+        self.containers[0].last = len(self.containers) - 1
+
 
 def content_threshold(ratios: np.ndarray) -> float:
     """Halfway between the means of the low and the high cluster, found by turns."""
@@ -150,19 +195,24 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
-    parser.cut()
-    lines = parser.lines
+    parser.finish()
+    lines, containers = parser.lines, parser.containers
     if not lines:
         return ""
     lengths = np.array([len(t) for t, _, _ in lines], dtype=float)
     ratios = smooth(lengths / np.maximum(1.0, [n for _, n, _ in lines]))
     content = ratios >= min(content_threshold(ratios), float(ratios.max()))
-    paths = [path for (_, _, path), inside in zip(lines, content, strict=True) if inside]
-    shared = [n for n in paths[0] if all(n in path for path in paths)]  # the containers of all content lines
-    whole = [n for n in shared if n in parser.wholes]
-    region = whole[0] if whole else max(shared, default=0)  # the innermost opens last
-    return "\n".join(t for t, _, path in lines if not region or region in path)
+    numbers = np.array([number for _, _, number in lines])
+    first, last = int(numbers[content].min()), int(numbers[content].max())
+    region = first
+    while containers[region].last < last:  # the innermost container of all content lines
+        region = containers[region].parent
+    above = region
+    while above:
+        if containers[above].whole:
+            region = above
+        above = containers[above].parent
+    return "\n".join(t for t, _, number in lines if region <= number <= containers[region].last)
 
 
 def extracted(html: Column) -> Column:
