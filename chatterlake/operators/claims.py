@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
 from chatterlake.operators.rollups import ranked_within
+from chatterlake.sources import landed
 
 #: A claim at or above this Jaccard similarity to a known one is known.
 SIMILAR = 0.72
@@ -30,23 +31,21 @@ def known_claims(claims: DataFrame, citations: DataFrame, now: Column, days: int
     return recent.join(cited, ["ticker", "fingerprint"], "left")
 
 
-def _prefix(df: DataFrame, freq: DataFrame, keep: list[str]) -> DataFrame:
-    """Each claim's rarest tokens: of n tokens, n - ceil(0.72 n) + 1. Two claims as similar as that share one of them."""
-    each = df.select(*keep, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(freq, ["ticker", "token"])
-    w = Window.partitionBy("ticker", "claim_id").orderBy("df", "token")  # the tokens of one claim
-    return each.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1)
-
-
 def similar_claims(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(new_id, known_id, similarity) of pairs of a ticker at SIMILAR or more. Both: ticker, claim_id, tokens.
-
-    An inverted index over the rarest tokens of each claim: pairs that share none can't be similar enough, and pairs
-    of too different sizes are dropped before their tokens are compared."""
-    both = new.select("ticker", F.explode("tokens").alias("token")).unionByName(known.select("ticker", F.explode("tokens").alias("token")))
-    freq = both.groupBy("ticker", "token").agg(F.count("*").alias("df"))
-    a = _prefix(new, freq, ["ticker", "claim_id"]).select("ticker", "token", F.col("claim_id").alias("new_id"), F.col("n").alias("na"))
-    b = _prefix(known, freq, ["ticker", "claim_id"]).select("ticker", "token", F.col("claim_id").alias("known_id"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["ticker", "token"]).where(F.least("na", "nb") >= F.greatest("na", "nb") * SIMILAR - 1e-9).select("ticker", "new_id", "known_id").distinct()
+    """(ticker, new_id, known_id, similarity) of pairs of a ticker at SIMILAR or more. Both: ticker, claim_id, tokens.
+
+    A known claim as similar as that lacks few of a new claim's n tokens, so it holds one of any n - ceil(SIMILAR n) + 1
+    of them. The rarest are taken, by how many known claims hold them: known claims meet new ones by those tokens only,
+    and pairs of too different sizes are dropped before their tokens are compared."""
+    each = known.select("ticker", "claim_id", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
+    mine = new.select("ticker", "claim_id", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
+    wanted = mine.select("ticker", "token").distinct()
+    df = each.join(wanted, ["ticker", "token"], "left_semi").groupBy("ticker", "token").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("ticker", "claim_id").orderBy("df", "token")  # the tokens of one claim
+    keyed = mine.join(df, ["ticker", "token"], "left").fillna(0, ["df"]).withColumn("k", F.row_number().over(rarest))
+    keyed = keyed.where((F.col("k") <= F.col("na") - F.ceil(F.col("na") * SIMILAR - 1e-9) + 1) & (F.col("df") > 0)).select("ticker", "token", F.col("claim_id").alias("new_id"), "na")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILAR - 1e-9
+    pairs = each.withColumnRenamed("claim_id", "known_id").join(keyed, ["ticker", "token"]).where(near).select("ticker", "new_id", "known_id").distinct()
     pairs = pairs.join(new.select("ticker", F.col("claim_id").alias("new_id"), F.col("tokens").alias("ta")), ["ticker", "new_id"])
     pairs = pairs.join(known.select("ticker", F.col("claim_id").alias("known_id"), F.col("tokens").alias("tb")), ["ticker", "known_id"])
     return pairs.select("ticker", "new_id", "known_id", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("similarity")).where(F.col("similarity") >= SIMILAR)
@@ -57,10 +56,12 @@ def novelty(new: DataFrame, known: DataFrame) -> DataFrame:
     smallest of equals; else a candidate.
 
     Claims of the same tokens are one on either side before any pair is made, so repeated claims don't meet each other."""
-    exact = known.groupBy("ticker", "fingerprint").agg(F.min("claim_id").alias("exact_id"))
-    n = new.join(exact, ["ticker", "fingerprint"], "left")
+    # one row for a known claim's tokens, saved: it is read for exact matches, for counts of tokens and for pairs
+    once = known.groupBy("ticker", "fingerprint").agg(F.min("claim_id").alias("exact_id"), F.max(F.struct("first_seen_at", (-F.col("claim_id")).alias("minus"), "tokens")).alias("k"))
+    once = landed.saved(once.select("ticker", "fingerprint", "exact_id", "k.first_seen_at", (-F.col("k.minus")).alias("claim_id"), "k.tokens"), "known-claims")
+    n = landed.saved(new.join(once.select("ticker", "fingerprint", "exact_id"), ["ticker", "fingerprint"], "left"), "new-claims")
     rest = n.where("exact_id is null").groupBy("ticker", "tokens").agg(F.min("claim_id").alias("claim_id"))
-    newest = known.groupBy("ticker", "tokens").agg(F.max_by(F.struct("claim_id", "first_seen_at"), F.struct("first_seen_at", -F.col("claim_id"))).alias("k")).select("ticker", "tokens", "k.*")
+    newest = once.select("ticker", "tokens", "claim_id", "first_seen_at")
     near = similar_claims(rest, newest).join(newest.select("ticker", F.col("claim_id").alias("known_id"), "first_seen_at"), ["ticker", "known_id"])
     best = near.groupBy("ticker", "new_id").agg(F.max_by("known_id", F.struct("similarity", "first_seen_at", -F.col("known_id"))).alias("near_id"))
     named = rest.join(best.withColumnRenamed("new_id", "claim_id"), ["ticker", "claim_id"]).select("ticker", "tokens", "near_id")

@@ -24,7 +24,7 @@ def keyword_matches(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "title", "body")
     # only the tokens that begin a keyword leave a post, and only posts that have one carry their text on
     begins = F.array(*(F.lit(r["token"]) for r in wanted.select("token").distinct().collect()))  # keywords are a fixed list
-    found = posts.select("post_id", text.alias("text"), F.explode(F.array_intersect(tx.tokens(text), begins)).alias("token"))
+    found = posts.select("post_id", text.alias("text"), F.explode(F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), begins)).alias("token"))
     pairs = found.join(F.broadcast(wanted), "token")
     return pairs.where(F.expr("text rlike pattern")).select("post_id", "keyword", "ticker").distinct()
 

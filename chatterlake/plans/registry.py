@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.plans.sqlviews import with_views
 from chatterlake.functions.money import BANDS
+from chatterlake.operators.signals import last_rows
 
 
 class Tables:
@@ -59,11 +60,8 @@ class Tables:
 
     @cached_property
     def etf_map(self) -> DataFrame:
-        from pyspark.sql import Window
-
         s = self.read("supplier").join(F.broadcast(self.read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-        w = Window.partitionBy("n_name").orderBy("s_suppkey")
-        return s.select(F.col("n_name").alias("sector"), F.col("s_suppkey").alias("etf"), F.row_number().over(w).alias("n")).where("n <= 3").drop("n")
+        return last_rows(s.select(F.col("n_name").alias("sector"), F.col("s_suppkey").alias("etf")), ["sector"], 3, F.col("etf")).drop("rank")
 
     @cached_property
     def deals(self) -> DataFrame:
