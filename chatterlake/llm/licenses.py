@@ -1,9 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 Texts are read as words: A-Z in lower case, runs of digits, a-z and characters beyond ASCII. Rules are patterns over the
-words joined by spaces, built from the names of license families and the phrases that grant or cite a license. A rule
-is tried only on texts that hold its family's keyword. Detections are taken by priority, then length, then place; one
-that lies wholly inside a taken one is suppressed, as "cc by" inside "cc by nc".
+words joined by spaces: signatures written one by one, of license bodies, headers, file notes and terms, and the names of
+license families in the phrases that grant or cite a license. A rule is tried only on texts that hold its keyword. A
+detection that lies wholly inside one of the same or a better priority is suppressed, as "cc by" inside "cc by nc".
 
 Defined results: null text has no words and no detections; equal rows give equal results, rows are never joined; an
 empty table gives an empty result; columns other than the text are not read.
@@ -12,9 +12,11 @@ empty table gives an empty result; columns other than the text are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -92,17 +94,169 @@ PHRASES = (
     (r"(?:licen[cs]e|licen[cs]es|licen[cs]ing) (?:is |are )?(?:the )?{name}", 4, 0.8),
     (r"{name}", 5, 0.6),
 )
-#: Notices that grant or reserve rights without the name of a license: label, keyword, pattern.
-NOTICES = (
+#: Signatures written one by one: bodies and headers of licenses, tags, file notes and notices: label, keyword, pattern,
+#: priority, confidence. The keyword is a word that every match holds.
+SIGNATURES = (
+    # bodies and headers of permissive licenses
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
+    ("mit", "merchantability", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 2, 0.85),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 1, 0.9),
+    ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?", 1, 0.9),
+    ("mit-advertising", "advertising", r"except as contained in this notice the name of .{1,80}? shall not be used in advertising or otherwise to promote", 2, 0.8),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 1, 0.9),
+    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?", 1, 0.9),
+    ("hpnd", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose", 1, 0.85),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 0.9),
+    ("bsd-2-clause", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 2, 0.85),
+    ("bsd-3-clause", "endorse", r"neither the names? of .{1,80}? nor the names of (?:its|their|other) contributors may be used to endorse or promote products", 1, 0.9),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", 1, 0.9),
+    ("bsd-patent", "patent", r"bsd(?: 2 clause)? plus patent(?: licen[cs]e)?", 1, 0.9),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1, 0.95),
+    ("boost", "processor", r"executable object code generated by a source language processor", 2, 0.8),
+    ("apache-2", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance", 0, 1.0),
+    ("apache-2", "conditions", r"terms and conditions for use reproduction and distribution 1 definitions", 1, 0.9),
+    ("apache-2", "warranties", r"distributed on an as is basis without warranties or conditions of any kind either express or implied", 2, 0.85),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation", 1, 0.85),
+    ("apache-2", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements", 0, 0.95),
+    ("python-2", "psf", r"psf is making python available to licensee on an as is basis", 1, 0.95),
+    ("python-2", "psf", r"psf license agreement for python 2", 1, 0.95),
+    ("postgresql", "postgresql", r"postgresql is released under the postgresql license", 0, 0.95),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 1, 0.9),
+    ("ssleay", "library", r"this library is free for commercial and non commercial use as long as the following conditions are adhered to", 1, 0.8),
+    ("curl", "curl", r"curl and libcurl are (?:licensed|true open source)", 1, 0.8),
+    ("icu", "unicode", r"unicode(?: inc)? licen[cs]e agreement(?: data files and software)?", 1, 0.9),
+    ("unicode-3", "unicode", r"unicode licen[cs]e v3", 1, 0.9),
+    ("ncsa", "ncsa", r"university of illinois ncsa open source licen[cs]e", 1, 0.95),
+    ("w3c", "w3c", r"w3c software (?:and document )?(?:notice and )?licen[cs]e", 1, 0.9),
+    ("afl-3", "academic", r"academic free licen[cs]e(?: (?:version )?(?:v )?(?:3 0|2 1|2 0))?", 1, 0.9),
+    ("ecl-2", "educational", r"educational community licen[cs]e(?: version 2 0)?", 1, 0.9),
+    ("upl-1", "universal", r"universal permissive licen[cs]e(?: v(?:ersion)? 1 0)?", 1, 0.9),
+    ("bluoak-1", "blue", r"blue oak model licen[cs]e(?: 1 0 0)?", 1, 0.9),
+    ("beerware", "beer", r"beer ?ware licen[cs]e(?: revision 42)?", 1, 0.9),
+    ("beerware", "beer", r"you can buy me a beer in return", 1, 0.9),
+    ("wtfpl", "want", r"do what the f ?u ?c ?k you want to public licen[cs]e", 1, 0.95),
+    ("x11", "x11", r"x11 licen[cs]e(?: distribution modification variant)?", 1, 0.85),
+    ("xfree86", "xfree86", r"xfree86(?: project)? licen[cs]e(?: 1 [01])?", 1, 0.85),
+    ("libpng", "libpng", r"(?:png reference library|libpng) licen[cs]e(?: version 2)?", 1, 0.9),
+    ("ijg", "jpeg", r"based in part on the work of the independent jpeg group", 1, 0.9),
+    ("freetype", "freetype", r"(?:the )?freetype (?:project )?licen[cs]e", 1, 0.9),
+    ("php-3", "php", r"php licen[cs]e(?: version)? 3 0?1?", 1, 0.9),
+    ("ruby", "ruby", r"(?:under the same terms as ruby|ruby licen[cs]e)", 1, 0.8),
+    ("perl", "perl", r"(?:under )?the same terms as perl(?: 5)? itself", 1, 0.9),
+    ("tcl", "tcl", r"tcl tk licen[cs]e", 1, 0.85),
+    ("vim", "vim", r"vim licen[cs]e", 1, 0.85),
+    ("zpl-2.1", "zope", r"zope public licen[cs]e(?: zpl)?(?: version 2 [01])?", 1, 0.9),
+    ("sleepycat", "sleepycat", r"sleepycat(?: public| software)? licen[cs]e", 1, 0.9),
+    ("mulan-2", "mulan", r"mulan (?:psl|permissive software licen[cs]e) v(?:ersion )?2", 1, 0.95),
+    # bodies, headers and notes of copyleft licenses
+    ("gpl-2", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: either)? version 2", 0, 1.0),
+    ("gpl-3", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: either)? version 3", 0, 1.0),
+    ("lgpl-2.1", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 2 1", 0, 1.0),
+    ("lgpl-3", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation(?: either)? version 3", 0, 1.0),
+    ("agpl-3", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation(?: either)? version 3", 0, 1.0),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public license along with this (?:program|software|library|file)", 2, 0.85),
+    ("lgpl", "lesser", r"you should have received a copy of the gnu lesser general public license along with this (?:program|software|library|file)", 2, 0.85),
+    ("gpl", "copying", r"see the file copying(?: 3)? for (?:copying conditions|details|the full license)", 3, 0.6),
+    ("gpl", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works", 1, 0.95),
+    ("gpl-2", "freedom", r"the licenses for most software are designed to take away your freedom to share and change it", 1, 0.9),
+    ("agpl-3", "network", r"your modified version must prominently offer all users interacting with it remotely through a computer network", 1, 0.95),
+    ("lgpl-2.1", "library", r"gnu library general public licen[cs]e(?: version 2(?: 0)?)?", 1, 0.9),
+    ("gpl-classpath", "classpath", r"(?:gpl|general public license)(?: version 2)? with (?:the )?classpath exception", 0, 0.95),
+    ("gpl-classpath", "exception", r"as a special exception the copyright holders of this library give you permission to link this library", 1, 0.9),
+    ("gcc-exception", "runtime", r"gcc runtime library exception(?: version 3 1)?", 1, 0.9),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts", 1, 0.95),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 0, 1.0),
+    ("mpl-2", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", 1, 0.95),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1", 0, 1.0),
+    ("npl-1.1", "netscape", r"netscape public licen[cs]e(?: version 1 [01])?", 1, 0.9),
+    ("epl-1", "eclipse", r"accompanying materials are made available under the terms of the eclipse public license v ?1 0", 0, 1.0),
+    ("epl-2", "eclipse", r"accompanying materials are made available under the terms of the eclipse public license(?: v ?| version )2 0", 0, 1.0),
+    ("cpl-1", "common", r"common public licen[cs]e(?: (?:version |v )?1 0)?", 1, 0.9),
+    ("ipl-1", "ibm", r"ibm public licen[cs]e(?: version 1 0)?", 1, 0.9),
+    ("cddl-1", "distribution", r"the contents of this file are subject to the terms of the common development and distribution license", 0, 0.95),
+    ("eupl", "european", r"european union public licen[cs]e(?: v(?:ersion)? ?1 [0-2])?", 1, 0.95),
+    ("cecill-2.1", "cecill", r"cecill(?: free software licen[cs]e)?(?: agreement)?(?: version)? 2 1", 1, 0.9),
+    ("cecill", "cecill", r"cecill(?: [bc])?(?: free software)? licen[cs]e", 2, 0.85),
+    ("osl-3", "open", r"open software licen[cs]e(?: (?:version |v )?3 0)?", 2, 0.8),
+    ("qpl-1", "q", r"q public licen[cs]e(?: version 1 0)?", 1, 0.9),
+    ("apsl-2", "apple", r"apple public source licen[cs]e(?: version)?(?: 2 0)?", 1, 0.9),
+    ("ms-pl", "microsoft", r"microsoft public licen[cs]e(?: ms pl)?", 1, 0.9),
+    ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e(?: ms rl)?", 1, 0.9),
+    ("rpl-1.5", "reciprocal", r"reciprocal public licen[cs]e(?: version)?(?: 1 5)?", 1, 0.9),
+    ("artistic", "package", r"this document states the conditions under which a package may be copied", 1, 0.8),
+    # source-available and model licenses
+    ("sspl-1", "server", r"server side public licen[cs]e(?: (?:version |v )?1)?", 1, 0.95),
+    ("busl-1.1", "business", r"business source licen[cs]e(?: 1 1)?", 1, 0.95),
+    ("elastic-2", "elastic", r"elastic licen[cs]e(?: (?:version |v )?2 0)?", 1, 0.9),
+    ("commons-clause", "clause", r"commons clause(?: licen[cs]e condition)?", 2, 0.8),
+    ("polyform-nc", "polyform", r"polyform noncommercial licen[cs]e(?: 1 0 0)?", 1, 0.95),
+    ("polyform-small", "polyform", r"polyform small business licen[cs]e(?: 1 0 0)?", 1, 0.95),
+    ("prosperity", "prosperity", r"prosperity public licen[cs]e(?: 3 0 0)?", 1, 0.9),
+    ("parity-7", "parity", r"parity public licen[cs]e(?: 7 0 0)?", 1, 0.9),
+    ("openrail-m", "rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: ?(?:\+\+ )?m)?(?: licen[cs]e)?", 1, 0.9),
+    ("hippocratic", "hippocratic", r"hippocratic licen[cs]e(?: (?:version )?[23] [01])?", 1, 0.9),
+    # content and data licenses
+    ("cc-by", "attribution", r"this work is licensed under a creative commons attribution(?: [1-4] 0)?(?: international| unported)? license", 0, 1.0),
+    ("cc-by-sa", "attribution", r"this work is licensed under a creative commons attribution share ?alike(?: [1-4] 0)?(?: international| unported)? license", 0, 1.0),
+    ("cc-by-nc", "attribution", r"this work is licensed under a creative commons attribution non ?commercial(?: [1-4] 0)?(?: international| unported)? license", 0, 1.0),
+    ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] 0)?", 3, 0.8),
+    ("cc-by-nc-nd", "commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] 0)?", 2, 0.9),
+    ("cc0", "waived", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", 1, 0.95),
+    ("cc0", "commons", r"creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?", 2, 0.9),
+    ("cc-pdm", "mark", r"public domain mark(?: 1 0)?", 2, 0.85),
+    ("cc-sampling", "sampling", r"creative commons sampling plus(?: 1 0)?", 2, 0.85),
+    ("fal-1.3", "art", r"free art licen[cs]e(?: 1 [23])?", 1, 0.85),
+    ("fal-1.3", "art", r"licence art libre(?: 1 [23])?", 1, 0.85),
+    ("odbl", "odbl", r"odbl(?: v?1 0)?", 3, 0.75),
+    ("odc-by", "odc", r"(?:odc by|open data commons attribution licen[cs]e)(?: v?1 0)?", 1, 0.9),
+    ("pddl", "dedication", r"open data commons public domain dedication and licen[cs]e", 1, 0.9),
+    ("cdla-permissive", "data", r"community data licen[cs]e agreement permissive(?: (?:version )?[12] 0)?", 1, 0.95),
+    ("cdla-sharing", "data", r"community data licen[cs]e agreement sharing(?: (?:version )?1 0)?", 1, 0.95),
+    ("ogl-uk", "government", r"open government licen[cs]e(?: v(?:ersion)? ?[123](?: 0)?)?", 1, 0.9),
+    ("etalab-2", "ouverte", r"licence ouverte(?: open licence)?(?: version)?(?: 2 0)?", 1, 0.9),
+    ("dl-de-by", "datenlizenz", r"datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?", 1, 0.95),
+    ("dl-de-zero", "datenlizenz", r"datenlizenz deutschland zero(?: version)?(?: 2 0)?", 1, 0.95),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: version)? 1 1", 2, 0.85),
+    ("ofl-1.1", "reserved", r"with reserved font names? ", 3, 0.6),
+    ("bitstream-vera", "bitstream", r"bitstream vera (?:fonts )?copyright", 1, 0.9),
+    ("gfl", "gust", r"gust font licen[cs]e", 1, 0.9),
+    ("lppl-1.3c", "latex", r"latex project public licen[cs]e(?: (?:version )?1 3c?)?", 1, 0.95),
+    ("opl-1", "publication", r"open publication licen[cs]e(?: v(?:ersion)? ?1 0)?", 1, 0.9),
+    # public domain
     ("public-domain", "domain", r"(?:released|dedicated|placed|is|are) (?:in|into|to) the public domain", 3, 0.8),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0, 1.0),
+    ("us-government", "government", r"work of the (?:united states|us|u s) government(?: and is not subject to copyright)?", 2, 0.8),
+    ("public-domain", "gemeinfrei", r"(?:ist|sind) gemeinfrei", 3, 0.7),
+    ("public-domain", "domaine", r"(?:est|sont|appartient) (?:dans le|au) domaine public", 3, 0.7),
+    ("public-domain", "dominio", r"(?:es|son|está|están) (?:de|en el) dominio público", 3, 0.7),
+    # reserved rights, contracts and terms
     ("all-rights-reserved", "rights", r"all rights reserved", 3, 0.7),
+    ("all-rights-reserved", "rights", r"all (?:other )?rights not expressly granted (?:herein )?are reserved", 3, 0.75),
+    ("all-rights-reserved", "reproduced", r"no part of this (?:publication|book|work|document|website) may be reproduced", 2, 0.8),
     ("all-rights-reserved", "alle", r"alle rechte vorbehalten", 3, 0.7),
+    ("all-rights-reserved", "nachdruck", r"nachdruck(?: auch auszugsweise)? (?:verboten|nur mit genehmigung)", 3, 0.7),
     ("all-rights-reserved", "tous", r"tous droits réservés", 3, 0.7),
+    ("all-rights-reserved", "reproduction", r"toute reproduction(?: même partielle)? (?:est )?interdite", 3, 0.7),
     ("all-rights-reserved", "todos", r"todos los derechos reservados", 3, 0.7),
+    ("all-rights-reserved", "prohibida", r"prohibida (?:su|la) reproducción(?: total o parcial)?", 3, 0.7),
+    ("all-rights-reserved", "todos", r"todos os direitos reservados", 3, 0.7),
+    ("all-rights-reserved", "tutti", r"tutti i diritti riservati", 3, 0.7),
     ("proprietary", "proprietary", r"(?:proprietary (?:and|or) confidential|confidential and proprietary)", 3, 0.7),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use)(?: of this (?:file|document|work|software|material))?(?: via any medium)? is strictly prohibited", 2, 0.8),
+    ("proprietary", "eula", r"end user licen[cs]e agreement eula", 2, 0.8),
+    ("proprietary", "agreement", r"by installing or using (?:this|the) software you agree to (?:be bound by )?the terms of this agreement", 2, 0.8),
+    ("non-commercial", "commercial", r"(?:for|licensed for) (?:personal and )?non ?commercial (?:use|purposes) only", 2, 0.75),
+    ("research-only", "research", r"for (?:academic and )?research (?:use|purposes) only", 2, 0.75),
+    ("evaluation", "evaluation", r"for evaluation (?:use|purposes) only", 2, 0.75),
+    ("freeware", "freeware", r"(?:is|this) freeware", 3, 0.6),
+    ("shareware", "shareware", r"(?:is|this) shareware", 3, 0.6),
+    ("dual", "dual", r"dual licen[cs]ed under", 3, 0.6),
+    # file notes
+    ("see-license", "license", r"see (?:the )?license (?:file|txt|md)(?: in the project root)? for (?:license information|details|terms|more)", 3, 0.5),
+    ("see-license", "licence", r"see (?:the )?licence (?:file|txt|md)(?: in the project root)? for (?:details|terms|more)", 3, 0.5),
+    ("see-license", "governed", r"use of this source code is governed by an? .{1,40}? license that can be found in the license file", 1, 0.8),
+    ("bsd-3-clause", "governed", r"use of this source code is governed by a bsd style license that can be found in the license file", 0, 0.95),
+    ("mit", "governed", r"use of this source code is governed by an mit style license that can be found in the license file", 0, 0.95),
 )
 
 
@@ -118,9 +272,9 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def signature_rules() -> tuple[Rule, ...]:
-    """All rules in order: each family's name in each phrase, then the notices."""
+    """All rules in order: each family's name in each phrase, and the signatures."""
     made = [(p, label, keyword, c, phrase.format(name=name)) for phrase, p, c in PHRASES for label, keyword, name in FAMILIES]
-    made += [(p, label, keyword, c, pattern) for label, keyword, pattern, p, c in NOTICES]
+    made += [(p, label, keyword, c, pattern) for label, keyword, pattern, p, c in SIGNATURES]
     made.sort(key=lambda x: x[0])
     return tuple(Rule(i, p, label, keyword, c, re.compile(rf"(?<![^ ]){pattern}(?![^ ])")) for i, (p, label, keyword, c, pattern) in enumerate(made))
 
@@ -147,12 +301,15 @@ def detections(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
     keywords = {k for k in by if k in present}
     keywords |= {k for k in PARTS if k not in keywords and k in joined}
     found = [(m.start(), m.end(), rule) for k in keywords for rule in by[k] for m in rule.pattern.finditer(joined)]
-    found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].order))
-    taken: list[tuple[int, int, Rule]] = []
+    # one sweep over starts: what begins no later and ends no earlier, with a rule of no lower priority, contains a detection
+    found.sort(key=lambda x: (x[0], -x[1], x[2].priority, x[2].order))
+    reach: dict[int, int] = {}  # priority -> the furthest end so far
+    taken = []
     for start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in taken):
+        if all(e < end for p, e in reach.items() if p <= rule.priority):
             taken.append((start, end, rule))
-    return sorted(taken, key=lambda x: (x[0], x[1]))
+        reach[rule.priority] = max(end, reach.get(rule.priority, 0))
+    return taken
 
 
 def base_places(joined: str) -> list[tuple[int, str]]:
@@ -177,7 +334,8 @@ def scan(text: str | None) -> dict:
         return out
     base = base_places(joined)
     found = detections(joined, present)
-    word_at = lambda place: joined.count(" ", 0, place)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    word_at = lambda place: bisect_right(starts, place) - 1
     if base:
         out |= {"n_base": len(base), "first_word": word_at(min(base)[0]), "last_word": word_at(max(base)[0])}
     labels = {label for _, label in base}
