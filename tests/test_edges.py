@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import labels, money, names
 from chatterlake.functions import text as tx
 from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, signals, video
-from chatterlake.sources import landed
+from chatterlake.sources import landed, nested
 
 
 def bars(spark, closes, ticker=1, volume=None):
@@ -163,3 +163,82 @@ def test_thread_depths_of_long_threads(spark):
     got = {r.comment_id: r.depth for r in forum.thread_depths(spark.createDataFrame(rows, "comment_id long, parent_id long")).collect()}
     assert got == {i: i for i in range(100)} | {200: 14, 300: None, 301: None, 400: None, 401: None, 500: None}
     assert forum.thread_depths(spark.createDataFrame([], "comment_id long, parent_id long")).count() == 0
+
+
+def test_match_relevance_guards(spark):
+    """A name can't vouch for itself; other languages must name the company; everyday words match whole names only."""
+    rows = [
+        ("PATH", "trains of the region", None, "PATH", "UiPath Inc", 0.4), ("Poet", "poet", "en", "POET", "POET Technologies", 0.4), ("CCJ", "uranium company Cameco", "en", "CCJ", "Cameco Corp", 1.0),
+        ("sndk", "чат", "ru", "SNDK", "SanDisk", 0.4), ("RKLB", "Rocket Lab (RKLB)", "en", "RKLB", "Rocket Lab", 1.0), ("QuantumComputing", "quantum computing", "en", "QUBT", "Quantum Computing Inc", 0.4),
+        ("ASTSpaceMobile", "NASDAQ: ASTS", "en", "ASTS", "AST SpaceMobile", 1.0), ("Microneedling", "skin", "en", "MU", "Micron", 0.0), ("PLTR", "$PLTR", "en", "PL", "Planet Labs", 0.0),
+        ("rocketlab", "launches and earnings", "en", "RKLB", "Rocket Lab", 0.7), ("space", "rocket lab stock talk", "en", "RKLB", "Rocket Lab", 0.6),
+    ]
+    df = spark.createDataFrame(rows, "name string, text string, lang string, ticker string, company string, want double")
+    got = df.select("name", "want", names.match_relevance(*map(F.col, ("name", "text", "lang", "ticker", "company"))).alias("got")).collect()
+    assert {r.name: r.got for r in got} == {r.name: r.want for r in got}
+
+
+def test_short_names_and_market_rules(spark):
+    rows = [("Applied Optoelectronics, Inc.",), ("The Trade Desk",), ("The Co.",), ("AB",), (None,), ("Holdings of the East Ltd",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(names.short_name(F.col("c"))).collect()]
+    assert got == ["Applied Optoelectronics", "Trade Desk", None, None, None, "Holdings of the East"]
+    rows = [("Stockholm", "city"), ("CanadianStocks", ""), ("livestock", "cows"), ("StockMarket", ""), ("TradingPosts", "invest in stocks"), ("TradingPosts", "barter"), ("nothing", "share your portfolio of art"), ("nothing", "nasdaq earnings")]
+    got = [r[0] for r in spark.createDataFrame(rows, "n string, t string").select(names.market_rule(F.col("n"), F.col("t"), F.lit(False))).collect()]
+    assert got == ["no", "name-strong", "no", "name-strong", "name-weak+context", "no", "no", "text"]
+    assert spark.range(1).select(F.array_join(names.humps(F.lit("ASTSpaceMobile A1b ABc x")), " ")).first()[0] == "ast space mobile a 1b a bc x"
+
+
+def test_places_over_ranges_and_within_keys(spark):
+    df = spark.createDataFrame([(k, i, float(i * 7 % 50)) for k in ("a", "b") for i in range(200)] + [("c", 1, 1.0)], "k string, i long, v double").repartition(7)
+    order = [F.desc("v"), F.col("i")]
+    got = {(r.k, r.i): r["rank"] for r in rollups.ranked_within(df, ["k"], order).collect()}
+    for k, n in (("a", 200), ("b", 200), ("c", 1)):
+        rows = sorted(((-(i * 7 % 50), i) for i in range(n)) if n > 1 else [(-1, 1)])
+        assert [got[k, i] for _, i in rows] == list(range(1, n + 1))
+    assert sorted(r["rank"] for r in rollups.places(df, [*order, F.col("k")]).collect()) == list(range(1, 402))
+    assert rollups.places(df.limit(0), order).count() == 0
+
+
+def test_configured_providers(spark):
+    rows = [("one", date(2024, 1, 1), "A", 5, "complete"), ("two", date(2024, 1, 1), "A", 5, "complete"), ("two", date(2024, 1, 2), "A", 100, "complete"), ("two", date(2024, 1, 2), "B", 50, "exhausted"), ("none", date(2024, 1, 1), "A", 5, "complete")]
+    log = spark.createDataFrame(rows, "handle string, date date, provider string, tweets_fetched long, status string")
+    conf = spark.createDataFrame([("one", ["A"]), ("two", ["A", "B"])], "handle string, providers array<string>")
+    got = {(r.handle, r.date.day): r.verdict for r in ledger.reconcile(log, conf).collect()}
+    assert got == {("one", 1): "ok", ("two", 1): "skipped", ("two", 2): "mismatch", ("none", 1): "skipped"}
+
+
+def test_nested_documents(spark, tmp_path):
+    (tmp_path / "leg.json").write_text('{"id":{"bioguide":"B1"},"name":{"first":"Ann","last":"Lee"},"terms":[{"type":"rep"},{"type":"sen"}]}\n{"id":{}}\n{"id":{"bioguide":"B2"},"name":{"last":"Roe"},"bio":{"party":"D"}}\n')
+    got = {r.bioguide_id: (r.full_name, r.party, r.chamber) for r in nested.read_legislators(spark, str(tmp_path / "leg.json")).collect()}
+    assert got == {"B1": ("Ann Lee", "I", "senate"), "B2": ("Roe", "D", "unknown")}
+    (tmp_path / "com.json").write_text('{"thomas_id":"HSAS","name":"House Armed Services Committee","subcommittees":[{"thomas_id":"03"},{"name":"no id"}]}\n{"id":"SX","name":"Other"}\n{"name":"no id"}\n')
+    com = nested.read_committees(spark, str(tmp_path / "com.json"))
+    assert {(r.committee_id, r.name, r.parent_id) for r in com.collect()} == {("HSAS", "House Armed Services Committee", None), ("HSAS03", "House Armed Services Committee Subcommittee", "HSAS"), ("SX", "Other", None)}
+    seats = spark.createDataFrame([("B1", "HSAS", "Ranking Member", 1), ("B2", "HSAS99", "Chair", 1), ("B2", "SX", "Chair", 1), ("B9", "HSAS", "Chair", 1), ("B1", "HSAS03", "Ranking Member", 2)], "bioguide_id string, committee_id string, title string, rank int")
+    leg = nested.read_legislators(spark, str(tmp_path / "leg.json"))
+    got = {r.bioguide_id: [c.committee_id for c in r.committees] for r in disclosures.watched_by_committee(seats, com, leg).collect()}
+    assert got == {"B1": ["HSAS"], "B2": ["HSAS99"]}
+    (tmp_path / "funds.json").write_text('{"sector":"a","entries":["xlk",{"ticker":"soxx"},{"note":"none"}]}\n{"sector":"b","entries":null}\n{"sector":"c","entries":[]}\n')
+    assert {r.sector: r.tickers for r in nested.read_funds(spark, str(tmp_path / "funds.json")).collect()} == {"a": ["XLK", "SOXX"], "b": [], "c": []}
+    (tmp_path / "stars.json").write_text('{"bioguide_id":"B1"}\n{"name":"no id"}\n')
+    assert [tuple(r) for r in nested.read_stars(spark, str(tmp_path / "stars.json")).collect()] == [("B1", "", "")]
+
+
+def test_noisy_tickers_need_a_dollar_or_the_company(spark):
+    posts = spark.createDataFrame([(1, "on the road", "nothing"), (2, "buy $ON now", ""), (3, "ON Semi is up", "on"), (4, "RKLB flies", "")], "post_id long, title string, body string")
+    found = spark.createDataFrame([(1, "ON", "ON"), (2, "ON", "ON"), (3, "ON", "ON"), (3, "ON Semi", "ON"), (4, "RKLB", "RKLB")], "post_id long, keyword string, ticker string")
+    stocks = spark.createDataFrame([("ON", "ON Semi Corp"), ("RKLB", None)], "ticker string, company string")
+    assert {r.post_id for r in communities.noisy_gate(found, posts, stocks).collect()} == {2, 3, 4}
+
+
+def test_new_claims_meet_all_similar_known_ones(spark):
+    """The one-sided index against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    make = lambda n: sorted(set(rng.choices("abcdefgh", k=n)))
+    known = [(i, "T", make(rng.randint(1, 12))) for i in range(300)]
+    new = [(1000 + i, "T", make(rng.randint(1, 12))) for i in range(80)]
+    want = {(a, b) for a, _, x in new for b, _, y in known if len(set(x) & set(y)) / len(set(x) | set(y)) >= claims.SIMILAR}
+    frame = lambda rows: spark.createDataFrame(rows, "claim_id long, ticker string, tokens array<string>")
+    assert {(r.new_id, r.known_id) for r in claims.similar_claims(frame(new), frame(known)).collect()} == want and len(want) > 20
