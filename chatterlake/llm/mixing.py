@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterlake.llm.shared import BROADCAST_ROWS, fraction, saved
+from chatterlake.llm.shared import fraction, saved, small
 
 LEVELS_A_PASS, PASSES = 5, 6
 BITS, DEPTH = 10, 3
@@ -102,13 +102,13 @@ def cut_cells(each: DataFrame, quotas: DataFrame) -> DataFrame:
     for depth in range(DEPTH):
         width = CELLS >> (BITS * (depth + 1))
         state = saved(state, "cuts")
-        near = each.join(_small(state.select(F.col("source").alias("s"), "start")), F.col("source").eqNullSafe(F.col("s")))
+        near = each.join(small(state.select(F.col("source").alias("s"), "start")), F.col("source").eqNullSafe(F.col("s")))
         near = near.where((F.col("cell") >= F.col("start")) & (F.col("cell") < F.col("start") + (width << BITS)))
         blocks = near.groupBy("source", F.floor(F.col("cell") / width).cast("int").alias("block")).agg(F.sum("tokens").alias("tokens"))
         # at most 1024 blocks a source, whatever the number of its documents
         order = Window.partitionBy("source").orderBy("block")
         blocks = blocks.select("source", "block", "tokens", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-        fit = blocks.join(_small(state.select(F.col("source").alias("s"), "need", "start")), F.col("source").eqNullSafe(F.col("s")))
+        fit = blocks.join(small(state.select(F.col("source").alias("s"), "need", "start")), F.col("source").eqNullSafe(F.col("s")))
         over = F.when(F.col("upto") > F.col("need"), F.struct("block", F.col("need") - (F.col("upto") - F.col("tokens"))))
         state = fit.groupBy("source").agg(F.min(over).alias("over"), F.min("need").alias("need"), F.max("start").alias("start")).select(
             "source",
@@ -118,11 +118,6 @@ def cut_cells(each: DataFrame, quotas: DataFrame) -> DataFrame:
     return saved(state.select("source", F.col("start").alias("cut")), "cuts")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table of sources if it is small; else leave it to a shuffled join, whose hot keys Spark splits."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """(id, text_key, source, tokens, weight, copies, cell, rate) of every row; copies may be 0 under a given budget."""
     each = saved(document_tokens(docs, id_col, text_col, source_col, seed), "tokens")
@@ -133,7 +128,7 @@ def mixture(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id",
     cuts = cut_cells(each, quotas)
     plan = quotas.join(cuts.select(F.col("source").alias("s"), "cut"), F.col("source").eqNullSafe(F.col("s")), "left")
     plan = saved(plan.select(F.col("source").alias("s"), "weight", "passes", F.coalesce("cut", F.lit(0)).alias("cut"), F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens")).otherwise(1.0).alias("rate")), "plan")
-    joined = each.join(_small(plan), F.col("source").eqNullSafe(F.col("s")))
+    joined = each.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
     copies = F.col("passes") + F.when(F.col("cell") < F.col("cut"), 1).otherwise(0)
     return joined.select("id", "text_key", "source", "tokens", "weight", copies.alias("copies"), "cell", "rate")
 

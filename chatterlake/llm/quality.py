@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects texts whose rate is above a cutoff. Labelled texts are split in two by a hash of the id: one part
-proposes cutoffs, the other, the holdout, certifies them. A cutoff is used in a stratum only if the exact binomial
+Each rule rejects texts whose rate is above a cutoff. Trials are the distinct labelled texts, so that neither repeated ids
+nor copies make a bound look tighter than it is. They are split in two by a hash of the text: one part proposes cutoffs,
+the other, the holdout, certifies them. A cutoff is used in a stratum only if the exact binomial
 test on the stratum's good holdout texts shows that it rejects at most ``risk / number of rules`` of good texts, at
 level ``delta`` divided by the number of tests made (Bonferroni over strata, rules and cutoffs). So all rules together
 reject at most ``risk`` of a stratum's good texts, with probability 1 - delta over all strata at once. Of the certified
 cutoffs the one that parts bad from good best on the proposing part is used; a rule without one is off in the stratum.
 
 Defined results: null text has no words, symbols or lines; a null stratum is a stratum of its own; labels that are null
-are not used, and of several labels of an id the lowest counts; without labels no rule is on, and only the base rule
+are not used, of several labels of an id or text the lowest counts, of several texts of an id one; without labels no rule is on, and only the base rule
 decides; rows of the same id each keep their row; empty tables give an empty result.
 """
 
@@ -17,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlake.llm.shared import BROADCAST_ROWS, saved
+from chatterlake.llm.shared import fraction, saved, small
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS = "A-Z"
 WINDOW = 8
 RULES = ("symbol_rate", "repeat_rate", "dup_line_rate", "shout_rate", "long_word_rate")
 #: Proposed cutoffs: these quantiles of the good texts' rates, and the greatest of them with some room.
@@ -30,35 +31,47 @@ ROOM = 1.1
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of the text are of these: all others go, run by run."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]++", "")).cast("long")
 
 
-def _windows(words: Column) -> Column:
-    """The hash and place of each window of 8 words."""
-    n_windows = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(WINDOW))).alias("h"), i.alias("i")))
-    return F.when(n_windows > 1, hashes).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+def _no_hashes() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _runs(parts: Column, step: int, times: int) -> Column:
+    """The hash at each place of the parts there and ``step``, 2 ``step``, ... places on, ``times`` of them."""
+    n = F.size(parts) - step * (times - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(parts, i + step * k) for k in range(times))))).otherwise(_no_hashes())
+
+
+def _repeats(hashes: Column) -> Column:
+    return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
 
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str | None = "lang") -> DataFrame:
-    """(id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals) of whole texts."""
+    """(id, stratum, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals) of whole texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.col(stratum) if stratum else F.lit(None)).cast("string").alias("stratum"), text.alias("text"))
-    rows = rows.select("*", F.array_remove(F.split("text", f"[{BLANKS}]+"), "").alias("words"), F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("lines"))
+    rows = rows.select("*", F.array_remove(F.split("text", f"[{BLANKS}]+"), "").alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]")).alias("lines"))
     rows = rows.select(
         "id",
         "stratum",
+        F.xxhash64("text").alias("text_key"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         _count_of(F.col("text"), CAPITALS + "!").alias("n_capitals"),
-        _windows(F.col("words")).alias("windows"),
+        _runs(F.col("words"), 1, WINDOW // 2).alias("runs"),
     )
-    # Words inside windows that occur twice or more: most texts repeat no window; the rest sort theirs by hash, mark
-    # equal neighbours, and add up the stretch that each marked window covers beyond the one before it.
-    rows = rows.select("*", F.when(F.size(F.array_distinct(F.transform("windows", lambda w: w.h))) < F.size("windows"), F.array_sort("windows")).alias("sorted")).drop("windows")
+    # Words inside windows that occur twice or more. A window of 8 words can't repeat where no run of 4 does, so most texts
+    # are done with their runs of 4. The rest sort the hashes of their windows, mark equal neighbours, and add up the
+    # stretch that each marked window covers beyond the one before it.
+    rows = rows.withColumn("runs", F.when(_repeats(F.col("runs")), _runs(F.col("runs"), WINDOW // 2, 2)).otherwise(_no_hashes()))
+    windows = F.transform("runs", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))
+    rows = rows.withColumn("sorted", F.when(_repeats(F.col("runs")), F.array_sort(windows))).drop("runs")
     twice = F.filter(
         F.transform("sorted", lambda w, i: F.struct(w.i.alias("i"), ((i > 0) & (F.get("sorted", i - 1).h == w.h) | F.coalesce(F.get("sorted", i + 1).h == w.h, F.lit(False))).alias("twice"))),
         lambda w: w.twice,
@@ -111,10 +124,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(stratum, one column per rule): the cutoff in use, null where the rule is off. ``measures``: ids, strata, rates."""
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
-    rows = measures.join(good, "id").select(
+    once = measures.join(good, "id").groupBy("id").agg(F.min(F.struct("stratum", "text_key", "label", *RULES)).alias("row")).select("row.*")
+    trials = once.groupBy("stratum", "text_key").agg(F.min("label").alias("label"), *(F.first(r).alias(r) for r in RULES))
+    rows = trials.select(
         F.coalesce("stratum", F.lit("")).alias("stratum"),
         F.col("stratum").isNull().alias("no_stratum"),
-        (F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0).alias("proposes"),
+        (fraction(F.lit("split"), F.col("text_key")) < 0.5).alias("proposes"),
         (F.col("label") > 0).alias("good"),
         *RULES,
     )
@@ -125,10 +140,7 @@ def certified_cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc
     cutoffs = quantiles.select(*key, F.explode(F.array_distinct(F.concat("q", F.array(F.element_at("q", -1) * ROOM + 1e-6)))).alias("cutoff"))
     above = F.col("rate") > F.col("cutoff")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    cutoffs = saved(cutoffs, "proposed")
-    if cutoffs.count() > BROADCAST_ROWS:
-        raise ValueError("more strata than a broadcast table may hold: take a coarser stratum")
-    tallies = rates.join(F.broadcast(cutoffs), key).groupBy(*key, "cutoff").agg(
+    tallies = rates.join(small(saved(cutoffs, "proposed")), key).groupBy(*key, "cutoff").agg(
         count(~F.col("proposes") & F.col("good")).alias("n"),
         count(~F.col("proposes") & F.col("good") & above).alias("k"),
         count(F.col("proposes") & ~F.col("good") & above).alias("bad_cut"),
@@ -150,7 +162,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     measures = saved(with_rates(text_measures(docs, id_col, text_col, stratum)), "measures")
     cutoffs = saved(certified_cutoffs(measures, labels, id_col, label_col, risk, delta), "cutoffs")
     cutoffs = cutoffs.select(F.when(~F.col("no_stratum"), F.col("stratum")).alias("s"), *(f"max_{r}" for r in RULES))
-    joined = measures.join(F.broadcast(cutoffs), F.col("stratum").eqNullSafe(F.col("s")), "left")
+    joined = measures.join(small(cutoffs), F.col("stratum").eqNullSafe(F.col("s")), "left")
     failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RULES)))
     base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     return joined.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Widest table, in rows, that an operator sends to every task; above it, the operator takes another way.
 BROADCAST_ROWS = 200_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,18 +23,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which can be removed when the application is done."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
     # what a finished write has shuffled is of no more use: its files go at once, not when the driver happens to clean up
-    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before) if before is not None else conf.unset(FREE_SHUFFLES)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a saved table if its rows are few; else leave it to a shuffled join, whose hot keys Spark splits."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def held_out(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, is 1. A null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == 1, F.lit(False))
