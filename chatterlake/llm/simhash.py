@@ -243,6 +243,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = saved(links, "links-1")
     groups = connected_components(links)
     named = saved(rows.join(groups, "node", "left").select("key", "node", "signature", F.coalesce("root", "node").alias("root")), "named")
+    # buckets that have become one group have nothing left to compare
+    split = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).where("split")
+    named = named.join(split.select("key"), "key", "left_semi")
     a = named.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "signature", "root")))
     b = named.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "signature", "root")))
     apart = a.join(b, (a.key == b.key) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close("signature_a", "signature_b"))
