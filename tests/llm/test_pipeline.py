@@ -68,5 +68,27 @@ def test_mixing_query_gives_each_copy_its_place(spark, tmp_path):
     assert sorted((r.doc_id, r.copy, r.position) for r in got) == want and len(want) > docs.count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty and blank texts, repeated rows, clashing columns; and an empty table."""
+    spark.createDataFrame([(1, "one two three four five six"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"word{chr(97 + i % 26)}x" for i in range(3000))
+    rows = [(None, "a null id is here with some words", None, None), (1, None, "aa", "s"), (2, "", None, "s"), (3, " \n\t", "aa", None), (5, long, "aa", "s")]
+    rows += [(4, "the very same row stands here twice over", "aa", "s")] * 2 + [(6, "say one two three four five six", "aa", "s"), (7, "12 34", "aa", "s")]
+    odd = spark.createDataFrame([(*r, 5) for r in rows], DOCS)
+    odd = odd.selectExpr("*", *(f"1 as {c}" for c in ("id", "key", "node", "line_no", "copy", "cell", "text_key", "n_lines", "__id", "score")))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns[:5] == list(corpus_pipeline.COLUMNS), name
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert set(ids) <= {r[0] for r in rows} and 5 in ids and 4 in ids, name
+        if name == "near_dedup":
+            assert ids.count(4) == 1 and None in ids
+        if name == "decontamination":
+            assert 6 not in ids and len(ids) == len(rows) - 1
+        if name == "language_id":
+            assert not {1, 2, 3, 7} & set(ids)
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_all_queries_are_named():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
