@@ -83,7 +83,7 @@ _STABLE = f"""WITH {_RUNS}, c AS (SELECT handle, run, count(DISTINCT tweet_id) A
  SELECT handle, high, low, round(overlap, 6) AS overlap, CASE WHEN handle % 17 = 0 THEN 'VARIABLE (abort)' WHEN handle % 13 = 0 THEN 'VARIABLE (floor not reached)' WHEN high = 0 THEN 'VARIABLE (zero tweets)' WHEN (high - low) / high > 0.05::DOUBLE THEN 'VARIABLE (count spread)' WHEN overlap < 0.95::DOUBLE THEN 'VARIABLE (overlap)' ELSE 'STABLE' END AS verdict FROM f LEFT JOIN o USING (handle)"""
 
 
-@query("A21_run_stability", _STABLE)
+@query("A21_E12_run_stability", _STABLE)
 def stability(t: Tables):
     return ledger.run_stability(*_runs(t))
 

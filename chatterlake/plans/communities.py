@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions import names
-from chatterlake.operators import communities, forum
+from chatterlake.operators import communities, forum, rollups
 from chatterlake.plans.forum import _SHARES, _VERDICT, _hits
 from chatterlake.plans.registry import Tables, query
 from chatterlake.sources import landed
@@ -94,7 +94,7 @@ _CATALOG = f"""{_ATTR}, tok AS (SELECT c.*, attr.ticker, attr.relevance, {_HUMPS
   WHEN len(list_intersect(list_distinct(x), {_ATTR_FIN})) >= 2 AND ({_STRONG_IN('x')} OR list_has_any(list_intersect(x, {_ATTR_FIN}), {_TEXT_STRONG})) THEN 'text' ELSE 'no' END AS rule, ticker, relevance FROM tok)"""
 
 
-@query("F12_T10_catalog", f"WITH {_CATALOG} SELECT *, rank() OVER (ORDER BY subscribers DESC) AS place FROM cat")
+@query("F12_E07_T10_catalog", f"WITH {_CATALOG} SELECT *, rank() OVER (ORDER BY subscribers DESC) AS place FROM cat")
 def catalog(t: Tables):
     c = communities.catalog(_communities(t), _stocks(t))
     # places from the counts of each number of members, not from a window over all communities
@@ -159,6 +159,15 @@ def discovery_scores(t: Tables):
     return j.select("name", "ticker", "relevance", communities.community_score(F.col("subscribers"), F.col("posts_7d"), F.col("relevance")).alias("score"), selected.alias("selected"))
 
 
+@query("F11_T09_E08_match_rank", """WITH c AS (SELECT ticker, 'c' || date || '_' || subreddit AS name, mention_count * 7 AS subs, mention_count % 60 AS posts, CASE ticker % 3 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS rel FROM mentions),
+ s AS (SELECT *, round(rel * (log10(subs + 1) * 10 + least(posts, 50)), 2) AS score, rel >= 0.6 AND (subs >= 50 OR (posts >= 5 AND subs >= 5)) AS selected FROM c) SELECT ticker, name, score, selected, row_number() OVER (PARTITION BY ticker ORDER BY selected DESC, score DESC, name) AS rank FROM s""")
+def match_rank(t: Tables):
+    c = t.mentions.select("ticker", F.concat(F.lit("c"), F.col("date").cast("string"), F.lit("_"), "subreddit").alias("name"), (F.col("mention_count") * 7).alias("subs"), (F.col("mention_count") % 60).alias("posts"), F.when(F.col("ticker") % 3 == 0, 0.6).when(F.col("ticker") % 3 == 1, 1.0).otherwise(0.4).alias("rel"))
+    selected = (F.col("rel") >= 0.6) & ((F.col("subs") >= 50) | ((F.col("posts") >= 5) & (F.col("subs") >= 5)))
+    scored = c.select("ticker", "name", communities.community_score(F.col("subs"), F.col("posts"), F.col("rel")).alias("score"), selected.alias("selected"))
+    return rollups.ranked_within(scored, ["ticker"], [F.desc("selected"), F.desc("score"), F.col("name")])
+
+
 @query("F05_F06_F08_names", f"""WITH {_COMM}, w AS (SELECT p_partkey, company, list_filter(string_split_regex(regexp_replace(company, '[^\\w\\s&''-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS ws FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'The ' ELSE '' END || ({_COMPANY}) || CASE WHEN p_size % 4 = 0 THEN ' Co.' ELSE '' END AS company FROM parts)),
  e AS (SELECT *, coalesce(list_max(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains({_LEGAL}, lower(ws[i])))), 0) AS last_one FROM w), f AS (SELECT *, ws[1:last_one] AS kept FROM e),
  g AS (SELECT *, array_to_string(kept[CASE WHEN lower(kept[1]) = 'the' THEN 2 ELSE 1 END:], ' ') AS name FROM f)

@@ -55,7 +55,7 @@ _WATCHED = f"""{_PEOPLE}, wl AS (SELECT committee_id FROM com WHERE parent_id IS
  watched AS (SELECT bioguide_id, full_name, party, chamber, string_agg(committee_id || ':' || name || ':' || title, ',' ORDER BY committee_id, name, title) AS committees FROM lead JOIN leg USING (bioguide_id) WHERE (is_full AND title IN ('Chair', 'Ranking Member')) OR (is_sub AND NOT is_full AND title = 'Chair') GROUP BY ALL)"""
 
 
-@query("J08_committees", f"WITH {_WATCHED} SELECT * FROM watched")
+@query("J08_S07_committees", f"WITH {_WATCHED} SELECT * FROM watched")
 def committees(t: Tables):
     leg, com, seat = _people(t)
     got = disclosures.watched_by_committee(seat, com, leg)
