@@ -14,8 +14,8 @@ LEAST_RELEVANCE, LEAST_MEMBERS, FINALISTS, LONGEST_NAME = 0.6, 10, 3, 21
 
 def noisy_gate(matches: DataFrame, posts: DataFrame, stocks: DataFrame) -> DataFrame:
     """Matches of a noisy ticker stay where the post has $TICKER or matched the short company name.
-    ``matches``: post_id, keyword, ticker; ``stocks``: ticker, company, in fixed number."""
-    short = F.broadcast(stocks.select("ticker", names.short_name(F.col("company")).alias("short")))
+    ``matches``: post_id, keyword, ticker; ``stocks``: ticker, company."""
+    short = stocks.select("ticker", names.short_name(F.col("company")).alias("short"))
     j = matches.join(short, "ticker", "left").join(posts.select("post_id", F.concat_ws("\n", "title", "body").alias("text")), "post_id")
     marked = F.regexp_like("text", F.concat(F.lit(r"\$"), "ticker", F.lit("(?![A-Za-z0-9])")))
     j = j.select("post_id", "keyword", "ticker", (~names.is_noisy(F.col("ticker")) | marked).alias("passes"), (F.col("keyword") == F.col("short")).alias("by_company"))

@@ -52,18 +52,21 @@ def sector_signal_means(signals: DataFrame, universe: DataFrame, names: list[str
 
 def news_heat(news: DataFrame, universe: DataFrame) -> DataFrame:
     """News of the last 7 days against the pace of the last 30; null without news in 30."""
-    n = with_as_of(news, newest(news))
-    per_ticker = n.groupBy("ticker").agg(F.count_if(F.col("date") >= F.date_sub("as_of", 7)).alias("c7"), F.count_if(F.col("date") >= F.date_sub("as_of", 30)).alias("c30"))
+    daily = landed.saved(news.groupBy("ticker", "date").agg(F.count("*").alias("n")), "daily-news")  # one pass over the news
+    d = with_as_of(daily, newest(daily))
+    recent = lambda days: F.coalesce(F.sum(F.when(F.col("date") >= F.date_sub("as_of", days), F.col("n"))), F.lit(0))
+    per_ticker = d.groupBy("ticker").agg(recent(7).alias("c7"), recent(30).alias("c30"))
     both = universe.join(per_ticker, "ticker", "left").groupBy("sector").agg(F.sum("c7").alias("c7"), F.sum("c30").alias("c30"))
     return both.select("sector", F.when(F.col("c30") > 0, F.col("c7") / (F.col("c30") / (30 / 7))).alias("news_heat"))
 
 
 def sector_deals(deals: DataFrame) -> DataFrame:
-    d = with_as_of(deals, newest(deals))
+    daily = landed.saved(deals.groupBy("sector", "date").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"), F.count("*").alias("n")), "daily-deals")  # one pass
+    d = with_as_of(daily, newest(daily))
     recent = F.col("date") >= F.date_sub("as_of", 30)
     return d.groupBy("sector").agg(
-        F.sum(F.when(recent, F.col("amount").cast("decimal(18,2)"))).cast("double").alias("deal_sum"),
-        F.count_if(recent).alias("deal_count"),
+        F.sum(F.when(recent, F.col("amount"))).cast("double").alias("deal_sum"),
+        F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("deal_count"),
         F.datediff(F.max("as_of"), F.max("date")).cast("long").alias("days_since"),
     )
 
@@ -77,6 +80,7 @@ def implied_flow(funds: DataFrame) -> DataFrame:
 
 def sector_flow_ratio(flows: DataFrame, etf_map: DataFrame) -> DataFrame:
     """Mean flow of 5 calendar days over that of 30, for funds with 15 flows or more; the sector takes its funds' mean."""
+    flows = landed.saved(flows, "flows")
     f = with_as_of(flows, newest(flows))
     days = F.datediff("as_of", "date")
     short, long = F.when(days < 5, F.col("net_flow")), F.when(days < 30, F.col("net_flow"))

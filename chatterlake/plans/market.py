@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.operators import rollups, signals
 from chatterlake.plans.registry import Tables, query, r6
+from chatterlake.sources import landed
 
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
@@ -187,7 +188,10 @@ _HEAT = f"""{_ASOF}, {RATIO_SQL}, lat AS (SELECT ticker, signal_name, arg_max(va
 
 
 def _heat(t: Tables):
-    return rollups.sector_heat(signals.price_signals(t.bars), t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, rollups.newest(t.bars))
+    """Bars and memberships are read by several parts: made once."""
+    t.bars, t.universe = landed.saved(t.bars, "bars"), landed.saved(t.universe, "universe")
+    heat = rollups.sector_heat(signals.price_signals(t.bars), t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, rollups.newest(t.bars))
+    return landed.saved(heat, "heat")
 
 
 @query("A06_sector_heat", f"""WITH {_HEAT} SELECT sector, constituents, round(return_1m, 6) AS return_1m, round(above_sma50, 6) AS above_sma50, round(news_heat, 6) AS news_heat, round(deal_sum, 2) AS deal_sum, deal_count, days_since, round(flow_ratio, 6) AS flow_ratio, round(volatility_change, 6) AS volatility_change FROM heat""")

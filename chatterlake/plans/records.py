@@ -180,6 +180,7 @@ def targets(t: Tables):
  FROM px LEFT JOIN wide USING (ticker) LEFT JOIN tgt USING (ticker) LEFT JOIN sec USING (ticker) LEFT JOIN y USING (ticker) LEFT JOIN er USING (ticker) LEFT JOIN nn USING (ticker)""")
 def ticker_record(t: Tables):
     """One wide row a ticker: board, its last day's news, place in the year's range and in the targets, events, classes."""
+    t.bars = landed.saved(t.bars, "bars")  # read by five parts
     wide = rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"])
     n = t.read("supplier").count()
     detail = rollups.ticker_detail(t.bars, wide, t.deals.select((F.col("custkey") % n).alias("ticker"), "date"), F.lit("1997-01-01").cast("date"))
