@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, html, language, licenses, lines, lm, mixing, quality, simhash, tokens
+from chatterlake.llm import decontaminate, html, language, licenses, lines, lm, manifest, mixing, quality, simhash, tokens, whitening
 from chatterlake.llm.shared import held_out, scratch_path
 
 #: Rows of a batch that goes to Python: with very long texts too, a batch stays small.
@@ -74,9 +75,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "found"), "n", F.col("deviation").cast("long").alias("deviation"), "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "found.whitened", "found.explained", "identity_error")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    docs = table(spark, sf_dir, "documents")
+    found = manifest.document_manifest(docs, altered={"text": F.when(third, lowered).otherwise(F.col("text"))})
+    rows = found.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof_text(F.col("path")), 256).alias("proof_sha256"), manifest.folded(F.col("altered_leaf"), F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash)
+    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash, op11_whitening, op12_manifest)
 }
 
 ORACLE_SQL: dict[str, str] = {}
