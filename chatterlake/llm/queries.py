@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, html, language, licenses, lines, lm, manifest, mixing, quality, simhash, tokens, whitening
+from chatterlake.llm import decontaminate, html, language, licenses, lines, lm, manifest, mixing, quality, simhash, substrings, tokens, whitening
 from chatterlake.llm.shared import held_out, scratch_path
 
 #: Rows of a batch that goes to Python: with very long texts too, a batch stays small.
@@ -90,9 +90,14 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash, op11_whitening, op12_manifest)
+    for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash, op11_whitening, op12_manifest, op13_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
