@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatterlake.functions.text import normal_name, words_array
+from chatterlake.functions.text import normal_name, quoted, words_array
 
 # Legal endings that a short company name loses.
 LEGAL_ENDINGS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "holdings", "holding", "nv", "sa", "se", "ag", "the")
@@ -125,7 +125,7 @@ def match_relevance(name: Column, text: Column, lang: Column, ticker: Column, co
     by_ticker = F.when(everyday, nm == t).otherwise((F.length(t) >= 2) & is_about(nm, t, F.lit(True)))
     base = normal_name(F.array_join(words, ""))
     named = by_ticker | ((F.length(base) >= 2) & is_about(nm, base, F.lit(True)))
-    dollar = F.regexp_like(hay, F.concat(F.lit(r"\$"), t, F.lit(r"\b")))
+    dollar = F.regexp_like(hay, F.concat(F.lit(r"\$"), quoted(t), F.lit(r"\b")))
     token = F.array_contains(found, t) & ~everyday
     told = (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(found, w)) & ~((F.size(words) == 1) & (F.get(words, 0) == t))
     finance = F.arrays_overlap(found, words_array(MATCH_FINANCE))

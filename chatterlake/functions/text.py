@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ CLAIM_STOPWORDS = tuple(
 )
 
 
+def quoted(text: Column) -> Column:
+    """A pattern, for regexp functions, that takes the text as it stands."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def words_array(words: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, words))
 
@@ -21,8 +28,8 @@ def keyword_pattern(word: str) -> str:
     """A pattern without lookaround: all capitals match with case and an optional $, other phrases without case, with
     any white space between their words. The character on either side is consumed."""
     if word.isupper():
-        return rf"(^|[^A-Za-z0-9])\$?{word}([^A-Za-z0-9]|$)"
-    return rf"(?i)(^|[^A-Za-z0-9])" + r"\s+".join(word.split()) + r"([^A-Za-z0-9]|$)"
+        return rf"(^|[^A-Za-z0-9])\$?{re.escape(word)}([^A-Za-z0-9]|$)"
+    return "(?i)(^|[^A-Za-z0-9])" + r"\s+".join(map(re.escape, word.split())) + r"([^A-Za-z0-9]|$)"
 
 
 def tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake.functions import names
-from chatterlake.functions.text import normal_name
+from chatterlake.functions.text import normal_name, quoted
 from chatterlake.operators.signals import last_rows
 
 LEAST_RELEVANCE, LEAST_MEMBERS, FINALISTS, LONGEST_NAME = 0.6, 10, 3, 21
@@ -17,7 +17,7 @@ def noisy_gate(matches: DataFrame, posts: DataFrame, stocks: DataFrame) -> DataF
     ``matches``: post_id, keyword, ticker; ``stocks``: ticker, company."""
     short = stocks.select("ticker", names.short_name(F.col("company")).alias("short"))
     j = matches.join(short, "ticker", "left").join(posts.select("post_id", F.concat_ws("\n", "title", "body").alias("text")), "post_id")
-    marked = F.regexp_like("text", F.concat(F.lit(r"\$"), "ticker", F.lit("(?![A-Za-z0-9])")))
+    marked = F.regexp_like("text", F.concat(F.lit(r"\$"), quoted(F.col("ticker")), F.lit("(?![A-Za-z0-9])")))
     j = j.select("post_id", "keyword", "ticker", (~names.is_noisy(F.col("ticker")) | marked).alias("passes"), (F.col("keyword") == F.col("short")).alias("by_company"))
     real = j.groupBy("post_id", "ticker").agg(F.bool_or(F.col("passes") | F.coalesce("by_company", F.lit(False))).alias("real")).where("real")
     return matches.join(real.select("post_id", "ticker"), ["post_id", "ticker"], "left_semi").select("post_id", "keyword", "ticker")

@@ -12,21 +12,44 @@ from chatterlake.sources import landed
 #: Authors who aren't people; limits of a discovery verdict.
 NOT_PEOPLE = ("", "[deleted]", "[unknown]", "automoderator")
 MIN_MENTIONS, MIN_AUTHORS, STOCK_SHARE, NAMED_SHARE = 3, 2, 0.25, 0.05
+#: Size of the filter of first tokens: 128 KB.
+FILTER_LONGS = 16_384
+#: Pairs of a key that one task makes of a join on hubs.
+HUB_PAIRS = 100_000
+
+
+def token_filter(tokens: DataFrame) -> Column:
+    """A bloom filter of a column ``token`` as a scalar subquery of 16384 longs, whatever the number of tokens."""
+    bits = F.array(*(F.pmod(h, F.lit(64 * FILTER_LONGS)) for h in _filter_hashes(F.col("token"))))
+    each = tokens.select(F.explode(bits).alias("bit")).select((F.col("bit") / 64).cast("long").alias("id"), F.expr("shiftleft(1L, int(bit % 64))").alias("long"))
+    words = tokens.sparkSession.range(FILTER_LONGS).join(each.groupBy("id").agg(F.bit_or("long").alias("long")), "id", "left").fillna(0, ["long"])
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "long"))), lambda x: x["long"])).scalar()
+
+
+def _filter_hashes(token: Column) -> list[Column]:
+    return [F.xxhash64(token), F.xxhash64(F.lit(1), token)]
+
+
+def may_hold(words: Column, token: Column) -> Column:
+    """Whether the filter has the token, or by a chance of a hundredth at 50,000 tokens another one's bits."""
+    at = [F.pmod(h, F.lit(64 * FILTER_LONGS)) for h in _filter_hashes(token)]
+    found = [F.getbit(F.get(words, (h / 64).cast("int")), (h % 64).cast("int")) == 1 for h in at]
+    return found[0] & found[1]
 
 
 def keyword_matches(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(post_id, keyword, ticker). ``keywords``: keyword, ticker, pattern.
+    """(post_id, keyword, ticker). ``keywords``: keyword, ticker, pattern; as many as there may be.
 
-    A post's distinct tokens meet the keywords' first tokens by equality, and only such pairs run the exact pattern, so
-    posts never meet all keywords."""
+    A post's distinct tokens meet the keywords' first tokens by equality, those alone that pass a filter of these; texts come
+    to the pairs that are left, and only there the exact pattern runs. So posts never meet all keywords."""
     first = F.get(F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1)), 0)
-    wanted = keywords.withColumn("token", first)
+    wanted = landed.saved(keywords.withColumn("token", first), "keywords")
     text = F.concat_ws(" ", "title", "body")
-    # only the tokens that begin a keyword leave a post, and only posts that have one carry their text on
-    begins = F.array(*(F.lit(r["token"]) for r in wanted.select("token").distinct().collect()))  # keywords are a fixed list
-    found = posts.select("post_id", text.alias("text"), F.explode(F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), begins)).alias("token"))
-    pairs = found.join(F.broadcast(wanted), "token")
-    return pairs.where(F.expr("text rlike pattern")).select("post_id", "keyword", "ticker").distinct()
+    tokens = posts.select("post_id", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("token"))
+    tokens = tokens.where(may_hold(token_filter(wanted.select("token").distinct()), F.col("token")))
+    pairs = landed.saved(tokens.join(landed.small(wanted), "token").select("post_id", "keyword", "ticker", "pattern").distinct(), "keyword-pairs")
+    said = posts.select("post_id", text.alias("text")).join(landed.small(pairs), "post_id")
+    return said.where(F.expr("text rlike pattern")).select("post_id", "keyword", "ticker").distinct()
 
 
 def rank_posts(posts: DataFrame, by: str, most: int) -> DataFrame:
@@ -101,13 +124,26 @@ def people(df: DataFrame) -> DataFrame:
     return df.where(~F.lower(F.coalesce("author", F.lit(""))).isin(*NOT_PEOPLE))
 
 
+def hub_join(a: DataFrame, b: DataFrame, key: str, most: int = HUB_PAIRS) -> DataFrame:
+    """The inner join on a key. Keys that give more pairs than ``most`` are hubs: their rows in ``b`` are dealt out over
+    salts by their values, their rows in ``a`` are repeated for every salt, so no task makes all pairs of one key."""
+    many = a.groupBy(key).agg(F.count("*").alias("na")).join(b.groupBy(key).agg(F.count("*").alias("nb")), key)
+    hubs = landed.saved(many.select(F.col(key).alias("__hub"), F.ceil(F.col("na") * F.col("nb") / most).cast("int").alias("__salts")).where("__salts > 1"), "hubs")
+    salts = F.coalesce("__salts", F.lit(1))
+    marked = lambda df: df.join(landed.small(hubs), F.col(key) == F.col("__hub"), "left")
+    left = marked(a).select(*a.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    right = marked(b).select(*b.columns, F.pmod(F.xxhash64(*(c for c in b.columns if c != key)), salts).cast("int").alias("__salt"))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def followed_subreddits(posts: DataFrame, matches: DataFrame, most_authors: int = 40, most: int = 20) -> DataFrame:
     """From the posts that mention a stock to their most active authors, and on to the subreddits where those post:
     (ticker, subreddit, authors, rank). Authors are cut before the second hop."""
     seeds = people(posts.join(matches.select("post_id", "ticker").distinct(), "post_id")).groupBy("ticker", "author").agg(F.count("*").alias("n"))
-    chosen = last_rows(seeds, ["ticker"], most_authors, F.desc("n"), F.col("author")).select("ticker", "author")
-    where = posts.select("author", "subreddit").distinct()
-    counts = chosen.join(where, "author").groupBy("ticker", "subreddit").agg(F.count_distinct("author").alias("authors"))
+    chosen = landed.saved(last_rows(seeds, ["ticker"], most_authors, F.desc("n"), F.col("author")).select("ticker", "author"), "authors")
+    # a post's row isn't needed again: where an author posts is a row a subreddit
+    where = landed.saved(posts.join(landed.small(chosen.select("author").distinct()), "author", "left_semi").select("author", "subreddit").distinct(), "authors-subreddits")
+    counts = hub_join(chosen, where, "author").groupBy("ticker", "subreddit").agg(F.count("*").alias("authors"))
     return last_rows(counts, ["ticker"], most, F.desc("authors"), F.col("subreddit"))
 
 

@@ -38,13 +38,13 @@ def column_wise(old: DataFrame, new: DataFrame, key: str, owned: list[str], kept
     return j.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *map(mine, owned), *(F.col(f"o.{c}").alias(c) for c in kept))
 
 
-def refresh_posts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Counts are replaced, texts only by texts that aren't empty; first_seen stays."""
+def refresh_posts(old: DataFrame, new: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Counts are replaced, texts only by texts that aren't empty; first_seen stays, and so do the columns ``kept``."""
     j = old.alias("o").join(new.alias("n"), "post_id", "full")
     there = F.col("n.score").isNotNull()
     text = lambda c: F.when(F.coalesce(F.col(f"n.{c}"), F.lit("")) != "", F.col(f"n.{c}")).otherwise(F.coalesce(f"o.{c}", f"n.{c}")).alias(c)
     count = lambda c: F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    return j.select("post_id", text("title"), text("body"), count("score"), count("num_comments"), F.coalesce("o.first_seen", "n.first_seen").alias("first_seen"), F.greatest("o.last_seen", "n.last_seen").alias("last_seen"))
+    return j.select("post_id", text("title"), text("body"), count("score"), count("num_comments"), F.coalesce("o.first_seen", "n.first_seen").alias("first_seen"), F.greatest("o.last_seen", "n.last_seen").alias("last_seen"), *(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in kept))
 
 
 def link_precedence(links: DataFrame) -> DataFrame:
@@ -52,6 +52,15 @@ def link_precedence(links: DataFrame) -> DataFrame:
     return links.groupBy("post_id", "ticker").agg(F.min_by(F.struct("via", "matched"), F.struct(F.col("via") != "subreddit", "via", "matched")).alias("r")).select("post_id", "ticker", "r.*")
 
 
+def merge_links(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A stored link by the subreddit stays; otherwise a new one replaces the stored one, by the subreddit before by search."""
+    both = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    feed = F.col("via") == "subreddit"
+    order = F.struct(~feed, F.col("__new") != ~feed, "via", "matched")  # of feeds the stored one first, of searches the new one
+    others = [c for c in old.columns if c not in ("post_id", "ticker")]
+    return both.groupBy("post_id", "ticker").agg(F.min_by(F.struct(*others), order).alias("r")).select("post_id", "ticker", "r.*").select(*old.columns)
+
+
 def merge_digests(old: DataFrame, new: DataFrame) -> DataFrame:
     """Strictly newer replaces older, but what isn't ok never replaces ok."""
     j = old.alias("o").join(new.alias("n"), ["ticker", "digest_date"], "full")

@@ -104,27 +104,6 @@ def chart_lines(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     return bars.select("ticker", "date", mean.alias("sma"), (mean + spread).alias("upper"), (mean - spread).alias("lower"), volume.alias("avg_volume_30d"))
 
 
-def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    """RSI with recursive smoothing from the first change on; null for the first n rows and where all is flat.
-
-    Smoothing is recursive, which no window frame says, so each ticker's bars are smoothed in one Arrow group
-    (some thousand rows). Rows with a null close are left out.
-    """
-    import pandas as pd
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        change = pdf["close"].diff()
-        mean = lambda x: x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        gain, loss = mean(change.clip(lower=0)), mean((-change).clip(lower=0))
-        rsi = 100 - 100 / (1 + gain / loss)
-        rsi = rsi.where(~((loss == 0) & (gain > 0)), 100.0).where(~((loss == 0) & (gain == 0)))
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "wilder_rsi": rsi})
-
-    kind = bars.schema["ticker"].dataType.simpleString()
-    return bars.where("close is not null").select("ticker", "date", "close").groupBy("ticker").applyInPandas(smooth, f"ticker {kind}, date date, wilder_rsi double")
-
-
 def long_signals(bars: DataFrame) -> DataFrame:
     """(ticker, date, signal_name, value): every signal that has a value."""
     return price_signals(bars).drop("close").unpivot(["ticker", "date"], [*SIGNALS, "return_ytd"], "signal_name", "value").where("value is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake.functions.text import quoted
 from chatterlake.operators.signals import last_rows
 
 #: Fixed values of the verdict and the score.
@@ -34,8 +35,9 @@ def mentions_subject(title: Column, channel: Column, ticker: Column, company: Co
     """Short tickers must stand as a word, or a telling word of the company; without such words all pass."""
     text = F.concat_ws(" ", title, channel)
     words = distinctive_words(company)
-    has = F.array_contains(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.upper(ticker))
-    told = F.arrays_overlap(words, F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1)))
+    alone = lambda w: F.concat(F.lit(r"\b"), quoted(w), F.lit(r"\b"))
+    has = F.regexp_like(text, alone(F.upper(F.trim(ticker))))
+    told = F.exists(words, lambda w: F.regexp_like(F.lower(text), alone(w)))
     return (F.length(ticker) > SHORT_TICKER) | has | (F.size(words) == 0) | told
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions import names
@@ -97,10 +96,9 @@ _CATALOG = f"""{_ATTR}, tok AS (SELECT c.*, attr.ticker, attr.relevance, {_HUMPS
 @query("F12_E07_T10_catalog", f"WITH {_CATALOG} SELECT *, rank() OVER (ORDER BY subscribers DESC) AS place FROM cat")
 def catalog(t: Tables):
     c = communities.catalog(_communities(t), _stocks(t))
-    # places from the counts of each number of members, not from a window over all communities
-    sizes = c.groupBy("subscribers").agg(F.count("*").alias("n"))
-    above = sizes.select("subscribers", (F.sum("n").over(Window.orderBy(F.desc("subscribers"))) - F.col("n") + 1).alias("place"))
-    return c.join(above, "subscribers").select("name", "subscribers", "rule", "ticker", "relevance", "place")
+    placed = landed.saved(rollups.places(c, [F.desc("subscribers"), F.col("name")], "at"), "places")
+    shared = placed.groupBy("subscribers").agg(F.min("at").cast("long").alias("place"))  # communities of one size share the first of their places
+    return placed.join(shared, "subscribers").select("name", "subscribers", "rule", "ticker", "relevance", "place")
 
 
 @query("E07_catalog_export", f"""WITH {_CATALOG} SELECT ticker, string_agg(name, '|' ORDER BY subscribers DESC, name) AS names, count(*) AS n, round(sum(round(relevance, 2)), 2) AS relevance FROM cat WHERE ticker IS NOT NULL GROUP BY ticker
@@ -121,7 +119,7 @@ def catalog_export(t: Tables):
 _MATCH = f"""{_COMM}, st AS (SELECT ticker, company, {_SPOKEN} AS ws FROM stocks), stems AS (SELECT ticker, company, ws, unnest(list_filter(list_distinct([lower(ticker), regexp_replace(ws[1], '[^a-z0-9]', '', 'g'), regexp_replace(array_to_string(ws, ''), '[^a-z0-9]', '', 'g')]), lambda s: length(s) BETWEEN 1 AND 21)) AS stem FROM st),
  pairs AS (SELECT DISTINCT c.*, ticker, ws FROM comm c JOIN stems ON starts_with(lower(name), stem)),
  ev AS (SELECT *, lower(ticker) AS tk, {_NM} AS nm, string_split_regex(lower(text), '[^a-z0-9$]+') AS tok, list_contains({_MATCH_WORDS}, lower(ticker)) AS everyday, regexp_replace(array_to_string(ws, ''), '[^a-z0-9]', '', 'g') AS base FROM pairs),
- ev2 AS (SELECT *, CASE WHEN everyday THEN nm = tk ELSE length(tk) >= 2 AND {_about('tk', 'true')} END AS by_ticker, length(base) >= 2 AND {_about('base', 'true')} AS by_name, regexp_matches(lower(text), '\\$' || tk || '\\b') AS dollar, list_contains(tok, tk) AND NOT everyday AS token,
+ ev2 AS (SELECT *, CASE WHEN everyday THEN nm = tk ELSE length(tk) >= 2 AND {_about('tk', 'true')} END AS by_ticker, length(base) >= 2 AND {_about('base', 'true')} AS by_name, regexp_matches(lower(text), '\\$' || regexp_escape(tk) || '\\b') AS dollar, list_contains(tok, tk) AND NOT everyday AS token,
   len(ws) > 0 AND list_has_all(tok, ws) AND NOT (len(ws) = 1 AND ws[1] = tk) AS told, list_has_any(tok, {_MATCH_FIN}) AS fin, substr(lower(coalesce(lang, 'en')), 1, 2) <> 'en' AS alien FROM ev),
  rel AS (SELECT *, CASE WHEN (by_ticker OR by_name) AND NOT by_ticker AND NOT dollar AND NOT token AND NOT fin THEN 0.4 WHEN by_ticker AND NOT told AND NOT fin THEN 0.4 WHEN alien AND NOT told AND NOT dollar THEN 0.4
   WHEN (by_ticker OR by_name) AND (dollar OR token OR told) THEN 1.0 WHEN (by_ticker OR by_name) AND fin THEN 0.7 WHEN (dollar OR token OR told) AND fin THEN 0.6 WHEN by_ticker OR by_name OR dollar OR token OR told THEN 0.4 ELSE 0.0 END::DOUBLE AS relevance FROM ev2)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatterlake.operators import rollups, signals
+from chatterlake.operators import rollups, series, signals
 from chatterlake.plans.registry import Tables, query, r6
 from chatterlake.sources import landed
 
@@ -79,7 +79,7 @@ def chart(t: Tables):
   FROM g JOIN d ON d.ticker = g.ticker AND d.n = g.n + 1)
  SELECT ticker, date, round(CASE WHEN n > 14 THEN CASE WHEN l = 0 AND u > 0 THEN 100.0 WHEN l = 0 THEN NULL ELSE 100 - 100 / (1 + u / l) END END, 5) AS wilder_rsi FROM g""")
 def wilder(t: Tables):
-    return signals.wilder_rsi(t.bars).select("ticker", "date", F.round("wilder_rsi", 5).alias("wilder_rsi"))
+    return series.wilder_rsi(t.bars).select("ticker", "date", F.round("wilder_rsi", 5).alias("wilder_rsi"))
 
 
 @query("E01_long_signals", f"WITH {LONG_SQL} SELECT ticker, date, signal_name, round(value, 6) AS value FROM longsig")
@@ -173,6 +173,15 @@ def as_of_signal(t: Tables):
     return rollups.as_of(long.where("signal_name = 'atr_pct'"), ["ticker"], rollups.newest(t.bars), 30).select("ticker", r6("value"))
 
 
+@query("J02_asof_all_dates", f"""WITH {SIGNALS_SQL}, n AS (SELECT DISTINCT ticker, date FROM news), m AS (SELECT ticker, date, CASE WHEN CAST(strftime(date, '%d') AS INTEGER) % 7 = 0 THEN NULL ELSE atr_pct END AS value FROM sig)
+ SELECT n.ticker, n.date, round(m.value, 6) AS value FROM n ASOF LEFT JOIN m ON n.ticker = m.ticker AND n.date >= m.date""")
+def as_of_all(t: Tables):
+    """The range signal at every day with news; it is missing on some days, and then stays so."""
+    known = signals.price_signals(t.bars).select("ticker", "date", F.when(F.dayofmonth("date") % 7 != 0, F.col("atr_pct")).alias("value"))
+    days = t.news.select("ticker", "date").distinct()
+    return series.as_of_join(days, known, ["ticker"]).select("ticker", "date", r6("value"))
+
+
 @query("A05_volatility_change", f"WITH {_ASOF} SELECT sector, round(avg(now_value) - avg(old_value), 6) AS volatility_change FROM universe JOIN a USING (ticker) JOIN b USING (ticker) GROUP BY sector")
 def volatility_change(t: Tables):
     return rollups.sector_signals(signals.price_signals(t.bars), t.universe, [], rollups.newest(t.bars)).select("sector", r6("volatility_change"))

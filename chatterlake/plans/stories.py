@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlake.functions import text as tx
-from chatterlake.operators import claims, disclosures, video
+from chatterlake.operators import claims, disclosures, rollups, video
 from chatterlake.plans.registry import Tables, query
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOPWORDS) + "]"
@@ -111,14 +111,21 @@ def novelty_pass(t: Tables):
     return j.select("ticker", "claim_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source_count", "status", "place", "rank", F.col("first_seen_at").alias("first_seen"), F.col("last_seen_at").alias("last_seen"))
 
 
-@query("M07_claim_merge", f"""WITH {_FRESH}, b AS (SELECT ticker, fingerprint, text, 'new' AS novelty, TIMESTAMP '2024-03-01' + to_seconds(claim_id) AS s FROM fresh UNION ALL SELECT ticker, fingerprint, upper(text), 'known', TIMESTAMP '2024-04-01' + to_seconds(claim_id) FROM fresh WHERE claim_id % 2 = 0)
- SELECT ticker, fingerprint, arg_min(text, s) AS text, arg_max(novelty, s) AS novelty, min(s) AS first_seen_at, max(s) AS last_seen_at FROM b GROUP BY ALL""")
+#: What a run stores: its new claims, and known ones said again in other words' case.
+_MERGE = f"""{_FRESH}, {_KNOWN}, b AS (SELECT ticker, fingerprint, text, 'new' AS novelty, make_timestamp(epoch_us(first_seen_at) + claim_id) AS s FROM known UNION ALL SELECT ticker, fingerprint, text, 'new', make_timestamp(epoch_us(TIMESTAMP '2024-06-01') + claim_id) FROM fresh
+ UNION ALL SELECT ticker, fingerprint, upper(text), 'known', make_timestamp(epoch_us(TIMESTAMP '2024-06-02') + claim_id) FROM known WHERE claim_id % 2 = 0)"""
+
+
+@query("M07_claim_merge", f"""WITH {_MERGE} SELECT ticker, fingerprint, md5(arg_min(text, s)) AS text_md5, arg_max(novelty, s) AS novelty, min(s) AS first_seen_at, max(s) AS last_seen_at FROM b GROUP BY ALL""")
 def claim_merge(t: Tables):
-    at = lambda day: F.expr(f"timestamp'2024-{day}' + make_interval(0, 0, 0, 0, 0, 0, claim_id)").alias("seen_at")
-    f = _fresh(t)
-    old = f.select("ticker", "fingerprint", "text", F.lit("new").alias("novelty"), at("03-01"))
-    new = f.where("claim_id % 2 = 0").select("ticker", "fingerprint", F.upper("text").alias("text"), F.lit("known").alias("novelty"), at("04-01"))
-    return claims.merge_claims(old, new)
+    """All stored claims meet what a run stores."""
+    at = lambda start: F.timestamp_micros(F.unix_micros(start) + F.col("claim_id")).alias("seen_at")
+    day = lambda text: F.lit(text).cast("timestamp")
+    known = _known(t)
+    old = known.select("ticker", "fingerprint", "text", F.lit("new").alias("novelty"), at(F.col("first_seen_at")))
+    new = _fresh(t).select("ticker", "fingerprint", "text", F.lit("new").alias("novelty"), at(day("2024-06-01")))
+    again = known.where("claim_id % 2 = 0").select("ticker", "fingerprint", F.upper("text").alias("text"), F.lit("known").alias("novelty"), at(day("2024-06-02")))
+    return claims.merge_claims(old, new.unionByName(again)).withColumn("text", F.md5(F.col("text").cast("binary"))).withColumnRenamed("text", "text_md5")
 
 
 @query("M15_known_claims", f"""WITH {_KNOWN}, c AS (SELECT ticker, fingerprint, string_agg(DISTINCT CAST(claim_id AS VARCHAR), ',' ORDER BY CAST(claim_id AS VARCHAR)) AS cited FROM known GROUP BY ALL) SELECT k.claim_id, k.fingerprint, c.cited FROM known k JOIN c USING (ticker, fingerprint) WHERE CAST(k.first_seen_at AS DATE) >= DATE '2024-04-15' - 90""")
@@ -189,12 +196,9 @@ def _scored(t: Tables):
     return _videos(t).select("*", score.alias("score"), parts["views"].alias("views_part"))
 
 
-@query("F15_T06_reliability", f"WITH {_REL} SELECT video_id, score, row_number() OVER (ORDER BY score DESC, video_id) AS rank FROM rel QUALIFY rank <= 200")
+@query("F15_T06_reliability", f"WITH {_REL} SELECT video_id, score, row_number() OVER (ORDER BY score DESC, video_id) AS rank FROM rel")
 def reliability(t: Tables):
-    from pyspark.sql import Window
-
-    top = _scored(t).orderBy(F.desc("score"), "video_id").limit(200)
-    return top.select("video_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "video_id")).alias("rank"))
+    return rollups.places(_scored(t).select("video_id", "score"), [F.desc("score"), F.col("video_id")])
 
 
 @query("E14_video_selection", f"""WITH {_CAT}, {_REL.removeprefix(_VID + ', ')}, okd AS (SELECT r.*, row_number() OVER (PARTITION BY r.channel ORDER BY r.score DESC, r.video_id) AS attempt FROM rel r JOIN verdict USING (video_id) WHERE category IS NULL QUALIFY attempt <= 15)

@@ -15,6 +15,8 @@ TWEET_SCHEMA = "id string, text string, createdAt string, isReply boolean, inRep
 POST_SCHEMA = "id string, name string, title string, selftext string, body string, author string, score long, ups long, num_comments long, created_utc double"
 COMMUNITY_SCHEMA = "display_name string, name string, subscribers long, title string, public_description string, created_utc double, over18 boolean, over_18 boolean, quarantine boolean"
 BODY_CAP = 10_000
+#: Widest table, in rows, that is sent to every task.
+BROADCAST_ROWS = 50_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,6 +44,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a saved table if its rows are few; else leave it to a shuffled join, whose hot keys AQE splits."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def clean_bars(raw: DataFrame) -> DataFrame:
     """Bars with all fields; adj_close falls back on close."""
     adj = F.coalesce("adj_close", "close")
@@ -139,4 +146,5 @@ def stock_map(rows: DataFrame) -> DataFrame:
 
 def overwrite_parts(df: DataFrame, path: str, part: str) -> None:
     """Write a table by the values of a column: only parts with rows in ``df`` are replaced."""
-    df.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    # rebalanced: a part's rows come together, but a large part is split over several files
+    df.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)

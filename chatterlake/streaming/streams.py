@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chatterlake.sources.landed import scratch
+from chatterlake.operators.merges import first_wins
+from chatterlake.sources import landed
+from chatterlake.sources.daystore import DayTable
 
 LATE = "3 days"
 STATE_DAYS = 90
+DAY_MICROS = 86_400_000_000
 
 
 def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -20,10 +23,11 @@ def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", state_parts: int | None = None) -> DataFrame:
-    """Run a stream over all that is there, into a table in the shared folder, and read that."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, into a table in the shared folder, and read that. A later run with the same ``path``
+    goes on where this one ended: its state lies beside the table."""
     spark = stream.sparkSession
-    path = scratch(spark, name)
+    path = path or landed.scratch(spark, name)
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).format("parquet").start(path)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -41,29 +45,72 @@ def first_of_each(rows: DataFrame, key: str, time: str) -> DataFrame:
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, LATE).dropDuplicatesWithinWatermark([key])
 
 
+class FirstWinsSink:
+    """Micro-batches merged into a table by day: the first row of a key is stored, only ``seen`` moves on.
+
+    A row keeps the number of the batch that stored it, and a ledger has a row for each batch that is done. So a batch that
+    comes again changes nothing: if it was done it is passed over, and if it was lost between the merge and the ledger's
+    row the merge gives the same rows and the same counts again."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, time: str, seen: str, order: str):
+        self.spark, self.key, self.time, self.seen, self.order, self.ledger_path = spark, key, time, seen, order, f"{path}/ledger"
+        self.rows = DayTable(spark, f"{path}/rows", f"{schema}, batch long")
+
+    def ledger(self) -> DataFrame:
+        """(batch, inserted, ignored) of the batches that are done."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.ledger_path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], "batch long, inserted long, ignored long")
+        return self.spark.read.schema("inserted long, ignored long, batch long").parquet(self.ledger_path).select("batch", "inserted", "ignored")
+
+    def merged(self, rows: DataFrame, batch: int) -> tuple[int, int]:
+        """Merge a batch; returns how many of its rows' keys were new, and how many rows weren't."""
+        rows = landed.saved(rows.withColumns({"batch": F.lit(batch).cast("long"), "day": F.to_date(self.time)}), "batch")
+        _, written = self.rows.merge(rows, lambda old, new: first_wins(old, new.select(*old.columns), self.key, self.seen, self.order).drop("inserted"))
+        inserted = written.where(F.col("batch") == batch).count()
+        return inserted, rows.count() - inserted
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        if self.ledger().where(F.col("batch") == batch).count():
+            return
+        inserted, ignored = self.merged(rows, batch)
+        done = self.spark.createDataFrame([(inserted, ignored)], "inserted long, ignored long")
+        done.coalesce(1).write.mode("overwrite").parquet(f"{self.ledger_path}/batch={batch}")  # one row
+
+    def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
+        """Take in all that is there; a later run with the same checkpoint goes on."""
+        stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return self.rows.read()
+
+
 def change_log(sightings: DataFrame) -> DataFrame:
-    """Sightings whose score or comment count differs from the post's last, kept as state for 90 days.
-    Columns: post_id long, seen_at timestamp, event_id long, score long, num_comments long."""
+    """Sightings whose score or comment count differs from the post's last; a post not seen for 90 days is forgotten.
+    Columns: post_id long, seen_at timestamp, event_id long, score long, num_comments long.
+
+    The state holds the last counts and when they were seen. By that time they are too old, whether or not the watermark
+    has come to remove them; the timeout only frees the state."""
 
     def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, newest = state.get if state.exists else None, 0
+        last = state.get if state.exists else None
         for pdf in batches:
-            keep, newest = [], max(newest, int(pdf["seen_at"].max().timestamp() * 1000))
+            keep = []
             for r in pdf.sort_values(["seen_at", "event_id"]).itertuples(index=False):
+                seen = r.seen_at.value // 1000
                 now = (int(r.score), int(r.num_comments))
-                if last is None or tuple(last) != now:
+                if last is None or tuple(last[:2]) != now or seen - last[2] > STATE_DAYS * DAY_MICROS:
                     keep.append(r)
-                last = now
+                last = (*now, max(seen, last[2] if last else seen))
             if keep:
                 yield pd.DataFrame(keep, columns=pdf.columns)[["post_id", "seen_at", "event_id", "score", "num_comments"]]
         if last is not None:
             state.update(tuple(last))
-            state.setTimeoutTimestamp(newest + STATE_DAYS * 86_400_000)
+            state.setTimeoutTimestamp(last[2] // 1000 + STATE_DAYS * DAY_MICROS // 1000 + 1)
 
     rows = sightings.select("post_id", F.col("seen_at").cast("timestamp").alias("seen_at"), "event_id", "score", "num_comments")
     rows = rows.withWatermark("seen_at", LATE).groupBy("post_id")
     out = "post_id long, seen_at timestamp, event_id long, score long, num_comments long"
-    return rows.applyInPandasWithState(changes, out, "score long, num_comments long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.applyInPandasWithState(changes, out, "score long, num_comments long, seen long", "append", GroupStateTimeout.EventTimeTimeout)

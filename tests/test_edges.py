@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions import labels, money, names
 from chatterlake.functions import text as tx
-from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, signals, video
+from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, series, signals, video
 from chatterlake.sources import landed, nested
 
 
@@ -28,9 +28,9 @@ def test_simple_rsi_needs_15_rows_and_flat_is_100(spark):
 
 
 def test_wilder_rsi_flat_is_null(spark):
-    assert last(signals.wilder_rsi(bars(spark, [5] * 20)), "wilder_rsi")[0] is None
-    assert last(signals.wilder_rsi(bars(spark, range(1, 21))), "wilder_rsi")[0] == 100
-    assert last(signals.wilder_rsi(bars(spark, range(1, 15))), "wilder_rsi")[0] is None
+    assert last(series.wilder_rsi(bars(spark, [5] * 20)), "wilder_rsi")[0] is None
+    assert last(series.wilder_rsi(bars(spark, range(1, 21))), "wilder_rsi")[0] == 100
+    assert last(series.wilder_rsi(bars(spark, range(1, 15))), "wilder_rsi")[0] is None
 
 
 def test_returns_guard_zero_and_short_history(spark):

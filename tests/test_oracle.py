@@ -2,11 +2,12 @@
 
 import pytest
 
-from chatterlake.plans import archive, forum, landing, macro, market, stories, streamed  # noqa: F401
+import __spark_entry__
 from chatterlake.plans.registry import REGISTERED, SQL
 from tests.oracle import connection, difference
 
 FOLDER = "/root/testdata/sf0.001"
+NAMES = sorted(REGISTERED)
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,11 @@ def con():
     return connection(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(REGISTERED))
+def test_every_query_with_sql_is_compared():
+    assert set(REGISTERED) <= set(__spark_entry__.queries()) and set(SQL) == set(NAMES)
+    assert {n for n in __spark_entry__.oracle_sql() if not n.startswith("op") and n != "pipeline"} == set(NAMES)
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, con, name):
     assert difference(REGISTERED[name](spark, FOLDER), con, SQL[name]) == ""
