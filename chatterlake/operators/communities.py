@@ -59,10 +59,11 @@ def catalog(communities: DataFrame, stocks: DataFrame, least_members: int = 1000
     return j.select("name", "subscribers", rule.alias("rule"), "ticker", "relevance")
 
 
-def matches(communities: DataFrame, stocks: DataFrame) -> DataFrame:
+def matches(communities: DataFrame, stocks: DataFrame, activity: DataFrame | None = None) -> DataFrame:
     """Candidates for each stock: (ticker, name, relevance, subscribers, activity, score, selected), of relevance 0.6 at least.
 
-    ``communities``: name, text, lang, subscribers, posts_7d, commenters, over18. A candidate's name begins with a stem of
+    ``communities``: name, text, lang, subscribers, over18; ``activity``: subreddit in lower case, posts_7d, commenters, else
+    ``communities`` has these. A candidate's name begins with a stem of
     the ticker or company: names are cut to all their starts, which meet the stems by equality. Only the three with most
     members are measured; the others count no posts and no commenters."""
     low = F.lower("name")
@@ -72,8 +73,11 @@ def matches(communities: DataFrame, stocks: DataFrame) -> DataFrame:
     found = a.join(b, "stem").drop("stem").distinct()
     found = found.withColumn("relevance", names.match_relevance(F.col("name"), F.col("text"), F.col("lang"), F.col("ticker"), F.col("company"))).where(F.col("relevance") >= LEAST_RELEVANCE)
     finalists = last_rows(found.select("ticker", "name", "subscribers"), ["ticker"], FINALISTS, F.desc("subscribers"), F.col("name")).select("ticker", "name", F.lit(True).alias("measured"))
+    if activity is not None:  # of finalists alone
+        finalists = finalists.join(activity.withColumnRenamed("subreddit", "__low"), F.lower("name") == F.col("__low"), "left").drop("__low")
+        found = found.drop("posts_7d", "commenters")
     j = found.join(finalists, ["ticker", "name"], "left")
-    seen = lambda c: F.when(F.col("measured"), F.col(c)).otherwise(0)
+    seen = lambda c: F.when(F.col("measured"), F.coalesce(c, F.lit(0))).otherwise(0)
     activity = seen("commenters") * 3 + seen("posts_7d") + F.floor(F.col("subscribers") / 100)
     dead = (F.col("subscribers") < LEAST_MEMBERS) & (seen("posts_7d") == 0)
     return j.select(

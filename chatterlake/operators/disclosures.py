@@ -105,6 +105,15 @@ def tracked_trades(trades: DataFrame, members: DataFrame, now: Column, days: int
     return recent.join(members.select("bioguide_id"), "bioguide_id", "left_semi")
 
 
+def tracked_views(trades: DataFrame, members: DataFrame, views: dict[str, str], days: int) -> DataFrame:
+    """Trades of the last days by members, a row for each view whose flag the member has, with ``view``: people are matched and
+    trades read once for all views. ``trades``: of one row an id; the newest disclosure tells what the last days are."""
+    now = trades.agg(F.date_sub(F.max("disclosure_date"), days).alias("__first"))
+    recent = trades.join(F.broadcast(now), F.col("disclosure_date") >= F.col("__first")).drop("__first")  # one row
+    marks = members.select("bioguide_id", F.array_compact(F.array(*(F.when(F.col(flag), F.lit(name)) for name, flag in views.items()))).alias("__views"))
+    return match_people(recent, members).join(marks, "bioguide_id").withColumn("view", F.explode("__views")).drop("__views")
+
+
 def trade_table(trades: DataFrame) -> DataFrame:
     """Midpoint of the range, and days from trade to disclosure."""
     mid = F.when(F.col("amount_high").isNotNull(), (F.col("amount_low") + F.col("amount_high")) / 2).otherwise(F.col("amount_low"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatterlake.operators.signals import last_rows
+
 #: Statuses after which a day is settled; tolerated gaps.
 TERMINAL = ("complete", "exhausted", "empty")
 STATUSES = ("pending", "running", "complete", "exhausted", "empty", "failed", "skipped")
@@ -139,3 +141,14 @@ def sector_concentration(mentions: DataFrame, sectors: DataFrame) -> DataFrame:
 def cashtag_sample(tweets: DataFrame, n: int = 10) -> DataFrame:
     """The n tweets with the most cashtags, a report."""
     return tweets.select("tweet_id", F.size(cashtags(F.col("text"))).alias("tags")).orderBy(F.desc("tags"), "tweet_id").limit(n)
+
+
+def cashtag_samples(tweets: DataFrame, n: int = 10) -> DataFrame:
+    """Each account's n tweets with the most cashtags, the rest filled up by id: (handle, tweet_id, tags, rank)."""
+    counted = tweets.select("handle", "tweet_id", F.size(F.regexp_extract_all("text", F.lit(r"(\$[A-Z]{1,5})"), F.lit(1))).alias("tags"))
+    return last_rows(counted, ["handle"], n, F.desc("tags"), F.col("tweet_id"))
+
+
+def daily_counts(tweets: DataFrame) -> DataFrame:
+    """Tweets by account, day and provider."""
+    return tweets.groupBy("handle", F.to_date("created_at").alias("date"), "provider").agg(F.count("*").alias("tweets_fetched"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from chatterlake.operators import ledger, merges
 from chatterlake.plans.registry import Tables, query
-from chatterlake.sources import landed
+from chatterlake.sources import landed, loads
+from chatterlake.streaming.streams import FirstWinsSink
 
 _BY_ID = "ids AS (SELECT handle, tweet_id, bool_or(provider = 'A') AS a, bool_or(provider = 'B') AS b, min(created_at) AS created_at FROM tweets GROUP BY ALL)"
 _CMP = f"{_BY_ID}, cmp AS (SELECT handle, count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE b AND NOT a) AS b_only, count(*) AS n_union, min(created_at) AS earliest FROM ids GROUP BY handle)"
@@ -64,7 +65,7 @@ def configured(t: Tables):
 
 @query("A18_daily_counts", "SELECT handle, CAST(created_at AS DATE) AS date, provider, count(*) AS tweets_fetched FROM tweets GROUP BY ALL")
 def daily(t: Tables):
-    return t.tweets.groupBy("handle", F.to_date("created_at").alias("date"), "provider").agg(F.count("*").alias("tweets_fetched"))
+    return ledger.daily_counts(t.tweets)
 
 
 _RUNS = "runs AS (SELECT handle, run, tweet_id FROM (SELECT DISTINCT handle, tweet_id FROM tweets), (VALUES (1), (2), (3)) r(run) WHERE (tweet_id * run) % 37 <> handle % 3 + 1 OR run = 1)"
@@ -294,31 +295,65 @@ def failures(t: Tables):
 
 # --- whole jobs ---
 
-_LOAD = f"""runs1 AS (SELECT tweet_id, handle, created_at, provider, run FROM tweets, (VALUES (1), (2)) r(run) WHERE run = 1 OR tweet_id % 3 = 0), latest AS (SELECT tweet_id, handle, created_at, provider, max(run) AS run FROM runs1 GROUP BY ALL),
- stored AS (SELECT tweet_id, handle, min(created_at) AS created_at, min(provider) AS source, min(CASE WHEN run = 2 THEN 5 ELSE 1 END + CASE provider WHEN 'A' THEN 0 ELSE 1 END) AS seen FROM latest GROUP BY tweet_id, handle),
- acc AS (SELECT handle, count(*) AS total, min(created_at) AS earliest, max(created_at) AS newest, count(*) FILTER (WHERE source = 'B') AS only_b FROM stored GROUP BY handle), prov AS (SELECT handle, count(*) AS provenance FROM latest GROUP BY handle), {_REC},
+#: Three runs' files; the first load finds two of them, the second the last one, the third nothing new.
+_LOAD = f"""runs1 AS (SELECT tweet_id, handle, created_at, provider, run FROM tweets, (VALUES (1), (2), (3)) r(run) WHERE (run = 1 AND tweet_id % 5 <> 1) OR (run = 2 AND tweet_id % 3 = 0) OR (run = 3 AND (tweet_id % 5 = 1 OR tweet_id % 4 = 0))),
+ latest AS (SELECT *, run * 10 + CASE provider WHEN 'A' THEN 0 ELSE 1 END AS seen FROM (SELECT tweet_id, handle, created_at, provider, CASE WHEN run = 3 THEN 2 ELSE 1 END AS load, max(run) AS run FROM runs1 GROUP BY ALL)), fl AS (SELECT tweet_id, min(load) AS load FROM latest GROUP BY tweet_id),
+ stored AS (SELECT tweet_id, handle, min(created_at) AS created_at, min(provider) AS source FROM latest JOIN fl USING (tweet_id, load) GROUP BY tweet_id, handle), sn AS (SELECT tweet_id, max(seen) AS last_seen FROM latest GROUP BY tweet_id),
+ acc AS (SELECT handle, count(*) AS total, min(created_at) AS earliest, max(created_at) AS newest, count(*) FILTER (WHERE source = 'B') AS only_b, CAST(sum(last_seen) AS BIGINT) AS last_seen FROM stored JOIN sn USING (tweet_id) GROUP BY handle),
+ prov AS (SELECT handle, count(*) AS provenance, CAST(sum(l - f) AS BIGINT) AS seen_for FROM (SELECT tweet_id, handle, provider, min(seen) AS f, max(seen) AS l FROM latest GROUP BY ALL) GROUP BY handle),
+ dc AS (SELECT handle, count(*) AS day_rows, max(n) AS busiest FROM (SELECT handle, CAST(created_at AS DATE) AS d, provider, count(*) AS n FROM (SELECT DISTINCT tweet_id, handle, created_at, provider FROM latest) GROUP BY ALL) GROUP BY handle), {_REC},
  days AS (SELECT handle, count(*) FILTER (WHERE verdict = 'ok') AS ok_days, count(*) FILTER (WHERE verdict = 'mismatch') AS mismatch_days FROM rec GROUP BY handle),
- gaps AS (SELECT handle, count(*) AS pending FROM (SELECT handle, CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM day_log GROUP BY handle) c, (VALUES ('A'), ('B')) p(provider) WHERE NOT EXISTS (SELECT 1 FROM day_log d WHERE d.handle = c.handle AND d.date = c.date AND d.provider = p.provider) GROUP BY handle)"""
-
-
-@query("E10_archive_load", f"WITH {_LOAD} SELECT a.*, provenance, coalesce(ok_days, 0) AS ok_days, coalesce(mismatch_days, 0) AS mismatch_days, coalesce(pending, 0) AS pending FROM acc a LEFT JOIN prov USING (handle) LEFT JOIN days USING (handle) LEFT JOIN gaps USING (handle)")
+ gaps AS (SELECT handle, count(*) AS pending FROM (SELECT handle, CAST(unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM day_log GROUP BY handle) c, (VALUES ('A'), ('B')) p(provider) WHERE NOT EXISTS (SELECT 1 FROM day_log d WHERE d.handle = c.handle AND d.date = c.date AND d.provider = p.provider) GROUP BY handle),
+ ld AS (SELECT l.load, n AS inserted, rows FROM (SELECT load, count(*) AS rows FROM latest GROUP BY load) l LEFT JOIN (SELECT load, count(*) AS n FROM fl GROUP BY load) USING (load) UNION ALL SELECT 3, 0, 0)"""
+_RUN_SCHEMA = "key string, tweet_id long, handle long, micros long, provider string, run_no int"
+
+
+def load_runs(spark, path: str, known: loads.Manifest, archive: FirstWinsSink, number: int):
+    """One load: of the files that aren't in the manifest the last record of each id, first wins into the archive.
+    Returns how many tweets were stored, how many rows passed over, and the rows (tweet_id, handle, created_at, source, seen_at), if any."""
+    files = landed.saved(known.new_files(path), "new-files")
+    found = [r["path"] for r in files.select("path").collect()]  # a listing, as Spark keeps one of what it reads
+    if not found:
+        return 0, 0, None
+    latest = landed.last_file_wins(spark, found, _RUN_SCHEMA, "key").withColumn("created_at", F.timestamp_micros("micros"))
+    seen = F.col("run_no") * 10 + F.when(F.col("provider") == "A", 0).otherwise(1)
+    batch = landed.saved(latest.select("tweet_id", "handle", "created_at", F.col("provider").alias("source"), seen.cast("long").alias("seen_at")), "load")
+    inserted, ignored = archive.merged(batch, number)
+    known.record(files)
+    return inserted, ignored, batch
+
+
+@query("E10_archive_load", f"""WITH {_LOAD} SELECT 'account' AS section, handle AS key, total, earliest, newest, only_b, last_seen, provenance, seen_for, day_rows, busiest, coalesce(ok_days, 0) AS ok_days, coalesce(mismatch_days, 0) AS mismatch_days, coalesce(pending, 0) AS pending
+ FROM acc LEFT JOIN prov USING (handle) LEFT JOIN dc USING (handle) LEFT JOIN days USING (handle) LEFT JOIN gaps USING (handle) UNION ALL SELECT 'load', load, inserted, NULL, NULL, rows - inserted, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ld""")
 def archive(t: Tables):
-    """Run files of both providers, the last file of an id counts; first wins into the archive; where each tweet was seen;
-    totals of accounts; the calendar's gaps and the days' verdicts."""
+    """The whole job, three loads: new files by the manifest, the last file of an id counts, first wins into the archive with counts of
+    what was stored and passed over; where each tweet was seen; totals of accounts; counts by day; the calendar's gaps and the days' verdicts."""
     path = landed.scratch(t.spark, "runs")
-    rows = t.tweets.select("tweet_id", "handle", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"), "provider").withColumn("key", F.concat_ws(":", "provider", F.col("tweet_id").cast("string")))
-    for run, part in ((1, rows), (2, rows.where("tweet_id % 3 = 0"))):
-        part.withColumn("run_no", F.lit(run)).write.json(f"{path}/run-{run}")
-    latest = landed.last_file_wins(t.spark, f"{path}/run-*", "key string, tweet_id long, handle long, micros long, provider string, run_no int", "key").withColumn("created_at", F.timestamp_micros("micros"))
-    seen = F.when(F.col("run_no") == 2, 5).otherwise(1) + F.when(F.col("provider") == "A", 0).otherwise(1)
-    batch = latest.select("tweet_id", "handle", "created_at", "provider", seen.cast("long").alias("seen_at"))
-    stored = merges.dedupe(batch.select("tweet_id", "handle", "created_at", F.col("provider").alias("source")), ["tweet_id"], "source")
-    provenance = merges.provenance(batch.where("seen_at < 5").select("tweet_id", "provider", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen")), batch.where("seen_at >= 5").select("tweet_id", "provider", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen")))
-    totals = stored.groupBy("handle").agg(F.count("*").alias("total"), F.min("created_at").alias("earliest"), F.max("created_at").alias("newest"), F.count_if(F.col("source") == "B").alias("only_b"))
-    seen_by = provenance.join(stored.select("tweet_id", "handle"), "tweet_id").groupBy("handle").agg(F.count("*").alias("provenance"))
+    k = F.col("tweet_id")
+    rows = t.tweets.select("tweet_id", "handle", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"), "provider").withColumn("key", F.concat_ws(":", "provider", k.cast("string")))
+    parts = {1: rows.where(k % 5 != 1), 2: rows.where(k % 3 == 0), 3: rows.where((k % 5 == 1) | (k % 4 == 0))}
+    known = loads.Manifest(t.spark, f"{path}-manifest")
+    store = FirstWinsSink(t.spark, f"{path}-archive", "tweet_id long, handle long, created_at timestamp, source string, seen_at long", "tweet_id", "created_at", "seen_at", "source")
+    seen_at = lambda b: b.select("tweet_id", F.col("source").alias("provider"), F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"))
+    counts, batches, provenance = [], [], None
+    for number, runs in enumerate(((1, 2), (3,), ()), 1):
+        for run in runs:
+            parts[run].withColumn("run_no", F.lit(run)).write.json(f"{path}/run-{run}")
+        inserted, ignored, batch = load_runs(t.spark, path, known, store, number)
+        counts.append((number, inserted, ignored))
+        if batch is not None:
+            batches.append(batch)
+            provenance = seen_at(batch) if provenance is None else merges.provenance(provenance, seen_at(batch))
+    stored = store.rows.read()
+    totals = stored.groupBy("handle").agg(F.count("*").alias("total"), F.min("created_at").alias("earliest"), F.max("created_at").alias("newest"), F.count_if(F.col("source") == "B").alias("only_b"), F.sum("seen_at").alias("last_seen"))
+    seen_by = provenance.join(stored.select("tweet_id", "handle"), "tweet_id").groupBy("handle").agg(F.count("*").alias("provenance"), F.sum(F.col("last_seen") - F.col("first_seen")).alias("seen_for"))
+    loaded = batches[0].unionByName(batches[1]).select("tweet_id", "handle", "created_at", F.col("source").alias("provider")).distinct()
+    by_day = ledger.daily_counts(loaded).groupBy("handle").agg(F.count("*").alias("day_rows"), F.max("tweets_fetched").alias("busiest"))
     days = ledger.reconcile(t.day_log).groupBy("handle").agg(F.count_if(F.col("verdict") == "ok").alias("ok_days"), F.count_if(F.col("verdict") == "mismatch").alias("mismatch_days"))
     gaps = ledger.calendar_gaps(t.day_log, ["A", "B"]).groupBy("handle").agg(F.count("*").alias("pending"))
-    return totals.join(seen_by, "handle", "left").join(days, "handle", "left").join(gaps, "handle", "left").fillna(0, ["ok_days", "mismatch_days", "pending"])
+    accounts = totals.join(seen_by, "handle", "left").join(by_day, "handle", "left").join(days, "handle", "left").join(gaps, "handle", "left").fillna(0, ["ok_days", "mismatch_days", "pending"])
+    done = t.spark.createDataFrame(counts, "key long, total long, only_b long").withColumn("section", F.lit("load"))
+    return accounts.withColumnRenamed("handle", "key").withColumns({"section": F.lit("account"), **{c: F.col(c).cast("timestamp_ntz") for c in ("earliest", "newest")}}).unionByName(done, allowMissingColumns=True)
 
 
 _REPORT = f"""live AS (SELECT DISTINCT handle, tweet_id, cash_text, k FROM tweets WHERE k % 11 <> 0 AND created_at >= (SELECT max(created_at) FROM tweets) - INTERVAL 20 DAY), lg AS (SELECT tweet_id, CASE tweet_id % 3 WHEN 0 THEN 'bull' WHEN 1 THEN 'bear' ELSE 'neutral' END AS stance FROM live WHERE tweet_id % 4 = 0),
@@ -351,11 +386,15 @@ def month_report(t: Tables):
     return out.unionByName(section(todo.agg(F.count("*").alias("n")), "resume", F.lit("left to do"), F.col("n"), none))
 
 
-@query("E12_provider_variance", "WITH " + _STABLE.removeprefix("WITH ").replace(" SELECT handle, high", f", {_CMP.replace('ids AS', 'byid AS').replace('FROM ids', 'FROM byid')}, ver AS (SELECT handle, high", 1) + "), tot AS (SELECT handle, count(DISTINCT regexp_extract(cash_text, '\\$[A-Z]{1,5}\\b')) FILTER (WHERE regexp_matches(cash_text, '\\$[A-Z]{1,5}\\b')) AS tags FROM tweets GROUP BY handle) SELECT handle, n_a, n_b, n_both, n_union - n_a AS lift, round(100 * (n_union - n_a) / nullif(n_a, 0), 6) AS lift_pct, overlap, verdict, tags FROM cmp JOIN ver USING (handle) JOIN tot USING (handle)")
+@query("E12_provider_variance", "WITH " + _STABLE.removeprefix("WITH ").replace(" SELECT handle, high", f", {_CMP.replace('ids AS', 'byid AS').replace('FROM ids', 'FROM byid')}, ver AS (SELECT handle, high", 1) + "), tot AS (SELECT handle, count(DISTINCT regexp_extract(cash_text, '\\$[A-Z]{1,5}\\b')) FILTER (WHERE regexp_matches(cash_text, '\\$[A-Z]{1,5}\\b')) AS tags FROM tweets GROUP BY handle), smp AS (SELECT handle, string_agg(CAST(tweet_id AS VARCHAR), ',' ORDER BY n DESC, tweet_id) AS sample FROM (SELECT handle, tweet_id, n, row_number() OVER (PARTITION BY handle ORDER BY n DESC, tweet_id) AS k FROM (SELECT DISTINCT handle, tweet_id, len(regexp_extract_all(cash_text, '\\$[A-Z]{1,5}')) + CASE WHEN tweet_id % 4 = 0 THEN 1 ELSE 0 END AS n FROM tweets)) WHERE k <= 10 GROUP BY handle) SELECT handle, n_a, n_b, n_both, n_union - n_a AS lift, round(100 * (n_union - n_a) / nullif(n_a, 0), 6) AS lift_pct, overlap, verdict, tags, sample FROM cmp JOIN ver USING (handle) JOIN tot USING (handle) JOIN smp USING (handle)")
 def variance(t: Tables):
-    """Per account: the providers side by side, what their union adds, whether repeated runs agree, and distinct cashtags."""
+    """Per account: the providers side by side, what their union adds, whether repeated runs agree, distinct cashtags, and the ten
+    tweets with most of them."""
     counts = ledger.compare_providers(t.tweets)
     lift = ledger.union_lift(counts).withColumn("lift_pct", F.round("lift_pct", 6))
     stable = ledger.run_stability(*_runs(t)).select("handle", "overlap", "verdict")
     tags = ledger.ticker_mentions(_cash(t)).groupBy("handle").agg(F.count("*").alias("tags"))
-    return counts.select("handle", "n_a", "n_b", "n_both").join(lift, "handle").join(stable, "handle").join(tags, "handle")
+    # a tag more in every fourth text, so that numbers differ
+    texts = _cash(t).withColumn("text", F.when(F.col("tweet_id") % 4 == 0, F.concat("text", F.lit(" $MORE"))).otherwise(F.col("text")))
+    chosen = ledger.cashtag_samples(texts).groupBy("handle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tweet_id"))), lambda x: x.tweet_id.cast("string")), ",").alias("sample"))
+    return counts.select("handle", "n_a", "n_b", "n_both").join(lift, "handle").join(stable, "handle").join(tags, "handle").join(chosen, "handle")

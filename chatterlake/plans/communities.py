@@ -135,14 +135,29 @@ def match_relevance(t: Tables):
     return pairs.select("ticker", "name", names.match_relevance(F.col("name"), F.col("text"), F.col("lang"), F.col("ticker"), F.col("company")).alias("relevance"))
 
 
-_SCORED = f"""{_MATCH}, pl AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY subscribers DESC, name) <= 3 AS finalist FROM rel WHERE relevance >= 0.6),
+#: Posts and people of each community: documents and conversations dealt out over the first communities, by days.
+_ACTIVITY = f"""cp AS (SELECT lower(name) AS low, doc_id, DATE '2024-01-01' + CAST(doc_id % 20 AS INTEGER) AS day FROM documents JOIN named ON p_partkey = 1 + doc_id % 300),
+ ac AS (SELECT low, count(DISTINCT doc_id) FILTER (WHERE day >= (SELECT max(day) FROM cp) - 7) AS posts_7d, (SELECT count(DISTINCT author || comment_id % 13) FROM comments JOIN cp a ON post_id = a.doc_id WHERE a.low = cp.low) AS commenters FROM cp GROUP BY low)"""
+
+
+def _measured(t: Tables):
+    c = _parts(t).select("p_partkey", F.lower(F.expr(_NAME)).alias("subreddit"))
+    d = t.read("documents").select(F.col("doc_id").alias("post_id"), (F.col("doc_id") % 300 + 1).alias("p_partkey"), F.expr("date_add(date'2024-01-01', int(doc_id % 20))").alias("created_at"))
+    posts = landed.saved(d.join(c, "p_partkey").select("post_id", "subreddit", "created_at"), "community-posts")
+    said = t.comments.select("post_id", F.concat("author", (F.col("comment_id") % 13).cast("string")).alias("author"))
+    now = posts.agg(F.max("created_at").alias("now"))
+    return forum.sketched_activity(forum.activity_sketches(posts, said).join(F.broadcast(now), F.lit(True)), F.col("now"))
+
+
+_SCORED = f"""{_MATCH}, {_ACTIVITY}, mx AS (SELECT rel.* EXCLUDE (posts_7d, commenters), coalesce(ac.posts_7d, 0) AS posts_7d, coalesce(ac.commenters, 0) AS commenters FROM rel LEFT JOIN ac ON lower(name) = low WHERE relevance >= 0.6), pl AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY subscribers DESC, name) <= 3 AS finalist FROM mx),
  act AS (SELECT *, CASE WHEN finalist THEN commenters * 3 + posts_7d ELSE 0 END + subscribers // 100 AS activity, NOT (subscribers < 10 AND (NOT finalist OR posts_7d = 0)) AND NOT over18 AS selected FROM pl),
  sco AS (SELECT *, round(relevance * activity, 2) AS score FROM act)"""
 
 
 @query("E08_T09_F08_matches", f"WITH {_SCORED} SELECT ticker, name, relevance, activity, score, selected, finalist, selected AND row_number() OVER (PARTITION BY ticker ORDER BY selected DESC, score DESC, subscribers DESC, name DESC) = 1 AS winner FROM sco")
 def match(t: Tables):
-    found = communities.matches(_communities(t), _stocks(t))
+    """The whole job: candidates by starts of names, their relevance, the measured activity of the finalists, scores, winners."""
+    found = landed.saved(communities.matches(_communities(t), _stocks(t), _measured(t)), "candidates")
     best = communities.winners(found).select("ticker", "name", F.lit(True).alias("winner"))
     return found.join(best, ["ticker", "name"], "left").select("ticker", "name", "relevance", "activity", "score", "selected", "finalist", F.coalesce("winner", F.lit(False)).alias("winner"))
 

@@ -102,12 +102,10 @@ def _members(t: Tables):
  row_number() OVER (PARTITION BY view ORDER BY disclosed DESC, trade_id) AS place FROM vw""")
 def disclosure_tables(t: Tables):
     """The whole job: readers, members merged, raw rows cleaned, one row a trade, people matched, the two views in order."""
-    members = _members(t)
-    trades = merges.dedupe(disclosures.clean_trades(_raw(t)), ["trade_id"], "filing_id", last=True)
-    now = trades.agg(F.max("disclosure_date").alias("now"))
-    matched = disclosures.match_people(trades, members).join(F.broadcast(now), F.lit(True))
-    views = [disclosures.trade_table(disclosures.tracked_trades(matched, members.where(flag), F.col("now"), 365)).withColumn("view", F.lit(name)) for name, flag in (("star", "is_star"), ("committee", "is_watched"))]
-    rows = views[0].unionByName(views[1]).select("view", "trade_id", "bioguide_id", "estimate", "open_ended", "lag_days", "disclosure_date")
+    members = landed.saved(_members(t), "members")
+    trades = landed.saved(merges.dedupe(disclosures.clean_trades(_raw(t)), ["trade_id"], "filing_id", last=True), "trades")
+    rows = landed.saved(disclosures.tracked_views(trades, members, {"star": "is_star", "committee": "is_watched"}, 365), "views")
+    rows = disclosures.trade_table(rows).select("view", "trade_id", "bioguide_id", "estimate", "open_ended", "lag_days", "disclosure_date")
     return rollups.ranked_within(rows, ["view"], [F.desc("disclosure_date"), F.col("trade_id")], "place").drop("disclosure_date")
 
 
@@ -131,6 +129,38 @@ def config(t: Tables):
     return f.unionByName(nested.read_stars(t.spark, f"{path}/stars").select(F.lit("star").alias("kind"), F.col("bioguide_id").alias("key"), F.col("name").alias("value")))
 
 
+@query("S09_dimensions", """SELECT 'theme' AS kind, n_name AS key, n_regionkey || '|' || CASE WHEN n_nationkey % 2 = 1 THEN 'true' ELSE 'false' END || '|' || coalesce((SELECT string_agg(DISTINCT 'S' || s_suppkey, ',' ORDER BY 'S' || s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '') AS value FROM nation WHERE n_nationkey % 6 <> 5
+ UNION ALL SELECT 'note', 'T' || c_custkey, coalesce(CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment END, '-') || '|' || coalesce(CASE WHEN c_custkey % 5 = 1 THEN c_name END, '-') FROM customer WHERE c_custkey % 7 <> 0
+ UNION ALL SELECT 'company', 'P' || p_partkey, trim(p_name) FROM part WHERE p_size % 5 <> 0
+ UNION ALL SELECT 'subreddit', coalesce(CASE WHEN p_size % 9 <> 0 THEN upper('t' || p_partkey) END, 'general') || ' ' || split_part(p_name, ' ', 1), coalesce(CASE p_size % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'resolved' END, '-') || '|' || coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, -1) FROM part WHERE p_size % 8 <> 0
+ UNION ALL SELECT 'subreddit', coalesce(CASE WHEN p_size % 9 <> 0 THEN upper('t' || p_partkey) END, 'general') || ' other' || p_partkey, '-|-1' FROM part WHERE p_size % 8 <> 0""")
+def dimensions(t: Tables):
+    """Themes, notes, company names and the map of subreddits, written as they are kept and read back: entries of the wrong shape are
+    passed over, words for nothing are null, names repeat without regard to case."""
+    path = landed.scratch(t.spark, "dimensions")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    members = t.read("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("tickers"))
+    themes = t.read("nation").join(members, "n_nationkey", "left").select(F.when(F.col("n_nationkey") % 6 != 5, F.col("n_name")).alias("id"), F.col("n_name").alias("display_name"), F.lit("").alias("description"), F.col("n_regionkey").cast("string").alias("stage"), (F.col("n_nationkey") % 2 == 1).alias("speculative"), F.concat("tickers", "tickers").alias("tickers"))
+    themes.write.json(f"{path}/themes")
+    c = F.col("c_custkey")
+    notes = t.read("customer").select(F.concat(F.when(c % 7 == 0, "t").otherwise("T"), c.cast("string")).alias("ticker"), F.when(c % 4 == 1, F.col("c_mktsegment")).when(c % 4 == 2, " NaN ").when(c % 4 == 3, "none").alias("catalyst"), F.when(c % 5 == 1, F.col("c_name")).when(c % 5 == 2, "").alias("red_flag"))
+    notes.write.json(f"{path}/notes")
+    parts = t.read("part")
+    parts.select(F.concat(F.lit("p"), k.cast("string")).alias("ticker"), F.when(size % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("name")).write.json(f"{path}/companies")
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    listed = F.when(size % 8 == 0, '"not a list"').otherwise(F.to_json(F.array(word, F.upper(word), F.lit(""), F.concat(F.lit("other"), k.cast("string")))))
+    told = F.to_json(F.array(F.struct(F.upper(word).alias("name"), F.when(size % 3 == 0, "manual").when(size % 3 == 1, "resolved").otherwise("guess").alias("source"), F.when(size % 2 == 0, size).alias("subscribers"))))
+    ticker = F.when(size % 9 != 0, F.concat(F.lit('"t'), k.cast("string"), F.lit('"'))).otherwise("null")
+    parts.select(F.concat(F.lit('{"ticker": '), ticker, F.lit(', "subreddits": '), listed, F.lit(', "details": '), told, F.lit("}"))).write.text(f"{path}/map")
+    row = lambda df, kind, key, *values: df.select(F.lit(kind).alias("kind"), key.alias("key"), F.concat_ws("|", *values).alias("value"))
+    dash = lambda x: F.coalesce(x, F.lit("-"))
+    out = row(nested.read_themes(t.spark, f"{path}/themes"), "theme", F.col("sector"), "stage", F.col("speculative").cast("string"), F.array_join(F.array_sort("tickers"), ","))
+    out = out.unionByName(row(nested.read_notes(t.spark, f"{path}/notes"), "note", F.col("ticker"), dash("catalyst"), dash("red_flag")))
+    out = out.unionByName(row(nested.read_company_names(t.spark, f"{path}/companies"), "company", F.col("ticker"), "name"))
+    names = nested.read_subreddit_map(t.spark, f"{path}/map")
+    return out.unionByName(row(names, "subreddit", F.concat_ws(" ", F.coalesce("ticker", F.lit("general")), "name"), dash("source"), F.coalesce("subscribers", F.lit(-1)).cast("string")))
+
+
 # --- digests and their insights ---
 
 _DIGESTS = """dig AS (SELECT ticker, date AS digest_date FROM mentions WHERE subreddit = ''), ins AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS digest_date, event_type || ':' || event_id AS headline, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS rank FROM events),
@@ -173,23 +203,32 @@ def targets(t: Tables):
 
 @query("E13_ticker_record", f"""WITH {_WIDE}, {_TARGETS}, tgt AS (SELECT ticker, {_TARGET_COLS} FROM tg), px AS (SELECT ticker, arg_max(close, date) AS close, max(date) AS day FROM bars GROUP BY ticker), sec AS (SELECT ticker, string_agg(sector, ', ' ORDER BY sector) AS sectors FROM universe GROUP BY ticker),
  y AS (SELECT ticker, max(high) AS hi, min(low) AS lo FROM bars WHERE date > (SELECT max(date) FROM bars) - 365 GROUP BY ticker), ev AS (SELECT custkey % (SELECT count(*) FROM supplier) AS ticker, date FROM deals),
- er AS (SELECT ticker, CAST(min(date) FILTER (WHERE date >= DATE '1997-01-01') - DATE '1997-01-01' AS BIGINT) AS days_to_next FROM ev GROUP BY ticker), nn AS (SELECT px.ticker, count(news_id) AS n_news FROM px LEFT JOIN news n ON n.ticker = px.ticker AND n.date = px.day GROUP BY px.ticker)
- SELECT px.ticker, coalesce(sectors, '') AS sectors, round(px.close, 6) AS close, n_news, round(least(1, greatest(0, (px.close - lo) / nullif(hi - lo, 0))), 6) AS range_position, upside, mean_position, days_to_next,
+ er AS (SELECT ticker, CAST(min(date) FILTER (WHERE date >= DATE '1997-01-01') - DATE '1997-01-01' AS BIGINT) AS days_to_next FROM ev GROUP BY ticker), nn AS (SELECT px.ticker, count(news_id) AS n_news, coalesce(string_agg(CAST(news_id AS VARCHAR), ',' ORDER BY news_id DESC), '') AS day_news FROM px LEFT JOIN news n ON n.ticker = px.ticker AND n.date = px.day GROUP BY px.ticker),
+ rn AS (SELECT ticker, string_agg(strftime(date, '%Y-%m-%d') || ' ' || news_id, ',' ORDER BY date DESC, news_id DESC) AS last_news FROM (SELECT * FROM news QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC, news_id DESC) <= 5) GROUP BY ticker),
+ vv AS (SELECT ticker, arg_max(atr_pct, date) - arg_max(atr_pct, date) FILTER (WHERE date <= (SELECT max(date) FROM bars) - 30) AS moved FROM sig WHERE atr_pct IS NOT NULL GROUP BY ticker)
+ SELECT px.ticker, coalesce(sectors, '') AS sectors, round(px.close, 6) AS close, n_news, day_news, coalesce(last_news, '') AS last_news, CASE WHEN px.ticker % 23 > 15 THEN 'yellow' ELSE 'gray' END AS short, CASE WHEN moved > 0.002::DOUBLE THEN 'up' WHEN moved < -0.002::DOUBLE THEN 'down' WHEN moved IS NOT NULL THEN 'flat' END AS arrow,
+ CASE WHEN near_breakout = 1 THEN 'breakout' WHEN near_breakdown = 1 THEN 'breakdown' ELSE '' END AS flags, round(least(1, greatest(0, (px.close - lo) / nullif(hi - lo, 0))), 6) AS range_position, upside, mean_position, days_to_next,
  CASE WHEN return_1d > 0 THEN 'green' WHEN return_1d < 0 THEN 'red' ELSE 'gray' END AS return_class, CASE WHEN near_breakout = 1 THEN 'green' WHEN near_breakdown = 1 THEN 'red' ELSE 'gray' END AS setup, CASE WHEN volume_ratio > 1.5 THEN 'green' WHEN volume_ratio < 0.5 THEN 'red' ELSE 'gray' END AS volume,
  CASE WHEN rsi > 70 THEN 'Overbought' WHEN rsi >= 60 THEN 'Approaching overbought' WHEN rsi < 30 THEN 'Oversold' WHEN rsi IS NOT NULL THEN 'Neutral' END AS rsi_label, CASE WHEN days_to_next BETWEEN 0 AND 6 THEN 'yellow' ELSE 'gray' END AS earnings
- FROM px LEFT JOIN wide USING (ticker) LEFT JOIN tgt USING (ticker) LEFT JOIN sec USING (ticker) LEFT JOIN y USING (ticker) LEFT JOIN er USING (ticker) LEFT JOIN nn USING (ticker)""")
+ FROM px LEFT JOIN wide USING (ticker) LEFT JOIN tgt USING (ticker) LEFT JOIN sec USING (ticker) LEFT JOIN y USING (ticker) LEFT JOIN er USING (ticker) LEFT JOIN nn USING (ticker) LEFT JOIN rn USING (ticker) LEFT JOIN vv USING (ticker)""")
 def ticker_record(t: Tables):
-    """One wide row a ticker: board, its last day's news, place in the year's range and in the targets, events, classes."""
+    """One wide row a ticker: board with its flags, its last day's news and the newest of all days, place in the year's range and
+    in the targets, events, classes."""
     t.bars = landed.saved(t.bars, "bars")  # read by five parts
-    wide = rollups.wide_matrix(signals.price_signals(t.bars), [*_S, "return_ytd"])
+    marked = landed.saved(signals.price_signals(t.bars), "signals")
+    wide = rollups.wide_matrix(marked, [*_S, "return_ytd"])
+    board = rollups.ticker_board(t.universe, wide, t.bars).select("ticker", "sectors", "flags")
+    swing = rollups.with_as_of(marked.where("atr_pct is not null").select("ticker", "date", "atr_pct"), rollups.newest(t.bars))
+    moved = swing.groupBy("ticker").agg((F.max_by("atr_pct", "date") - F.max_by("atr_pct", F.when(F.col("date") <= F.date_sub("as_of", 30), F.col("date")))).alias("moved"))
+    newest = signals.last_rows(t.news.select("ticker", "date", "news_id"), ["ticker"], 5, F.desc("date"), F.desc("news_id"))
+    newest = newest.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "date", "news_id"))), lambda x: F.concat_ws(" ", x.date.cast("string"), x.news_id.cast("string"))), ",").alias("last_news"))
     n = t.read("supplier").count()
     detail = rollups.ticker_detail(t.bars, wide, t.deals.select((F.col("custkey") % n).alias("ticker"), "date"), F.lit("1997-01-01").cast("date"))
-    sectors = t.universe.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_list("sector")), ", ").alias("sectors"))
     last = t.bars.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
-    news = last.join(t.news.select("ticker", "date", "news_id"), ["ticker", "date"], "left").groupBy("ticker").agg(F.count("news_id").alias("n_news"))
-    j = last.join(detail.drop("close"), "ticker", "left").join(_targets(t).drop("close", "low", "high", "mean"), "ticker", "left").join(sectors, "ticker", "left").join(news, "ticker", "left")
+    news = last.join(t.news.select("ticker", "date", "news_id"), ["ticker", "date"], "left").groupBy("ticker").agg(F.count("news_id").alias("n_news"), F.array_join(F.reverse(F.array_sort(F.collect_list("news_id"))), ",").alias("day_news"))
+    j = last.join(detail.drop("close"), "ticker", "left").join(_targets(t).drop("close", "low", "high", "mean"), "ticker", "left").join(board, "ticker", "left").join(news, "ticker", "left").join(newest, "ticker", "left").join(moved, "ticker", "left")
     return j.select(
-        "ticker", F.coalesce("sectors", F.lit("")).alias("sectors"), r6("close"), "n_news", r6("range_position"), r6("upside"), r6("mean_position"), "days_to_next", labels.colour_of_sign(F.col("return_1d")).alias("return_class"),
+        "day_news", F.coalesce("last_news", F.lit("")).alias("last_news"), labels.short_class((F.col("ticker") % 23) / 100).alias("short"), labels.volatility_arrow(F.col("moved")).alias("arrow"), F.coalesce("flags", F.lit("")).alias("flags"), "ticker", F.coalesce("sectors", F.lit("")).alias("sectors"), r6("close"), "n_news", r6("range_position"), r6("upside"), r6("mean_position"), "days_to_next", labels.colour_of_sign(F.col("return_1d")).alias("return_class"),
         labels.setup_class(F.col("near_breakout") == 1, F.col("near_breakdown") == 1).alias("setup"), labels.volume_class(F.col("volume_ratio")).alias("volume"), labels.rsi_label(F.col("rsi")).alias("rsi_label"),
         labels.earnings_near(F.col("days_to_next")).alias("earnings"),
     )

@@ -111,7 +111,7 @@ def valid_deals(raw: DataFrame, sectors: list[str]) -> DataFrame:
     return d.select(deal_id.alias("deal_id"), "date", sector.alias("sector"), F.lower("deal_type").alias("deal_type"), F.upper("ticker").alias("ticker"), "summary", F.expr("try_cast(amount as double)").alias("amount"), (~sector.isin(sectors)).alias("unknown_sector"))
 
 
-def last_file_wins(spark: SparkSession, paths: str, schema: str, key: str) -> DataFrame:
+def last_file_wins(spark: SparkSession, paths: str | list[str], schema: str, key: str) -> DataFrame:
     """Of all run files the row of the file whose name sorts last, per key."""
     rows = spark.read.schema(schema).json(paths).select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run"))
     others = [c for c in rows.columns if c not in (key, "run")]
