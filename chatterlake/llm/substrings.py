@@ -41,24 +41,48 @@ CHUNK_WORDS, PACKET = 250_000, 100
 CHARS_A_WORD = 6
 #: Odd multipliers of the rolling hashes.
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: For hashes of words: a random number for each byte, an odd factor and its inverse modulo 2^64.
+BYTE_NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype="<u8")
+WORD_FACTOR = np.uint64(0xA0761D6478BD642F)
+WORD_FACTOR_INVERSE = np.uint64(pow(int(WORD_FACTOR), -1, 1 << 64))
+#: Bytes that aren't the white space of ASCII.
+IN_WORD = np.array([b not in b" \t\n\r\x0b\x0c" for b in range(256)])
 ANCHOR_BYTES = 6
 ANCHOR_MASK = np.uint64((1 << 8 * ANCHOR_BYTES) - 1)
 
 
-def word_count_and_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its number of words, and the XXH64 of all words one after another."""
-    from xxhash import xxh64_intdigest
+def word_bounds(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after another, where words begin and end in them, and each text's number of words."""
+    whole = pc.fill_null(texts, "").cast(pa.large_string()).combine_chunks()
+    _, offsets, data = whole.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = IN_WORD[raw]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(raw))]
+    begins[edges], ends[edges - 1] = inside[edges], inside[edges - 1]  # words end with their text
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return raw, starts, stops, np.diff(np.searchsorted(starts, offsets))
+
 
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-    counts, hashes = [], []
-    for part in split.chunks:
-        words, of = part.flatten(), pc.list_parent_indices(part)
-        real = pc.greater(pc.binary_length(words), 0)
-        words, of = words.filter(real).dictionary_encode(), of.filter(real)
-        counts.append(np.bincount(of.to_numpy(zero_copy_only=False), minlength=len(part)))
-        each = np.array([xxh64_intdigest(w) for w in words.dictionary.to_pylist()], dtype="<u8")
-        hashes.append(each[words.indices.to_numpy(zero_copy_only=False)])
-    return np.concatenate(counts or [np.zeros(0, np.int64)]).astype(np.int64), np.concatenate(hashes or [np.zeros(0, "<u8")])
+def word_count_and_hashes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its number of words, and a 64-bit hash of each word, all words one after another.
+
+    A word's hash is a sum of random numbers for its bytes times powers of an odd number, taken from the sums over all bytes before its
+    end and its start, then brought down to the power at its start."""
+    raw, starts, stops, counts = word_bounds(texts)
+    powers = np.full(len(raw) + 1, WORD_FACTOR)
+    powers[:1] = 1
+    powers = np.cumprod(powers)
+    sums = np.zeros(len(raw) + 1, "<u8")
+    np.cumsum(BYTE_NUMBERS[raw] * powers[:-1], out=sums[1:])
+    back = np.full(len(raw) + 1, WORD_FACTOR_INVERSE)
+    back[:1] = 1
+    back = np.cumprod(back)
+    return counts.astype(np.int64), mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype("<u8"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,8 +128,23 @@ class Chunk:
 def bucket_edges(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the parts of sorted hashes: buckets are ranges of their highest bits."""
     of = ((hashes >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-    names, first = np.unique(of, return_index=True)
-    return [(int(b), int(i), int(j)) for b, i, j in zip(names, first, [*first, len(hashes)][1:], strict=True)]
+    first = group_starts(of)
+    return list(zip(of[first].tolist(), first.tolist(), [*first.tolist(), len(hashes)][1:], strict=True))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and how often each occurs."""
+    x = np.sort(x)
+    first = group_starts(x)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def held(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of x are among sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(values, x)
+    return values[np.minimum(at, len(values) - 1)] == x
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -139,8 +178,8 @@ def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:
 def ask_anchors(size: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def ask(docs: pa.Table) -> pa.Table:
         _, hashes, is_block = Chunk.of(docs["text"]).anchors(size)
-        blocks, others = np.unique(hashes[is_block]), np.unique(hashes[~is_block])
-        others = np.setdiff1d(others, blocks, assume_unique=True)
+        blocks, others = distinct(hashes[is_block])[0], distinct(hashes[~is_block])[0]
+        others = others[~held(others, blocks)]
         rows: dict[int, list[bytes]] = {}
         for k, some in enumerate((blocks, others)):
             for b, i, j in bucket_edges(some, buckets):
@@ -183,13 +222,12 @@ def ask_windows(window: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.
             docs = in_order(docs)
             chunk = Chunk.of(docs["text"])
             at, hashes, is_block = chunk.anchors(size)
-            own, n = np.unique(hashes, return_counts=True)
-            blocks = np.unique(hashes[is_block])
+            own, n = distinct(hashes)
             own = own[n > 1]
-            own = own[np.isin(own, blocks, assume_unique=True)]  # met within the chunk
-            hits = np.unique(np.concatenate([unpacked(answers["hits"].to_pylist()), own & ANCHOR_MASK]))
+            own = own[held(own, distinct(hashes[is_block])[0])]  # met within the chunk
+            hits = distinct(np.concatenate([unpacked(answers["hits"].to_pylist()), own & ANCHOR_MASK]))[0]
             hit = np.zeros(len(chunk.words) + 1, np.int64)
-            hit[at + 1] = np.isin(hashes & ANCHOR_MASK, hits)
+            hit[at + 1] = held(hashes & ANCHOR_MASK, hits)
             hit = np.cumsum(hit)
             full = np.flatnonzero(chunk.left >= window)
             full = full[hit[full + size] > hit[full]]  # an anchor begins at one of the first places of the window
@@ -269,8 +307,8 @@ def remove(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if len(order):
             own[order[group_starts(h1[order], h2[order])]] = False
         change = np.zeros(len(chunk.words) + 1, np.int64)
-        np.add.at(change, full[repeat | own], 1)
-        np.add.at(change, full[repeat | own] + window, -1)
+        change[full[repeat | own]] += 1  # places differ
+        change[full[repeat | own] + window] -= 1
         return kept_texts(docs, chunk.counts, np.cumsum(change)[:-1] > 0)
 
     return run
