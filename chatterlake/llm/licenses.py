@@ -31,7 +31,7 @@ V = r"(?: (?:version|v))?"
 #: Label, keyword, the family's name as a pattern over words. Longer names stand before shorter ones.
 FAMILIES = (
     ("agpl-3", "affero", rf"(?:gnu )?affero general public licen[cs]e{V} 3(?: 0)?(?: (?:or later|only))?"),
-    ("agpl-3", "agpl", rf"a ?gpl{V} ?v?3(?: 0)?(?: (?:or later|only))?"),
+    ("agpl-3", "agpl", rf"agpl{V} ?v?3(?: 0)?(?: (?:or later|only))?"),
     ("lgpl-2.1", "lgpl", rf"lgpl{V} ?v?2 1(?: (?:or later|only))?"),
     ("lgpl-3", "lgpl", rf"lgpl{V} ?v?3(?: 0)?(?: (?:or later|only))?"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public licen[cs]e{V} 2 1(?: (?:or later|only))?"),
@@ -95,7 +95,7 @@ PHRASES = (
     (r"{name}", 5, 0.6),
 )
 #: Signatures written one by one: bodies and headers of licenses, tags, file notes and notices: label, keyword, pattern,
-#: priority, confidence. The keyword is a word that every match holds.
+#: priority, confidence. Every match holds the keyword, or one of the keywords, as a word.
 SIGNATURES = (
     # bodies and headers of permissive licenses
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
@@ -104,7 +104,7 @@ SIGNATURES = (
     ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?", 1, 0.9),
     ("mit-advertising", "advertising", r"except as contained in this notice the name of .{1,80}? shall not be used in advertising or otherwise to promote", 2, 0.8),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 1, 0.9),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?", 1, 0.9),
+    ("0bsd", "0bsd|bsd", r"(?:zero clause bsd|0bsd)(?: licen[cs]e)?", 1, 0.9),
     ("hpnd", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose", 1, 0.85),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 1, 0.9),
     ("bsd-2-clause", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 2, 0.85),
@@ -132,15 +132,15 @@ SIGNATURES = (
     ("ecl-2", "educational", r"educational community licen[cs]e(?: version 2 0)?", 1, 0.9),
     ("upl-1", "universal", r"universal permissive licen[cs]e(?: v(?:ersion)? 1 0)?", 1, 0.9),
     ("bluoak-1", "blue", r"blue oak model licen[cs]e(?: 1 0 0)?", 1, 0.9),
-    ("beerware", "beer", r"beer ?ware licen[cs]e(?: revision 42)?", 1, 0.9),
+    ("beerware", "beer|beerware", r"beer ?ware licen[cs]e(?: revision 42)?", 1, 0.9),
     ("beerware", "beer", r"you can buy me a beer in return", 1, 0.9),
     ("wtfpl", "want", r"do what the f ?u ?c ?k you want to public licen[cs]e", 1, 0.95),
     ("x11", "x11", r"x11 licen[cs]e(?: distribution modification variant)?", 1, 0.85),
     ("xfree86", "xfree86", r"xfree86(?: project)? licen[cs]e(?: 1 [01])?", 1, 0.85),
-    ("libpng", "libpng", r"(?:png reference library|libpng) licen[cs]e(?: version 2)?", 1, 0.9),
+    ("libpng", "libpng|png", r"(?:png reference library|libpng) licen[cs]e(?: version 2)?", 1, 0.9),
     ("ijg", "jpeg", r"based in part on the work of the independent jpeg group", 1, 0.9),
     ("freetype", "freetype", r"(?:the )?freetype (?:project )?licen[cs]e", 1, 0.9),
-    ("php-3", "php", r"php licen[cs]e(?: version)? 3 0?1?", 1, 0.9),
+    ("php-3", "php", r"php licen[cs]e(?: version)? 3(?: 01?)?", 1, 0.9),
     ("ruby", "ruby", r"(?:under the same terms as ruby|ruby licen[cs]e)", 1, 0.8),
     ("perl", "perl", r"(?:under )?the same terms as perl(?: 5)? itself", 1, 0.9),
     ("tcl", "tcl", r"tcl tk licen[cs]e", 1, 0.85),
@@ -193,7 +193,7 @@ SIGNATURES = (
     ("polyform-small", "polyform", r"polyform small business licen[cs]e(?: 1 0 0)?", 1, 0.95),
     ("prosperity", "prosperity", r"prosperity public licen[cs]e(?: 3 0 0)?", 1, 0.9),
     ("parity-7", "parity", r"parity public licen[cs]e(?: 7 0 0)?", 1, 0.9),
-    ("openrail-m", "rail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: ?(?:\+\+ )?m)?(?: licen[cs]e)?", 1, 0.9),
+    ("openrail-m", "rail|openrail|railm|openrailm", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: ?(?:\+\+ )?m)?(?: licen[cs]e)?", 1, 0.9),
     ("hippocratic", "hippocratic", r"hippocratic licen[cs]e(?: (?:version )?[23] [01])?", 1, 0.9),
     # content and data licenses
     ("cc-by", "attribution", r"this work is licensed under a creative commons attribution(?: [1-4] 0)?(?: international| unported)? license", 0, 1.0),
@@ -208,7 +208,7 @@ SIGNATURES = (
     ("fal-1.3", "art", r"free art licen[cs]e(?: 1 [23])?", 1, 0.85),
     ("fal-1.3", "art", r"licence art libre(?: 1 [23])?", 1, 0.85),
     ("odbl", "odbl", r"odbl(?: v?1 0)?", 3, 0.75),
-    ("odc-by", "odc", r"(?:odc by|open data commons attribution licen[cs]e)(?: v?1 0)?", 1, 0.9),
+    ("odc-by", "odc|commons", r"(?:odc by|open data commons attribution licen[cs]e)(?: v?1 0)?", 1, 0.9),
     ("pddl", "dedication", r"open data commons public domain dedication and licen[cs]e", 1, 0.9),
     ("cdla-permissive", "data", r"community data licen[cs]e agreement permissive(?: (?:version )?[12] 0)?", 1, 0.95),
     ("cdla-sharing", "data", r"community data licen[cs]e agreement sharing(?: (?:version )?1 0)?", 1, 0.95),
@@ -217,7 +217,7 @@ SIGNATURES = (
     ("dl-de-by", "datenlizenz", r"datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?", 1, 0.95),
     ("dl-de-zero", "datenlizenz", r"datenlizenz deutschland zero(?: version)?(?: 2 0)?", 1, 0.95),
     ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: version)? 1 1", 2, 0.85),
-    ("ofl-1.1", "reserved", r"with reserved font names? ", 3, 0.6),
+    ("ofl-1.1", "reserved", r"with reserved font names?", 3, 0.6),
     ("bitstream-vera", "bitstream", r"bitstream vera (?:fonts )?copyright", 1, 0.9),
     ("gfl", "gust", r"gust font licen[cs]e", 1, 0.9),
     ("lppl-1.3c", "latex", r"latex project public licen[cs]e(?: (?:version )?1 3c?)?", 1, 0.95),
@@ -245,7 +245,7 @@ SIGNATURES = (
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use)(?: of this (?:file|document|work|software|material))?(?: via any medium)? is strictly prohibited", 2, 0.8),
     ("proprietary", "eula", r"end user licen[cs]e agreement eula", 2, 0.8),
     ("proprietary", "agreement", r"by installing or using (?:this|the) software you agree to (?:be bound by )?the terms of this agreement", 2, 0.8),
-    ("non-commercial", "commercial", r"(?:for|licensed for) (?:personal and )?non ?commercial (?:use|purposes) only", 2, 0.75),
+    ("non-commercial", "commercial|noncommercial", r"(?:for|licensed for) (?:personal and )?non ?commercial (?:use|purposes) only", 2, 0.75),
     ("research-only", "research", r"for (?:academic and )?research (?:use|purposes) only", 2, 0.75),
     ("evaluation", "evaluation", r"for evaluation (?:use|purposes) only", 2, 0.75),
     ("freeware", "freeware", r"(?:is|this) freeware", 3, 0.6),
@@ -260,47 +260,71 @@ SIGNATURES = (
 )
 
 
+#: Identifiers as tags name licenses, and their labels. Their words alone say little, so they count after a tag or in a grant.
+IDENTIFIERS = (
+    ("MIT", "mit"), ("MIT-0", "mit-0"), ("ISC", "isc"), ("Zlib", "zlib"), ("0BSD", "0bsd"), ("BSD-2-Clause", "bsd-2-clause"), ("BSD-3-Clause", "bsd-3-clause"), ("BSD-4-Clause", "bsd-4-clause"), ("BSD-2-Clause-Patent", "bsd-patent"),
+    ("Apache-1.1", "apache-1.1"), ("Apache-2.0", "apache-2"), ("BSL-1.0", "boost"), ("Unlicense", "unlicense"), ("WTFPL", "wtfpl"), ("HPND", "hpnd"), ("X11", "x11"), ("curl", "curl"), ("ICU", "icu"), ("Unicode-3.0", "unicode-3"),
+    ("NCSA", "ncsa"), ("W3C", "w3c"), ("AFL-3.0", "afl-3"), ("ECL-2.0", "ecl-2"), ("UPL-1.0", "upl-1"), ("BlueOak-1.0.0", "bluoak-1"), ("Beerware", "beerware"), ("libpng-2.0", "libpng"), ("IJG", "ijg"), ("FTL", "freetype"),
+    ("PHP-3.01", "php-3"), ("Ruby", "ruby"), ("TCL", "tcl"), ("Vim", "vim"), ("ZPL-2.1", "zpl-2.1"), ("Sleepycat", "sleepycat"), ("MulanPSL-2.0", "mulan-2"), ("OpenSSL", "openssl"), ("PostgreSQL", "postgresql"), ("Python-2.0", "python-2"), ("PSF-2.0", "python-2"),
+    ("GPL-2.0-only", "gpl-2"), ("GPL-2.0-or-later", "gpl-2"), ("GPL-2.0", "gpl-2"), ("GPL-3.0-only", "gpl-3"), ("GPL-3.0-or-later", "gpl-3"), ("GPL-3.0", "gpl-3"), ("LGPL-2.1-only", "lgpl-2.1"), ("LGPL-2.1-or-later", "lgpl-2.1"), ("LGPL-2.1", "lgpl-2.1"),
+    ("LGPL-3.0-only", "lgpl-3"), ("LGPL-3.0-or-later", "lgpl-3"), ("LGPL-3.0", "lgpl-3"), ("AGPL-3.0-only", "agpl-3"), ("AGPL-3.0-or-later", "agpl-3"), ("AGPL-3.0", "agpl-3"), ("GFDL-1.3", "gfdl"), ("MPL-1.1", "mpl-1.1"), ("MPL-2.0", "mpl-2"),
+    ("EPL-1.0", "epl-1"), ("EPL-2.0", "epl-2"), ("CPL-1.0", "cpl-1"), ("IPL-1.0", "ipl-1"), ("CDDL-1.0", "cddl-1"), ("CDDL-1.1", "cddl-1"), ("EUPL-1.1", "eupl"), ("EUPL-1.2", "eupl"), ("CECILL-2.1", "cecill-2.1"), ("OSL-3.0", "osl-3"), ("QPL-1.0", "qpl-1"),
+    ("APSL-2.0", "apsl-2"), ("MS-PL", "ms-pl"), ("MS-RL", "ms-rl"), ("RPL-1.5", "rpl-1.5"), ("Artistic-1.0", "artistic"), ("Artistic-2.0", "artistic-2"), ("SSPL-1.0", "sspl-1"), ("BUSL-1.1", "busl-1.1"), ("Elastic-2.0", "elastic-2"), ("Parity-7.0.0", "parity-7"),
+    ("CC0-1.0", "cc0"), ("CC-BY-4.0", "cc-by"), ("CC-BY-3.0", "cc-by"), ("CC-BY-SA-4.0", "cc-by-sa"), ("CC-BY-SA-3.0", "cc-by-sa"), ("CC-BY-NC-4.0", "cc-by-nc"), ("CC-BY-ND-4.0", "cc-by-nd"), ("CC-BY-NC-SA-4.0", "cc-by-nc-sa"), ("CC-BY-NC-ND-4.0", "cc-by-nc-nd"),
+    ("ODbL-1.0", "odbl"), ("ODC-By-1.0", "odc-by"), ("PDDL-1.0", "pddl"), ("OGL-UK-3.0", "ogl-uk"), ("etalab-2.0", "etalab-2"), ("OFL-1.1", "ofl-1.1"), ("LPPL-1.3c", "lppl-1.3c"),
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     order: int
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     confidence: float
     pattern: re.Pattern
 
 
 @lru_cache(maxsize=1)
 def signature_rules() -> tuple[Rule, ...]:
-    """All rules in order: each family's name in each phrase, and the signatures."""
+    """All rules in order: each family's name in each phrase, identifiers after a tag and in a grant, and the signatures."""
     made = [(p, label, keyword, c, phrase.format(name=name)) for phrase, p, c in PHRASES for label, keyword, name in FAMILIES]
+    ids = [(label, " ".join(WORD.findall(name.lower()))) for name, label in IDENTIFIERS]
+    made += [(p, label, name.split()[0], c, phrase.format(name=name)) for phrase, p, c in PHRASES[:2] for label, name in ids]
     made += [(p, label, keyword, c, pattern) for label, keyword, pattern, p, c in SIGNATURES]
     made.sort(key=lambda x: x[0])
-    return tuple(Rule(i, p, label, keyword, c, re.compile(rf"(?<![^ ]){pattern}(?![^ ])")) for i, (p, label, keyword, c, pattern) in enumerate(made))
+    return tuple(Rule(i, p, label, tuple(keyword.split("|")), c, re.compile(rf"(?<![^ ]){pattern}(?![^ ])")) for i, (p, label, keyword, c, pattern) in enumerate(made))
 
 
 @lru_cache(maxsize=1)
 def rules_by_keyword() -> dict[str, list[Rule]]:
     by: dict[str, list[Rule]] = {}
     for rule in signature_rules():
-        by.setdefault(rule.keyword, []).append(rule)
+        for keyword in rule.keywords:
+            by.setdefault(keyword, []).append(rule)
     return by
 
 
 #: Keywords that also stand inside a longer word, as gpl in gplv3.
-PARTS = ("agpl", "lgpl", "gpl", "bsd")
+PARTS = ("agpl", "lgpl", "gpl", "bsd", "mpl")
 
 
 def text_words(text: str | None) -> list[str]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) if text else []
 
 
-def detections(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
-    """(start, end, rule) in characters of the joined words, after suppression, in order of place."""
+def matches(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
+    """(start, end, rule) in characters of the joined words, of all rules of which a keyword is present."""
     by = rules_by_keyword()
     keywords = {k for k in by if k in present}
     keywords |= {k for k in PARTS if k not in keywords and k in joined}
-    found = [(m.start(), m.end(), rule) for k in keywords for rule in by[k] for m in rule.pattern.finditer(joined)]
+    rules = {rule.order: rule for k in keywords for rule in by[k]}
+    return [(m.start(), m.end(), rule) for rule in rules.values() for m in rule.pattern.finditer(joined)]
+
+
+def detections(joined: str, present: set[str]) -> list[tuple[int, int, Rule]]:
+    """(start, end, rule) after suppression, in order of place."""
+    found = matches(joined, present)
     # one sweep over starts: what begins no later and ends no earlier, with a rule of no lower priority, contains a detection
     found.sort(key=lambda x: (x[0], -x[1], x[2].priority, x[2].order))
     reach: dict[int, int] = {}  # priority -> the furthest end so far
