@@ -78,10 +78,12 @@ class ItemIndex:
             if len(doc) < p.least:
                 continue
             sketch = doc[: np.searchsorted(doc, p.values[-1], side="right")]
-            if not (p.values[np.searchsorted(p.values, sketch)] == sketch).any():  # most documents share nothing
+            first = np.searchsorted(p.values, sketch)
+            met = p.values[first] == sketch
+            if not met.any():  # most documents share nothing
                 continue
-            hit = np.isin(p.values, sketch)
-            for i in np.unique(p.items[hit]):
+            last = np.searchsorted(p.values, sketch[met], side="right")  # the runs of the values met, and no others
+            for i in np.unique(np.concatenate([p.items[a:b] for a, b in zip(first[met], last, strict=True)])):
                 shared = int(np.isin(self.shingles[i], doc, assume_unique=True).sum())
                 if shared >= self.needed(i):
                     found.append((int(i), shared))

@@ -62,6 +62,13 @@ def block_keys(tidied: Column, n: Column, edit_words: int) -> Column:
     return F.when(n > edit_words, both).when(n == edit_words, F.array(*halves(n))).otherwise(F.array().cast("array<bigint>"))
 
 
+def flags(places: Column) -> Column:
+    """An array with true at the given places (from 0) and false between them: a line is looked up in constant time."""
+    placed = F.sort_array(places)
+    ones = F.zip_with(placed, F.concat(F.array(F.lit(-1)), placed), lambda x, before: F.when(x.isNull(), "").otherwise(F.concat(F.repeat(F.lit("0"), x - before - 1), F.lit("1"))))
+    return F.transform(F.split(F.array_join(ones, ""), ""), lambda c: c == "1")
+
+
 def comparable_lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(id, text_key, line_no, line: its words, n)."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
@@ -73,10 +80,12 @@ def ranked_candidates(docs: DataFrame, firsts: DataFrame, id_col: str, text_col:
     """(rank, id, text_key, line_no, line, n) of the lines that share a block key with another; ranks follow the order of places."""
     keyed = firsts.select(F.explode("keys").alias("key"), "id", "line_no")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("line_no").alias("wanted"))
+    wanted = keyed.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set("line_no").alias("places"))
+    wanted = saved(wanted.select("id", flags(F.col("places")).alias("wanted")), "wanted-lines")
     sources = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    lines = sources.select("id", "wanted", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.where(F.array_contains("wanted", F.col("line_no"))).select(*PLACE, tidy(F.col("line")).alias("line"))
+    some = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("line_no"), line.alias("line"))), lambda x: F.coalesce(F.get("wanted", x["line_no"]), F.lit(False)))
+    lines = sources.select("id", F.xxhash64("text").alias("text_key"), F.explode(some).alias("at"))
+    lines = lines.select("id", "text_key", "at.line_no", tidy(F.col("at.line")).alias("line"))
     lines = lines.select(*PLACE, "line", word_count(F.col("line")).alias("n"))
     # rows equal in id and text count once; later occurrences of an equal line were settled before
     lines = lines.join(firsts, PLACE, "left_semi").distinct()
@@ -111,8 +120,8 @@ def dropped_near_lines(docs: DataFrame, firsts: DataFrame, id_col: str, text_col
     return matches.where(one_edit & (F.least("n", "other_n") >= edit_words)).select(*PLACE).distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, edit_words: int = 10) -> DataFrame:
-    """(id, text_key, line_nos) of the comparable lines that stay."""
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, edit_words: int = 10) -> DataFrame:
+    """(id, text_key, stays: for each line up to the last that stays, whether it is a comparable one that does)."""
     lines = comparable_lines(docs, id_col, text_col, least_words)
     hashed = lines.select(
         F.xxhash64("line").alias("h1"),
@@ -123,17 +132,17 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = saved(hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")).select("place.*", "keys"), "first-lines")
     dropped = dropped_near_lines(docs, firsts, id_col, text_col, edit_words, least_words)
     kept = firsts.select(*PLACE).join(dropped, PLACE, "left_anti")
-    return saved(kept.groupBy("id", "text_key").agg(F.collect_set("line_no").alias("line_nos")), "kept-lines")
+    kept = kept.groupBy("id", "text_key").agg(F.collect_set("line_no").alias("places"))
+    return saved(kept.select("id", "text_key", flags(F.col("places")).alias("stays")), "kept-lines")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5, edit_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, edit_words: int = 10) -> DataFrame:
     """The rows of ``docs`` with their text reduced to the lines that stay, then ``n_lines`` and ``n_dropped``."""
     kept = kept_lines(docs, id_col, text_col, least_words, edit_words).select(
-        F.col("id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("line_nos").alias("__line_nos")
+        F.col("id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("stays").alias("__stays")
     )
     joined = docs.join(kept, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__text_key")), "left")
-    listed = F.coalesce("__line_nos", F.array().cast("array<int>"))
-    stays = F.filter(F.split(text_col, "\n", -1), lambda line, i: F.array_contains(listed, i) | ~has_words(line, least_words))
+    stays = F.filter(F.split(text_col, "\n", -1), lambda line, i: F.coalesce(F.get("__stays", i), F.lit(False)) | ~has_words(line, least_words))
     whole = F.col(id_col).isNull() | F.col(text_col).isNull()
     text = F.when(whole, F.col(text_col)).otherwise(F.array_join(stays, "\n"))
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
