@@ -5,7 +5,7 @@ number of tags around it, and the containers that it stands in. Lines inside ele
 footers, forms, scripts, adverts, notices, reader comments) have no weight. The ratios of text to tags are smoothed
 over neighbouring lines, a threshold between two clusters parts content from the rest. The content region is the article
 that holds most of the text, else the innermost container that holds all content, or the article or main around it.
-Without either, headings and paragraphs beside the region belong to it too, where they aren't mostly links. Its
+Without either, headings and paragraphs beside the region belong to it too, where they aren't mostly links or scraps. Its
 lines are the result, in page order.
 
 Within an article or main, a name drops a part for certain only if all of it is the name of a page part; other names make
@@ -53,6 +53,9 @@ SIGMA = 2.0
 #: Shares of a text that is links: a doubtful part has more, what stands beside the content region less. Lines of a doubtful part
 #: at an article's end are shorter than this on the whole.
 LINKED, SHORT_LINE = 0.4, 40
+#: Paragraphs beside the content region have this length on the whole, if there is no heading with them.
+SENTENCE = 20
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 #: Elements whose content belongs together: the content region is not a part of one.
 WHOLES = frozenset(("article", "main"))
@@ -95,6 +98,7 @@ class Line:
     container: int
     linked: int  # characters within links
     own: bool  # in a heading or paragraph
+    heading: bool
     doubt: int  # number of the doubtful part that it is in, 0 for none
 
 
@@ -143,7 +147,8 @@ class Lines(HTMLParser):
         if text:
             _, _, number, doubt = self.open[-1] if self.open else ("", False, 0, 0)
             own = any(self.places.get(name) for name in PARAGRAPHS)
-            self.lines.append(Line(text, self.tags, number, self.linked, own, doubt))
+            heading = own and any(self.places.get(name) for name in HEADINGS)
+            self.lines.append(Line(text, self.tags, number, self.linked, own, heading, doubt))
         if text or self.tags > 50:
             self.tags = 0
         self.text, self.linked = [], 0
@@ -284,7 +289,7 @@ def leading_article(lines: list[Line], containers: list[Container]) -> int | Non
 
 
 def with_neighbours(lines: list[Line], containers: list[Container], region: int) -> list[Line]:
-    """The region's lines, and headings and paragraphs beside it, by the containers they stand in, where these aren't mostly links."""
+    """The region's lines, and headings and paragraphs beside it, by the containers they stand in, where these aren't mostly links or scraps."""
     chosen = {id(x) for x in lines if holds(containers, region, x)}
     inside = region
     while inside:
@@ -297,8 +302,10 @@ def with_neighbours(lines: list[Line], containers: list[Container], region: int)
                     top = containers[top].parent
                 beside.setdefault(top, []).append(line)
         for part in beside.values():
-            if sum(x.linked for x in part) <= LINKED * sum(len(x.text) for x in part):
-                chosen.update(id(x) for x in part if x.own)
+            own = [x for x in part if x.own]
+            told = any(x.heading for x in own) or sum(len(x.text) for x in own) >= SENTENCE * len(own)
+            if told and sum(x.linked for x in part) <= LINKED * sum(len(x.text) for x in part):
+                chosen.update(map(id, own))
         inside = around
     return [x for x in lines if id(x) in chosen]
 

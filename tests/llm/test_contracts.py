@@ -38,6 +38,7 @@ def folder(spark, tmp_path_factory):
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None), (None, say(15))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(100 + i, int(i % 4 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(BIG, [0.5, 1.0], 0), (None, [0.25, 3.0], 0), (1, [None, 1.0], 0), (2, None, 0), (3, [1.5, 2.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([(1, "u", "<p>a</p><![foo[bar]]><p>b"), (None, None, None), (BIG, "u", "")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return path, rows
 

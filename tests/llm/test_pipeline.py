@@ -91,4 +91,4 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 
 def test_all_queries_are_named():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
