@@ -100,4 +100,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_language_id, op2_mixing, op3_token_counts, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_main_text, op8_license_scan, op9_lm_scoring, op10_simhash, op11_whitening, op12_manifest, op13_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(map(_FIELD.format, ("doc_id", "source", "lang", "n_chars"))) + " || " + _FIELD + ")"
+#: A level of all trees of a recursion: the nodes of trees that have more than one become one a run.
+_LEVEL = "SELECT level + 1, name, run, sha256(string_agg(node, '' ORDER BY place)) FROM (SELECT *, place // 8 AS run, count(*) OVER (PARTITION BY name) AS n FROM {0}) WHERE n > 1 GROUP BY level, name, run"
+#: The nodes beside each place's ancestor at each level below the top of its tree.
+_STEPS = "SELECT l.name, l.place, t.level, coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (WHERE t.place < l.place // CAST(8 ** t.level AS BIGINT)), '') || '|' || coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (WHERE t.place > l.place // CAST(8 ** t.level AS BIGINT)), '') AS step FROM {0} l JOIN {1} t ON t.name IS NOT DISTINCT FROM l.name AND t.place // 8 = l.place // CAST(8 ** (t.level + 1) AS BIGINT) JOIN (SELECT name, max(level) AS height FROM {1} GROUP BY name) h ON h.name IS NOT DISTINCT FROM l.name AND t.level < h.height GROUP BY ALL"
+
+ORACLE_SQL: dict[str, str] = {
+    "op12_manifest": f"""WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+ marked AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS third FROM documents, crc),
+ leaves AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM (SELECT doc_id, lang AS name, {_LEAF.format("text")} AS leaf, {_LEAF.format(f"CASE WHEN third THEN translate(text, '{ascii_uppercase}', '{ascii_lowercase}') ELSE text END")} AS altered FROM marked)),
+ tree(level, name, place, node) AS (SELECT 0, name, place, leaf FROM leaves UNION ALL {_LEVEL.format("tree")}),
+ tops AS (SELECT 0 AS name, name AS lang, node AS leaf, row_number() OVER (ORDER BY name NULLS FIRST) - 1 AS place FROM (SELECT name, arg_max(node, level) AS node FROM tree GROUP BY name)),
+ above(level, name, place, node) AS (SELECT 0, name, place, leaf FROM tops UNION ALL {_LEVEL.format("above")}),
+ own AS (SELECT name, place, list(step ORDER BY level) AS steps FROM ({_STEPS.format("leaves", "tree")}) GROUP BY name, place), upper AS (SELECT place, list(step ORDER BY level) AS steps FROM ({_STEPS.format("tops", "above")}) GROUP BY place),
+ paths AS (SELECT l.doc_id, l.leaf, l.altered, t.leaf AS subroot, (SELECT arg_max(node, level) FROM above) AS root, list_concat(coalesce(o.steps, []), coalesce(u.steps, [])) AS steps FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.name LEFT JOIN own o ON o.name IS NOT DISTINCT FROM l.name AND o.place = l.place LEFT JOIN upper u ON u.place = t.place),
+ folds AS (SELECT *, list_reduce(list_concat([altered], steps), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root FROM paths)
+ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: replace(s, '|', '')), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folds""",
+    "op13_substring_dedup": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ win AS (SELECT doc_id, p, array_to_string(ws[p : p + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w WHERE doc_id IS NOT NULL)),
+ first AS (SELECT k, min({'d': doc_id, 'p': p}) AS f FROM win GROUP BY k), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM win JOIN first USING (k) WHERE {'d': doc_id, 'p': p} > f),
+ lost AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id), kept AS (SELECT w.doc_id, ws, coalesce(len(places), 0) AS n_removed, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: places IS NULL OR NOT list_contains(places, x[2])), lambda x: x[1]) AS words FROM w LEFT JOIN lost USING (doc_id))
+ SELECT doc_id, len(ws) AS n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept""",
+}
