@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
+from chatterlake.operators.claim_index import SIMILAR, ClaimIndex
 from chatterlake.operators.rollups import ranked_within
 from chatterlake.sources import landed
 
-#: A claim at or above this Jaccard similarity to a known one is known.
-SIMILAR = 0.72
+
+
+#: Days that a claim is known after it was seen last.
+LOOK_BACK = 90
 
 
 def batch_claims(rows: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def batch_claims(rows: DataFrame) -> DataFrame:
     )
 
 
-def known_claims(claims: DataFrame, citations: DataFrame, now: Column, days: int = 90) -> DataFrame:
+def known_claims(claims: DataFrame, citations: DataFrame, now: Column, days: int = LOOK_BACK) -> DataFrame:
     """Claims last seen in the look-back with their sorted citations."""
     recent = claims.where(F.to_date("last_seen_at") >= F.date_sub(F.to_date(now), days))
     cited = citations.groupBy("ticker", "fingerprint").agg(F.array_sort(F.collect_set(F.struct("video_id", "second"))).alias("citations"), F.collect_set("channel_id").alias("channels"))
@@ -92,14 +95,19 @@ def valid_citations(rows: DataFrame, videos: DataFrame) -> DataFrame:
     return rows.join(videos.select("video_id"), "video_id", "left_semi")
 
 
-def novelty_pass(batch: DataFrame, known: DataFrame, citations: DataFrame, now: Column) -> DataFrame:
+def novelty_pass(batch: DataFrame, known: DataFrame, citations: DataFrame, now: Column, index: ClaimIndex | None = None) -> DataFrame:
     """A batch's claims judged and ranked: (ticker, claim_id, fingerprint, text, source_count, status, place, rank).
 
-    ``batch``: as of ``batch_claims``, with claim_id; ``known`` and ``citations``: as of ``known_claims``. A claim known by
+    ``batch``: as of ``batch_claims``, with claim_id; ``known`` and ``citations``: as of ``known_claims``; ``index``: the stored index of
+    ``known``, if there is one. A claim known by
     its fingerprint or a similar one is new again, to a degree, where a channel repeats it that its history lacks. Places:
     new, corroborated, known; within a place the claims with most sources come first."""
     recent = known_claims(known, citations, now)
-    judged = novelty(batch.select("ticker", "claim_id", "fingerprint", "tokens"), recent.select("ticker", "claim_id", "fingerprint", "tokens", "first_seen_at"))
+    mine = batch.select("ticker", "claim_id", "fingerprint", "tokens")
+    if index is None:
+        judged = novelty(mine, recent.select("ticker", "claim_id", "fingerprint", "tokens", "first_seen_at"))
+    else:  # it holds all known claims
+        judged = index.novelty(mine, F.date_sub(F.to_date(now), LOOK_BACK).cast("timestamp"))
     history = recent.select(F.col("claim_id").alias("known_id"), F.col("channels").alias("known_channels"))
     j = batch.join(judged, ["ticker", "claim_id"]).join(history, "known_id", "left")
     status = F.when(F.col("status") == "candidate", "new").otherwise(F.col("status"))

@@ -126,16 +126,16 @@ def people(df: DataFrame) -> DataFrame:
     return df.where(~F.lower(F.coalesce("author", F.lit(""))).isin(*NOT_PEOPLE))
 
 
-def hub_join(a: DataFrame, b: DataFrame, key: str, most: int = HUB_PAIRS) -> DataFrame:
-    """The inner join on a key. Keys that give more pairs than ``most`` are hubs: their rows in ``b`` are dealt out over
+def hub_join(a: DataFrame, b: DataFrame, keys: list[str], most: int = HUB_PAIRS) -> DataFrame:
+    """The inner join on keys. Keys that give more pairs than ``most`` are hubs: their rows in ``b`` are dealt out over
     salts by their values, their rows in ``a`` are repeated for every salt, so no task makes all pairs of one key."""
-    many = a.groupBy(key).agg(F.count("*").alias("na")).join(b.groupBy(key).agg(F.count("*").alias("nb")), key)
-    hubs = landed.saved(many.select(F.col(key).alias("__hub"), F.ceil(F.col("na") * F.col("nb") / most).cast("int").alias("__salts")).where("__salts > 1"), "hubs")
+    many = a.groupBy(*keys).agg(F.count("*").alias("na")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), keys)
+    hubs = landed.saved(many.select(*keys, F.ceil(F.col("na") * F.col("nb") / most).cast("int").alias("__salts")).where("__salts > 1"), "hubs")
     salts = F.coalesce("__salts", F.lit(1))
-    marked = lambda df: df.join(landed.small(hubs), F.col(key) == F.col("__hub"), "left")
+    marked = lambda df: df.join(landed.small(hubs), keys, "left")
     left = marked(a).select(*a.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
-    right = marked(b).select(*b.columns, F.pmod(F.xxhash64(*(c for c in b.columns if c != key)), salts).cast("int").alias("__salt"))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    right = marked(b).select(*b.columns, F.pmod(F.xxhash64(*(c for c in b.columns if c not in keys)), salts).cast("int").alias("__salt"))
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def followed_subreddits(posts: DataFrame, matches: DataFrame, most_authors: int = 40, most: int = 20) -> DataFrame:
@@ -145,7 +145,7 @@ def followed_subreddits(posts: DataFrame, matches: DataFrame, most_authors: int
     chosen = landed.saved(last_rows(seeds, ["ticker"], most_authors, F.desc("n"), F.col("author")).select("ticker", "author"), "authors")
     # a post's row isn't needed again: where an author posts is a row a subreddit
     where = landed.saved(posts.join(landed.small(chosen.select("author").distinct()), "author", "left_semi").select("author", "subreddit").distinct(), "authors-subreddits")
-    counts = hub_join(chosen, where, "author").groupBy("ticker", "subreddit").agg(F.count("*").alias("authors"))
+    counts = hub_join(chosen, where, ["author"]).groupBy("ticker", "subreddit").agg(F.count("*").alias("authors"))
     return last_rows(counts, ["ticker"], most, F.desc("authors"), F.col("subreddit"))
 
 

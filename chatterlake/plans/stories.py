@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlake.functions import text as tx
-from chatterlake.operators import claims, disclosures, rollups, video
+from chatterlake.operators import claim_index, claims, disclosures, rollups, video
 from chatterlake.plans.registry import Tables, query
+from chatterlake.sources import landed
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOPWORDS) + "]"
 #: The tokens of a text as SQL: distinct runs of a-z and digits in lower case, without stopwords, sorted.
@@ -62,6 +63,13 @@ def _fresh(t: Tables):
     return _marked(d.select((F.col("doc_id") * 100000 + F.col("n")).alias("claim_id"), "ticker", "kind", F.trim(F.regexp_replace("text", "[^ ]+$", "")).alias("text")))
 
 
+def _index(t: Tables, known):
+    """The stored index of known claims."""
+    index = claim_index.ClaimIndex(t.spark, landed.scratch(t.spark, "claim-index"), buckets=int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    index.append(known.withColumn("last_seen_at", F.col("first_seen_at")))
+    return index
+
+
 _NOVEL = f"""{_FRESH}, {_KNOWN}, ex AS (SELECT ticker, fingerprint, min(claim_id) AS exact_id FROM known GROUP BY ALL), nf AS (SELECT f.*, exact_id FROM fresh f LEFT JOIN ex USING (ticker, fingerprint)),
  near AS (SELECT n.claim_id, k.claim_id AS known_id, len(list_intersect(n.tokens, k.tokens)) / (len(n.tokens) + len(k.tokens) - len(list_intersect(n.tokens, k.tokens))) AS sim, k.first_seen_at FROM nf n JOIN known k ON n.ticker = k.ticker WHERE exact_id IS NULL AND len(n.tokens) > 0 AND len(k.tokens) > 0),
  pick AS (SELECT claim_id, known_id FROM near WHERE sim >= 0.72::DOUBLE QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, first_seen_at DESC, known_id) = 1),
@@ -70,7 +78,8 @@ _NOVEL = f"""{_FRESH}, {_KNOWN}, ex AS (SELECT ticker, fingerprint, min(claim_id
 
 @query("J13_novelty", f"WITH {_NOVEL} SELECT ticker, claim_id, status, known_id FROM novel")
 def novelty(t: Tables):
-    return claims.novelty(_fresh(t), _known(t))
+    """A run's claims meet the stored index of all claims known before."""
+    return _index(t, _known(t)).novelty(_fresh(t))
 
 
 @query("J18_T05_E09_ranked_claims", f"""WITH {_NOVEL}, ch AS (SELECT claim_id, [CAST(claim_id % 4 AS VARCHAR)] AS channels FROM known), r AS (SELECT n.ticker, n.claim_id, n.status, len(ch.channels) > 0 AND NOT list_contains(ch.channels, CAST(n.claim_id % 5 AS VARCHAR)) AS corroborated FROM novel n LEFT JOIN ch ON n.known_id = ch.claim_id)
@@ -101,10 +110,10 @@ def novelty_pass(t: Tables):
     rows = _all_sentences(t).where("doc_id % 50 = 0")
     rows = rows.select("ticker", "kind", F.trim(F.regexp_replace("text", "[^ ]+$", "")).alias("text"), (F.col("doc_id") * 100000 + F.col("n")).alias("position"), F.col("doc_id").alias("video_id"), F.col("n").alias("second"), (F.col("doc_id") % 5).cast("string").alias("channel_id"))
     batch = claims.batch_claims(rows).withColumn("claim_id", F.col("position"))
-    k = _known(t).withColumn("last_seen_at", F.col("first_seen_at"))
+    k = landed.saved(_known(t), "known").withColumn("last_seen_at", F.col("first_seen_at"))
     channel = F.when(F.col("claim_id") % 11 == 0, "").otherwise((F.col("claim_id") % 4).cast("string"))
     cites = k.select("ticker", "fingerprint", F.col("claim_id").alias("video_id"), F.lit(0).alias("second"), channel.alias("channel_id"))
-    judged = claims.novelty_pass(batch, k, cites, now)
+    judged = claims.novelty_pass(batch, k, cites, now, _index(t, k))
     side = lambda df, mark, at: df.select("ticker", "fingerprint", "text", mark.alias("novelty"), at.alias("seen_at"))
     merged = claims.merge_claims(side(k, F.lit(None).cast("string"), F.col("first_seen_at")), side(judged, F.col("status"), now))
     j = judged.join(merged.select("ticker", "fingerprint", "first_seen_at", "last_seen_at"), ["ticker", "fingerprint"])

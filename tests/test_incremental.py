@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions import names
 from chatterlake.functions import text as tx
-from chatterlake.operators import communities, forum, ingest, merges, series, video
+from chatterlake.operators import claim_index, claims, communities, forum, ingest, merges, series, video
 from chatterlake.sources import landed, loads
 from chatterlake.sources.daystore import DayTable
 from chatterlake.streaming import streams
@@ -218,7 +218,7 @@ def test_hub_join_gives_each_pair_once(spark):
     a = spark.range(300).select(F.when(F.col("id") < 250, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
     b = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") - 100).alias("k"), F.col("id").alias("b"))
     want = sorted(tuple(r) for r in a.join(b, "k").select("k", "a", "b").collect())
-    assert sorted(tuple(r) for r in forum.hub_join(a, b, "k", most=1000).select("k", "a", "b").collect()) == want and len(want) > 75_000
+    assert sorted(tuple(r) for r in forum.hub_join(a, b, ["k"], most=1000).select("k", "a", "b").collect()) == want and len(want) > 75_000
 
 
 def test_sketches_are_near_the_exact_counts(spark):
@@ -245,6 +245,43 @@ def test_tickers_with_signs_are_taken_as_they_stand(spark):
     assert tx.keyword_pattern("C+").count(r"C\+") == 1
 
 
+# --- claims ---
+
+
+def claim_rows(spark, rows):
+    """(ticker, claim_id, text, day)"""
+    made = [(t, i, text, datetime(2024, 1, 1) + timedelta(days=d)) for t, i, text, d in rows]
+    df = spark.createDataFrame(made, "ticker string, claim_id long, text string, first_seen_at timestamp").withColumn("tokens", tx.claim_tokens(F.col("text")))
+    return df.withColumn("fingerprint", tx.fingerprint(F.lit("k"), F.col("tokens"))).withColumn("last_seen_at", F.col("first_seen_at"))
+
+
+def test_the_claim_index_over_runs_gives_what_all_pairs_give(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda: " ".join(rng.choice(words[: rng.choice([6, 40])]) for _ in range(rng.randint(1, 12)))
+    known = [("T" if i % 3 else "U", i, say(), rng.randrange(30)) for i in range(400)]
+    known += [(t, i + 1000, text.upper(), d) for t, i, text, d in known[:40]]
+    fresh = [("T", 5000 + i, say() if i % 2 else " ".join(rng.choice(known)[2].split() + ["new"]), 0) for i in range(150)] + [("T", 6000, "", 0)]
+    new, old = claim_rows(spark, fresh), claim_rows(spark, known)
+    want = sorted(map(tuple, claims.novelty(new.select("ticker", "claim_id", "fingerprint", "tokens"), old).collect()))
+    monkeypatch.setattr(claim_index, "COMMON", 20)
+    for hubs in (claim_index.HUB_PAIRS, 50):
+        monkeypatch.setattr(claim_index, "HUB_PAIRS", hubs)
+        path = str(tmp_path / f"index-{hubs}")
+        for part in (known[:200], known[200:]):  # each run brings its own claims, and has the path of the others
+            claim_index.ClaimIndex(spark, path, 4).append(claim_rows(spark, part))
+        claim_index.ClaimIndex(spark, path, 4).append(claim_rows(spark, known[:20]))  # again
+        index = claim_index.ClaimIndex(spark, path, 4)
+        assert sorted(map(tuple, index.novelty(new).collect())) == want and len({w[2] for w in want}) == 2
+        entries = spark.table(index.first_tokens)
+        assert entries.count() == entries.distinct().count()
+    plan = index.candidate_pairs(new.select("ticker", "claim_id", "tokens"))._jdf.queryExecution().toString()
+    assert "regexp" not in plan.lower()  # nothing is tokenised again
+    since = sorted(map(tuple, index.novelty(new, F.lit("2024-01-15").cast("timestamp")).collect()))
+    recent = [r for r in known if r[3] >= 14]
+    assert since == sorted(map(tuple, claims.novelty(new.select("ticker", "claim_id", "fingerprint", "tokens"), claim_rows(spark, recent)).collect()))
+
+
 # --- loads ---
 
 
