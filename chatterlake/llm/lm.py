@@ -5,9 +5,9 @@ The network reads and predicts symbols: the frequent words, and for all other wo
 word's last bytes), so it has a say on rare words too. Its output is factored: a class, then the symbol in its class.
 A rare word's probability is its shape's, given the state, times its share among the training words of that shape.
 
-Training is truncated backpropagation, state carried from window to window. In each round every partition trains a copy
-of the model on its training texts, and the copies are averaged by tokens. Each training text is learned
-whole, from its start to its end token, in the round that a hash of it picks; so the rounds together take every token
+Training is truncated backpropagation, state carried from window to window. Texts are dealt out in shards by a hash of text and
+id, each of about TOKENS_A_SHARD tokens a round, so the model doesn't depend on how the input lies in files. In each round every
+shard trains a copy of the model, and the copies are averaged by tokens. Each training text is learned whole, from its start to its end token, in the round that a hash of it picks; so the rounds together take every token
 of every training text once. Given ``stretch``, each round takes that share of each text instead, from a place picked
 by a hash. Scoring runs whole texts, with the state carried to the end.
 
@@ -44,6 +44,8 @@ SUFFIX_BYTES = 3
 #: Steps of a window of training, texts trained side by side; characters of the texts scored side by side.
 WINDOW, LANES, BATCH_CHARS = 32, 128, 8_000_000
 RATE, CLIP = 0.08, 5.0
+#: Training tokens of a shard in a round.
+TOKENS_A_SHARD = 1_000_000
 #: Predictions worked out together: so many fit a processor's cache.
 ROWS_AT_ONCE = 8192
 #: Logits are held within this, so that their exponentials stay finite.
@@ -381,13 +383,27 @@ def keep_large_arrays() -> None:
     tune(-1, 256 << 20)  # M_TRIM_THRESHOLD
 
 
-def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float | None) -> tuple[Network, int]:
+def learned(v: Vocabulary, text: str, k: int, stretch: float | None) -> np.ndarray:
+    """The symbols of a text to learn in a round: all, or a stretch from a place that a hash picks."""
+    if stretch is None:
+        return symbols_of(v, *places_of(v, text))
+    tokens = [*text.encode("utf-8", "replace").lower().split(), END.encode()]
+    size = min(len(tokens), max(WINDOW, math.ceil(len(tokens) * stretch)))
+    at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(tokens) - size + 1)
+    part = tokens[at : at + size]
+    return symbols_of(v, part, np.fromiter(map(v.index.get, part, repeat(-1)), np.int64, size))
+
+
+def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float | None, id_col: str | None = None) -> tuple[Network, int]:
     """The averaged network after ``rounds`` that take each text whole once, or a stretch of each every time; and the
-    number of tokens it was shown. Every partition trains a copy, so there are as many as the input has partitions, and
+    number of tokens it was shown. Every shard trains a copy, on its texts in the order of their hashes, and
     the copies are added up on the executors: what reaches the driver is one sum for each weight."""
     spark = docs.sparkSession
     net = Network.start(v)
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shards = max(1, math.ceil(v.tokens / (TOKENS_A_SHARD * (rounds if stretch is None else 1))))
+    key = F.xxhash64(F.lit("shard"), "text", "id")
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(id_col).cast("string") if id_col else F.lit("")).alias("id"))
+    rows = rows.select("text", key.alias("key"), F.pmod(key, F.lit(shards)).alias("shard"))
     vocabulary = spark.sparkContext.broadcast(v)
     shown = 0
     for k in range(rounds):
@@ -395,25 +411,24 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
 
         def run(batches: Iterator[pd.DataFrame], k=k, weights=weights) -> Iterator[pd.DataFrame]:
             keep_large_arrays()
-            words = vocabulary.value
-            trainer = Trainer(weights.value.like(weights.value.flat()), words)
-            for pdf in batches:
-                texts = []
-                for text in pdf["text"]:
-                    if stretch is None:
-                        texts.append(symbols_of(words, *places_of(words, text)))
-                        continue
-                    tokens = [*text.encode("utf-8", "replace").lower().split(), END.encode()]
-                    size = min(len(tokens), max(WINDOW, math.ceil(len(tokens) * stretch)))
-                    at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(tokens) - size + 1)
-                    part = tokens[at : at + size]
-                    texts.append(symbols_of(words, part, np.fromiter(map(words.index.get, part, repeat(-1)), np.int64, size)))
-                trainer.learn(texts, last=False)
-            trainer.learn([])
-            if trainer.tokens:
-                yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat()]})
+            words, trainer, shard = vocabulary.value, None, None
+
+            def done(trainer: Trainer | None) -> Iterator[pd.DataFrame]:
+                if trainer:
+                    trainer.learn([])
+                    if trainer.tokens:
+                        yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat()]})
+
+            for batch in batches:
+                for name, pdf in batch.groupby("shard", sort=False):  # a shard's rows come one after another
+                    if name != shard:
+                        yield from done(trainer)
+                        trainer, shard = Trainer(weights.value.like(weights.value.flat()), words), name
+                    trainer.learn([learned(words, text, k, stretch) for text in pdf["text"]], last=False)
+            yield from done(trainer)
 
         mine = rows if stretch is not None else rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        mine = mine.repartition("shard").sortWithinPartitions("shard", "key").select("text", "shard")
         copies = saved(mine.mapInPandas(run, "tokens long, weights array<float>"), "network-copies")
         tokens = copies.agg(F.sum("tokens")).first()[0]
         if tokens:
@@ -426,14 +441,14 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
     return net, shown
 
 
-def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, stretch: float | None = None) -> DataFrame:
+def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, stretch: float | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns where ``held`` is false."""
     spark = docs.sparkSession
     training = docs.where(~held)
     counts = saved(word_counts(training, text_col), "word-counts")
     v = make_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(v)
-    network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch)[0])
+    network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch, id_col)[0])
 
     @F.pandas_udf("n_tokens long, n_known long, base double, words array<string>, times array<long>, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
