@@ -133,6 +133,8 @@ KEYS, SMALLEST_A_KEY = 32, 5
 #: Signatures further apart than the bits of the similarity asked for, this many standard deviations, and so many bits
 #: over the number of distinct words, are not compared: the bits of short texts vary by more.
 DEVIATIONS, BITS_FOR_FEW_WORDS = 5, 600
+#: Members of a bucket that are compared with each other in one place: larger buckets are cut into blocks of so many.
+BLOCK_MEMBERS = 1000
 
 
 def multipliers() -> np.ndarray:
@@ -209,6 +211,17 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     return both.where((union == 0) | (shared >= similarity * union - 1e-9)).select("a", "b")
 
 
+def compared_in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join on (key, i, j) in which each two members of a key meet once: members are dealt out over blocks by a
+    hash, and every two blocks, and every block with itself, are a place of their own. ``members``: key, n (of the key), node and others."""
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = [c for c in members.columns if c not in ("key", "n")]
+    a = dealt.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"{c}_a") for c in others))
+    b = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}_b") for c in others))
+    return a, b
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, first) for every distinct (id, text): first is the smallest node of its group of near copies.
 
@@ -217,7 +230,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3 pairs in a million at 0.8 and fewer above. In a first round each member of
     a key's bucket is compared with the member that most buckets agree on, which in a large group is the text that the
     others were made from; so large groups close without pairs among their members. The second round compares what
-    still is in different groups. Every link is verified on the shingles themselves.
+    still is in different groups, large buckets block by block in many places. Every link is verified on the shingles themselves.
     """
     each = saved(signatures(docs, id_col, text_col, shingle), "signatures")
     firsts = each.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
@@ -242,14 +255,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = similar_pairs(to_pivot.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), docs, id_col, text_col, shingle, similarity)
     links = saved(links, "links-1")
     groups = connected_components(links)
-    named = saved(rows.join(groups, "node", "left").select("key", "node", "signature", F.coalesce("root", "node").alias("root")), "named")
+    named = saved(rows.join(groups, "node", "left").select("key", "n", "node", "signature", F.coalesce("root", "node").alias("root")), "named")
     # buckets that have become one group have nothing left to compare
     split = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).where("split")
     named = named.join(split.select("key"), "key", "left_semi")
-    a = named.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "signature", "root")))
-    b = named.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "signature", "root")))
-    apart = a.join(b, (a.key == b.key) & (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close("signature_a", "signature_b"))
-    more = similar_pairs(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), docs, id_col, text_col, shingle, similarity)
+    a, b = compared_in_blocks(named)
+    here = (a.key == b.key) & (a.i == b.i) & (a.j == b.j) & ((a.i < a.j) | (F.col("node_a") < F.col("node_b")))
+    apart = a.join(b, here & (F.col("root_a") != F.col("root_b")) & close("signature_a", "signature_b"))
+    apart = apart.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more = similar_pairs(apart, docs, id_col, text_col, shingle, similarity)
     groups = saved(connected_components(links.union(more)), "groups")
     first_of = firsts.select("d1", "d2", "node").join(groups, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("first"))
     return each.select("node", "d1", "d2").join(first_of, ["d1", "d2"]).select("node", "first")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, html, licenses, lines, manifest, queries, substrings, whitening
+from chatterlake.llm import decontaminate, html, licenses, lines, manifest, queries, simhash, substrings, whitening
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -354,3 +354,14 @@ def test_runs_of_an_index_find_what_all_items_would():
         doc = np.unique(rng.integers(0, 400, rng.integers(1, 600)).astype("<u8"))
         want = [(i, int(np.isin(s, doc).sum())) for i, s in enumerate(shingles) if np.isin(s, doc).sum() >= index.needed(i)]
         assert sorted(index.search(doc)) == want
+
+
+def test_members_of_a_bucket_meet_once_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 7)
+    sizes = {1: 1, 2: 7, 3: 8, 4: 50}
+    rows = spark.createDataFrame([(k, n, k * 1000 + i) for k, n in sizes.items() for i in range(n)], "key long, n long, node long")
+    a, b = simhash.compared_in_blocks(rows)
+    met = a.join(b, (a.key == b.key) & (a.i == b.i) & (a.j == b.j) & ((a.i < a.j) | (F.col("node_a") < F.col("node_b"))))
+    got = sorted((min(r), max(r)) for r in met.select("node_a", "node_b").collect())
+    assert got == sorted((k * 1000 + i, k * 1000 + j) for k, n in sizes.items() for i in range(n) for j in range(i + 1, n))
+    assert met.groupBy(a.key, a.i, a.j).count().agg(F.max("count")).first()[0] < 400
