@@ -95,6 +95,17 @@ def as_of(rows: DataFrame, keys: list[str], as_of_row: DataFrame, days_back: int
     return before.groupBy(keys).agg(F.max_by(F.struct("value"), "date")["value"].alias("value"))
 
 
+def recent_bars(bars: DataFrame, as_of_row: DataFrame, days: int = 30, rows: int = 64) -> DataFrame:
+    """The bars of each ticker from the start of the year on that leaves it ``rows`` or more of them up to the date ``days`` before: what
+    signals of so many rows take at any later date. Counted by year first, so the history isn't sorted to be cut."""
+    b = with_as_of(bars.select("ticker", "date"), as_of_row)
+    years = b.groupBy("ticker", F.year("date").alias("year")).agg(F.count_if(F.col("date") <= F.date_sub("as_of", days)).alias("n"))
+    back = Window.partitionBy("ticker").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, 0)  # a row a year
+    enough = F.when(F.sum("n").over(back) >= rows, F.col("year"))
+    starts = years.withColumn("enough", enough).groupBy("ticker").agg(F.coalesce(F.max("enough"), F.min("year")).alias("__start"))
+    return bars.join(landed.small(landed.saved(starts, "starts")), "ticker").where(F.year("date") >= F.col("__start")).drop("__start")
+
+
 def sector_signals(signals: DataFrame, universe: DataFrame, names: list[str], as_of_row: DataFrame) -> DataFrame:
     """Means of the members' latest signals, and mean range now less mean range 30 days ago over tickers that have both:
     one pass over the signals for all of it."""

@@ -199,7 +199,9 @@ _HEAT = f"""{_ASOF}, {RATIO_SQL}, lat AS (SELECT ticker, signal_name, arg_max(va
 def _heat(t: Tables):
     """Bars and memberships are read by several parts: made once."""
     t.bars, t.universe = landed.saved(t.bars, "bars"), landed.saved(t.universe, "universe")
-    heat = rollups.sector_heat(signals.price_signals(t.bars), t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, rollups.newest(t.bars))
+    newest = rollups.newest(t.bars)
+    recent = signals.price_signals(rollups.recent_bars(t.bars, newest))
+    heat = rollups.sector_heat(recent, t.universe, t.news, t.deals, rollups.implied_flow(t.etf_flows), t.etf_map, newest)
     return landed.saved(heat, "heat")
 
 

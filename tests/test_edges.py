@@ -242,3 +242,15 @@ def test_new_claims_meet_all_similar_known_ones(spark):
     want = {(a, b) for a, _, x in new for b, _, y in known if len(set(x) & set(y)) / len(set(x) | set(y)) >= claims.SIMILAR}
     frame = lambda rows: spark.createDataFrame(rows, "claim_id long, ticker string, tokens array<string>")
     assert {(r.new_id, r.known_id) for r in claims.similar_claims(frame(new), frame(known)).collect()} == want and len(want) > 20
+
+
+def test_recent_bars_leave_what_late_signals_take(spark):
+    long = bars(spark, range(1, 1201), ticker=1)
+    few = bars(spark, [5, 6, 7], ticker=2)
+    b = long.unionByName(few)
+    newest = rollups.newest(b)
+    cut = rollups.recent_bars(b, newest)
+    assert cut.where("ticker = 2").count() == 3 and 94 <= cut.where("ticker = 1").count() < 500
+    late = F.date_sub("as_of", 30)
+    keep = lambda df: sorted(map(str, rollups.with_as_of(signals.price_signals(df), newest).where(F.col("date") >= late).select("ticker", "date", "return_1m", "above_sma50", "atr_pct").collect()))
+    assert keep(cut) == keep(b)
