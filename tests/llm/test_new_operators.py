@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, html, licenses, lines, manifest, queries, simhash, substrings, whitening
+from chatterlake.llm import decontaminate, html, language, licenses, lines, manifest, queries, simhash, substrings, whitening
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -365,3 +365,15 @@ def test_members_of_a_bucket_meet_once_over_blocks(spark, monkeypatch):
     got = sorted((min(r), max(r)) for r in met.select("node_a", "node_b").collect())
     assert got == sorted((k * 1000 + i, k * 1000 + j) for k, n in sizes.items() for i in range(n) for j in range(i + 1, n))
     assert met.groupBy(a.key, a.i, a.j).count().agg(F.max("count")).first()[0] < 400
+
+
+def test_ties_of_languages_and_items(spark):
+    rng = random.Random(2)
+    said = [" ".join("".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 8))) for _ in range(60)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, lang) for lang in ("aa", "bb") for i, t in enumerate(said)], "doc_id long, text string, lang string")
+    found = language.identified(docs, language.learn_languages(docs)).collect()
+    assert len(found) == 24 and all(r.rejected for r in found) and len({r.lang_pred for r in found}) == 1  # two dictionaries of the same texts
+    texts = spark.createDataFrame([(1, said[0]), (1, said[0]), (2, said[1])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, said[0]), (2, said[0]), (2, said[0])], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(texts, items).collect())
+    assert got == sorted([(1, 1), (1, 2), (1, 2)] * 2)
