@@ -76,8 +76,7 @@ class ClaimIndex:
         self.common_tokens(rows)
         stored = self.spark.table(self.claims)
         fresh = rows.join(stored.select("ticker", "fingerprint"), ["ticker", "fingerprint"], "left_anti").groupBy("ticker", "fingerprint").agg(F.first("tokens").alias("tokens"))
-        firsts = landed.saved(self._firsts(fresh, "fingerprint").select("ticker", "token", "fingerprint", "n", "place"), "first-tokens")
-        firsts.write.insertInto(self.first_tokens)
+        self._firsts(fresh, "fingerprint").select("ticker", "token", "fingerprint", "n", "place").write.insertInto(self.first_tokens)
         rows.write.insertInto(self.claims)
 
     def known(self, since: Column | None = None) -> DataFrame:
