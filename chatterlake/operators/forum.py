@@ -16,6 +16,8 @@ MIN_MENTIONS, MIN_AUTHORS, STOCK_SHARE, NAMED_SHARE = 3, 2, 0.25, 0.05
 FILTER_LONGS = 16_384
 #: Sketches have 2^14 registers: exact to about 1500 distinct values, then within 0.8 % (one standard error).
 SKETCH_BITS = 14
+#: Counts above this are counted exactly where a result must be exact.
+SKETCH_EXACT = 1000
 #: Pairs of a key that one task makes of a join on hubs.
 HUB_PAIRS = 100_000
 
@@ -175,6 +177,14 @@ def subreddit_activity(posts: DataFrame, comments: DataFrame, now: Column) -> Da
     return recent.join(who, "subreddit", "left").fillna(0, ["commenters"])
 
 
+def measured_activity(posts: DataFrame, comments: DataFrame, now: Column) -> DataFrame:
+    """As ``subreddit_activity``: by sketches where these are exact, and for the larger subreddits by exact counts."""
+    near = landed.saved(sketched_activity(activity_sketches(posts, comments).withColumn("__now", now), F.col("__now")), "activity")
+    large = near.where((F.col("posts_7d") > SKETCH_EXACT) | (F.col("commenters") > SKETCH_EXACT)).select("subreddit")
+    exact = subreddit_activity(posts.join(landed.small(large), "subreddit", "left_semi"), comments, now)
+    return near.join(landed.small(large), "subreddit", "left_anti").unionByName(exact)
+
+
 def activity_sketches(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """(subreddit, day, posts, commenters): the distinct posts of a day and the people who comment on them, as sketches that can be
     merged. A day's row is made once; what is asked of a window later is a union of its days."""

@@ -145,8 +145,7 @@ def _measured(t: Tables):
     d = t.read("documents").select(F.col("doc_id").alias("post_id"), (F.col("doc_id") % 300 + 1).alias("p_partkey"), F.expr("date_add(date'2024-01-01', int(doc_id % 20))").alias("created_at"))
     posts = landed.saved(d.join(c, "p_partkey").select("post_id", "subreddit", "created_at"), "community-posts")
     said = t.comments.select("post_id", F.concat("author", (F.col("comment_id") % 13).cast("string")).alias("author"))
-    now = posts.agg(F.max("created_at").alias("now"))
-    return forum.sketched_activity(forum.activity_sketches(posts, said).join(F.broadcast(now), F.lit(True)), F.col("now"))
+    return forum.measured_activity(posts, said, posts.agg(F.max("created_at")).scalar())
 
 
 _SCORED = f"""{_MATCH}, {_ACTIVITY}, mx AS (SELECT rel.* EXCLUDE (posts_7d, commenters), coalesce(ac.posts_7d, 0) AS posts_7d, coalesce(ac.commenters, 0) AS commenters FROM rel LEFT JOIN ac ON lower(name) = low WHERE relevance >= 0.6), pl AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY subscribers DESC, name) <= 3 AS finalist FROM mx),

@@ -189,10 +189,9 @@ def discovery(t: Tables):
 @query("A24_activity_sketches", """WITH n AS (SELECT CAST(max(created_at) AS DATE) AS d FROM posts) SELECT a.subreddit, a.posts_7d, coalesce(b.commenters, 0) AS commenters FROM (SELECT subreddit, count(DISTINCT post_id) FILTER (WHERE CAST(created_at AS DATE) >= d - 7) AS posts_7d FROM posts, n GROUP BY subreddit) a
  LEFT JOIN (SELECT subreddit, count(DISTINCT c.author || c.comment_id % 50) AS commenters FROM comments c JOIN posts p USING (post_id) GROUP BY subreddit) b USING (subreddit)""")
 def sketched(t: Tables):
-    """As the exact counts, from sketches by day; they are exact for subreddits of this size."""
+    """As the exact counts, from sketches by day where they are exact; larger subreddits are counted."""
     said = t.comments.select("post_id", F.concat("author", (F.col("comment_id") % 50).cast("string")).alias("author"))
-    now = t.posts.agg(F.max("created_at").alias("now"))
-    return forum.sketched_activity(forum.activity_sketches(t.posts, said).join(F.broadcast(now), F.lit(True)), F.col("now"))
+    return forum.measured_activity(t.posts, said, t.posts.agg(F.max("created_at")).scalar())
 
 
 @query("A24_activity", """WITH n AS (SELECT CAST(max(created_at) AS DATE) AS d FROM posts) SELECT a.subreddit, a.posts_7d, coalesce(b.commenters, 0) AS commenters FROM (SELECT subreddit, count(DISTINCT post_id) FILTER (WHERE CAST(created_at AS DATE) >= d - 7) AS posts_7d FROM posts, n GROUP BY subreddit) a

@@ -232,6 +232,15 @@ def test_sketches_are_near_the_exact_counts(spark):
     assert (few.posts_7d, few.commenters) == (400, 1000)
 
 
+def test_activity_of_large_subreddits_is_exact(spark):
+    posts = spark.range(60_000).select(F.when(F.col("id") % 60 == 1, "few").otherwise("many").alias("subreddit"), F.col("id").alias("post_id"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 20))").alias("created_at"))
+    comments = posts.select("post_id", F.concat(F.lit("u"), (F.col("post_id") % 30_011).cast("string")).alias("author"))
+    now = posts.agg(F.max("created_at")).scalar()
+    want = sorted(tuple(r) for r in forum.subreddit_activity(posts, comments, F.lit("2024-01-20").cast("timestamp")).collect())
+    got = sorted(tuple(r) for r in forum.measured_activity(posts, comments, now).select("subreddit", "posts_7d", "commenters").collect())
+    assert got == want and [r[1] for r in want] == [0, 24_000]
+
+
 def test_tickers_with_signs_are_taken_as_they_stand(spark):
     rel = lambda ticker, text: spark.range(1).select(names.match_relevance(F.lit("some name"), F.lit(text), F.lit("en"), F.lit(ticker), F.lit("Zzz Corp")).alias("r")).first().r
     assert rel("BRK.B", "$BRKXB") == 0.0 and rel("BRK.B", "buy $BRK.B today") == 0.4
