@@ -89,7 +89,7 @@ def long_signals(t: Tables):
 
 @query("W23_latest_signals", f"WITH {LONG_SQL} SELECT ticker, signal_name, max(date) AS date, round(arg_max(value, date), 6) AS value FROM longsig GROUP BY ALL")
 def latest_signals(t: Tables):
-    return signals.latest(signals.long_signals(t.bars), ["ticker", "signal_name"]).select("ticker", "signal_name", "date", r6("value"))
+    return signals.latest_signals(t.bars).select("ticker", "signal_name", "date", r6("value"))
 
 
 @query("W24_last_bars", "SELECT ticker, date, round(close, 6) AS close, rank FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rank FROM bars) WHERE rank <= 60")

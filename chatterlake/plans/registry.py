@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from chatterlake.plans.sqlviews import with_views
 from chatterlake.functions.money import BANDS
 from chatterlake.operators.signals import last_rows
+from chatterlake.sources import landed
+
+
+#: A ticker with more rows than this doesn't meet in one task before they are combined.
+HOT_ROWS = 2_000_000
+
+
+def _bars(rows: DataFrame) -> DataFrame:
+    order, price = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), F.col("l_extendedprice") / F.col("l_quantity")
+    return rows.groupBy("ticker", "date").agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, order).alias("close"), F.sum("l_quantity").cast("long").alias("volume"),
+    )
 
 
 class Tables:
@@ -24,13 +37,13 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-        price = F.col("l_extendedprice") / F.col("l_quantity")
-        rows = self.read("lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), price.alias("price"), order.alias("o"), "l_quantity")
-        return rows.groupBy("ticker", "date").agg(
-            F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-            F.max_by("price", "o").alias("close"), F.sum("l_quantity").cast("long").alias("volume"),
-        )
+        """A bar a ticker and day. One shuffle by ticker serves the bars and all windows over them; tickers with more rows than a task
+        should have are combined by day first."""
+        rows = self.read("lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+        hot = landed.saved(rows.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("ticker"), "hot-tickers")
+        if not hot.limit(1).count():
+            return _bars(rows.repartition("ticker"))
+        return _bars(rows.join(landed.small(hot), "ticker", "left_anti").repartition("ticker")).unionByName(_bars(rows.join(landed.small(hot), "ticker", "left_semi")))
 
     @cached_property
     def universe(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import labels, money, names
 from chatterlake.functions import text as tx
 from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, series, signals, video
-from chatterlake.plans import stories  # noqa: F401  (registers its queries)
+from chatterlake.plans import registry, stories  # noqa: F401  (registers its queries)
 from chatterlake.plans.registry import REGISTERED, SQL
 from chatterlake.sources import landed, nested
 from tests.oracle import connection, difference
@@ -19,6 +19,10 @@ def bars(spark, closes, ticker=1, volume=None):
     return spark.createDataFrame(rows, "ticker long, date date, high double, low double, close double, volume long")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def last(df, *cols):
     return df.orderBy(F.desc("date")).select(*cols).first()
 
@@ -51,6 +55,23 @@ def test_above_average_is_strict(spark):
     assert last(signals.price_signals(bars(spark, [5] * 49)), "above_sma50")[0] is None
 
 
+def test_signals_take_one_shuffle_of_the_bars_and_hot_tickers_two(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    once = signals.price_signals(registry.Tables(spark, folder).bars)
+    assert plan_of(once).count("Exchange") == 1 and plan_of(signals.latest_signals(registry.Tables(spark, folder).bars)).count("Exchange") == 1
+    monkeypatch.setattr(registry, "HOT_ROWS", 600)
+    hot = signals.price_signals(registry.Tables(spark, folder).bars)
+    assert plan_of(hot).count("Exchange") > 1 and sorted(map(repr, hot.collect())) == sorted(map(repr, once.collect()))
+
+
+def test_latest_signals_are_the_newest_of_the_long_rows(spark):
+    b = bars(spark, [3 + i % 7 for i in range(40)], volume=[100] * 38 + [None, 50]).union(bars(spark, [4, 5], ticker=2))
+    want = signals.latest(signals.long_signals(b), ["ticker", "signal_name"])
+    got = signals.latest_signals(b).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and {r.signal_name for r in got.where("ticker = 2").collect()} == {"return_1d"}
+    assert not plan_of(signals.latest_signals(b)).count("SortAggregate")
+
+
 def test_ytd_needs_an_earlier_year(spark):
     b = bars(spark, [10, 11, 12])
     assert last(signals.ytd_return(b), "return_ytd")[0] is None
