@@ -22,7 +22,8 @@ def with_as_of(df: DataFrame, as_of: DataFrame) -> DataFrame:
 def wide_matrix(signals: DataFrame, names: list[str]) -> DataFrame:
     """Each ticker's signals at its latest date with any signal; a signal missing that day is null."""
     some = F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in names), F.lit(False))
-    return latest(signals.where(some).select("ticker", "date", *names), ["ticker"])
+    at = F.when(some, F.col("date"))  # numbers alone, no struct: such an aggregate is hashed
+    return signals.groupBy("ticker").agg(F.max(at).alias("date"), *(F.max_by(n, at).alias(n) for n in names)).where("date is not null")
 
 
 def ticker_board(universe: DataFrame, wide: DataFrame, bars: DataFrame) -> DataFrame:

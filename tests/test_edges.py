@@ -72,6 +72,11 @@ def test_latest_signals_are_the_newest_of_the_long_rows(spark):
     assert not plan_of(signals.latest_signals(b)).count("SortAggregate")
 
 
+def test_the_wide_matrix_is_hashed(spark):
+    wide = rollups.wide_matrix(signals.price_signals(bars(spark, range(10, 25))), ["return_1d", "rsi"])
+    assert "SortAggregate" not in plan_of(wide) and wide.select("rsi").first()[0] == 100
+
+
 def test_ytd_needs_an_earlier_year(spark):
     b = bars(spark, [10, 11, 12])
     assert last(signals.ytd_return(b), "return_ytd")[0] is None
