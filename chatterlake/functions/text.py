@@ -24,6 +24,10 @@ def words_array(words: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+#: What patterns of keywords ask of the characters on either side; the longer first.
+KEYWORD_SIDES = (r"(^|[^A-Za-z0-9])\$?", "(^|[^A-Za-z0-9])", "([^A-Za-z0-9]|$)")
+
+
 def keyword_pattern(word: str) -> str:
     """A pattern without lookaround: all capitals match with case and an optional $, other phrases without case, with
     any white space between their words. The character on either side is consumed."""

@@ -45,15 +45,20 @@ def keyword_matches(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(post_id, keyword, ticker). ``keywords``: keyword, ticker, pattern; as many as there may be.
 
     A post's distinct tokens meet the keywords' first tokens by equality, those alone that pass a filter of these; texts come
-    to the pairs that are left, and only there the exact pattern runs. So posts never meet all keywords."""
+    to the pairs that are left, and only there the exact pattern runs: first without what it asks of the characters on either side, which
+    takes a fraction of the time and few texts pass. So posts never meet all keywords."""
     first = F.get(F.regexp_extract_all(F.lower("keyword"), F.lit("([a-z0-9]+)"), F.lit(1)), 0)
     wanted = landed.saved(keywords.withColumn("token", first), "keywords")
     text = F.concat_ws(" ", "title", "body")
+    posts = landed.spread(posts.select("post_id", "title", "body"))
     tokens = posts.select("post_id", F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("token"))
     tokens = tokens.where(may_hold(token_filter(wanted.select("token").distinct()), F.col("token")))
     pairs = landed.saved(tokens.join(landed.small(wanted), "token").select("post_id", "keyword", "ticker", "pattern").distinct(), "keyword-pairs")
     said = posts.select("post_id", text.alias("text")).join(landed.small(pairs), "post_id")
-    return said.where(F.expr("text rlike pattern")).select("post_id", "keyword", "ticker").distinct()
+    inner = F.col("pattern")
+    for side in tx.KEYWORD_SIDES:
+        inner = F.replace(inner, F.lit(side), F.lit(""))
+    return said.where(F.when(F.rlike("text", inner), F.expr("text rlike pattern"))).select("post_id", "keyword", "ticker").distinct()
 
 
 def rank_posts(posts: DataFrame, by: str, most: int) -> DataFrame:

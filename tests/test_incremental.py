@@ -214,6 +214,15 @@ def test_fifty_thousand_keywords(spark):
     assert held(tokens) == 50_000 and held(other) < 600
 
 
+def test_posts_of_one_file_are_matched_by_many_tasks(spark):
+    texts = ["the price of it", "OF", "$OF late", "xOF OFx", "what is\n  the matter", "this theory is it, the", "IS THE"]
+    posts = spark.createDataFrame([(i, None if i % 2 else "", t) for i, t in enumerate(texts)], "post_id long, title string, body string").coalesce(1)
+    words = spark.createDataFrame([(k, k, tx.keyword_pattern(k)) for k in ("OF", "is the")], "keyword string, ticker string, pattern string")
+    assert sorted((r.post_id, r.keyword) for r in forum.keyword_matches(posts, words).collect()) == [(1, "OF"), (2, "OF"), (4, "is the"), (6, "is the")]
+    assert landed.spread(posts).rdd.getNumPartitions() == 4 and landed.spread(posts.repartition(8)).rdd.getNumPartitions() == 8
+
+
+
 def test_hub_join_gives_each_pair_once(spark):
     a = spark.range(300).select(F.when(F.col("id") < 250, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
     b = spark.range(400).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") - 100).alias("k"), F.col("id").alias("b"))
