@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from chatterlake.sources.daystore import DayTable
 LATE = "3 days"
 STATE_DAYS = 90
 DAY_MICROS = 86_400_000_000
+#: Groups of posts that the change log keeps a state for; a checkpoint holds to it.
+STATE_GROUPS = 256
+_LAST, NO_NUMBER = ["post", "score", "comments", "seen"], -(2**63)
 
 
 def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -88,29 +92,37 @@ def change_log(sightings: DataFrame) -> DataFrame:
     """Sightings whose score or comment count differs from the post's last; a post not seen for 90 days is forgotten.
     Columns: post_id long, seen_at timestamp, event_id long, score long, num_comments long.
 
-    The state holds the last counts and when they were seen. By that time they are too old, whether or not the watermark
-    has come to remove them; the timeout only frees the state."""
+    Posts are dealt out by hash over STATE_GROUPS groups, and a group's rows of an arrival are compared at once. A group's state holds its
+    posts' last counts and when they were seen. By that time they are too old, whether or not the watermark has come to remove them; the
+    timeout only frees the state."""
 
     def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        for pdf in batches:
-            keep = []
-            for r in pdf.sort_values(["seen_at", "event_id"]).itertuples(index=False):
-                seen = r.seen_at.value // 1000
-                now = (int(r.score), int(r.num_comments))
-                if last is None or tuple(last[:2]) != now or seen - last[2] > STATE_DAYS * DAY_MICROS:
-                    keep.append(r)
-                last = (*now, max(seen, last[2] if last else seen))
-            if keep:
-                yield pd.DataFrame(keep, columns=pdf.columns)[["post_id", "seen_at", "event_id", "score", "num_comments"]]
+        last = pd.DataFrame(np.frombuffer(bytes(state.get[0]), np.int64).reshape(-1, 4), columns=_LAST) if state.exists else None
+        parts = [] if state.hasTimedOut else [b for b in batches if len(b)]
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            rows = rows.sort_values(["seen_at", "event_id"], kind="stable", ignore_index=True)
+            number = lambda c: rows[c].fillna(NO_NUMBER).astype("int64")
+            new = pd.DataFrame({"post": number("post_id"), "score": number("score"), "comments": number("num_comments"), "seen": rows["seen_at"].astype("datetime64[us]").astype("int64")})
+            both = pd.concat([last, new], keys=[0, 1]) if last is not None else pd.concat([new], keys=[1])
+            both = both.sort_values("post", kind="stable")  # the state's row of a post comes first, then its sightings in order
+            both["seen"] = both.groupby("post", sort=False)["seen"].cummax()
+            v = both[_LAST].to_numpy(np.int64)
+            changed = np.ones(len(v), bool)
+            changed[1:] = (v[1:, :3] != v[:-1, :3]).any(axis=1) | (v[1:, 3] - v[:-1, 3] > STATE_DAYS * DAY_MICROS)
+            found = both.index[changed & (both.index.get_level_values(0) == 1)].get_level_values(1)
+            if len(found):
+                yield rows.loc[np.sort(found), ["post_id", "seen_at", "event_id", "score", "num_comments"]]
+            last = both.groupby("post", sort=False).tail(1)
         if last is not None:
-            state.update(tuple(last))
-            state.setTimeoutTimestamp(last[2] // 1000 + STATE_DAYS * DAY_MICROS // 1000 + 1)
+            last = last[last["seen"] // 1000 + STATE_DAYS * DAY_MICROS // 1000 + 1 > state.getCurrentWatermarkMs()]
+        if last is not None and len(last):
+            state.update((last[_LAST].to_numpy(np.int64).tobytes(),))
+            state.setTimeoutTimestamp(int(last["seen"].min()) // 1000 + STATE_DAYS * DAY_MICROS // 1000 + 1)
+        elif state.exists:
+            state.remove()
 
-    rows = sightings.select("post_id", F.col("seen_at").cast("timestamp").alias("seen_at"), "event_id", "score", "num_comments")
-    rows = rows.withWatermark("seen_at", LATE).groupBy("post_id")
+    rows = sightings.select("post_id", F.col("seen_at").cast("timestamp").alias("seen_at"), "event_id", "score", "num_comments", F.pmod(F.xxhash64("post_id"), F.lit(STATE_GROUPS)).alias("part"))
+    rows = rows.withWatermark("seen_at", LATE).groupBy("part")
     out = "post_id long, seen_at timestamp, event_id long, score long, num_comments long"
-    return rows.applyInPandasWithState(changes, out, "score long, num_comments long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.applyInPandasWithState(changes, out, "last binary", "append", GroupStateTimeout.EventTimeTimeout)

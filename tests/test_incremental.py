@@ -161,6 +161,20 @@ def test_change_log_forgets_after_90_days_and_goes_on_after_a_restart(spark, tmp
     assert twice == once
 
 
+def test_change_log_of_a_post_with_more_rows_than_a_batch_of_arrow(spark, tmp_path):
+    n, rng = 25_000, random.Random(8)
+    rows = [(p, datetime(2024, 1, 1) + timedelta(seconds=i), i * 10 + p, i // 700 % 3, None if p == 2 and i % 5000 < 900 else p) for p in (1, 2) for i in range(n if p == 1 else 3000)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, SIGHTINGS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = streams.run_available(streams.change_log(spark.readStream.schema(SIGHTINGS).parquet(str(tmp_path / "in"))), "log", path=str(tmp_path / "out"))
+    want, last = set(), {}
+    for p, _, e, *now in sorted(rows, key=lambda r: (r[0], r[1])):
+        if last.get(p) != now:
+            want.add((p, e, *now))
+        last[p] = now
+    assert sorted((r.post_id, r.event_id, r.score, r.num_comments) for r in got.collect()) == sorted(want, key=lambda r: r[:2])
+
+
 # --- series ---
 
 
