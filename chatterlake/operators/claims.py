@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
 from chatterlake.operators.claim_index import SIMILAR, ClaimIndex
+from chatterlake.operators.forum import hub_join
 from chatterlake.operators.rollups import ranked_within
 from chatterlake.sources import landed
 
-
-
 #: Days that a claim is known after it was seen last.
 LOOK_BACK = 90
+#: Claims of a wording that one task brings to the wording's citations.
+CLAIMS_A_LIST = 1000
 
 
 def batch_claims(rows: DataFrame) -> DataFrame:
@@ -27,11 +28,18 @@ def batch_claims(rows: DataFrame) -> DataFrame:
     )
 
 
-def known_claims(claims: DataFrame, citations: DataFrame, now: Column, days: int = LOOK_BACK) -> DataFrame:
-    """Claims last seen in the look-back with their sorted citations."""
+def cited(citations: DataFrame) -> DataFrame:
+    """(ticker, fingerprint, citations, channels): a wording's sorted citations, one row a wording."""
+    return citations.groupBy("ticker", "fingerprint").agg(F.sort_array(F.collect_set(F.struct("video_id", "second"))).alias("citations"), F.collect_set("channel_id").alias("channels"))
+
+
+def known_claims(claims: DataFrame, lists: DataFrame, now: Column, days: int = LOOK_BACK) -> DataFrame:
+    """Claims last seen in the look-back with their wording's row of ``lists`` (as of ``cited``, or what was made of it), null where there is none.
+
+    All claims of a wording have the whole list, so what is made of lists is best made before: once a wording, not once a
+    claim. A wording of many claims is dealt out over tasks."""
     recent = claims.where(F.to_date("last_seen_at") >= F.date_sub(F.to_date(now), days))
-    cited = citations.groupBy("ticker", "fingerprint").agg(F.array_sort(F.collect_set(F.struct("video_id", "second"))).alias("citations"), F.collect_set("channel_id").alias("channels"))
-    return recent.join(cited, ["ticker", "fingerprint"], "left")
+    return hub_join(lists, recent, ["ticker", "fingerprint"], CLAIMS_A_LIST, "right")
 
 
 def similar_claims(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -98,17 +106,21 @@ def valid_citations(rows: DataFrame, videos: DataFrame) -> DataFrame:
 def novelty_pass(batch: DataFrame, known: DataFrame, citations: DataFrame, now: Column, index: ClaimIndex | None = None) -> DataFrame:
     """A batch's claims judged and ranked: (ticker, claim_id, fingerprint, text, source_count, status, place, rank).
 
-    ``batch``: as of ``batch_claims``, with claim_id; ``known`` and ``citations``: as of ``known_claims``; ``index``: the stored index of
-    ``known``, if there is one. A claim known by
+    ``batch``: as of ``batch_claims``, with claim_id; ``known``: as of ``known_claims``; ``citations``: as of ``cited``; ``index``: the stored index
+    of ``known``, if there is one. Both are read for the claims that the batch repeats only. A claim known by
     its fingerprint or a similar one is new again, to a degree, where a channel repeats it that its history lacks. Places:
     new, corroborated, known; within a place the claims with most sources come first."""
-    recent = known_claims(known, citations, now)
+    recent = known.where(F.to_date("last_seen_at") >= F.date_sub(F.to_date(now), LOOK_BACK))
+    batch = landed.saved(batch, "batch")
     mine = batch.select("ticker", "claim_id", "fingerprint", "tokens")
     if index is None:
         judged = novelty(mine, recent.select("ticker", "claim_id", "fingerprint", "tokens", "first_seen_at"))
     else:  # it holds all known claims
         judged = index.novelty(mine, F.date_sub(F.to_date(now), LOOK_BACK).cast("timestamp"))
-    history = recent.select(F.col("claim_id").alias("known_id"), F.col("channels").alias("known_channels"))
+    judged = landed.saved(judged, "judged")
+    asked = landed.saved(recent.join(landed.small(judged.select(F.col("known_id").alias("claim_id")).distinct()), "claim_id", "left_semi"), "asked")
+    cites = citations.join(landed.small(asked.select("ticker", "fingerprint").distinct()), ["ticker", "fingerprint"], "left_semi")
+    history = known_claims(asked, cited(cites).drop("citations"), now).select(F.col("claim_id").alias("known_id"), F.col("channels").alias("known_channels"))
     j = batch.join(judged, ["ticker", "claim_id"]).join(history, "known_id", "left")
     status = F.when(F.col("status") == "candidate", "new").otherwise(F.col("status"))
     rows = j.select("ticker", "claim_id", "fingerprint", "text", "source_count", status.alias("status"), claim_rank(status, F.coalesce(corroborated(), F.lit(False))).alias("place"))

@@ -133,8 +133,8 @@ def people(df: DataFrame) -> DataFrame:
     return df.where(~F.lower(F.coalesce("author", F.lit(""))).isin(*NOT_PEOPLE))
 
 
-def hub_join(a: DataFrame, b: DataFrame, keys: list[str], most: int = HUB_PAIRS) -> DataFrame:
-    """The inner join on keys. Keys that give more pairs than ``most`` are hubs: their rows in ``b`` are dealt out over
+def hub_join(a: DataFrame, b: DataFrame, keys: list[str], most: int = HUB_PAIRS, how: str = "inner") -> DataFrame:
+    """The join on keys, inner or right (all rows of ``b``). Keys that give more pairs than ``most`` are hubs: their rows in ``b`` are dealt out over
     salts by their values, their rows in ``a`` are repeated for every salt, so no task makes all pairs of one key."""
     many = a.groupBy(*keys).agg(F.count("*").alias("na")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), keys)
     hubs = landed.saved(many.select(*keys, F.ceil(F.col("na") * F.col("nb") / most).cast("int").alias("__salts")).where("__salts > 1"), "hubs")
@@ -142,7 +142,7 @@ def hub_join(a: DataFrame, b: DataFrame, keys: list[str], most: int = HUB_PAIRS)
     marked = lambda df: df.join(landed.small(hubs), keys, "left")
     left = marked(a).select(*a.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
     right = marked(b).select(*b.columns, F.pmod(F.xxhash64(*(c for c in b.columns if c not in keys)), salts).cast("int").alias("__salt"))
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def followed_subreddits(posts: DataFrame, matches: DataFrame, most_authors: int = 40, most: int = 20) -> DataFrame:

@@ -314,6 +314,29 @@ def test_the_claim_index_over_runs_gives_what_all_pairs_give(spark, tmp_path, mo
     assert since == sorted(map(tuple, claims.novelty(new.select("ticker", "claim_id", "fingerprint", "tokens"), claim_rows(spark, recent)).collect()))
 
 
+def test_first_tokens_of_claims_need_no_shuffle_and_known_claims_are_read_for_asked_wordings(spark, tmp_path):
+    index = claim_index.ClaimIndex(spark, str(tmp_path / "index"), 4)
+    index.append(claim_rows(spark, [("T", i, f"a word{i % 7} said again", i % 5) for i in range(100)]))
+    plan = index._firsts(claim_rows(spark, [("T", 1, "alpha beta gamma", 0)]), "claim_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    asked = claim_rows(spark, [("T", 1, "word3 said again", 0), ("T", 2, "never", 0)])
+    assert sorted(r.claim_id for r in index.known(asked).collect()) == list(range(3, 100, 7))
+
+
+def test_a_wording_of_many_claims_is_dealt_out_and_has_its_list_made_once(spark, monkeypatch):
+    monkeypatch.setattr(claims, "CLAIMS_A_LIST", 50)
+    known = spark.range(2000).select(F.lit("T").alias("ticker"), F.when(F.col("id") < 1900, "hot").otherwise(F.concat(F.lit("f"), F.col("id"))).alias("fingerprint"), F.col("id").alias("claim_id"), F.lit("2024-01-02").cast("timestamp").alias("last_seen_at"))
+    cites = known.where("claim_id != 1999").select("ticker", "fingerprint", F.col("claim_id").alias("video_id"), F.lit(0).alias("second"), F.lit("").alias("channel_id"))
+    lists = claims.cited(cites).select("ticker", "fingerprint", F.size("citations").alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = claims.known_claims(known, lists, F.lit("2024-01-10").cast("timestamp")).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.claim_id, r.n) for r in got) == [(i, 1900 if i < 1900 else 1 if i < 1999 else None) for i in range(2000)]
+    assert len({r.part for r in got if r.fingerprint == "hot"}) > 1
+
+
 # --- loads ---
 
 
