@@ -46,7 +46,8 @@ def normal_name(name: Column) -> Column:
 
 
 def claim_tokens(text: Column) -> Column:
-    return F.array_sort(F.array_except(tokens(text), words_array(CLAIM_STOPWORDS)))
+    # a list of constants is looked up in a set made once; array_except would make it for every row
+    return F.sort_array(F.filter(tokens(text), lambda w: ~w.isin(*CLAIM_STOPWORDS)))
 
 
 def fingerprint(kind: Column, claim: Column) -> Column:

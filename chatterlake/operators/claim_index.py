@@ -3,7 +3,9 @@
 Two claims of Jaccard similarity SIMILAR or more share one of the first tokens of each, when all claims put their tokens
 in one order; so many that the rest couldn't make up for them. The index holds these first tokens only. The order is by
 rarity and settled when the index is made: tokens that were common then come last, which a stored list says; all others
-by their hash, new ones too. So a later run's tokens are ordered as those stored.
+by their hash, new ones too. So a later run's tokens are ordered as those stored. Whether a token is common is asked of a
+filter of that list, which may take a few others for common ones: any order will do, if it is the same for all. The index
+holds tokens as hashes; two tokens of one hash make a pair more, which the comparison of all tokens drops.
 
 Both tables are bucketed, so what is stored isn't shuffled to meet a run's claims: claims by ticker and fingerprint,
 first tokens by ticker and token. A token that has become so frequent that it would make too many pairs is a hub: its pairs
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterlake.operators.forum import HUB_PAIRS, hub_join
+from chatterlake.operators.forum import HUB_PAIRS, constant_token_filter, hash_held, hub_join
 from chatterlake.sources import landed
 
 #: A claim at or above this Jaccard similarity to a known one is known.
@@ -26,7 +28,7 @@ SIMILAR = 0.72
 #: A token is common that so many claims of the first run hold, or this share of them.
 COMMON, COMMON_SHARE = 50, 0.0005
 CLAIMS = "ticker string, fingerprint string, claim_id long, first_seen_at timestamp, last_seen_at timestamp, tokens array<string>"
-FIRST_TOKENS = "ticker string, token string, fingerprint string, n int, place int"
+FIRST_TOKENS = "ticker string, token long, fingerprint string, n int, place int"
 
 
 @dataclass
@@ -62,31 +64,32 @@ class ClaimIndex:
 
     def _firsts(self, claims: DataFrame, *keep: str) -> DataFrame:
         """The first tokens of claims in the index's order, with their place: (ticker, token, n, place) and the columns kept."""
-        common = landed.small(self.common_tokens().select("token", F.lit(True).alias("common")))
-        each = claims.select("ticker", *keep, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(common, "token", "left")
-        order = F.struct(F.coalesce("common", F.lit(False)).alias("common"), F.xxhash64("token").alias("hash"), "token")
-        ordered = each.groupBy("ticker", *keep, "n").agg(F.array_sort(F.collect_list(order)).alias("ordered"))  # the tokens of one claim
+        common = constant_token_filter(self.common_tokens())
+        # a token's hash stands for it, with the sign of its place: below zero unless common
+        order = lambda h: F.when(hash_held(common, h), h.bitwiseAND(2**63 - 1)).otherwise(h.bitwiseOR(-(2**63)))
+        hashes = F.transform(F.transform("tokens", lambda w: F.xxhash64(w)), order)
+        ordered = claims.select("ticker", *keep, F.size("tokens").alias("n"), F.sort_array(hashes).alias("ordered"))
         some = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9).cast("int") + 1)
-        return ordered.select("ticker", *keep, "n", F.posexplode(some).alias("place", "first")).select("ticker", "first.token", *keep, "n", "place")
+        return ordered.select("ticker", *keep, "n", F.posexplode(some).alias("place", "token")).select("ticker", "token", *keep, "n", "place")
 
-    def append(self, claims: DataFrame) -> None:
+    def append(self, claims: DataFrame, is_saved: bool = False) -> None:
         """Store a run's claims: ticker, fingerprint, claim_id, first_seen_at, last_seen_at, tokens. Only claims that nobody has made before
-        in these words get entries for their tokens. Appending claims again that are stored changes no answer."""
-        rows = landed.saved(claims.select("ticker", "fingerprint", "claim_id", "first_seen_at", "last_seen_at", "tokens"), "claims")
+        in these words get entries for their tokens. Appending claims again that are stored changes no answer. ``is_saved``: the claims are a
+        saved table's rows, which can be read again at no cost."""
+        rows = claims.select("ticker", "fingerprint", "claim_id", "first_seen_at", "last_seen_at", "tokens")
+        rows = rows if is_saved else landed.saved(rows, "claims")
         self.common_tokens(rows)
-        stored = self.spark.table(self.claims)
-        fresh = rows.join(stored.select("ticker", "fingerprint"), ["ticker", "fingerprint"], "left_anti").groupBy("ticker", "fingerprint").agg(F.first("tokens").alias("tokens"))
-        self._firsts(fresh, "fingerprint").select("ticker", "token", "fingerprint", "n", "place").write.insertInto(self.first_tokens)
+        stored = self.spark.table(self.claims).select("ticker", "fingerprint")
+        fresh = rows.join(stored, ["ticker", "fingerprint"], "left_anti") if stored.limit(1).count() else rows
+        wordings = fresh.select("ticker", "fingerprint", "tokens").distinct()  # keys alone: such an aggregate is hashed
+        self._firsts(wordings, "fingerprint").select("ticker", "token", "fingerprint", "n", "place").write.insertInto(self.first_tokens)
         rows.write.insertInto(self.claims)
 
-    def known(self, since: Column | None = None) -> DataFrame:
-        """(ticker, fingerprint, exact_id, first_seen_at, claim_id, tokens): one row for claims of the same words, with the least id, and
-        the time and id of the newest; of those seen since a time, if one is given."""
+    def known(self, wordings: DataFrame, since: Column | None = None) -> DataFrame:
+        """Stored claims of some wordings (ticker, fingerprint), of those seen since a time, if one is given."""
         rows = self.spark.table(self.claims)
         rows = rows if since is None else rows.where(F.col("last_seen_at") >= since)
-        newest = F.max(F.struct("first_seen_at", (-F.col("claim_id")).alias("minus"), "tokens")).alias("k")
-        once = rows.groupBy("ticker", "fingerprint").agg(F.min("claim_id").alias("exact_id"), newest)
-        return once.select("ticker", "fingerprint", "exact_id", "k.first_seen_at", (-F.col("k.minus")).alias("claim_id"), "k.tokens")
+        return rows.join(landed.small(landed.saved(wordings.select("ticker", "fingerprint").distinct(), "wordings")), ["ticker", "fingerprint"], "left_semi")
 
     def candidate_pairs(self, new: DataFrame) -> DataFrame:
         """(ticker, new_id, fingerprint) of pairs that may be as similar as SIMILAR: they share a first token, their sizes allow it, and so do
@@ -109,11 +112,15 @@ class ClaimIndex:
     def novelty(self, new: DataFrame, since: Column | None = None) -> DataFrame:
         """(ticker, claim_id, status, known_id) of a run's claims: ticker, claim_id, fingerprint, tokens. Known by fingerprint, else by the
         most similar known claim, the newest and then smallest of equals; else a candidate."""
-        once = landed.saved(self.known(since), "known-claims")
-        n = landed.saved(new.join(once.select("ticker", "fingerprint", "exact_id"), ["ticker", "fingerprint"], "left"), "new-claims")
+        new = landed.saved(new.select("ticker", "claim_id", "fingerprint", "tokens"), "run")
+        exact = self.known(new, since).groupBy("ticker", "fingerprint").agg(F.min("claim_id").alias("exact_id"))
+        n = landed.saved(new.join(exact, ["ticker", "fingerprint"], "left"), "new-claims")
         rest = landed.saved(n.where("exact_id is null").groupBy("ticker", "tokens").agg(F.min("claim_id").alias("claim_id")), "new-wordings")
-        pairs = self.candidate_pairs(rest).join(once.select("ticker", "fingerprint", F.col("claim_id").alias("known_id"), "first_seen_at", F.col("tokens").alias("tb")), ["ticker", "fingerprint"])
-        both = pairs.join(rest.select("ticker", F.col("claim_id").alias("new_id"), F.col("tokens").alias("ta")), ["ticker", "new_id"])
+        pairs = landed.saved(self.candidate_pairs(rest), "pairs")
+        # the newest claim of a wording and of these the least, in two aggregates of numbers, which are hashed
+        times = self.known(pairs, since).groupBy("ticker", "fingerprint", F.col("tokens").alias("tb"), "first_seen_at").agg(F.min("claim_id").alias("least"))
+        once = times.groupBy("ticker", "fingerprint", "tb").agg(F.max_by("least", "first_seen_at").alias("known_id"), F.max("first_seen_at").alias("first_seen_at"))
+        both = pairs.join(once, ["ticker", "fingerprint"]).join(rest.select("ticker", F.col("claim_id").alias("new_id"), F.col("tokens").alias("ta")), ["ticker", "new_id"])
         shared = F.size(F.array_intersect("ta", "tb"))
         near = both.select("ticker", "new_id", "known_id", "first_seen_at", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= SIMILAR)
         best = near.groupBy("ticker", "new_id").agg(F.max_by("known_id", F.struct("similarity", "first_seen_at", -F.col("known_id"))).alias("near_id"))

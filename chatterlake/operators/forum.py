@@ -24,10 +24,19 @@ HUB_PAIRS = 100_000
 
 def token_filter(tokens: DataFrame) -> Column:
     """A bloom filter of a column ``token`` as a scalar subquery of 16384 longs, whatever the number of tokens."""
+    return _filter_words(tokens).scalar()
+
+
+def constant_token_filter(tokens: DataFrame) -> Column:
+    """The same as a constant, for functions of arrays, where no subquery may stand. The driver has its 16384 longs."""
+    return F.split(F.lit(",".join(map(str, _filter_words(tokens).first()[0]))), ",").cast("array<bigint>")
+
+
+def _filter_words(tokens: DataFrame) -> DataFrame:
     bits = F.array(*(F.pmod(h, F.lit(64 * FILTER_LONGS)) for h in _filter_hashes(F.col("token"))))
     each = tokens.select(F.explode(bits).alias("bit")).select((F.col("bit") / 64).cast("long").alias("id"), F.expr("shiftleft(1L, int(bit % 64))").alias("long"))
     words = tokens.sparkSession.range(FILTER_LONGS).join(each.groupBy("id").agg(F.bit_or("long").alias("long")), "id", "left").fillna(0, ["long"])
-    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "long"))), lambda x: x["long"])).scalar()
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "long"))), lambda x: x["long"]))
 
 
 def _filter_hashes(token: Column) -> list[Column]:
@@ -41,6 +50,11 @@ def may_hold(words: Column, token: Column) -> Column:
     return found[0] & found[1]
 
 
+def hash_held(words: Column, hashed: Column) -> Column:
+    """``may_hold`` by the first hash of a token alone, which is given."""
+    return F.getbit(F.get(words, F.shiftright(hashed, 6).bitwiseAND(FILTER_LONGS - 1).cast("int")), hashed.bitwiseAND(63).cast("int")) == 1
+
+
 def keyword_matches(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(post_id, keyword, ticker). ``keywords``: keyword, ticker, pattern; as many as there may be.
 
