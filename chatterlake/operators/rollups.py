@@ -19,11 +19,12 @@ def with_as_of(df: DataFrame, as_of: DataFrame) -> DataFrame:
     return df.join(F.broadcast(as_of), F.lit(True))  # one row
 
 
-def wide_matrix(signals: DataFrame, names: list[str]) -> DataFrame:
-    """Each ticker's signals at its latest date with any signal; a signal missing that day is null."""
+def wide_matrix(signals: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """Each ticker's signals at its latest date with any signal; a signal missing that day is null. ``more``: what else is to be told of all
+    its rows in the same pass."""
     some = F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in names), F.lit(False))
     at = F.when(some, F.col("date"))  # numbers alone, no struct: such an aggregate is hashed
-    return signals.groupBy("ticker").agg(F.max(at).alias("date"), *(F.max_by(n, at).alias(n) for n in names)).where("date is not null")
+    return signals.groupBy("ticker").agg(F.max(at).alias("date"), *(F.max_by(n, at).alias(n) for n in names), *more).where("date is not null")
 
 
 def ticker_board(universe: DataFrame, wide: DataFrame, bars: DataFrame) -> DataFrame:

@@ -215,11 +215,13 @@ def ticker_record(t: Tables):
     """One wide row a ticker: board with its flags, its last day's news and the newest of all days, place in the year's range and
     in the targets, events, classes."""
     t.bars = landed.saved(t.bars, "bars")  # read by five parts
-    marked = landed.saved(signals.price_signals(t.bars), "signals")
-    wide = rollups.wide_matrix(marked, [*_S, "return_ytd"])
+    # the signals of all days are used in one pass, so they aren't stored
+    marked = rollups.with_as_of(signals.price_signals(t.bars), rollups.newest(t.bars))
+    seen = F.when(F.col("atr_pct").isNotNull(), F.col("date"))
+    moved = F.max_by("atr_pct", seen) - F.max_by("atr_pct", F.when(seen <= F.date_sub("as_of", 30), seen))
+    latest = landed.saved(rollups.wide_matrix(marked, [*_S, "return_ytd"], moved.alias("moved")), "latest")
+    wide, moved = latest.drop("moved"), latest.select("ticker", "moved")
     board = rollups.ticker_board(t.universe, wide, t.bars).select("ticker", "sectors", "flags")
-    swing = rollups.with_as_of(marked.where("atr_pct is not null").select("ticker", "date", "atr_pct"), rollups.newest(t.bars))
-    moved = swing.groupBy("ticker").agg((F.max_by("atr_pct", "date") - F.max_by("atr_pct", F.when(F.col("date") <= F.date_sub("as_of", 30), F.col("date")))).alias("moved"))
     newest = signals.last_rows(t.news.select("ticker", "date", "news_id"), ["ticker"], 5, F.desc("date"), F.desc("news_id"))
     newest = newest.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "date", "news_id"))), lambda x: F.concat_ws(" ", x.date.cast("string"), x.news_id.cast("string"))), ",").alias("last_news"))
     n = t.read("supplier").count()

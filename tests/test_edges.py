@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import labels, money, names
 from chatterlake.functions import text as tx
 from chatterlake.operators import claims, communities, disclosures, forum, ledger, macro, merges, rollups, series, signals, video
-from chatterlake.plans import registry, stories  # noqa: F401  (registers its queries)
+from chatterlake.plans import records, registry, stories  # noqa: F401  (registers its queries)
 from chatterlake.plans.registry import REGISTERED, SQL
 from chatterlake.sources import landed, nested
 from tests.oracle import connection, difference
@@ -72,6 +72,14 @@ def test_latest_signals_are_the_newest_of_the_long_rows(spark):
     assert not plan_of(signals.latest_signals(b)).count("SortAggregate")
 
 
+def test_a_ticker_record_stores_no_signals_of_all_days(spark, monkeypatch):
+    stored, keep = {}, landed.saved
+    monkeypatch.setattr(landed, "saved", lambda df, name: stored.setdefault(name, keep(df, name)))
+    con = connection("/root/testdata/sf0.001")
+    assert difference(REGISTERED["E13_ticker_record"](spark, "/root/testdata/sf0.001"), con, SQL["E13_ticker_record"]) == ""
+    assert all("atr_pct" not in df.columns or df.count() == df.select("ticker").distinct().count() for df in stored.values())
+
+
 def test_the_wide_matrix_is_hashed(spark):
     wide = rollups.wide_matrix(signals.price_signals(bars(spark, range(10, 25))), ["return_1d", "rsi"])
     assert "SortAggregate" not in plan_of(wide) and wide.select("rsi").first()[0] == 100
