@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import ctypes
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
-from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +49,32 @@ TOKENS_A_SHARD = 1_000_000
 ROWS_AT_ONCE = 8192
 #: Logits are held within this, so that their exponentials stay finite.
 LOGIT_LIMIT = 60.0
+#: As an array, which numpy takes with less ado than a number.
+HALF = np.array(0.5, np.float32)
+#: The steps of a CRC-32, a byte each.
+CRC_TABLE = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def word_shape(word: bytes) -> int:
     return crc32(word[-SUFFIX_BYTES:]) % SHAPES
 
 
+def word_shapes(words: pa.Array, at: np.ndarray) -> np.ndarray:
+    """``word_shape`` of the words in some places of an Arrow array."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset :]
+    data = np.frombuffer(data or b"", np.uint8)
+    ends = offsets[at + 1].astype(np.int64)
+    sizes = ends - offsets[at]
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for back in range(SUFFIX_BYTES, 0, -1):
+        has = np.flatnonzero(sizes >= back)
+        crc[has] = CRC_TABLE[(crc[has] ^ data[ends[has] - back]) & 0xFF] ^ (crc[has] >> 8)
+    return (~crc % SHAPES).astype(np.int32)
+
+
 def shape_column(word: Column) -> Column:
     data = word.cast("binary")
     return (F.crc32(F.substring(data, -SUFFIX_BYTES, SUFFIX_BYTES)) % SHAPES).cast("int")
@@ -71,7 +90,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 class Vocabulary:
     """The head words with their counts, and what the network needs to know of all words."""
 
-    index: dict[bytes, int]  # word -> place in the arrays below
+    index: pa.Array  # the words, in the places of the arrays below
     counts: np.ndarray
     symbols: np.ndarray
     tokens: int  # all training tokens
@@ -123,7 +142,7 @@ def make_vocabulary(counts: DataFrame, head: int = HEAD, frequent: int = FREQUEN
         kinds[word_shape(w.encode())] -= n > 0
     symbols = len(chosen) + SHAPES
     class_of = np.sort(np.arange(symbols) * CLASSES // symbols)
-    index = {w.encode(): i for i, (w, _) in enumerate(words)}
+    index = pa.array([w for w, _ in words], pa.string())
     of = np.array([i if i < len(chosen) else len(chosen) + word_shape(w.encode()) for i, (w, _) in enumerate(words)], dtype=np.int32)
     start = np.searchsorted(class_of, np.arange(CLASSES + 1))
     return Vocabulary(index, np.array([n for _, n in words], dtype=float), of, size["tokens"], size["words"], tokens, kinds, len(names), class_of, start, 0)
@@ -164,9 +183,13 @@ class Network:
         return np.concatenate([a.ravel() for a in self.arrays()])
 
     def like(self, flat: np.ndarray) -> Network:
+        return self.over(flat.astype(np.float32))
+
+    def over(self, flat: np.ndarray) -> Network:
+        """A network of these shapes whose weights are views of ``flat``."""
         parts, at = [], 0
         for a in self.arrays():
-            parts.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
+            parts.append(flat[at : at + a.size].reshape(a.shape))
             at += a.size
         return Network(*parts)
 
@@ -175,126 +198,150 @@ class Network:
         """What each symbol adds, in rows."""
         return (self.project @ self.embed).T
 
-    def advance(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For columns of inputs and states: the new states, and the gates, candidates and recurrent parts they came from."""
-        g = self.back @ h
-        gates = x[: 2 * STATE] + g[: 2 * STATE]
+    def advance(self, x: np.ndarray, h: np.ndarray, g: np.ndarray, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+        """For columns of inputs and states: the recurrent parts, the gates, the candidates and the new states, each into
+        the array given for it."""
+        np.matmul(self.back, h, out=g)
+        np.add(x[: 2 * STATE], g[: 2 * STATE], out=gates)
         np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5
-        new = gates[STATE:] * g[2 * STATE :]
-        new += x[2 * STATE :]
+        np.multiply(gates, HALF, out=gates)
+        np.add(gates, HALF, out=gates)
+        np.multiply(gates[STATE:], g[2 * STATE :], out=new)
+        np.add(new, x[2 * STATE :], out=new)
         np.tanh(new, out=new)
-        out = h - new
-        out *= gates[:STATE]
-        out += new
-        return out, gates, new, g[2 * STATE :]
+        np.subtract(h, new, out=out)
+        np.multiply(out, gates[:STATE], out=out)
+        np.add(out, new, out=out)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``advance`` for states in rows."""
-        return tuple(a.T for a in self.advance(x.T, h.T))
+        """``advance`` for states in rows: the new states, gates, candidates and recurrent parts."""
+        made = [np.empty((n * STATE, len(h)), np.float32) for n in (3, 2, 1, 1)]
+        self.advance(x.T, h.T, *made)
+        g, gates, new, out = made
+        return out.T, gates.T, new.T, g[2 * STATE :].T
 
     def log_probs(self, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln p of each target, for states in rows; with ``grads``, adds the output weights' gradients there and gives
-        that of the states."""
-        order = np.argsort(targets.astype(np.int16), kind="stable")  # targets of a class stand together
-        s, y = states[order], targets[order]
-        rows = np.arange(len(y))
-        p, total, logs = _softmax(s @ self.to_class, self.class_bias, rows, v.class_of[y])
+        """ln p of each target, for states in rows; with ``grads``, puts the output weights' gradients there and gives
+        that of the states. Biases go along as one more column of the weights, and ones as one of the states."""
+        n, width = len(targets), int(np.diff(v.class_start).max())
+        classes = v.class_of[targets].astype(np.uint8)
+        order = np.argsort(classes, kind="stable")  # targets of a class stand together
+        s = np.ones((n, STATE + 1), np.float32)
+        s[:, :STATE] = states
+        s, c, rows = s.take(order, axis=0), classes[order].astype(np.intp), np.arange(n)
+        wanted = targets[order] - v.class_start[c]
+        to_class = np.concatenate([self.to_class, self.class_bias[None]])
+        to_symbol = np.concatenate([self.to_symbol, self.symbol_bias[:, None]], axis=1)
+        found = np.flatnonzero(np.bincount(c, minlength=CLASSES))
+        ends = np.searchsorted(c, np.arange(CLASSES + 1))
+        parts = [(slice(ends[k], ends[k + 1]), slice(v.class_start[k], v.class_start[k + 1]), v.class_start[k + 1] - v.class_start[k]) for k in found]
+        p, q = s @ to_class, np.zeros((n, width), np.float32)
+        for at, symbols, size in parts:
+            np.matmul(s[at], to_symbol[symbols].T, out=q[at, :size])
+        np.clip(p, -LOGIT_LIMIT, LOGIT_LIMIT, out=p)
+        np.clip(q, -LOGIT_LIMIT, LOGIT_LIMIT, out=q)
+        for at, _, size in parts:
+            q[at, size:] = -np.inf  # classes differ by a symbol
+        logs = _softmax(p, rows, c, grads is not None)
+        logs += _softmax(q, rows, wanted, grads is not None)
         d = None
         if grads is not None:
-            p /= total
-            p[rows, v.class_of[y]] -= 1
-            grads.to_class += s.T @ p
-            grads.class_bias += p.sum(axis=0)
-            d = p @ self.to_class.T
-        ends = np.searchsorted(y, v.class_start)
-        for c in np.flatnonzero(np.diff(ends)):
-            at, symbols = slice(ends[c], ends[c + 1]), slice(v.class_start[c], v.class_start[c + 1])
-            k, wanted = rows[: ends[c + 1] - ends[c]], y[at] - v.class_start[c]
-            p, total, each = _softmax(s[at] @ self.to_symbol[symbols].T, self.symbol_bias[symbols], k, wanted)
-            logs[at] += each
-            if grads is not None:
-                p /= total
-                p[k, wanted] -= 1
-                grads.to_symbol[symbols] += p.T @ s[at]
-                grads.symbol_bias[symbols] += p.sum(axis=0)
-                d[at] += p @ self.to_symbol[symbols]
-        out, d_states = np.empty_like(logs), None
-        out[order] = logs
-        if d is not None:
-            d_states = np.empty_like(d)
-            d_states[order] = d
-        return out, d_states
-
-
-def _softmax(logits: np.ndarray, bias: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shares before they are divided by their totals, the totals, and ln p of the wanted ones."""
-    logits += bias
-    np.clip(logits, -LOGIT_LIMIT, LOGIT_LIMIT, out=logits)
+            by_class = s.T @ p
+            grads.to_class[:], grads.class_bias[:] = by_class[:STATE], by_class[STATE]
+            by_symbol = np.zeros_like(to_symbol)
+            d = np.empty((n, STATE + 1), np.float32)
+            for at, symbols, size in parts:
+                np.matmul(q[at, :size].T, s[at], out=by_symbol[symbols])
+                np.matmul(q[at, :size], to_symbol[symbols], out=d[at])
+            grads.to_symbol[:], grads.symbol_bias[:] = by_symbol[:, :STATE], by_symbol[:, STATE]
+            d += p @ to_class.T
+        back = np.empty_like(order)
+        back[order] = rows
+        return logs.take(back), None if d is None else d.take(back, axis=0)[:, :STATE]
+
+
+def _softmax(logits: np.ndarray, rows: np.ndarray, wanted: np.ndarray, slopes: bool) -> np.ndarray:
+    """ln p of the wanted ones; leaves in place of the logits, if asked for, the slopes of -ln p. What is -inf has no share."""
     chosen = logits[rows, wanted]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
-    return logits, total, chosen - np.log(total[:, 0])
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    if slopes:
+        logits *= (1 / total)[:, None]
+        logits[rows, wanted] -= 1
+    return chosen - np.log(total)
 
 
 class Trainer:
     """Adagrad on windows of truncated backpropagation."""
 
     def __init__(self, net: Network, v: Vocabulary) -> None:
-        self.net, self.v = net, v
-        self.squares = [np.full_like(a, 1e-2) for a in net.arrays()]
+        self.net, self.v, self.weights = net, v, net.flat()
+        for f, a in zip(fields(net), net.over(self.weights).arrays(), strict=True):  # all weights of the net are learned at once
+            setattr(net, f.name, a)
+        self.squares = np.full_like(self.weights, 1e-2)
         self.tokens = 0
-        self.waiting: list[tuple[np.ndarray, int, np.ndarray]] = []  # text, place in it, state there
+        self.waiting: list[tuple[np.ndarray, int, np.ndarray]] = []  # what is left of a text, the symbol before it, the state there
 
     def window(self, symbols: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Learn from symbols [steps, lanes], preceded by ``before``; takes and gives the states, in columns."""
+        """Learn from symbols [steps, lanes], preceded by ``before``; takes and gives the states, in columns.
+
+        A step does only what needs the step before it; all else is done for the whole window."""
         net, (steps, lanes) = self.net, symbols.shape
         prev = np.concatenate([before[None], symbols[:-1]])
         # time stands first, so what a step touches lies together
         h = np.empty((steps + 1, STATE, lanes), np.float32)
-        gates = np.empty((steps, 2 * STATE, lanes), np.float32)
-        new, rec = np.empty((steps, STATE, lanes), np.float32), np.empty((steps, STATE, lanes), np.float32)
+        rec, gates = np.empty((steps, 3 * STATE, lanes), np.float32), np.empty((steps, 2 * STATE, lanes), np.float32)
+        new = np.empty((steps, STATE, lanes), np.float32)
         h[0] = state
-        embedded = [net.embed.take(p, axis=1) for p in prev]
+        embedded = np.ascontiguousarray(net.embed.T).take(prev, axis=0)  # steps, lanes, EMBED
+        x = np.matmul(net.project, embedded.transpose(0, 2, 1))
         for t in range(steps):
-            h[t + 1], gates[t], new[t], rec[t] = net.advance(net.project @ embedded[t], h[t])
-        grads = Network(*(np.zeros_like(a) for a in net.arrays()))
+            net.advance(x[t], h[t], rec[t], gates[t], new[t], h[t + 1])
+        gradients = np.zeros_like(self.weights)
+        grads = net.over(gradients)
         _, d = net.log_probs(self.v, h[1:].transpose(0, 2, 1).reshape(-1, STATE), symbols.ravel(), grads)
         d = np.ascontiguousarray(d.reshape(steps, lanes, STATE).transpose(0, 2, 1))
-        to_embed = np.empty((EMBED, steps, lanes), np.float32)
+        # what a state's gradient is multiplied by, to be that of: new state, update gate, reset gate, recurrent part of
+        # the new state, state before
+        slopes = np.empty((steps, 5, STATE, lanes), np.float32)
+        z, r = gates[:, :STATE], gates[:, STATE:]
+        keep = 1 - z
+        np.multiply(new, new, out=slopes[:, 0])
+        np.subtract(1, slopes[:, 0], out=slopes[:, 0])
+        slopes[:, 0] *= keep
+        np.multiply(slopes[:, 0], r, out=slopes[:, 3])
+        np.subtract(1, r, out=slopes[:, 2])
+        slopes[:, 2] *= slopes[:, 3]
+        slopes[:, 2] *= rec[:, 2 * STATE :]
+        slopes[:, 2] *= 2
+        np.subtract(h[:-1], new, out=slopes[:, 1])
+        slopes[:, 1] *= z
+        slopes[:, 1] *= keep
+        slopes[:, 1] *= 2
+        slopes[:, 4] = z
+        flat = slopes.reshape(steps, 5 * STATE, lanes)
+        back = np.concatenate([net.back, np.eye(STATE, dtype=np.float32)]).T.copy()
         dh = np.zeros((STATE, lanes), np.float32)
-        dg = np.empty((3 * STATE, lanes), np.float32)
-        d_update, d_reset, d_new = dg[:STATE], dg[STATE : 2 * STATE], dg[2 * STATE :]
-        back, out_of = np.ascontiguousarray(net.back.T), np.ascontiguousarray(net.project.T)
         for t in range(steps - 1, -1, -1):
-            z, r = gates[t, :STATE], gates[t, STATE:]
-            dh += d[t]
-            np.multiply(dh, 1 - z, out=d_new)
-            d_new *= 1 - new[t] * new[t]
-            np.multiply(d_new, rec[t], out=d_reset)
-            d_reset *= 2 * r * (1 - r)
-            np.multiply(dh, h[t] - new[t], out=d_update)
-            d_update *= 2 * z * (1 - z)
-            to_embed[:, t] = out_of @ dg
-            grads.project += dg @ embedded[t].T
-            d_new *= r  # what the recurrent part had in it
-            grads.back += dg @ h[t].T
-            dh *= z
-            dh += back @ dg
+            np.add(dh, d[t], out=dh)
+            np.multiply(slopes[t], dh, out=slopes[t])
+            np.matmul(back, flat[t, STATE:], out=dh)
+        project = np.concatenate([net.project[2 * STATE :], net.project[: 2 * STATE]])
+        to_embed = np.matmul(flat[:, : 3 * STATE].transpose(0, 2, 1), project).reshape(-1, EMBED)
+        by_input = np.matmul(flat[:, : 3 * STATE], embedded).sum(axis=0)
+        grads.project[: 2 * STATE], grads.project[2 * STATE :] = by_input[STATE:], by_input[:STATE]
+        grads.back[:] = np.matmul(flat[:, STATE : 4 * STATE], h[:-1].transpose(0, 2, 1)).sum(axis=0)
         order = np.argsort(prev.ravel().astype(np.int16), kind="stable")
         in_order = prev.ravel()[order]
         firsts = np.flatnonzero(np.diff(in_order, prepend=-1))
-        grads.embed[:, in_order[firsts]] = np.add.reduceat(to_embed.reshape(EMBED, -1).take(order, axis=1), firsts, axis=1)
+        grads.embed[:, in_order[firsts]] = np.add.reduceat(to_embed.take(order, axis=0), firsts, axis=0).T
         scale = 1 / lanes
-        norm = math.sqrt(sum(float(np.vdot(a, a)) for a in grads.arrays())) * scale
-        scale *= min(1.0, CLIP / (norm + 1e-9))
-        for a, g, q in zip(net.arrays(), grads.arrays(), self.squares, strict=True):
-            g *= scale
-            q += g * g
-            g /= np.sqrt(q)
-            g *= RATE
-            a -= g
+        norm = math.sqrt(float(np.vdot(gradients, gradients))) * scale
+        gradients *= scale * min(1.0, CLIP / (norm + 1e-9))
+        self.squares += gradients * gradients
+        gradients /= np.sqrt(self.squares)
+        gradients *= RATE
+        self.weights -= gradients
         self.tokens += symbols.size
         return h[-1]
 
@@ -302,74 +349,119 @@ class Trainer:
         """Learn from texts of symbols, LANES side by side; texts in a batch are cut to whole windows of the shortest
         and the rest of each goes on in later batches with the state it has reached. Unless these are the ``last``
         texts, what doesn't fill the lanes waits for more."""
-        todo = self.waiting + [(t, 0, np.zeros(STATE, np.float32)) for t in texts if len(t)]
-        while todo if last else len(todo) >= LANES:
-            todo.sort(key=lambda x: len(x[0]) - x[1], reverse=True)
-            lanes, todo = todo[:LANES], todo[LANES:]
-            steps = min(WINDOW, min(len(t) - at for t, at, _ in lanes))
-            symbols = np.stack([t[at : at + steps] for t, at, _ in lanes], axis=1)
-            before = np.array([t[at - 1] if at else self.v.end for t, at, _ in lanes])
-            states = self.window(symbols, before, np.stack([h for _, _, h in lanes], axis=1))
-            todo += [(t, at + steps, h) for (t, at, _), h in zip(lanes, states.T.copy(), strict=True) if at + steps < len(t)]
-        self.waiting = todo
+        todo = self.waiting + [(t, self.v.end, np.zeros(STATE, np.float32)) for t in texts if len(t)]
+        if not todo:
+            return
+        flat = np.concatenate([t for t, _, _ in todo])
+        left = np.array([len(t) for t, _, _ in todo])
+        at = np.cumsum(left) - left
+        before, states = np.array([b for _, b, _ in todo]), np.stack([h for _, _, h in todo])
+        order = np.argsort(-left, kind="stable")  # longest rest first
+        while len(order) and (last or len(order) >= LANES):
+            lanes, order = order[:LANES], order[LANES:]
+            steps = min(WINDOW, left[lanes[-1]])
+            symbols = flat[at[lanes] + np.arange(steps)[:, None]]
+            states[lanes] = self.window(symbols, before[lanes], states[lanes].T).T
+            before[lanes] = symbols[-1]
+            at[lanes] += steps
+            left[lanes] -= steps
+            lanes = lanes[left[lanes] > 0]  # still in order: all have lost as much
+            order = np.insert(order, np.searchsorted(-left[order], -left[lanes], side="right"), lanes)
+        self.waiting = [(flat[at[i] : at[i] + left[i]].copy(), before[i], states[i].copy()) for i in order]
 
 
 def score_texts(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndarray:
     """ln p of each text of symbols, whole, with the state carried through all its windows."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    lengths = np.array([len(texts[i]) for i in order])
-    flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int32)
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    total = np.zeros(len(texts))
-    table = np.ascontiguousarray(net.project @ net.embed)
-    h = np.zeros((STATE, len(texts)), np.float32)
-    prev = np.full(len(texts), v.end, np.int32)
+    order = np.argsort(-np.array([len(t) for t in texts], dtype=np.int64), kind="stable")
+    lengths = np.array([len(texts[i]) for i in order], dtype=np.int64)
     longest = int(lengths.max(initial=0))
+    flat = np.concatenate([texts[i] for i in order]) if longest else np.zeros(0, np.int32)
+    before = np.concatenate([[v.end], flat[:-1]]) if longest else flat
+    offsets = np.cumsum(lengths) - lengths
+    before[offsets[lengths > 0]] = v.end
+    total = np.zeros(len(texts))
+    embed = np.ascontiguousarray(net.embed.T)
     lives = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts that are longer than t
-    rows = np.arange(len(texts))
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-    for t in range(longest):
-        live = int(lives[t])
-        if live < h.shape[1]:
-            h, prev, offsets = h[:, :live], prev[:live], offsets[:live]
-        h = net.advance(table.take(prev, axis=1), h)[0]
-        prev = flat[offsets + t]
-        waiting.append((h.T, prev, rows[:live]))
-        held += live
-        if held >= ROWS_AT_ONCE or t + 1 == longest:
-            states, targets, owners = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            total += np.bincount(owners, weights=net.log_probs(v, states, targets)[0], minlength=len(texts))
-            waiting, held = [], 0
+    reached = np.concatenate([[0], np.cumsum(lives)])
+    h = np.zeros((STATE, len(texts)), np.float32)
+    first = 0
+    while first < longest:
+        # steps whose inputs and predictions are worked out together
+        end = max(first + 1, int(np.searchsorted(reached, reached[first] + ROWS_AT_ONCE, side="right")) - 1)
+        times = np.repeat(np.arange(first, end), lives[first:end])
+        edges = (reached[first : end + 1] - reached[first]).tolist()
+        owners = np.arange(edges[-1]) - np.repeat(edges[:-1], lives[first:end])
+        places = offsets[owners] + times
+        embedded = embed.take(before[places], axis=0)
+        states = np.empty((edges[-1], STATE), np.float32)
+        live = 0
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a != live:
+                live = b - a
+                x, g, gates, new, out, spare = (np.empty((n * STATE, live), np.float32) for n in (3, 3, 2, 1, 1, 1))
+                h = h[:, :live]
+            np.matmul(net.project, embedded[a:b].T, out=x)
+            net.advance(x, h, g, gates, new, out)
+            states[a:b] = out.T
+            h, out, spare = out, spare, out
+        total += np.bincount(owners, weights=net.log_probs(v, states, flat[places])[0], minlength=len(texts))
+        first = end
     out = np.zeros(len(texts))
     out[order] = total
     return out
 
 
-def places_of(v: Vocabulary, text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words and their places in the head table, the end token last; -1 for words that aren't in it."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    return words, np.append(np.fromiter(map(v.index.get, words, repeat(-1)), np.int64, len(words)), v.end)
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after another, and each text's number of words; null texts have none."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, edges = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
+    some = pc.not_equal(pc.binary_length(words), 0)  # text may begin or end with blanks
+    seen = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), np.diff(seen[edges])
 
 
-def symbols_of(v: Vocabulary, words: list[bytes], places: np.ndarray) -> np.ndarray:
+def places_of(v: Vocabulary, words: pa.Array) -> np.ndarray:
+    """Their places in the head table; -1 for words that aren't in it."""
+    return pc.fill_null(pc.index_in(words, v.index), -1).to_numpy()
+
+
+def symbols_of(v: Vocabulary, words: pa.Array, places: np.ndarray) -> np.ndarray:
     out = v.symbols[places]
-    for i in np.flatnonzero(places < 0):
-        out[i] = v.first_shape + word_shape(words[i])
+    rare = np.flatnonzero(places < 0)
+    out[rare] = v.first_shape + word_shapes(words, rare)
     return out
 
 
-def by_size(texts: Iterable[str | None], chars: int) -> Iterator[list[str | None]]:
+def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of texts one after another, with ``end`` after each text; and where each text is over."""
+    edges = np.cumsum(sizes + 1)
+    out = np.full(edges[-1] if len(edges) else 0, end, values.dtype)
+    inside = np.ones(len(out), bool)
+    inside[edges - 1] = False
+    out[inside] = values
+    return out, edges
+
+
+def symbol_texts(v: Vocabulary, texts: pa.Array) -> list[np.ndarray]:
+    """The symbols of each text, the end token last."""
+    words, sizes = words_of(texts)
+    flat, edges = with_ends(symbols_of(v, words, places_of(v, words)), sizes, v.end)
+    return np.split(flat, edges[:-1]) if len(edges) else []
+
+
+def by_size(batches: Iterable[pa.Array], chars: int) -> Iterator[pa.Array]:
     """Texts in groups of about so many characters: a group is scored together."""
     group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text or "") + 1
-        if size >= chars:
-            yield group
-            group, size = [], 0
+    for texts in batches:
+        ends = size + np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64) + 1)
+        while len(texts) and ends[-1] >= chars:
+            full = int(np.searchsorted(ends, chars)) + 1
+            yield pa.concat_arrays([*group, texts[:full]])
+            texts, ends, group, size = texts[full:], ends[full:] - ends[full - 1], [], 0
+        if len(texts):
+            group, size = [*group, texts], int(ends[-1])
     if group:
-        yield group
+        yield pa.concat_arrays(group)
 
 
 def keep_large_arrays() -> None:
@@ -383,15 +475,17 @@ def keep_large_arrays() -> None:
     tune(-1, 256 << 20)  # M_TRIM_THRESHOLD
 
 
-def learned(v: Vocabulary, text: str, k: int, stretch: float | None) -> np.ndarray:
-    """The symbols of a text to learn in a round: all, or a stretch from a place that a hash picks."""
+def learned(v: Vocabulary, texts: pa.Array, k: int, stretch: float | None) -> list[np.ndarray]:
+    """The symbols of each text to learn in a round: all, or a stretch from a place that a hash picks."""
+    found = symbol_texts(v, texts)
     if stretch is None:
-        return symbols_of(v, *places_of(v, text))
-    tokens = [*text.encode("utf-8", "replace").lower().split(), END.encode()]
-    size = min(len(tokens), max(WINDOW, math.ceil(len(tokens) * stretch)))
-    at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(tokens) - size + 1)
-    part = tokens[at : at + size]
-    return symbols_of(v, part, np.fromiter(map(v.index.get, part, repeat(-1)), np.int64, size))
+        return found
+    out = []
+    for text, symbols in zip(texts.to_pylist(), found, strict=True):
+        size = min(len(symbols), max(WINDOW, math.ceil(len(symbols) * stretch)))
+        at = crc32(f"{k} {text}".encode("utf-8", "replace")) % (len(symbols) - size + 1)
+        out.append(symbols[at : at + size])
+    return out
 
 
 def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: float | None, id_col: str | None = None) -> tuple[Network, int]:
@@ -409,27 +503,29 @@ def train(docs: DataFrame, v: Vocabulary, text_col: str, rounds: int, stretch: f
     for k in range(rounds):
         weights = spark.sparkContext.broadcast(net)
 
-        def run(batches: Iterator[pd.DataFrame], k=k, weights=weights) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], k=k, weights=weights) -> Iterator[pa.RecordBatch]:
             keep_large_arrays()
             words, trainer, shard = vocabulary.value, None, None
 
-            def done(trainer: Trainer | None) -> Iterator[pd.DataFrame]:
+            def done(trainer: Trainer | None) -> Iterator[pa.RecordBatch]:
                 if trainer:
                     trainer.learn([])
                     if trainer.tokens:
-                        yield pd.DataFrame({"tokens": [trainer.tokens], "weights": [trainer.net.flat()]})
+                        yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([trainer.weights], pa.list_(pa.float32()))], names=["tokens", "weights"])
 
             for batch in batches:
-                for name, pdf in batch.groupby("shard", sort=False):  # a shard's rows come one after another
-                    if name != shard:
+                shards = batch["shard"].to_numpy()
+                firsts = np.flatnonzero(np.diff(shards, prepend=-1))  # a shard's rows come one after another
+                for a, b in zip(firsts, [*firsts[1:], len(shards)], strict=True):
+                    if shards[a] != shard:
                         yield from done(trainer)
-                        trainer, shard = Trainer(weights.value.like(weights.value.flat()), words), name
-                    trainer.learn([learned(words, text, k, stretch) for text in pdf["text"]], last=False)
+                        trainer, shard = Trainer(weights.value.like(weights.value.flat()), words), shards[a]
+                    trainer.learn(learned(words, batch["text"][a:b], k, stretch), last=False)
             yield from done(trainer)
 
         mine = rows if stretch is not None else rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         mine = mine.repartition("shard").sortWithinPartitions("shard", "key").select("text", "shard")
-        copies = saved(mine.mapInPandas(run, "tokens long, weights array<float>"), "network-copies")
+        copies = saved(mine.mapInArrow(run, "tokens long, weights array<float>"), "network-copies")
         tokens = copies.agg(F.sum("tokens")).first()[0]
         if tokens:
             # decimals, so the sum is the same in whatever order it is made
@@ -450,30 +546,38 @@ def text_scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
     vocabulary = spark.sparkContext.broadcast(v)
     network = spark.sparkContext.broadcast(train(training, v, text_col, rounds, stretch, id_col)[0])
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, words array<string>, times array<long>, score double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, n_known long, base double, words array<string>, times array<long>, score double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep_large_arrays()
         v, net = vocabulary.value, network.value
-        logs = np.log10(v.counts + 0.5)
-        shares = v.shape_share()
-        for group in by_size(chain.from_iterable(batches), BATCH_CHARS):
-            texts, out = [], []
-            for text in group:
-                words, places = places_of(v, text)
-                symbols = symbols_of(v, words, places)
-                texts.append(symbols)
-                known = places >= 0
-                rare = symbols[symbols >= v.first_shape] - v.first_shape
-                tail = Counter(words[i] for i in np.flatnonzero(~known))
-                base = logs[places[known]].sum() - len(places) * v.base_share()
-                inside = logs[places[known & (symbols >= v.first_shape)]].sum() - shares[rare].sum()
-                head_known = int((v.counts[places[known]] > 0).sum())
-                out.append((len(places), head_known, base, [w.decode("utf-8", "replace") for w in tail], list(tail.values()), inside))
-            got = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "words", "times", "score"])
-            got["score"] += score_texts(net, v, texts) / math.log(10)
-            yield got
-
-    # ids stay with Spark: in pandas a null among them would turn all to floats
+        # what a word adds, by its place; the last one stands for words that aren't in the head table
+        rare, shares = v.symbols >= v.first_shape, v.shape_share()
+        seen, logs = np.append(v.counts > 0, False), np.append(np.log10(v.counts + 0.5), 0.0)
+        inside = np.append(np.where(rare, logs[:-1] - shares[np.where(rare, v.symbols - v.first_shape, 0)], 0.0), 0.0)
+        for group in by_size(batches, BATCH_CHARS):
+            words, sizes = words_of(group)
+            places = places_of(v, words)
+            symbols, edges = with_ends(symbols_of(v, words, places), sizes, v.end)
+            firsts = edges - sizes - 1
+            ended = with_ends(places, sizes, v.end)[0]
+            tail = np.flatnonzero(places < 0)
+            owners = np.repeat(np.arange(len(group)), sizes)[tail]
+            score = score_texts(net, v, np.split(symbols, edges[:-1])) / math.log(10) + np.add.reduceat(inside[ended], firsts)
+            score -= np.bincount(owners, weights=shares[symbols[tail + owners] - v.first_shape], minlength=len(group))
+            # each word once a text
+            names = words.take(pa.array(tail)).dictionary_encode()
+            kinds = max(1, len(names.dictionary))
+            once, times = np.unique(owners * kinds + names.indices.to_numpy(), return_counts=True)
+            lists = pa.array(np.searchsorted(once, np.arange(len(group) + 1) * kinds), pa.int32())
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array(sizes + 1, pa.int64()), pa.array(np.add.reduceat(seen[ended].astype(np.int64), firsts)),
+                    pa.array(np.add.reduceat(logs[ended], firsts) - (sizes + 1) * v.base_share()),
+                    pa.ListArray.from_arrays(lists, names.dictionary.take(pa.array(once % kinds))), pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())), pa.array(score),
+                ],
+                names=["n_tokens", "n_known", "base", "words", "times", "score"],
+            )
+
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), scored(F.col(text_col)).alias("scored")).select("id", "held_out", "scored.*")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "head-scores")
     tail = rows.select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))

@@ -10,6 +10,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,22 @@ def test_lm_texts_wait_for_full_lanes_and_are_learned_to_their_ends(spark):
     assert trainer.tokens == 100 * lm.LANES + 7 and not trainer.waiting
 
 
+def test_lm_words_symbols_and_groups_are_found_without_a_step_a_word(spark):
+    texts = [None, "", " \t\n", "  A\x0bb\x1cc \x0cÉa\n", "w1 w2  W3 zz", "x", "éé w1 ", "東京 w2\rab\u00a0cd"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    counts = spark.createDataFrame([(f"w{i}", 9 - i) for i in range(6)] + [("\n", 9), ("x", 1)], "word string, n long")
+    v = lm.make_vocabulary(counts, frequent=3)
+    whole = pa.array([*texts, "left out"], pa.string())
+    for arrow in (whole[: len(texts)], pa.concat_arrays([pa.array(["before"]), whole])[1:-1]):
+        words, sizes = lm.words_of(arrow)
+        assert sizes.tolist() == [len(p) for p in plain] and [w.encode() for w in words.to_pylist()] == sum(plain, [])
+        places = {w.encode(): i for i, w in enumerate(v.index.to_pylist())}
+        wanted = [[v.symbols[places[w]] if w in places else v.first_shape + lm.word_shape(w) for w in p] + [v.end] for p in plain]
+        assert [s.tolist() for s in lm.symbol_texts(v, arrow)] == wanted
+    groups = [g.to_pylist() for g in lm.by_size([whole[:3], whole[3:3], whole[3:]], 12)]
+    assert groups == [[None, "", " \t\n", texts[3]], [texts[4]], ["x", texts[6], texts[7]], ["left out"]]
+
+
 # --- simhash ---
 
 
