@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
 from chatterlake.operators.claim_index import SIMILAR, ClaimIndex
-from chatterlake.operators.forum import hub_join
 from chatterlake.operators.rollups import ranked_within
 from chatterlake.sources import landed
 
@@ -37,9 +36,16 @@ def known_claims(claims: DataFrame, lists: DataFrame, now: Column, days: int = L
     """Claims last seen in the look-back with their wording's row of ``lists`` (as of ``cited``, or what was made of it), null where there is none.
 
     All claims of a wording have the whole list, so what is made of lists is best made before: once a wording, not once a
-    claim. A wording of many claims is dealt out over tasks."""
-    recent = claims.where(F.to_date("last_seen_at") >= F.date_sub(F.to_date(now), days))
-    return hub_join(lists, recent, ["ticker", "fingerprint"], CLAIMS_A_LIST, "right")
+    claim. A wording of many claims is dealt out over tasks. Of a task's rows those of the most repeated wordings, so the longest,
+    come first: a writer that guesses from the rows it has had how many more it may keep in memory then never guesses too many."""
+    recent, keys = claims.where(F.to_date("last_seen_at") >= F.date_sub(F.to_date(now), days)), ["ticker", "fingerprint"]
+    shares = F.ceil(F.count("*") / CLAIMS_A_LIST).cast("int")
+    hubs = landed.small(landed.saved(recent.groupBy(*keys).agg(shares.alias("__shares")).where("__shares > 1"), "hubs"))
+    marked = lambda df: df.join(hubs, keys, "left").withColumn("__shares", F.coalesce("__shares", F.lit(1))).withColumn("__first", -F.col("__shares"))
+    each = marked(lists).withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
+    asking = marked(recent).withColumn("__share", F.pmod(F.xxhash64(*(c for c in recent.columns if c not in keys)), F.col("__shares")).cast("int")).drop("__shares")
+    # merged, so that a task's rows stand in the order of the keys; an outer join gives a claim's row at once, an inner one would gather those of a list
+    return each.hint("merge").join(asking, ["__first", *keys, "__share"], "right").drop("__first", "__share")
 
 
 def similar_claims(new: DataFrame, known: DataFrame) -> DataFrame:

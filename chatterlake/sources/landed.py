@@ -17,6 +17,8 @@ COMMUNITY_SCHEMA = "display_name string, name string, subscribers long, title st
 BODY_CAP = 10_000
 #: Widest table, in rows, that is sent to every task.
 BROADCAST_ROWS = 50_000
+#: Values of a column that a parquet file may hold once each.
+DICTIONARY_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -44,6 +46,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def repeats_written_once(spark: SparkSession, *columns: str) -> None:
+    """For columns of long values that are repeated row by row: from now on the session's parquet files hold a value once each, if it is up
+    to DICTIONARY_BYTES long with the others, not up to Parquet's 1 MB; and the least and greatest value of each page of these
+    columns, of which a writer keeps whole copies, aren't kept. Settings that somebody has made stay."""
+    wanted = {"parquet.dictionary.page.size": str(DICTIONARY_BYTES)} | {f"parquet.column.statistics.enabled#{c}": "false" for c in columns}
+    for name, value in wanted.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out over as many tasks as shuffles have, where the files would be read by fewer than there are cores for."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from chatterlake.functions import names
 from chatterlake.functions import text as tx
 from chatterlake.operators import claim_index, claims, communities, forum, ingest, merges, series, video
@@ -337,6 +338,30 @@ def test_a_wording_of_many_claims_is_dealt_out_and_has_its_list_made_once(spark,
     assert len({r.part for r in got if r.fingerprint == "hot"}) > 1
 
 
+def test_the_longest_lists_come_first_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(claims, "CLAIMS_A_LIST", 10)
+    each = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 9 == 0, F.col("id")).otherwise(1)))  # a wording in nine has as many claims as its number says
+    known = spark.range(1, 200).select(F.lit("T").alias("ticker"), F.concat(F.lit("f"), F.col("id")).alias("fingerprint"), each.alias("k"), F.lit("2024-01-02").cast("timestamp").alias("last_seen_at")).withColumn("claim_id", F.xxhash64("fingerprint", "k")).drop("k")
+    lists = known.groupBy("ticker", "fingerprint").agg(F.count("*").alias("n"))
+    got = claims.known_claims(known, lists, F.lit("2024-01-10").cast("timestamp"))
+    assert got.count() == known.count()
+    for rows in got.rdd.map(lambda r: r.n).glom().collect():
+        shares = [-(-n // 10) for n in rows]
+        assert shares == sorted(shares, reverse=True) and len(set(shares)) > 1
+
+
+def test_known_claims_write_a_long_list_once_and_leave_out_claims_without_a_ticker(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    doc = spark.range(1, 302).select((F.col("id") * 50 + 1).alias("doc_id"), F.lit("the same said. ").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 301, "src1").alias("source"))
+    doc.write.parquet(f"{folder}/documents.parquet")
+    spark.range(0).select(F.col("id").alias("item_id"), F.lit("").alias("text")).write.parquet(f"{folder}/benchmark.parquet")
+    __spark_entry__.queries()["M15_known_claims"](spark, folder).withColumn("cited", F.repeat("cited", 400)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    longest, n = got.agg(F.max(F.length("cited")), F.count("*")).first()
+    assert longest > 1 << 20 and n == 300
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * longest
+
+
 # --- loads ---
 
 
