@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.functions.text import claim_tokens, fingerprint
-from chatterlake.operators.claim_index import SIMILAR, ClaimIndex
+from chatterlake.operators.claim_index import SIMILAR, ClaimIndex, of_keys
 from chatterlake.operators.rollups import ranked_within
 from chatterlake.sources import landed
 
@@ -124,8 +124,8 @@ def novelty_pass(batch: DataFrame, known: DataFrame, citations: DataFrame, now:
     else:  # it holds all known claims
         judged = index.novelty(mine, F.date_sub(F.to_date(now), LOOK_BACK).cast("timestamp"))
     judged = landed.saved(judged, "judged")
-    asked = landed.saved(recent.join(landed.small(judged.select(F.col("known_id").alias("claim_id")).distinct()), "claim_id", "left_semi"), "asked")
-    cites = citations.join(landed.small(asked.select("ticker", "fingerprint").distinct()), ["ticker", "fingerprint"], "left_semi")
+    asked = landed.saved(of_keys(recent, landed.saved(judged.select(F.col("known_id").alias("claim_id")).distinct(), "known-ids"), "claim_id").select("ticker", "fingerprint", "claim_id", "last_seen_at"), "asked")
+    cites = of_keys(citations, landed.saved(asked.select("ticker", "fingerprint").distinct(), "asked-wordings"), "ticker", "fingerprint")
     history = known_claims(asked, cited(cites).drop("citations"), now).select(F.col("claim_id").alias("known_id"), F.col("channels").alias("known_channels"))
     j = batch.join(judged, ["ticker", "claim_id"]).join(history, "known_id", "left")
     status = F.when(F.col("status") == "candidate", "new").otherwise(F.col("status"))

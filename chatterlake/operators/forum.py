@@ -22,9 +22,14 @@ SKETCH_EXACT = 1000
 HUB_PAIRS = 100_000
 
 
-def token_filter(tokens: DataFrame) -> Column:
-    """A bloom filter of a column ``token`` as a scalar subquery of 16384 longs, whatever the number of tokens."""
-    return _filter_words(tokens).scalar()
+def filter_longs(n: int) -> int:
+    """The size of a filter of n tokens: 16 bits a token, 128 KB at least and 8 MB at most."""
+    return min(max(FILTER_LONGS, 1 << (max(n, 1) // 4).bit_length()), 64 * FILTER_LONGS)
+
+
+def token_filter(tokens: DataFrame, longs: int = FILTER_LONGS) -> Column:
+    """A bloom filter of a column ``token`` as a scalar subquery of 16384 longs, or as many as are asked for, whatever the number of tokens."""
+    return _filter_words(tokens, longs).scalar()
 
 
 def constant_token_filter(tokens: DataFrame) -> Column:
@@ -32,10 +37,10 @@ def constant_token_filter(tokens: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, _filter_words(tokens).first()[0]))), ",").cast("array<bigint>")
 
 
-def _filter_words(tokens: DataFrame) -> DataFrame:
-    bits = F.array(*(F.pmod(h, F.lit(64 * FILTER_LONGS)) for h in _filter_hashes(F.col("token"))))
+def _filter_words(tokens: DataFrame, longs: int = FILTER_LONGS) -> DataFrame:
+    bits = F.array(*(F.pmod(h, F.lit(64 * longs)) for h in _filter_hashes(F.col("token"))))
     each = tokens.select(F.explode(bits).alias("bit")).select((F.col("bit") / 64).cast("long").alias("id"), F.expr("shiftleft(1L, int(bit % 64))").alias("long"))
-    words = tokens.sparkSession.range(FILTER_LONGS).join(each.groupBy("id").agg(F.bit_or("long").alias("long")), "id", "left").fillna(0, ["long"])
+    words = tokens.sparkSession.range(longs).join(each.groupBy("id").agg(F.bit_or("long").alias("long")), "id", "left").fillna(0, ["long"])
     return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "long"))), lambda x: x["long"]))
 
 
@@ -43,9 +48,9 @@ def _filter_hashes(token: Column) -> list[Column]:
     return [F.xxhash64(token), F.xxhash64(F.lit(1), token)]
 
 
-def may_hold(words: Column, token: Column) -> Column:
+def may_hold(words: Column, token: Column, longs: int = FILTER_LONGS) -> Column:
     """Whether the filter has the token, or by a chance of a hundredth at 50,000 tokens another one's bits."""
-    at = [F.pmod(h, F.lit(64 * FILTER_LONGS)) for h in _filter_hashes(token)]
+    at = [F.pmod(h, F.lit(64 * longs)) for h in _filter_hashes(token)]
     found = [F.getbit(F.get(words, (h / 64).cast("int")), (h % 64).cast("int")) == 1 for h in at]
     return found[0] & found[1]
 

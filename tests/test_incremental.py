@@ -324,6 +324,31 @@ def test_first_tokens_of_claims_need_no_shuffle_and_known_claims_are_read_for_as
     assert sorted(r.claim_id for r in index.known(asked).collect()) == list(range(3, 100, 7))
 
 
+def test_the_claim_index_stores_a_claim_once_and_a_row_a_wording(spark, tmp_path, monkeypatch):
+    stored, saved = [], landed.saved
+    monkeypatch.setattr(landed, "saved", lambda df, name: stored.append(name) or saved(df, name))
+    index = claim_index.ClaimIndex(spark, str(tmp_path / "index"), 3)
+    index.append(claim_rows(spark, [("T", i, f"word{i % 7} said again w{i % 7} x{i % 7} y{i % 7}", i % 5) for i in range(100)] + [("T", 100, "", 0)]))
+    assert not stored and spark.table(index.claims).count() == 101
+    assert spark.table(index.first_tokens).count() == 7
+    assert len([f for f in files(tmp_path / "index" / "first_tokens")]) <= 3  # a file a bucket, not one a task and bucket
+    # a first token shared is not enough: the bits of all tokens tell most others apart
+    shared = [("T", 1000 + i, "shared " + " ".join(f"t{i}x{k}" for k in range(9)), 0) for i in range(40)]
+    index.append(claim_rows(spark, shared))
+    new = claim_rows(spark, [("T", 5000 + i, t.replace("x8", "z8"), 0) for i, (_, _, t, _) in enumerate(shared)])
+    pairs = index.candidate_pairs(new.select("ticker", "claim_id", "tokens"))
+    assert {(r.new_id - 5000) for r in pairs.collect()} == set(range(40)) and pairs.count() == 40
+
+
+def test_rows_of_many_keys_pass_a_filter_before_they_are_shuffled(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "T").alias("t"))
+    wanted = landed.saved(spark.range(0, 20_000, 50).select(F.col("id").alias("k"), F.lit("T").alias("t")), "wanted")
+    for most in (landed.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(landed, "BROADCAST_ROWS", most)
+        assert sorted(r.k for r in claim_index.of_keys(rows, wanted, "k", "t").collect()) == list(range(0, 20_000, 50))
+    assert 400 <= claim_index.filtered(rows, wanted, "k", "t").count() < 500
+
+
 def test_a_wording_of_many_claims_is_dealt_out_and_has_its_list_made_once(spark, monkeypatch):
     monkeypatch.setattr(claims, "CLAIMS_A_LIST", 50)
     known = spark.range(2000).select(F.lit("T").alias("ticker"), F.when(F.col("id") < 1900, "hot").otherwise(F.concat(F.lit("f"), F.col("id"))).alias("fingerprint"), F.col("id").alias("claim_id"), F.lit("2024-01-02").cast("timestamp").alias("last_seen_at"))
